@@ -8,7 +8,8 @@ the lines that the runs know to be frequent, except in the last document that ho
 
 Edge cases: a null or empty text is one empty line; a null id is less than any other (a line held by null ids
 only keeps its lines there); each row is a document, repeated rows count one each; ties need no rule, as all lines
-of the last document stay; an empty table gives empty runs and no rows; further columns of the input are kept.
+of the last document stay; an empty table gives empty runs and no rows; further columns of the input are kept, unless they have the names of
+the three that are added.
 """
 
 from __future__ import annotations
@@ -88,8 +89,9 @@ def merged(entries: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """docs with _kept (the text without the dropped lines), _n_lines and _n_dropped added."""
     spark = docs.sparkSession
-    keyed = row_key(docs, id_col, text_col).withColumn("_id", F.col(id_col).cast("long"))
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col(text_col)), line_hash), lambda h: h.isNotNull()))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.struct("*").alias("_row"))
+    keyed = row_key(rows, "_id", "_text")
+    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col("_text")), line_hash), lambda h: h.isNotNull()))
     held = stored(keyed.select("_id", "_th", hashes.alias("_lines")), "lines")
     flat = held.select("_id", "_th", F.inline("_lines"))
 
@@ -105,12 +107,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumnsRenamed({"_id": "_did", "_th": "_dth"})
     )
     joined = keyed.join(drops, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_th") == F.col("_dth")), "left")
-    lines = lines_of(F.col(text_col))
+    lines = lines_of(F.col("_text"))
     stay = F.filter(lines, lambda line: ~F.coalesce(F.array_contains(F.col("_drop"), line_hash(line)), F.lit(False)))
-    return (
-        joined.withColumn("_stay", F.when(F.col("_drop").isNull(), lines).otherwise(stay))
-        .withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn("_n_dropped", (F.col("_n_lines") - F.size("_stay")).cast("long"))
-        .withColumn("_kept", F.array_join("_stay", "\n"))
-        .drop("_id", "_th", "_did", "_dth", "_drop", "_stay")
-    )
+    done = joined.withColumn("_stay", F.when(F.col("_drop").isNull(), lines).otherwise(stay))
+    n_lines = F.size(lines).cast("long")
+    outputs = [n_lines.alias("_n_lines"), (n_lines - F.size("_stay")).alias("_n_dropped"), F.array_join("_stay", "\n").alias("_kept")]
+    own = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped", "_kept")]
+    return done.select(*own, *outputs)

@@ -51,7 +51,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
         .withColumn("_weights_before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("_share", (F.col("_total") - F.col("_capped_before")) / (F.col("_weights") - F.col("_weights_before")))
         .withColumn("_open", F.col("_full_at") > F.col("_share"))
-        .withColumn("_level", F.min(F.when(F.col("_open"), F.col("_share"))).over(everything))
+        .withColumn("_first", F.when(F.col("_open"), F.struct(F.row_number().over(level).alias("at"), F.col("_share").alias("share"))))
+        .withColumn("_level", F.min("_first").over(everything)["share"])
     )
     target = F.when(F.col("_full_at") <= F.col("_level"), F.col("_cap")).otherwise(F.col("weight") * F.col("_level"))
     return filled.select("source", "source_size", F.coalesce(target, F.col("_cap")).cast("double").alias("target"))

@@ -15,9 +15,10 @@ ranked as (select *, (row_number() over (order by source nulls last) - 1) % 3 +
 leveled as (select *, source_size * 3 as cap, source_size * 3 / weight as full_at from ranked),
 filled as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0))
-          / (sum(weight) over () - coalesce(sum(weight) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0)) as share
+          / (sum(weight) over () - coalesce(sum(weight) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0)) as share,
+         row_number() over (order by full_at, source nulls last) as nth
   from leveled),
-cut as (select *, min(case when full_at > share then share end) over () as level from filled),
+cut as (select *, arg_min(share, nth) filter (where full_at > share) over () as level from filled),
 target as (select source, source_size, coalesce(case when full_at <= level then cap else weight * level end, cap)::double as target from cut),
 q as (
   select d2.*, t.source_size, t.target,
