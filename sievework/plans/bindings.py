@@ -1,6 +1,521 @@
-"""Query name -> (spark, sf_dir) function, with the SQL that must give the same rows."""
+"""Query name -> (spark, sf_dir) function, with the SQL that must give the same rows.
+
+Every query applies one operator, or a few, to whole tables. Arrays and structs are flattened to text or rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sievework.functions import text
+from sievework.operators import catalog, coverage, quiz, rules, similarity, workflow
+from sievework.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with its SQL if it has one."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return tables.read_table(spark, sf, name)
+
+
+# The SQL's forms of the text functions.
+WS = r"[\x{0009}-\x{000D}\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def collapse_sql(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}', ' ', 'g'))"
+
+
+def fold_sql(x: str) -> str:
+    return collapse_sql(f"lower(strip_accents({x}))")
+
+
+def tokens_sql(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({fold_sql(x)}, '[^a-z0-9]+'), lambda x: length(x) >= 3)"
+
+
+DOC_TOKENS = f"tok as (select doc_id as id, {fold_sql('text')} as folded, list_distinct({tokens_sql('text')}) as toks from documents)"
+PAIRS = f"""
+with {DOC_TOKENS},
+flat as (select id, len(toks) as n, unnest(toks) as token from tok),
+inter as (select a.id as a, b.id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as common from flat a join flat b on a.token = b.token and a.id < b.id
+          and least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 82 group by a.id, b.id),
+near as (select a, b, common::double / (n + m - common) as similarity from inter where common::double / (n + m - common) >= 0.82)
+"""
+
+
+# --- text ---
+
+
+@query(f"select doc_id, md5({fold_sql('text')}) as folded from documents")
+def fold_text(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
+
+
+@query(f"select doc_id, md5({collapse_sql('text')}) as collapsed from documents")
+def ws_normalize(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.collapse(F.col("text"))).alias("collapsed"))
+
+
+@query(f"select doc_id, md5(lower({collapse_sql('text')})) as fingerprint from documents")
+def fingerprint(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.fingerprint(F.col("text"))).alias("fingerprint"))
+
+
+@query(f"select doc_id, md5(trim(regexp_replace({fold_sql('text')}, '[^a-z0-9 ]', '', 'g'))) as bare from documents")
+def fold_contains(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.fold_for_contains(F.col("text"))).alias("bare"))
+
+
+@query(f"select doc_id, len({tokens_sql('text')})::bigint as n_tokens, len(list_distinct({tokens_sql('text')}))::bigint as n_distinct from documents")
+def token_counts(spark, sf):
+    toks = text.tokens(F.col("text"))
+    return t(spark, sf, "documents").withColumn("toks", toks).select("doc_id", F.size("toks").cast("long").alias("n_tokens"), F.size(F.array_distinct("toks")).cast("long").alias("n_distinct"))
+
+
+@query(f"select token, count(*)::bigint as n, count(distinct doc_id)::bigint as n_docs from (select doc_id, unnest({tokens_sql('text')}) as token from documents) group by token")
+def token_rows(spark, sf):
+    per_doc = t(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("c"))
+    return per_doc.groupBy("token").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[ÂÃâ�]'))::bigint as markers from documents")
+def mojibake_markers(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", text.marker_count(F.col("text")).alias("markers"))
+
+
+@query()
+def mojibake_repair(spark, sf):
+    """Texts that were decoded wrongly on purpose, repaired."""
+    bad = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.repair(bad)).alias("repaired"), F.md5("text").alias("original"))
+
+
+@query("select p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9-]', '-', 'g')) as slug, array_to_string(list_transform(string_split(lower(regexp_replace(p_name, '[^A-Za-z0-9-]', '-', 'g')), '-'), lambda x: upper(x[1]) || x[2:]), ' ') as title from part")
+def slug_titles(spark, sf):
+    slug = text.slug(F.col("p_name"))
+    return t(spark, sf, "part").select("p_partkey", slug.alias("slug"), text.title_from_slug(slug).alias("title"))
+
+
+@query("""with s as (select doc_id, text, trim(regexp_replace(regexp_replace(text, '^(the|and|in|of)\\s+', '', 'i'), '\\s+', ' ', 'g')) as c from documents)
+select doc_id, md5(case when upper(c[1]) || c[2:] <> text then upper(c[1]) || c[2:] end) as rewritten from s""")
+def rewrite_leads(spark, sf):
+    """The rewrite operator with common first words as lead-ins."""
+    return t(spark, sf, "documents").select("doc_id", F.md5(text.rewrite(F.col("text"), ["(?:the|and|in|of)(?=\\s)"])).alias("rewritten"))
+
+
+@query("select event_id, event_type, json_extract_string(props, '$.k')::bigint as k, lower(coalesce(json_extract_string(props, '$.name'), 'None')) as name from events")
+def json_field(spark, sf):
+    salvaged = text.json_object(F.concat(F.lit("note: "), F.col("props"), F.lit(" end")))
+    parsed = t(spark, sf, "events").withColumn("p", F.try_parse_json(salvaged))
+    return parsed.select("event_id", "event_type", F.try_variant_get("p", "$.k", "bigint").alias("k"), F.lower(F.coalesce(F.try_variant_get("p", "$.name", "string"), F.lit("None"))).alias("name"))
+
+
+# --- duplicates and matches ---
+
+
+@query(f"with {DOC_TOKENS} select id, min(id) over (partition by folded) as first_id, count(*) over (partition by folded) as group_size from tok where folded <> ''")
+def exact_dups(spark, sf):
+    return similarity.exact_groups(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query(f"{PAIRS} select a, b, round(similarity, 9) as similarity from near")
+def near_dups(spark, sf):
+    pairs = similarity.near_pairs(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+    return pairs.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""{PAIRS}, matches as (
+  select a.id, b.id as match_id, 'exact' as kind, 1.0 as similarity from tok a join tok b on a.folded = b.folded and a.id <> b.id where a.folded <> ''
+  union all select a, b, 'near', similarity from near union all select b, a, 'near', similarity from near),
+best as (select *, row_number() over (partition by id order by match_id, kind) as nth from matches)
+select id, match_id, kind, round(similarity, 9) as similarity from best where nth = 1""")
+def first_match(spark, sf):
+    """The flagship: the first equal or near document of each document."""
+    found = similarity.first_match(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""{PAIRS}, m as (select a as id, b as match_id, similarity from near union all select b, a, similarity from near),
+best as (select *, row_number() over (partition by id order by similarity desc, match_id) as nth from m)
+select id, match_id, round(similarity, 9) as similarity from best where nth = 1""")
+def best_match(spark, sf):
+    found = similarity.best_match(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+    return found.withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"""with b as (select item_id as id, {fold_sql('text')} as folded, list_distinct({tokens_sql('text')}) as toks from benchmark),
+{DOC_TOKENS}, pairs as (select b.id, d.id as match_id, b.folded = d.folded as same,
+  case when len(b.toks) = 0 or len(d.toks) = 0 then 0 else len(list_intersect(b.toks, d.toks))::double / (len(b.toks) + len(d.toks) - len(list_intersect(b.toks, d.toks))) end as s
+  from b join tok d on b.folded <> '' and d.folded <> ''),
+m as (select id, match_id, case when same then 'exact' else 'near' end as kind, case when same then 1.0 else s end as similarity from pairs where same or s >= 0.82),
+best as (select *, row_number() over (partition by id order by kind, match_id) as nth from m)
+select id, match_id, kind, round(similarity, 9) as similarity from best where nth = 1""")
+def bank_match(spark, sf):
+    items = similarity.tokenized(t(spark, sf, "benchmark"), "item_id", "text")
+    bank = similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text")
+    return similarity.bank_match(items, bank.where("folded <> ''")).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"select item_id from benchmark b where not exists (select 1 from documents d where lower({collapse_sql('d.text')}) = lower({collapse_sql('b.text')}))")
+def not_in_bank(spark, sf):
+    return similarity.not_in_bank(t(spark, sf, "benchmark"), t(spark, sf, "documents"), "text", "text").select("item_id")
+
+
+# --- rules and issues ---
+
+
+def document_rules() -> list[rules.Rule]:
+    """The rule engine on documents and labels."""
+    return [
+        rules.Rule("missing_text", "critical", text.collapse(F.col("text")) == "", "No text."),
+        rules.Rule("missing_label", "warning", F.col("quality").isNull(), "No label."),
+        rules.Rule("low_quality", "critical", F.col("quality") == 0, "Labelled as poor."),
+        rules.Rule("toxic", "critical", F.col("toxic") == 1, "Labelled as toxic."),
+        rules.Rule("short_text", "warning", F.length("text") < 200, F.format_string("Only %d characters.", F.length("text"))),
+        rules.Rule("count_mismatch", "critical", F.col("n_chars") != F.length("text"), "The character count is wrong."),
+    ]
+
+
+def checked_documents(spark, sf):
+    labels = t(spark, sf, "labels")
+    return rules.evaluate(t(spark, sf, "documents").join(labels, "doc_id", "left"), document_rules())
+
+
+ISSUES = f"""
+with d as (select documents.*, quality, toxic from documents left join labels using (doc_id)),
+i as (
+  select doc_id, 'missing_text' as code, 'critical' as severity, 0 as p, 'No text.' as message from d where {collapse_sql('text')} = ''
+  union all select doc_id, 'missing_label', 'warning', 1, 'No label.' from d where quality is null
+  union all select doc_id, 'low_quality', 'critical', 2, 'Labelled as poor.' from d where quality = 0
+  union all select doc_id, 'toxic', 'critical', 3, 'Labelled as toxic.' from d where toxic = 1
+  union all select doc_id, 'short_text', 'warning', 4, 'Only ' || length(text) || ' characters.' from d where length(text) < 200
+  union all select doc_id, 'count_mismatch', 'critical', 5, 'The character count is wrong.' from d where n_chars <> length(text)),
+o as (select *, (row_number() over (partition by doc_id order by p) - 1)::int as ord from i)
+"""
+
+
+@query(f"{ISSUES} select doc_id, ord, code, severity, message from o")
+def rule_issues(spark, sf):
+    return rules.exploded(checked_documents(spark, sf), "doc_id").drop("field")
+
+
+@query(f"""{ISSUES} select count(*)::bigint as total, (count(*) filter (where severity = 'critical'))::bigint as n_critical, (count(*) filter (where severity = 'warning'))::bigint as n_warning,
+(count(*) filter (where code = 'low_quality'))::bigint as n_low_quality, (count(*) filter (where code = 'toxic'))::bigint as n_toxic, (count(*) filter (where code = 'missing_label'))::bigint as n_missing_label from o""")
+def issue_summary(spark, sf):
+    return coverage.issue_summary(rules.exploded(checked_documents(spark, sf), "doc_id"), ["critical", "warning"], ["low_quality", "toxic", "missing_label"])
+
+
+@query(f"""{ISSUES}, n as (select d.doc_id, count(*) filter (where severity = 'critical') as c, count(*) filter (where severity = 'warning') as w from d left join o using (doc_id) group by d.doc_id)
+select doc_id, case when c > 0 then 'rejected' else 'accepted' end as status, c::bigint as n_critical, w::bigint as n_warning from n""")
+def accepted_rejected(spark, sf):
+    done = checked_documents(spark, sf)
+    status = F.when(rules.any_of("issues", "critical"), "rejected").otherwise("accepted")
+    return done.select("doc_id", status.alias("status"), rules.of_severity("issues", "critical").alias("n_critical"), rules.of_severity("issues", "warning").alias("n_warning"))
+
+
+@query(f"{ISSUES} select doc_id, ord, code, severity from o order by case when severity = 'critical' then 0 else 1 end, doc_id, ord limit 10")
+def review_tasks_top10(spark, sf):
+    return coverage.review_tasks(rules.exploded(checked_documents(spark, sf), "doc_id"), "doc_id", limit=10).select("doc_id", "ord", "code", "severity")
+
+
+@query(f"{ISSUES} select doc_id, 'document-' || doc_id || '-' || severity || '-' || regexp_replace({fold_sql('message')}, ' ', '-', 'g') as diagnostic_id from o")
+def diagnostic_ids(spark, sf):
+    flat = rules.exploded(checked_documents(spark, sf), "doc_id")
+    return flat.select("doc_id", rules.diagnostic_id(F.lit("document"), F.col("doc_id").cast("string"), F.col("severity"), F.col("message")).alias("diagnostic_id"))
+
+
+@query(f"{ISSUES} select doc_id, string_agg(code, ',' order by ord) as codes from o group by doc_id")
+def diagnostic_map(spark, sf):
+    flat = rules.exploded(checked_documents(spark, sf), "doc_id")
+    gathered = flat.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "code"))).alias("d"))
+    return gathered.select("doc_id", F.array_join(F.transform("d", lambda d: d["code"]), ",").alias("codes"))
+
+
+# --- coverage ---
+
+
+@query("""select n_name, count(c_custkey)::bigint as total, (count(*) filter (where c_acctbal > 0))::bigint as positive, (count(*) filter (where c_mktsegment = 'BUILDING'))::bigint as building
+from nation left join customer on c_nationkey = n_nationkey group by n_name""")
+def group_coverage(spark, sf):
+    done = coverage.group_coverage(t(spark, sf, "nation"), t(spark, sf, "customer"), "c_nationkey", "n_nationkey", "n_name", positive=F.col("c_acctbal") > 0, building=F.col("c_mktsegment") == "BUILDING")
+    return done.select("n_name", "total", "positive", "building")
+
+
+@query("select source, count(*)::bigint as total, (count(*) filter (where quality is null))::bigint as missing_reference from documents left join labels using (doc_id) group by source")
+def source_coverage(spark, sf):
+    docs = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left")
+    sources = docs.select(F.col("source").alias("title")).distinct()
+    return coverage.source_coverage(sources, docs, "source", "title", "title", F.col("quality").isNull()).select(F.col("title").alias("source"), "total", "missing_reference")
+
+
+@query("""select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_returnflag <> 'R')
+or not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity > 45)""")
+def coverage_gap(spark, sf):
+    lines = t(spark, sf, "lineitem")
+    return coverage.coverage_gaps(t(spark, sf, "part"), lines, lines.where("l_quantity > 45"), "p_partkey", "l_partkey", "l_partkey", F.col("l_returnflag") != "R").select("p_partkey")
+
+
+@query("""select count(*)::bigint as total, (count(*) filter (where o_orderstatus = 'F'))::bigint as "n_F", (count(*) filter (where o_orderstatus = 'O'))::bigint as "n_O",
+(count(*) filter (where o_orderstatus = 'P'))::bigint as "n_P", (count(*) filter (where o_totalprice > 200000))::bigint as large from orders""")
+def status_summary(spark, sf):
+    return coverage.status_summary(t(spark, sf, "orders"), "o_orderstatus", ["F", "O", "P"], large=F.col("o_totalprice") > 200000)
+
+
+@query("""with w(brand_end, lo, hi) as (values ('1', 1, 20), ('2', 10, 30), ('3', 5, 45))
+select p_partkey, w.brand_end is not null as configured, coalesce(p_size < lo or p_size > hi, false) as mismatch, coalesce(w.brand_end is not null and p_size >= 45, false) as annex
+from part left join w on right(p_brand, 1) = w.brand_end""")
+def range_scope(spark, sf):
+    windows = spark.createDataFrame([("1", 1, 20), ("2", 10, 30), ("3", 5, 45)], "brand_end string, lo int, hi int")
+    joined = t(spark, sf, "part").join(F.broadcast(windows), F.right("p_brand", F.lit(1)) == F.col("brand_end"), "left")
+    known = F.col("brand_end").isNotNull()
+    return joined.select("p_partkey", known.alias("configured"), F.coalesce((F.col("p_size") < F.col("lo")) | (F.col("p_size") > F.col("hi")), F.lit(False)).alias("mismatch"), F.coalesce(known & (F.col("p_size") >= 45), F.lit(False)).alias("annex"))
+
+
+@query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and (contains(lower(c_name), '1') or contains(lower(c_mktsegment), '1'))")
+def search_filter(spark, sf):
+    return catalog.searched(t(spark, sf, "customer"), "1", ["c_name", "c_mktsegment"], "c_mktsegment", "BUILDING").select("c_custkey", "c_name")
+
+
+@query("""with e as (select event_type, count(*)::bigint as n, (count(*) filter (where value > 50))::bigint as k from events group by event_type)
+select event_type, n, k, floor(case when n > 0 then k / n * 100 else 0 end + 0.5)::bigint as pct,
+case when floor(k / n * 100 + 0.5) >= 80 then 'high' when floor(k / n * 100 + 0.5) >= 60 then 'middle' else 'low' end as tier from e""")
+def category_tiers(spark, sf):
+    per = coverage.category_breakdown(t(spark, sf, "events"), "event_type", F.col("value") > 50)
+    return per.select(F.col("category").alias("event_type"), F.col("total").alias("n"), F.col("correct").alias("k"), "pct", text.tier(F.col("pct")).alias("tier"))
+
+
+# --- sampling, grading, scores ---
+
+
+@query("""with r as (select p_partkey, p_brand, row_number() over (partition by p_brand order by md5('s' || p_partkey), p_partkey)::int as rank from part)
+select * from r where rank <= 5""")
+def stratified_sample(spark, sf):
+    return quiz.quota_of_each(t(spark, sf, "part"), "p_brand", "p_partkey", "s", 5).select("p_partkey", "p_brand", "rank")
+
+
+@query("""with r as (select o_orderkey, o_orderpriority = '1-URGENT' as urgent, row_number() over (partition by o_orderpriority = '1-URGENT' order by md5('exam' || o_orderkey), o_orderkey) as k from orders),
+p as (select o_orderkey, urgent from r where k <= case when urgent then 3 else 32 end)
+select o_orderkey, urgent, row_number() over (order by md5('exam/again' || o_orderkey), o_orderkey)::int as position from p""")
+def exam_sample(spark, sf):
+    """3 of one stratum, 32 of the other, reshuffled: the feature is the quota."""
+    orders = t(spark, sf, "orders").select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    return quiz.stratified(orders, "urgent", "o_orderkey", "exam", {True: 3, False: 32})
+
+
+@query("""with p as (select l_orderkey, l_shipdate, min(l_linenumber) as l_linenumber from lineitem group by l_orderkey, l_shipdate),
+r as (select *, row_number() over (partition by l_orderkey order by l_shipdate) as k, count(*) over (partition by l_orderkey) as n from p)
+select l_orderkey, l_shipdate, l_linenumber from r where k = 1 or k = n or k = (n - 1) // 2 + 1""")
+def first_mid_last(spark, sf):
+    return quiz.first_middle_last(t(spark, sf, "lineitem"), "l_orderkey", "l_shipdate", "l_linenumber")
+
+
+@query("""with o as (select l_orderkey, list_sort(list(l_linenumber) filter (where l_quantity > 25)) as chosen, list_sort(list(l_linenumber) filter (where l_extendedprice > 35000)) as good,
+bool_or(l_tax > 0.07) as double_weight from lineitem group by l_orderkey)
+select l_orderkey, coalesce(chosen, []) = coalesce(good, []) as is_correct, (case when coalesce(chosen, []) = coalesce(good, []) then case when double_weight then 2 else 1 end else 0 end)::int as points from o""")
+def grade_answers(spark, sf):
+    """Lines of high quantity are the answer of an order, those of high price the right one."""
+    per = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.when(F.col("l_quantity") > 25, F.col("l_linenumber"))).alias("chosen"), F.collect_list(F.when(F.col("l_extendedprice") > 35000, F.col("l_linenumber"))).alias("good"), F.bool_or(F.col("l_tax") > 0.07).alias("double_weight")
+    )
+    right = text.same_answers(F.col("chosen"), F.col("good"))
+    return per.select("l_orderkey", right.alias("is_correct"), text.points(True, F.col("double_weight"), right).alias("points"))
+
+
+@query("""with e as (select user_id, event_id, (case when value > 50 then 1 else 0 end)::bigint as points from events)
+select event_id, user_id, sum(points) over (partition by user_id order by event_id rows unbounded preceding)::bigint as running from e""")
+def running_score(spark, sf):
+    points = t(spark, sf, "events").select("event_id", "user_id", F.when(F.col("value") > 50, 1).otherwise(0).cast("long").alias("points"))
+    return quiz.running(points, "user_id", ["event_id"], "points").select("event_id", "user_id", "running")
+
+
+@query("""with e as (select user_id, count(*)::bigint as total, (count(*) filter (where value > 50))::bigint as correct from events group by user_id)
+select user_id as attempt_id, total, correct, total - correct as incorrect, correct as points, floor(correct / total * 100 + 0.5)::bigint as pct, correct >= 33 as passed from e""")
+def attempt_scores(spark, sf):
+    good = F.col("value") > 50
+    outcomes = t(spark, sf, "events").select(F.col("user_id").alias("attempt_id"), good.alias("is_correct"), F.when(good, 1).otherwise(0).cast("long").alias("points_earned"))
+    return quiz.score(outcomes, 33).select("attempt_id", "total", "correct", "incorrect", "points", "pct", "passed")
+
+
+@query("select user_id, event_type, arg_max(value, event_id) as value, max(event_id) as event_id from events group by user_id, event_type")
+def latest_wins(spark, sf):
+    return quiz.latest(t(spark, sf, "events"), ["user_id", "event_type"], F.col("event_id"), "value", "event_id")
+
+
+@query("""select size, n::bigint as available, size <= n as enabled, greatest(1, least(size, greatest(1, n)))::int as clamped
+from (select count(*) as n from part where p_size > 45), (select unnest([5, 10, 20, 35]) as size)""")
+def size_presets(spark, sf):
+    available = t(spark, sf, "part").where("p_size > 45").agg(F.count(F.lit(1)).alias("available"))
+    return quiz.size_presets(available).withColumn("clamped", text.clamp_size(F.col("size").cast("string"), F.col("available").cast("int")))
+
+
+@query("""with s as (select o_custkey, list_sort(list_distinct(list(o_orderpriority))) as held from orders group by o_custkey)
+select o_custkey, array_to_string(case when list_contains(held, '1-URGENT') then list_filter(held, lambda x: x <> '1-URGENT') else list_append(held, '1-URGENT') end, ',') as toggled from s""")
+def set_toggle(spark, sf):
+    held = t(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("held"))
+    return held.select("o_custkey", F.array_join(text.toggle(F.col("held"), F.lit("1-URGENT")), ",").alias("toggled"))
+
+
+# --- catalog ---
+
+
+@query("select conv_id, count(*)::bigint as turns, md5(string_agg(role || ':' || text, chr(10) order by turn, role, text)) as transcript from conversations group by conv_id")
+def nested_embed(spark, sf):
+    conv = t(spark, sf, "conversations")
+    parents = conv.select("conv_id").distinct()
+    done = catalog.nested(parents, conv, "conv_id", "conv_id", "turn", ["role", "text"], "turns")
+    said = F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
+    return done.select("conv_id", F.size("turns").cast("long").alias("turns"), F.md5(F.array_join(said, "\n")).alias("transcript"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) - 1)::int as at from lineitem join orders on o_orderkey = l_orderkey")
+def nest_unnest(spark, sf):
+    """Lines nested into their orders and taken out again."""
+    lines = t(spark, sf, "lineitem")
+    done = catalog.nested(t(spark, sf, "orders").select("o_orderkey"), lines, "o_orderkey", "l_orderkey", "l_linenumber", ["l_partkey"], "lines")
+    flat = catalog.unnested(done, "o_orderkey", "lines", "l_orderkey")
+    return flat.select("l_orderkey", F.col("order").alias("l_linenumber"), "l_partkey", "at")
+
+
+OVER = "select c_custkey, upper(c_name) as c_name, case when c_acctbal > 0 then c_acctbal end as c_acctbal from customer where c_nationkey < 12"
+BASE = "select c_custkey, c_name, c_acctbal from customer where c_nationkey > 6"
+
+
+def _slices(spark, sf):
+    c = t(spark, sf, "customer")
+    base = c.where("c_nationkey > 6").select("c_custkey", "c_name", "c_acctbal")
+    over = c.where("c_nationkey < 12").select("c_custkey", F.upper("c_name").alias("c_name"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return base, over
+
+
+@query(f"with b as ({BASE}), o as ({OVER}) select coalesce(o.c_custkey, b.c_custkey) as c_custkey, case when o.c_custkey is null then b.c_name else o.c_name end as c_name, case when o.c_custkey is null then b.c_acctbal else o.c_acctbal end as c_acctbal from b full join o on b.c_custkey = o.c_custkey")
+def overlay_merge(spark, sf):
+    return catalog.overlay(*_slices(spark, sf), "c_custkey")
+
+
+@query(f"with b as ({BASE}), o as ({OVER}) select coalesce(o.c_custkey, b.c_custkey) as c_custkey, coalesce(o.c_name, b.c_name) as c_name, coalesce(o.c_acctbal, b.c_acctbal) as c_acctbal from b full join o on b.c_custkey = o.c_custkey")
+def overlay_fields(spark, sf):
+    return catalog.overlay(*_slices(spark, sf), "c_custkey", fields=True)
+
+
+@query(f"with b as ({BASE}), o as ({OVER}) select * from o union all select * from b where c_custkey not in (select c_custkey from o)")
+def upsert_by_key(spark, sf):
+    return tables.upsert(*_slices(spark, sf), ["c_custkey"])
+
+
+@query(f"with b as ({BASE}), o as ({OVER}) select o.c_custkey, coalesce(b.c_name, o.c_name) as c_name, o.c_acctbal from o left join b using (c_custkey) union all select * from b where c_custkey not in (select c_custkey from o)")
+def upsert_keeping(spark, sf):
+    return tables.upsert_keeping(*_slices(spark, sf), ["c_custkey"], ["c_name"])
+
+
+@query("with n as (select l_orderkey, l_linenumber + 100 as l_linenumber, l_partkey from lineitem where l_quantity > 49) select * from n union all select l_orderkey, l_linenumber, l_partkey from lineitem where l_orderkey not in (select l_orderkey from n)")
+def replace_children(spark, sf):
+    lines = t(spark, sf, "lineitem")
+    new = lines.where("l_quantity > 49").select("l_orderkey", (F.col("l_linenumber") + 100).alias("l_linenumber"), "l_partkey")
+    return tables.replace_children(lines.select("l_orderkey", "l_linenumber", "l_partkey"), new, "l_orderkey")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'F')")
+def visibility(spark, sf):
+    orders = t(spark, sf, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "published").otherwise("draft"))
+    return catalog.visible_children(t(spark, sf, "lineitem"), orders, "l_orderkey", "o_orderkey", False).select("l_orderkey", "l_linenumber")
+
+
+@query("select s_suppkey, s_name from supplier where lower(s_name) in (select lower('SUPPLIER' || right(s_name, length(s_name) - 8)) from supplier where s_acctbal > 0)")
+def allow_list(spark, sf):
+    s = t(spark, sf, "supplier").withColumnRenamed("s_name", "email")
+    listed = s.where("s_acctbal > 0").select(F.concat(F.lit("SUPPLIER"), F.expr("right(email, length(email) - 8)")).alias("email"))
+    return catalog.allowed(s, listed).select("s_suppkey", F.col("email").alias("s_name"))
+
+
+@query("select p_partkey, 'p' || p_partkey || '-opt-' || chr(97 + i) as id, chr(65 + i) as label, w[i + 1] as text, (i % 2 = 0) as is_correct, i + 1 as nr from (select p_partkey, string_split(p_type, ' ') as w, unnest(range(len(string_split(p_type, ' '))))::int as i from part)")
+def option_builder(spark, sf):
+    words = F.split("p_type", " ")
+    built = catalog.built_options(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), words, F.array(F.lit(0), F.lit(2), F.lit(4)))
+    return t(spark, sf, "part").select("p_partkey", F.inline(built)).withColumnRenamed("order", "nr")
+
+
+@query("select o_orderkey, o_orderdate from orders where o_orderpriority = '1-URGENT' order by o_totalprice desc, o_orderkey limit 3")
+def first_three(spark, sf):
+    return t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select("o_orderkey", "o_orderdate")
+
+
+@query("""with c as (select 'not null: o_custkey' as "constraint", (count(*) filter (where o_custkey is null)) as n from orders
+union all select 'unique: o_custkey', count(*) from (select o_custkey from orders group by o_custkey having count(*) > 1)
+union all select 'check: o_orderstatus', count(*) from orders where o_orderstatus not in ('F', 'O')
+union all select 'reference: o_custkey', count(*) from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)) select "constraint", n::bigint as n from c where n > 0""")
+def constraint_checks(spark, sf):
+    rich = t(spark, sf, "customer").where("c_acctbal > 0")
+    return tables.violations(t(spark, sf, "orders"), not_null=["o_custkey"], unique=["o_custkey"], allowed={"o_orderstatus": ["F", "O"]}, references={"o_custkey": (rich, "c_custkey")})
+
+
+# --- workflow ---
+
+_ACTIONS = "list_value('save_draft', 'mark_reviewed', 'publish', 'archive', 'save', 'seed')[(o_orderkey % 6 + 1)::int]"
+
+
+@query(f"""with q as (select o_orderkey, {_ACTIONS} as action, case o_orderstatus when 'F' then 'published' when 'O' then 'draft' else 'reviewed' end as status,
+case when o_custkey % 2 = 0 then o_orderdate end as reviewed_at, case when o_custkey % 3 = 0 then o_orderdate end as published_at from orders),
+n as (select *, timestamp '2030-01-01 00:00:00' as now from q)
+select o_orderkey, action,
+case action when 'save_draft' then 'draft' when 'mark_reviewed' then 'reviewed' when 'publish' then 'published' when 'archive' then 'archived' else status end as status,
+case when action in ('mark_reviewed', 'publish') or (action = 'save' and status in ('reviewed', 'published')) then coalesce(reviewed_at, now) else reviewed_at end as reviewed_at,
+case when action in ('save_draft', 'mark_reviewed') then null when action = 'publish' then now when action = 'save' and status = 'published' then coalesce(published_at, now) else published_at end as published_at from n""")
+def state_transition(spark, sf):
+    actions = F.array(*map(F.lit, workflow.ACTIONS))
+    q = t(spark, sf, "orders").select(
+        "o_orderkey",
+        F.get(actions, (F.col("o_orderkey") % 6).cast("int")).alias("action"),
+        F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "draft").otherwise("reviewed").alias("status"),
+        F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderdate")).alias("reviewed_at"),
+        F.when(F.col("o_custkey") % 3 == 0, F.col("o_orderdate")).alias("published_at"),
+    )
+    new = workflow.transition(F.col("status"), F.col("reviewed_at"), F.col("published_at"), F.col("action"), F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"))
+    return q.select("o_orderkey", "action", *[c.alias(n) for c, n in zip(new, ("status", "reviewed_at", "published_at"), strict=True)])
+
+
+# --- extensions, not of the reference ---
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*)::bigint as n, round(sum(value), 6) as total from events group by all")
+def event_windows(spark, sf):
+    per = t(spark, sf, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return per.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("select coalesce(l_returnflag, 'all') as flag, coalesce(l_linestatus, 'all') as status, count(*)::bigint as n, round(sum(l_quantity), 2) as quantity from lineitem group by cube (l_returnflag, l_linestatus)")
+def status_cube(spark, sf):
+    cube = t(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+    return cube.select(F.coalesce("l_returnflag", F.lit("all")).alias("flag"), F.coalesce("l_linestatus", F.lit("all")).alias("status"), "n", "quantity")
+
+
+@query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval '30 minutes' then 0 else 1 end as opens from events),
+s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as nr from g)
+select user_id, min(ts) as start, count(*)::bigint as n from s group by user_id, nr""")
+def user_sessions(spark, sf):
+    per = t(spark, sf, "events").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+@query("select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey)::int as rank, round(o_totalprice - lag(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey), 4) as change from orders")
+def order_ranks(spark, sf):
+    by_price = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    by_date = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(by_price).alias("rank"), F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(by_date), 4).alias("change"))
