@@ -22,7 +22,7 @@ def transition(status: Column, reviewed: Column, published: Column, action: Colu
 def transitioned(questions: DataFrame, action: Column, actor: Column, now: Column) -> DataFrame:
     """questions after their action; dates are set before the checks, so that publishing can succeed."""
     status, reviewed, published = transition(F.col("status"), F.col("reviewed_at"), F.col("published_at"), action, now)
-    return questions.select(*[c for c in questions.columns if c not in ("status", "reviewed_at", "published_at", "updated_by")], status.alias("status"), reviewed.alias("reviewed_at"), published.alias("published_at"), actor.alias("updated_by"), action.alias("action"))
+    return questions.select(*[c for c in questions.columns if c not in ("status", "reviewed_at", "published_at", "updated_by", "action")], status.alias("status"), reviewed.alias("reviewed_at"), published.alias("published_at"), actor.alias("updated_by"), action.alias("action"))
 
 
 def checked(questions: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ NAMES = {
 
 
 def clean(c: Column) -> Column:
-    return text.collapse(text.repair(F.coalesce(c, F.lit("")), lenient=True))
+    return text.collapse(text.repair(F.coalesce(c, F.lit(""))))
 
 
 def normalized(batches: DataFrame) -> DataFrame:

@@ -41,10 +41,11 @@ def current_status(events: DataFrame, key: str = "question_id", ts: str = "creat
         status, at, n = state.get if state.exists else ("draft", pd.Timestamp(0), 0)
         for pdf in parts:
             n += len(pdf)
+            at = pd.Timestamp(at)
             for when, what in pdf.sort_values([ts, action])[[ts, action]].itertuples(index=False):
                 if when >= at:
-                    status, at = STATUS.get(what, status), when
-        state.update((status, at.to_pydatetime(), n))
+                    status, at = STATUS.get(what, status), pd.Timestamp(when)
+        state.update((status, pd.Timestamp(at).to_pydatetime(), n))
         yield pd.DataFrame({key: [ident[0]], "status": [status], "events": [n]})
 
     return events.groupBy(key).applyInPandasWithState(step, f"{key} string, status string, events long", "status string, at timestamp, n long", "update", GroupStateTimeout.NoTimeout)
