@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sievework.llm import licenses
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_source_mix"] = r"""
@@ -42,3 +44,71 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from m group by doc_id
 """
+
+AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def words_sql(text: str, pattern: str = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), {AZ}), '{pattern}')"
+
+
+ORACLES["op1_warc_round_trip"] = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+f as (select html, min(page_id) as first from p where strlen(html) >= 100 group by html)
+select page_id, strlen(p.html)::bigint as payload_bytes, sha256(p.html) as payload_digest,
+       case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+       case when first is not null and page_id is distinct from first then first end as refers_to
+from p left join f on p.html = f.html
+"""
+
+
+def _template_rows() -> str:
+    rows = [(label, text, "true") for text, label in licenses.BASE.items()] + [(label, text, "false") for label, text in licenses.NOTICES]
+    return ", ".join(f"({i}, '{label}', '{text}', {base})" for i, (label, text, base) in enumerate(rows))
+
+
+ORACLES["op2_license_scan"] = f"""
+with t as (select tid, label, base, w, least(3, len(w)) as k from (select tid, label, base, string_split(text, ' ') as w from (values {_template_rows()}) v(tid, label, text, base))),
+g as (select tid, label, base, k, len(w) - k + 1 as n_grams, s as tpos, array_to_string(w[s + 1:s + k], ' ') as gram from (select *, unnest(range(len(w) - k + 1)) as s from t)),
+d as (select doc_id, {words_sql('text')} as w from documents),
+r as (select doc_id, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram, k from (select doc_id, w, unnest(range(len(w))) as pos from d), (values (2), (3)) ks(k)),
+v as (select doc_id, tid, label, base, n_grams, pos - tpos as diagonal, tpos from r join g on r.gram = g.gram and r.k = g.k group by all),
+by_d as (select doc_id, tid, label, base, n_grams, diagonal, count(*) as hits from v group by all),
+exact as (select doc_id, label, true as base, diagonal as first, 1.0::double as coverage from by_d where base and hits = n_grams),
+o as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= {licenses.NEIGHBOUR} then 0 else 1 end as opens from by_d where not base),
+s as (select *, sum(opens) over (partition by doc_id, tid order by diagonal rows unbounded preceding) as span from o),
+loose as (select s.doc_id, s.label, false as base, min(s.diagonal) as first, count(distinct v.tpos)::double / any_value(s.n_grams) as coverage
+          from s join v on s.doc_id = v.doc_id and s.tid = v.tid and s.diagonal = v.diagonal group by s.doc_id, s.tid, s.label, s.span),
+a as (select * from exact union all select * from loose where coverage >= {licenses.COVERAGE}),
+p as (select doc_id, count(*) filter (where base) as n_base, min(first) filter (where base) as f, max(first) filter (where base) as l,
+      string_agg(distinct label, ',' order by label) filter (where base) as bl, string_agg(distinct label, ',' order by label) as al, max(coverage) as score from a group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word,
+       coalesce(bl, '') as base_labels, coalesce(al, '') as labels, coalesce(score, 0.0)::double as score
+from d left join p on d.doc_id = p.doc_id
+"""
+
+ORACLES["op7_decontamination"] = f"""
+with i as (select item_id::varchar as item, {words_sql('text')} as w from benchmark),
+win as (select distinct item, w[s:s + 9] as phrase from (select item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) as s from i where len(w) > 0)),
+lens as (select distinct len(phrase) as n from win),
+d as (select doc_id, {words_sql('text')} as w from documents),
+g as (select doc_id, pos, n, w[pos:pos + n - 1] as phrase from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from d), lens where pos + n - 1 <= len(w)),
+h as (select g.doc_id, g.pos, g.n, win.item from g join win on g.phrase = win.phrase),
+c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as place from h) group by doc_id),
+t as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+"""
+
+ORACLES["op10_near_duplicates"] = rf"""
+with recursive d as (select doc_id, {words_sql('text', r'[^\x20\x09-\x0D]+')} as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as sh from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * shared >= 85 * (p.n + q.n - shared)),
+edges as (select x, y from e union all select y, x from e),
+reach(doc_id, comp) as (select doc_id, doc_id from n union select edges.y, reach.comp from reach join edges on edges.x = reach.doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.comp, d.doc_id) as component_id, d.doc_id = coalesce(r.comp, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join (select doc_id, min(comp) as comp from reach group by doc_id) r on r.doc_id = d.doc_id
+"""

@@ -204,4 +204,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes a record for each page, reads the archives back, and returns what they say."""
     spark = pages.sparkSession
     index = write(decided(pages), shared_dir(spark, "warc"))
-    return read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    return read_back(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
