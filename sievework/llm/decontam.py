@@ -16,6 +16,9 @@ results, once a row; null ids are kept; an empty benchmark leaves all documents
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +44,22 @@ def windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text") -
     return flat.groupBy("phrase").agg(F.collect_set("item").alias("items")).withColumn("wid", F.xxhash64(F.array_join("phrase", " ")))
 
 
+def chunks(terms: DataFrame, most: int = MOST_TERMS) -> list[DataFrame]:
+    """The terms in hash chunks of about `most`, each to be broadcast in a pass of its own: one pass, unless they are many."""
+    k = max(1, math.ceil(terms.count() / most))
+    return [F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(k)) == i)) for i in range(k)]
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """_id, _th, raw (the document's words as they stand), pos (from 0), term."""
-    flat = docs.select("_id", "_th", raw_words(F.col("_text")).alias("raw")).select("_id", "_th", "raw", F.posexplode("raw").alias("pos", "_w"))
+    """_id, _th, raw (the document's words as they stand), pos (from 0), term; a text without words is one row of nulls."""
+    flat = docs.select("_id", "_th", raw_words(F.col("_text")).alias("raw")).select("_id", "_th", "raw", F.posexplode_outer("raw").alias("pos", "_w"))
     return flat.withColumn("term", ascii_lower(F.col("_w"))).drop("_w")
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """How often each term of the vocabulary stands in the corpus; terms that never do are absent."""
-    return tokens(docs).select("term").join(sized(vocabulary, MOST_TERMS), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    parts = [tokens(docs).select("term").join(part, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")) for part in chunks(vocabulary)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -61,13 +71,20 @@ def anchors(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return possible.select("wid", F.posexplode(F.slice("by_n", 1, RAREST)).alias("rank", "a")).select("wid", "rank", "a.place", "a.term")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The stored index of the given terms: term, _id, _th, pos, first (position of the payload's first word), around."""
-    hits = tokens(docs).join(sized(terms.select("term").distinct(), MOST_TERMS), "term")
+def postings(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored index of the given terms (term, _id, _th, pos, first: position of the payload's first word, around),
+    and _id, _th, n_words for each row of docs. Both come from one pass over the texts, stored as one table."""
     first = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
     # a string, so that no lambda makes Spark copy the whole array for each hit
     around = ascii_lower(F.array_join(F.slice("raw", first + 1, F.lit(2 * WINDOW - 1)), " "))
-    return stored(hits.select("term", "_id", "_th", "pos", first.alias("first"), around.alias("around")), "postings")
+    parts = []
+    for i, part in enumerate(chunks(terms.select("term").distinct())):
+        hits = tokens(docs).join(part.withColumn("_hit", F.lit(True)), "term", "left")
+        begins = F.coalesce(F.col("pos"), F.lit(0)) == 0 if i == 0 else F.lit(False)
+        hits = hits.where(F.col("_hit") | begins)
+        parts.append(hits.select(F.when(F.col("_hit"), F.col("term")).alias("term"), "_id", "_th", "pos", first.alias("first"), F.when(F.col("_hit"), around).alias("around"), F.when(begins, F.size("raw").cast("long")).alias("n_words")))
+    table = stored(functools.reduce(DataFrame.unionByName, parts), "postings")
+    return table.where("term is not null").drop("n_words"), table.where("n_words is not null").select("_id", "_th", "n_words")
 
 
 def starts(index: DataFrame, picks: DataFrame, rank: int) -> DataFrame:
@@ -104,8 +121,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     keyed = row_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     wins = stored(windows(bench), "windows")
     vocabulary = wins.select(F.explode("phrase").alias("term")).distinct()
-    picks = stored(anchors(wins, term_counts(keyed, vocabulary)), "anchors")
-    index = postings(keyed, picks)
+    counts = stored(term_counts(keyed, vocabulary), "term-counts")
+    picks = stored(anchors(wins, counts), "anchors")
+    index, counted = postings(keyed, picks)
     found = phrase_matches(index, picks, wins)
     named = found.join(sized(wins.select("wid", "items"), MOST_TERMS), "wid")
     per = (
@@ -116,7 +134,6 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         )
         .withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
     )
-    counted = keyed.select("_id", "_th", F.regexp_count(whole(F.col("_text")), F.lit(RAW_WORD)).cast("long").alias("n_words"))
     items = F.coalesce(F.col("_items"), F.expr("cast(array() as array<string>)"))
     return counted.join(per, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left").select(
         F.col("_id").alias(id_col),

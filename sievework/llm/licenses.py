@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import ascii_lower, row_key, whole, words
+from sievework.llm.common import row_key, stored, words
 
 COVERAGE = 0.6
 #: Diagonals at most that far apart are neighbours.
@@ -65,8 +65,9 @@ def short_firsts() -> list[str]:
     return sorted({t.split()[0] for t in [*BASE, *(t for _, t in NOTICES)] if len(t.split()) == 2})
 
 
-def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """_id, _th, tid, label, base, n_grams, diagonal, hits (places of the template that voted)."""
+def hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The stored hits of one pass over the texts: _id, _th, pos, at (template places), n_words. The first word of each
+    row of docs has a row (a text without words has one of null pos), with n_words; other words only if they hit."""
     grams = template_grams(docs.sparkSession)
     threes = F.broadcast(grams.where("h3 is not null").select("h3", F.col("gram").alias("gram3"), F.col("at").alias("at3")))
     twos = F.broadcast(grams.where("h2 is not null").select("h2", F.col("gram").alias("gram2"), F.col("at").alias("at2")))
@@ -75,22 +76,28 @@ def votes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rolling = F.expr(f"transform(w, (x, i) -> struct(xxhash64(x, get(w, i + 1), get(w, i + 2)) as h3, if(x in ({firsts}), xxhash64(x, get(w, i + 1)), null) as h2))")
     places = (
         keyed.select("_id", "_th", words(F.col("_text")).alias("w"))
-        .select("_id", "_th", "w", F.posexplode(rolling).alias("pos", "h"))
+        .select("_id", "_th", "w", F.posexplode_outer(rolling).alias("pos", "h"))
         .select("_id", "_th", "w", "pos", "h.h3", "h.h2")
     )
-    hit = places.join(threes, "h3", "left").join(twos, "h2", "left").where("gram3 is not null or gram2 is not null")
-    none = "array()"
-    same = "array_join(slice(w, pos + 1, {k}), ' ') = gram{k}"
-    found = hit.selectExpr("_id", "_th", "pos", f"inline(concat(if({same.format(k=3)}, at3, {none}), if({same.format(k=2)}, at2, {none})))")
+    begins = "coalesce(pos, 0) = 0"
+    found = places.join(threes, "h3", "left").join(twos, "h2", "left").where(f"gram3 is not null or gram2 is not null or {begins}")
+    same = "coalesce(array_join(slice(w, pos + 1, {k}), ' ') = gram{k}, false)"
+    at = f"concat(if({same.format(k=3)}, at3, array()), if({same.format(k=2)}, at2, array())) as at"
+    return stored(found.selectExpr("_id", "_th", "pos", at, f"if({begins}, cast(size(w) as long), null) as n_words"), "license-hits")
+
+
+def votes(found: DataFrame) -> DataFrame:
+    """_id, _th, tid, label, base, n_grams, diagonal, hits (places of the template that voted)."""
+    flat = found.select("_id", "_th", "pos", F.inline("at"))
     return (
-        found.groupBy("_id", "_th", "tid", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        flat.groupBy("_id", "_th", "tid", "label", "base", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .agg(F.collect_set("tpos").alias("hits"))
     )
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified spans: _id, _th, label, base, first (its first word's place), coverage."""
-    by_diagonal = votes(docs, id_col, text_col)
+def spans(found: DataFrame) -> DataFrame:
+    """Verified spans of stored hits: _id, _th, label, base, first (its first word's place), coverage."""
+    by_diagonal = votes(found)
     exact = by_diagonal.where("base and size(hits) = n_grams").select("_id", "_th", "label", "base", F.col("diagonal").alias("first"), F.lit(1.0).alias("coverage"))
     along = Window.partitionBy("_id", "_th", "tid").orderBy("diagonal")
     opens = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > NEIGHBOUR, F.lit(True))
@@ -109,7 +116,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: the id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = spans(docs, id_col, text_col)
+    stored_hits = hits(docs, id_col, text_col)
+    found = spans(stored_hits)
     place = F.when(F.col("base"), F.col("first"))
     per = found.groupBy("_id", "_th").agg(
         F.count(place).alias("n_base"),
@@ -119,8 +127,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("coverage").alias("score"),
     ).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
-    rows = row_key(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    counted = rows.select("_id", "_th", F.regexp_count(whole(F.col("_text")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
+    counted = stored_hits.where("n_words is not null").select("_id", "_th", "n_words")
     return counted.join(per, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_th") == F.col("_fth")), "left").select(
         F.col("_id").alias(id_col),
         "n_words",

@@ -19,6 +19,7 @@ component); rows without a doc_id take no part, have a null component and are ke
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,9 +38,12 @@ PERCENT = 85
 ROWS, BANDS = 6, 30
 VALUES = ROWS * BANDS
 BATCH = 30
-MISS = 1e-7
+#: Chance at which a pair at the threshold may be pruned; pairs above it are pruned far more seldom.
+MISS = 1e-4
 HUBS = 3
 BLOCK = 512
+#: Rows of the block comparison that share a call, about.
+SLOT = 4096
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 _rng = np.random.default_rng(20240229)
@@ -120,13 +124,13 @@ def fewest_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> list
 FEWEST = fewest_matches()
 
 
-def survives(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of two aligned signature matrices that no batch prunes."""
-    alive = np.arange(len(a))
-    equal = np.zeros(len(a), np.int64)
+def survives(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the pairs (row left[i], row right[i] of a signature matrix) no batch prunes."""
+    alive = np.arange(len(left))
+    equal = np.zeros(len(left), np.int64)
     done = 0
     for n, m in FEWEST:
-        equal[alive] += (a[alive, done:n] == b[alive, done:n]).sum(axis=1)
+        equal[alive] += (sig[left[alive], done:n] == sig[right[alive], done:n]).sum(axis=1)
         alive = alive[equal[alive] >= m]
         done = n
         if not len(alive):
@@ -161,19 +165,27 @@ def signed(docs: DataFrame) -> DataFrame:
     return lowered.mapInPandas(_signatures, "_id long, _th long, n long, k1 long, k2 long, sig binary, keys array<long>")
 
 
+def _matrix(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), VALUES)
+
+
 @F.pandas_udf(T.BooleanType())
 def _survive(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), bool)
-    if len(a):
-        left = np.frombuffer(b"".join(a), np.uint32).reshape(len(a), VALUES)
-        right = np.frombuffer(b"".join(b), np.uint32).reshape(len(b), VALUES)
-        out[survives(left, right)] = True
+    out, n = np.zeros(len(a), bool), len(a)
+    if n:
+        out[survives(_matrix(pd.concat([a, b])), np.arange(n), np.arange(n, 2 * n))] = True
     return pd.Series(out)
 
 
+@functools.lru_cache(maxsize=64)
+def _recent(text: str) -> np.ndarray:
+    return shingles(text)
+
+
 @F.pandas_udf(T.BooleanType())
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([linked(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+    """Pairs come sorted by one side, so that side's set is mostly at hand."""
+    return pd.Series([linked(_recent(x), _recent(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,31 +222,65 @@ def joined_up(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(comps.join(moved, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
 
 
-def _matrix(pdf: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), VALUES)
+def _across(part: np.ndarray, kind: int, i: int, j: int, blk: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to compare of one bucket in one meeting: core with others, or block i with block j."""
+    if kind == 0:
+        left, right = part[core[part]], part[~core[part]]
+    elif i != j:
+        left, right = part[blk[part] == i], part[blk[part] == j]
+    else:
+        a, b = np.triu_indices(len(part), 1)
+        return part[a], part[b]
+    return np.repeat(left, len(right)), np.tile(right, len(left))
+
+
+#: Pairs compared at once.
+PAIRS = 1 << 14
 
 
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Surviving pairs of different components between two blocks of a bucket."""
-    across = pdf["kind"].iloc[0] == 0
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left = pdf[pdf["core"]] if across else pdf[pdf["blk"] == i]
-    right = pdf[~pdf["core"]] if across else pdf[pdf["blk"] == j]
-    mine, theirs = _matrix(left), _matrix(right)
-    ids, comps = right["node"].to_numpy(), right["comp"].to_numpy()
-    out = []
-    for row, (node, comp) in enumerate(zip(left["node"], left["comp"], strict=True)):
-        other = np.flatnonzero((comps != comp) & ((ids > node) | across | (i != j)))
-        if len(other):
-            alive = other[survives(np.broadcast_to(mine[row], (len(other), VALUES)), theirs[other])]
-            out += [(min(node, x), max(node, x)) for x in ids[alive]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    """Surviving pairs of different components, of the meetings of many buckets."""
+    pdf = pdf.sort_values(["key", "kind", "i", "j"], ignore_index=True)
+    sig, node, comp = _matrix(pdf["sig"]), pdf["node"].to_numpy(), pdf["comp"].to_numpy()
+    blk, core = pdf["blk"].to_numpy(), pdf["core"].to_numpy()
+    where = pdf[["key", "kind", "i", "j"]].to_numpy()
+    cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
+    band = pdf["band"].to_numpy()
+    found, lefts, rights, waiting = [], [], [], 0
+
+    def compare() -> None:
+        if lefts:
+            left, right = np.concatenate(lefts), np.concatenate(rights)
+            for x in range(0, len(left), PAIRS):
+                l, r = left[x : x + PAIRS], right[x : x + PAIRS]  # noqa: E741
+                alive = survives(sig, l, r)
+                l, r = l[alive], r[alive]  # noqa: E741
+                agree = (sig[l] == sig[r]).reshape(-1, BANDS, ROWS).all(axis=2)
+                first = agree.any(axis=1) & (agree.argmax(axis=1) == band[l])  # each pair is told by its first common band
+                a, b = node[l[first]], node[r[first]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+            lefts.clear()
+            rights.clear()
+
+    for part in np.split(np.arange(len(pdf)), cuts):
+        _, kind, i, j = where[part[0]]
+        left, right = _across(part, kind, i, j, blk, core)
+        apart = comp[left] != comp[right]
+        lefts.append(left[apart])
+        rights.append(right[apart])
+        waiting += len(lefts[-1])
+        if waiting >= PAIRS:
+            compare()
+            waiting = 0
+    compare()
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def spanning_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, node, comp, core (in the bucket's largest component), cores and outs (blocks of either kind), of the
+    """key, band, node, comp, core (in the bucket's largest component), cores and outs (blocks of either kind), of the
     buckets that hold more than one component."""
-    labelled = buckets.select("key", "node").join(comps, "node")
+    labelled = buckets.select("key", "band", "node").join(comps, "node")
     sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     per = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).where("k > 1")
     per = per.select("key", F.col("top.comp").alias("_core"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("cores"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("outs"))
@@ -253,8 +299,11 @@ def rest_pairs(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
     own = F.col("blk")
     of_core = meets(0, "outs", lambda x: own, lambda x: x)
     of_rest = F.concat(meets(0, "cores", lambda x: x, lambda x: own), meets(1, "outs", lambda x: F.least(x, own), lambda x: F.greatest(x, own)))
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("core"), of_core).otherwise(of_rest))).select("key", "node", "comp", "sig", "blk", "core", "to.*")
-    return dealt.groupBy("key", "kind", "i", "j").applyInPandas(_blocks, "a long, b long").distinct()
+    dealt = placed.withColumn("to", F.explode(F.when(F.col("core"), of_core).otherwise(of_rest))).select("key", "band", "node", "comp", "sig", "blk", "core", "to.*")
+    # many small meetings share a call; one large meeting has at most 2 x BLOCK rows
+    slots = max(1, -(-dealt.select("key").count() // SLOT))
+    slot = F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(slots)).alias("slot")
+    return dealt.groupBy(slot).applyInPandas(_blocks, "a long, b long").distinct()
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +318,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # a doc_id that leads several classes has several signatures; each stands in the buckets under that id
     sigs = stored(table.join(heads, of_head, "left_semi").dropDuplicates(["_id", "_th"]).select(F.col("_id").alias("node"), "_th", "sig", "keys"), "class-signatures")
 
-    flat = sigs.select("node", F.explode("keys").alias("key"))
+    flat = sigs.select("node", F.posexplode("keys").alias("band", "key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     buckets = flat.join(shared, "key")
     hubs = [F.min("node").alias("hub0"), *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"hub{r}") for r in range(1, HUBS)]]
@@ -281,15 +330,25 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = stored(rows.join(picked, of_head, "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("node"), ascii_lower(whole(F.col("_text"))).alias("text")), "texts")
 
     comps = stored(grouped.withColumn("comp", F.col("node")), "components")
+    tried: list[DataFrame] = []
+
+    def new_links(pairs: DataFrame, name: str) -> DataFrame:
+        """The links among pairs (a, b) that were not checked before."""
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for known in tried:
+            ordered = ordered.join(known, ["a", "b"], "left_anti")
+        tried.append(stored(ordered, "pairs"))
+        return stored(verified(tried[-1], texts), name)
+
     for r in range(HUBS):
         pairs = buckets.join(hubs.select("key", F.col(f"hub{r}").alias("hub")), "key").where("node <> hub").select("node", "hub").distinct()
         here = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
         apart = pairs.join(comps, "node").join(here, F.col("hub") == F.col("_n")).where("comp <> _c").select("node", "hub")
         both = apart.join(sig_of.select("node", "sig"), "node").join(sig_of.select(F.col("node").alias("hub"), F.col("sig").alias("sig2")), "hub")
         alive = both.where(_survive("sig", "sig2")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        comps = joined_up(comps, stored(verified(alive, texts), "hub-links"))
-    rest = stored(rest_pairs(spanning_buckets(buckets, comps), sig_of.select("node", "sig")), "rest")
-    comps = joined_up(comps, stored(verified(rest, texts), "rest-links"))
+        comps = joined_up(comps, new_links(alive, "hub-links"))
+    rest = rest_pairs(stored(spanning_buckets(buckets, comps), "spanning"), sig_of.select("node", "sig"))
+    comps = joined_up(comps, new_links(rest, "rest-links"))
 
     # rows of one doc_id are one document: its classes belong together
     own = members.join(comps, "node", "left").select("_id", F.coalesce("comp", "node").alias("comp"))

@@ -40,9 +40,9 @@ def held_out(id_col: str) -> Column:
 
 
 class _Hashes(dict):
-    """Token -> (hash of the word, hash of its shape); forgets all when it grows large."""
+    """Token -> hash of the word, and below it that of its shape, 32 bits each; forgets all when it grows large."""
 
-    def __missing__(self, token: str) -> tuple[int, int]:
+    def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
             self.clear()
         low = token.lower()
@@ -50,7 +50,7 @@ class _Hashes(dict):
             shape = "d" if token.isdigit() else "U" if len(token) > 1 and token.isupper() else "T" if token[0].isupper() else "l" if token.isalpha() else "m"
         else:
             shape = token[:3]
-        out = self[token] = (zlib.crc32(low.encode()), zlib.crc32(shape.encode(), 77))
+        out = self[token] = zlib.crc32(low.encode("utf-8", "surrogatepass")) << 32 | zlib.crc32(shape.encode("utf-8", "surrogatepass"), 77)
         return out
 
 
@@ -63,8 +63,8 @@ def featurize(text: str) -> tuple[np.ndarray, np.ndarray]:
     tokens = _TOKENS.findall(text)
     if not tokens:
         return np.empty(0, np.int64), np.empty(0)
-    both = np.array([_hashes[t] for t in tokens], dtype=np.uint64)
-    word, shape = both[:, 0], both[:, 1]
+    both = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     repeated = np.zeros(len(word), bool)
     repeated[1:] = word[1:] == word[:-1]
     shape = np.where(repeated, np.uint64(_AGAIN), shape)
@@ -72,9 +72,8 @@ def featurize(text: str) -> tuple[np.ndarray, np.ndarray]:
     shapes2 = shape[1:] * m + shape[:-1]
     grams = [word, word[1:] * m + word[:-1] + np.uint64(1), shape + np.uint64(2), shapes2 + np.uint64(3), shapes2[1:] * m + shape[:-2] + np.uint64(4)]
     mixed = np.concatenate(grams) * m
-    counts = np.bincount((mixed >> np.uint64(64 - BITS)).astype(np.int64), minlength=0)
-    places = np.flatnonzero(counts)
-    values = np.log1p(counts[places])
+    places, counts = np.unique((mixed >> np.uint64(64 - BITS)).astype(np.int32), return_counts=True)
+    values = np.log1p(counts)
     return places, values / np.sqrt((values * values).sum())
 
 

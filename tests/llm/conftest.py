@@ -15,6 +15,7 @@ def edge_texts() -> list[tuple]:
         (9010, "Mail a@b.example.com_c@d.example.org at 10.0.0.1 or 300.1.1.1, card 4111 1111 1111 1111, call +1 (555) 555-0199."),
         (9011, "\U0001f600 4111-1111-1111-1111 +49 30 1234567 99.99.99.999 user@host +1 2 "),
         (9012, "General  public\nLICENSE; all rights reserved all rights reserved cc by"),
+        (9015, "cc by " * 15000),
         (9013, "a\r\nb\n\n" + LINE), (9014, "password = \"abc123def456ghi\""),
     ]
     rows += [(9100 + i, f"{'  ' if i % 2 else ''}{LINE.upper() if i % 3 else LINE}\t\nown line {i}\n{LINE}") for i in range(7)]

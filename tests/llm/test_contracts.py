@@ -214,7 +214,7 @@ def test_proximity(spark):
     wins = decontam.windows(bench)
     vocabulary = wins.select(F.explode("phrase").alias("term")).distinct()
     picks = decontam.anchors(wins, decontam.term_counts(keyed, vocabulary))
-    index = decontam.postings(keyed, picks)
+    index, _ = decontam.postings(keyed, picks)
     assert {r["_id"] for r in decontam.proximity_matches(index, picks, 1).collect()} >= {1, 2}
     assert {r["_id"] for r in decontam.phrase_matches(index, picks, wins).collect()} == {1}
 
@@ -345,11 +345,11 @@ def test_blocks_find_all_pairs_across_components(spark, monkeypatch):
     one = rng.integers(0, 2**32, near_dup.VALUES, dtype=np.uint32)
     sig = {i: one.copy() for i in range(30)}
     for i in range(20, 30):
-        sig[i][: i - 19] = i
+        sig[i][2 * near_dup.ROWS : 2 * near_dup.ROWS + 3 * (i - 19)] = i
     sigs = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sig.items()], "node long, sig binary")
-    buckets = spark.createDataFrame([(7, i) for i in range(30)], "key long, node long")
+    buckets = spark.createDataFrame([(7 + b, b, i) for i in range(30) for b in (0, 1)], "key long, band int, node long")
     comp = {i: 0 if i < 20 else i // 2 for i in range(30)}
     comps = spark.createDataFrame(list(comp.items()), "node long, comp long")
     got = {(r["a"], r["b"]) for r in near_dup.rest_pairs(near_dup.spanning_buckets(buckets, comps), sigs).collect()}
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if comp[a] != comp[b] and len(near_dup.survives(sig[a][None], sig[b][None]))}
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if comp[a] != comp[b] and len(near_dup.survives(np.stack([sig[a], sig[b]]), np.array([0]), np.array([1])))}
     assert got == want
