@@ -7,8 +7,8 @@
    below MISS; survivors are checked on the full sets.
 3. Buckets are never expanded into all pairs. In each of HUBS rounds every member of a bucket is compared with one
    hub of it; links join components, and only members outside their hub's component are compared. What then still
-   spans several components of a bucket is compared block by block inside tasks, with both signatures at hand, so
-   that no link between components is lost; only survivors become rows.
+   spans several components of a bucket is compared block by block inside tasks, with signatures and sets at hand, so
+   that no link between components is lost; only links become rows, and only as many as join components.
 
 A pair at the threshold shares no band with chance (1 - 0.85^ROWS)^BANDS, below 1e-6.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,9 +41,10 @@ BATCH = 30
 #: Chance at which a pair at the threshold may be pruned; pairs above it are pruned far more seldom.
 MISS = 1e-4
 HUBS = 3
-BLOCK = 512
-#: Rows of the block comparison that share a call, about.
-SLOT = 4096
+#: Members of a block, and hashes of their sets, about.
+BLOCK, BLOCK_HASHES = 512, 1 << 20
+#: Rows of the block comparison that share a call, about, and bytes of their sets.
+SLOT, SLOT_BYTES = 4096, 8 << 20
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 _rng = np.random.default_rng(20240229)
@@ -188,6 +189,12 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([linked(_recent(x), _recent(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
+@F.pandas_udf(T.BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """The sorted shingle hashes of each text as bytes."""
+    return texts.map(lambda x: shingles(x).tobytes())
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links by their full sets; texts has node, text."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
@@ -238,58 +245,127 @@ def _across(part: np.ndarray, kind: int, i: int, j: int, blk: np.ndarray, core:
 PAIRS = 1 << 14
 
 
+class _Sets:
+    """The shingle sets of a call's rows, as places in one vocabulary, so that one set is checked against many at once."""
+
+    def __init__(self, packed: pd.Series):
+        sets = [np.frombuffer(x, np.uint64) for x in packed]
+        self.sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.ends = np.cumsum(self.sizes)
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.ids = ids.astype(np.int32)
+        self.mark = np.zeros(len(words), bool)
+
+    def of(self, row: int) -> np.ndarray:
+        return self.ids[self.ends[row] - self.sizes[row] : self.ends[row]]
+
+    def linked(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Which of the other rows are links of the row: the exact check."""
+        own, n = self.of(row), self.sizes[others]
+        self.mark[own] = True
+        held = self.mark[np.concatenate([self.of(x) for x in others])]
+        self.mark[own] = False
+        both = np.add.reduceat(held, np.cumsum(n) - n, dtype=np.int64)
+        return 100 * both >= PERCENT * (len(own) + n - both)
+
+
+class _Joined(dict):
+    """Component -> the component that it has joined in this call."""
+
+    def root(self, x: int) -> int:
+        while x in self:
+            x = self[x]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Surviving pairs of different components, of the meetings of many buckets."""
+    """Links between components, of the meetings of many buckets. A link between components that other links of this
+    call have joined already is left out, as it joins nothing; so there are fewer links than components."""
     pdf = pdf.sort_values(["key", "kind", "i", "j"], ignore_index=True)
-    sig, node, comp = _matrix(pdf["sig"]), pdf["node"].to_numpy(), pdf["comp"].to_numpy()
+    sig, node, comp = _matrix(pdf["sig"]), pdf["node"].to_numpy(), pdf["comp"].to_numpy().copy()
     blk, core = pdf["blk"].to_numpy(), pdf["core"].to_numpy()
     where = pdf[["key", "kind", "i", "j"]].to_numpy()
     cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
     band = pdf["band"].to_numpy()
-    found, lefts, rights, waiting = [], [], [], 0
-
-    def compare() -> None:
-        if lefts:
-            left, right = np.concatenate(lefts), np.concatenate(rights)
-            for x in range(0, len(left), PAIRS):
-                l, r = left[x : x + PAIRS], right[x : x + PAIRS]  # noqa: E741
-                alive = survives(sig, l, r)
-                l, r = l[alive], r[alive]  # noqa: E741
-                agree = (sig[l] == sig[r]).reshape(-1, BANDS, ROWS).all(axis=2)
-                first = agree.any(axis=1) & (agree.argmax(axis=1) == band[l])  # each pair is told by its first common band
-                a, b = node[l[first]], node[r[first]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            lefts.clear()
-            rights.clear()
+    sets, joined = _Sets(pdf["set"]), _Joined()
+    found: list[tuple[int, int]] = []
+    lefts, rights, waiting = [], [], 0
+
+    def compare(l: np.ndarray, r: np.ndarray) -> None:  # noqa: E741
+        apart = comp[l] != comp[r]
+        l, r = l[apart], r[apart]  # noqa: E741
+        n, m = sets.sizes[l], sets.sizes[r]
+        near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        l, r = l[near], r[near]  # noqa: E741
+        alive = survives(sig, l, r)
+        l, r = l[alive], r[alive]  # noqa: E741
+        agree = (sig[l] == sig[r]).reshape(-1, BANDS, ROWS).all(axis=2)
+        first = agree.any(axis=1) & (agree.argmax(axis=1) == band[l])  # each pair is told by its first common band
+        l, r = l[first], r[first]  # noqa: E741
+        order = np.argsort(l, kind="stable")
+        l, r = l[order], r[order]  # noqa: E741
+        before = len(found)
+        for own in np.split(np.arange(len(l)), np.flatnonzero(l[1:] != l[:-1]) + 1) if len(l) else ():
+            row, others = l[own[0]], r[own]
+            for x in others[sets.linked(row, others)]:
+                if joined.unite(int(comp[row]), int(comp[x])):
+                    found.append((min(node[row], node[x]), max(node[row], node[x])))
+        if len(found) > before:
+            names, at = np.unique(comp, return_inverse=True)
+            comp[:] = np.array([joined.root(int(x)) for x in names])[at]
+
+    def compare_all() -> None:
+        left, right = np.concatenate(lefts), np.concatenate(rights)
+        for x in range(0, len(left), PAIRS):
+            compare(left[x : x + PAIRS], right[x : x + PAIRS])
+        lefts.clear()
+        rights.clear()
 
     for part in np.split(np.arange(len(pdf)), cuts):
         _, kind, i, j = where[part[0]]
         left, right = _across(part, kind, i, j, blk, core)
-        apart = comp[left] != comp[right]
-        lefts.append(left[apart])
-        rights.append(right[apart])
-        waiting += len(lefts[-1])
+        lefts.append(left)
+        rights.append(right)
+        waiting += len(left)
         if waiting >= PAIRS:
-            compare()
+            compare_all()
             waiting = 0
-    compare()
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pd.DataFrame(pairs, columns=["a", "b"])
+    if lefts:
+        compare_all()
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def spanning_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """key, band, node, comp, core (in the bucket's largest component), cores and outs (blocks of either kind), of the
-    buckets that hold more than one component."""
-    labelled = buckets.select("key", "band", "node").join(comps, "node")
-    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    per = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all")).where("k > 1")
-    per = per.select("key", F.col("top.comp").alias("_core"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("cores"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("outs"))
+    buckets that hold more than one component. Of buckets with the same members the one of the least band stands for all."""
+    labelled = buckets.select("key", "band", "node", "n").join(comps, "node")
+    sizes = labelled.groupBy("key", "band", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("x2"))
+    per = (
+        sizes.groupBy("key", "band")
+        .agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("m", "comp", "h")).alias("top"), F.sum("m").alias("all"), F.sum("h").alias("hashes"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+        .where("k > 1")
+    )
+    per = per.groupBy("all", "x1", "x2").agg(F.min(F.struct("band", "key", "top", "hashes")).alias("one")).select("all", "one.*")
+
+    def blocks(members: Column, hashes: Column) -> Column:
+        return F.ceil(F.greatest(members / BLOCK, hashes / BLOCK_HASHES)).cast("int")
+
+    top = F.col("top")
+    per = per.select("key", top["comp"].alias("_core"), blocks(top["m"], top["h"]).alias("cores"), blocks(F.col("all") - top["m"], F.col("hashes") - top["h"]).alias("outs"))
     return labelled.join(per, "key").withColumn("core", F.col("comp") == F.col("_core")).drop("_core")
 
 
-def rest_pairs(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Surviving pairs across components of the spanning buckets. Members are dealt into blocks of about BLOCK; blocks
-    of the largest component meet blocks of the other members, and these meet each other."""
+def rest_links(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Links across components of the spanning buckets, enough of them to join what is linked. Members are dealt into
+    blocks of about BLOCK; blocks of the largest component meet blocks of the other members, and these meet each other.
+    A call has the signatures and sets of its rows at hand, so pairs that are no links never become rows.
+    sigs: node, sig, set (the packed sorted shingle hashes)."""
     blk = F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("core"), F.col("cores")).otherwise(F.col("outs"))).cast("int")
     placed = spanning.withColumn("blk", blk).join(sigs, "node")
 
@@ -299,9 +375,11 @@ def rest_pairs(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
     own = F.col("blk")
     of_core = meets(0, "outs", lambda x: own, lambda x: x)
     of_rest = F.concat(meets(0, "cores", lambda x: x, lambda x: own), meets(1, "outs", lambda x: F.least(x, own), lambda x: F.greatest(x, own)))
-    dealt = placed.withColumn("to", F.explode(F.when(F.col("core"), of_core).otherwise(of_rest))).select("key", "band", "node", "comp", "sig", "blk", "core", "to.*")
-    # many small meetings share a call; one large meeting has at most 2 x BLOCK rows
-    slots = max(1, -(-dealt.select("key").count() // SLOT))
+    dealt = placed.withColumn("to", F.explode(F.when(F.col("core"), of_core).otherwise(of_rest))).select("key", "band", "node", "comp", "sig", "set", "blk", "core", "to.*")
+    # many small meetings share a call; one large meeting has about 2 x BLOCK rows
+    load = placed.select(F.when(F.col("core"), F.col("outs")).otherwise(F.col("cores") + F.col("outs")).alias("times"), F.octet_length("set").alias("bytes"))
+    total = load.agg(F.sum("times").alias("rows"), F.sum(F.col("times") * F.col("bytes")).alias("bytes")).first()
+    slots = max(1, -(-(total["rows"] or 0) // SLOT), -(-(total["bytes"] or 0) // SLOT_BYTES))
     slot = F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(slots)).alias("slot")
     return dealt.groupBy(slot).applyInPandas(_blocks, "a long, b long").distinct()
 
@@ -316,9 +394,9 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heads = members.where("_id = node and _th = node_th").select(F.col("node").alias("_n"), F.col("_th").alias("_t"))
     of_head = (F.col("_id") == F.col("_n")) & (F.col("_th") == F.col("_t"))
     # a doc_id that leads several classes has several signatures; each stands in the buckets under that id
-    sigs = stored(table.join(heads, of_head, "left_semi").dropDuplicates(["_id", "_th"]).select(F.col("_id").alias("node"), "_th", "sig", "keys"), "class-signatures")
+    sigs = stored(table.join(heads, of_head, "left_semi").dropDuplicates(["_id", "_th"]).select(F.col("_id").alias("node"), "_th", "n", "sig", "keys"), "class-signatures")
 
-    flat = sigs.select("node", F.posexplode("keys").alias("band", "key"))
+    flat = sigs.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     buckets = flat.join(shared, "key")
     hubs = [F.min("node").alias("hub0"), *[F.min_by("node", F.xxhash64("node", F.lit(r))).alias(f"hub{r}") for r in range(1, HUBS)]]
@@ -347,8 +425,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         both = apart.join(sig_of.select("node", "sig"), "node").join(sig_of.select(F.col("node").alias("hub"), F.col("sig").alias("sig2")), "hub")
         alive = both.where(_survive("sig", "sig2")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         comps = joined_up(comps, new_links(alive, "hub-links"))
-    rest = rest_pairs(stored(spanning_buckets(buckets, comps), "spanning"), sig_of.select("node", "sig"))
-    comps = joined_up(comps, new_links(rest, "rest-links"))
+    spanning = stored(spanning_buckets(buckets, comps), "spanning")
+    wanted = texts.join(spanning.select("node").distinct(), "node", "left_semi").select("node", _packed("text").alias("set"))
+    with_sets = stored(sig_of.select("node", "sig").join(wanted, "node"), "spanning-sets")
+    comps = joined_up(comps, stored(rest_links(spanning, with_sets), "rest-links"))
 
     # rows of one doc_id are one document: its classes belong together
     own = members.join(comps, "node", "left").select("_id", F.coalesce("comp", "node").alias("comp"))

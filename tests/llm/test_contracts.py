@@ -337,19 +337,43 @@ def test_near_duplicates_in_large_groups(spark):
     assert rows(near_dup.cluster(df), "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts)
 
 
-def test_blocks_find_all_pairs_across_components(spark, monkeypatch):
+def test_blocks_join_all_that_is_linked_across_components(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(near_dup, "BLOCK", 4)
-    rng = np.random.default_rng(5)
-    one = rng.integers(0, 2**32, near_dup.VALUES, dtype=np.uint32)
-    sig = {i: one.copy() for i in range(30)}
-    for i in range(20, 30):
-        sig[i][2 * near_dup.ROWS : 2 * near_dup.ROWS + 3 * (i - 19)] = i
-    sigs = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sig.items()], "node long, sig binary")
-    buckets = spark.createDataFrame([(7 + b, b, i) for i in range(30) for b in (0, 1)], "key long, band int, node long")
-    comp = {i: 0 if i < 20 else i // 2 for i in range(30)}
+    texts = {i: " ".join(f"w{j}" for j in range(200)) if i < 20 else " ".join(f"w{j}" for j in range(3 * (i - 19), 200)) for i in range(30)}
+    texts |= {30 + i: " ".join(f"v{j}" for j in range(100 + i)) for i in range(4)}
+    sets = {i: near_dup.shingles(t) for i, t in texts.items()}
+    sig = {i: near_dup.minhash(s) for i, s in sets.items()}
+    for s in sig.values():
+        s[: near_dup.ROWS] = 1  # all share the bucket of band 0, and the same members that of band 1
+    sigs = spark.createDataFrame([(i, bytearray(sig[i].tobytes()), bytearray(sets[i].tobytes())) for i in sets], "node long, sig binary, set binary")
+    buckets = spark.createDataFrame([(7 + b, b, i, len(sets[i])) for i in sets for b in (0, 1)], "key long, band int, node long, n long")
+    comp = {i: 0 if i < 20 else i // 2 for i in sets}
     comps = spark.createDataFrame(list(comp.items()), "node long, comp long")
-    got = {(r["a"], r["b"]) for r in near_dup.rest_pairs(near_dup.spanning_buckets(buckets, comps), sigs).collect()}
-    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if comp[a] != comp[b] and len(near_dup.survives(np.stack([sig[a], sig[b]]), np.array([0]), np.array([1])))}
-    assert got == want
+    spanning = near_dup.spanning_buckets(buckets, comps)
+    assert {r["band"] for r in spanning.select("band").distinct().collect()} == {0}
+    got = {(r["a"], r["b"]) for r in near_dup.rest_links(spanning, sigs).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and near_dup.linked(sets[a], sets[b])}
+    assert got <= want
+
+    def joined(links):
+        label = dict(comp)
+        for a, b in links:
+            low, high = sorted((label[a], label[b]))
+            label = {n: low if x == high else x for n, x in label.items()}
+        return label
+
+    assert joined(got) == joined(want) and len(set(joined(got).values())) < len(set(comp.values()))
+
+
+def test_sets_check_one_against_many():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, n, dtype=np.uint64)) for n in (30, 80, 80, 90, 5, 1, 120)]
+    packed = near_dup._Sets(pd.Series([x.tobytes() for x in sets]))
+    others = np.array([6, 3, 1, 2, 5])
+    assert list(packed.linked(0, others)) == [near_dup.linked(sets[0], sets[x]) for x in others]
+    assert list(packed.linked(6, others)) == [near_dup.linked(sets[6], sets[x]) for x in others]
