@@ -32,6 +32,8 @@ MIN_DEDUP = 100
 #: Records are gathered into a frame up to so many bytes, frames into a bundle up to so many.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 256 << 20
 LEVEL = 3
+#: Frames that a task reads back, about.
+FRAMES_A_TASK = 16
 #: Fixed values of the seekable format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -164,7 +166,9 @@ def write(records: DataFrame, folder: str) -> DataFrame:
 def read_back(index: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of an index. Each frame is one row of work: found by its bundle's seek table, unpacked once, and
     its records are cut out by their places. A payload that doesn't have its digest is an error."""
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("place", "length")).alias("records"))
+    # the index is small beside the frames it names, so its bytes must not decide in how many tasks they are read
+    tasks = max(1, index.where("place = 0").count() // FRAMES_A_TASK)
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list(F.struct("place", "length")).alias("records"))
     names = [x.split()[0] for x in PAYLOADS.split(", ")]
 
     def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
