@@ -27,8 +27,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least doc_id."""
-    return _kept(docs, near_dup.cluster(docs).where("kept"))
+    """One document of each group of near-duplicates (5-word similarity of 0.8 or more) stays, the one with the least doc_id."""
+    return _kept(docs, near_dup.cluster(docs, percent=80).where("kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 1. Each text becomes its set of distinct 5-word shingles (64-bit hashes); equal sets are one class, named by its
    least doc_id, so groups of exact copies are one row from here on.
-2. A class has BANDS x ROWS MinHash values. Classes that agree in a band are candidates. A pair is compared in
+2. A class has VALUES MinHash values, dealt into bands. Classes that agree in a band are candidates. A pair is compared in
    batches of values and dropped as soon as the posterior chance of its similarity reaching the threshold falls
    below MISS; survivors are checked on the full sets.
 3. Buckets are never expanded into all pairs. In each of HUBS rounds every member of a bucket is compared with one
@@ -10,7 +10,9 @@
    spans several components of a bucket is compared block by block inside tasks, with signatures and sets at hand, so
    that no link between components is lost; only links become rows, and only as many as join components.
 
-A pair at the threshold shares no band with chance (1 - 0.85^ROWS)^BANDS, below 1e-6.
+The threshold is a parameter of cluster(), in percent: the bands, the pruning, the size filter and the exact checks
+follow it. A pair at the threshold t shares no band with chance (1 - t^rows)^bands, below UNSEEN: 30 bands of 6 values
+at 85 %, 36 of 5 at 80 %.
 
 Edge cases: texts without words have an empty set, a component of their own, and are linked with nothing; texts of
 fewer than 5 words are one shingle; rows of one doc_id are one document (if their texts differ, they fall into one
@@ -22,7 +24,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,11 +35,11 @@ from pyspark.sql import types as T
 from sievework.llm.common import ascii_lower, row_key, stored, whole
 
 SHINGLE = 5
-#: Links need 100 * intersection >= PERCENT * union.
+#: Links need 100 * intersection >= percent * union; this is the percent where a caller names none.
 PERCENT = 85
-ROWS, BANDS = 6, 30
-VALUES = ROWS * BANDS
-BATCH = 30
+VALUES, BATCH = 180, 30
+#: Chance below which a pair at the threshold may share no band.
+UNSEEN = 1e-6
 #: Chance at which a pair at the threshold may be pruned; pairs above it are pruned far more seldom.
 MISS = 1e-4
 HUBS = 3
@@ -47,6 +49,18 @@ BLOCK, BLOCK_HASHES = 512, 1 << 20
 SLOT, SLOT_BYTES = 4096, 8 << 20
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
+
+@functools.cache
+def banding(percent: int) -> tuple[int, int]:
+    """(values a band, bands): the longest bands with which a pair at the threshold is unseen with a chance below UNSEEN."""
+    for rows in range(VALUES, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (VALUES // rows) < UNSEEN:
+            return rows, VALUES // rows
+    raise ValueError(f"{VALUES} values are too few for a threshold of {percent} %")
+
+
+ROWS, BANDS = banding(PERCENT)
+
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -94,10 +108,11 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def band_keys(values: np.ndarray) -> np.ndarray:
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)  # a band's number is part of its keys
-    grid = values.reshape(BANDS, ROWS).astype(np.uint64)
-    for j in range(ROWS):
+def band_keys(values: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    rows, bands = banding(percent)
+    keys = np.arange(1, bands + 1, dtype=np.uint64)  # a band's number is part of its keys
+    grid = values[: rows * bands].reshape(bands, rows).astype(np.uint64)
+    for j in range(rows):
         keys = _mix(keys * _M + grid[:, j] + np.uint64(j))
     return keys.view(np.int64)
 
@@ -111,6 +126,7 @@ def _beta_above(t: float, a: int, b: int) -> float:
     return sum(map(exp, logs))
 
 
+@functools.cache
 def fewest_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> list[tuple[int, int]]:
     """(values compared, least number of equal ones at which a pair goes on). Prior: Beta(1, 1)."""
     out = []
@@ -122,15 +138,12 @@ def fewest_matches(threshold: float = PERCENT / 100, miss: float = MISS) -> list
     return out
 
 
-FEWEST = fewest_matches()
-
-
-def survives(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def survives(sig: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Which of the pairs (row left[i], row right[i] of a signature matrix) no batch prunes."""
     alive = np.arange(len(left))
     equal = np.zeros(len(left), np.int64)
     done = 0
-    for n, m in FEWEST:
+    for n, m in fewest_matches(percent / 100):
         equal[alive] += (sig[left[alive], done:n] == sig[right[alive], done:n]).sum(axis=1)
         alive = alive[equal[alive] >= m]
         done = n
@@ -139,13 +152,13 @@ def survives(sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return alive
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """The exact check of two sorted distinct sets."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _signatures(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _signatures(parts: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         rows = []
         for text in pdf["_text"]:
@@ -154,28 +167,31 @@ def _signatures(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 values = minhash(s)
                 k = _mix(s ^ _M)
                 set_key = int(k.sum(dtype=np.uint64) % (2**63)), int(np.bitwise_xor.reduce(_mix(k))) % 2**63
-                rows.append((len(s), *set_key, values.tobytes(), band_keys(values)))
+                rows.append((len(s), *set_key, values.tobytes(), band_keys(values, percent)))
             else:
                 rows.append((0, 0, 0, b"", np.empty(0, np.int64)))
         yield pd.concat([pdf[["_id", "_th"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "k1", "k2", "sig", "keys"])], axis=1)
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """_id, _th, n (set size), k1, k2 (the set's key), sig, keys; docs has _id, _th, _text."""
     lowered = docs.withColumn("_text", ascii_lower(whole(F.col("_text"))))
-    return lowered.mapInPandas(_signatures, "_id long, _th long, n long, k1 long, k2 long, sig binary, keys array<long>")
+    return lowered.mapInPandas(lambda parts: _signatures(parts, percent), "_id long, _th long, n long, k1 long, k2 long, sig binary, keys array<long>")
 
 
 def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint32).reshape(len(sigs), VALUES)
 
 
-@F.pandas_udf(T.BooleanType())
-def _survive(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, n = np.zeros(len(a), bool), len(a)
-    if n:
-        out[survives(_matrix(pd.concat([a, b])), np.arange(n), np.arange(n, 2 * n))] = True
-    return pd.Series(out)
+def _survive(percent: int) -> Callable[..., Column]:
+    @F.pandas_udf(T.BooleanType())
+    def survive(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, n = np.zeros(len(a), bool), len(a)
+        if n:
+            out[survives(_matrix(pd.concat([a, b])), np.arange(n), np.arange(n, 2 * n), percent)] = True
+        return pd.Series(out)
+
+    return survive
 
 
 @functools.lru_cache(maxsize=64)
@@ -183,10 +199,14 @@ def _recent(text: str) -> np.ndarray:
     return shingles(text)
 
 
-@F.pandas_udf(T.BooleanType())
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
+def _linked(percent: int) -> Callable[..., Column]:
     """Pairs come sorted by one side, so that side's set is mostly at hand."""
-    return pd.Series([linked(_recent(x), _recent(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    @F.pandas_udf(T.BooleanType())
+    def link(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([linked(_recent(x), _recent(y), percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    return link
 
 
 @F.pandas_udf(T.BinaryType())
@@ -195,11 +215,11 @@ def _packed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: shingles(x).tobytes())
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) that are links by their full sets; texts has node, text."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").where(_linked("ta", "tb")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(_linked(percent)("ta", "tb")).select("a", "b")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -259,14 +279,14 @@ class _Sets:
     def of(self, row: int) -> np.ndarray:
         return self.ids[self.ends[row] - self.sizes[row] : self.ends[row]]
 
-    def linked(self, row: int, others: np.ndarray) -> np.ndarray:
+    def linked(self, row: int, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         """Which of the other rows are links of the row: the exact check."""
         own, n = self.of(row), self.sizes[others]
         self.mark[own] = True
         held = self.mark[np.concatenate([self.of(x) for x in others])]
         self.mark[own] = False
         both = np.add.reduceat(held, np.cumsum(n) - n, dtype=np.int64)
-        return 100 * both >= PERCENT * (len(own) + n - both)
+        return 100 * both >= percent * (len(own) + n - both)
 
 
 class _Joined(dict):
@@ -284,7 +304,7 @@ class _Joined(dict):
         return x != y
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def _blocks(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between components, of the meetings of many buckets. A link between components that other links of this
     call have joined already is left out, as it joins nothing; so there are fewer links than components."""
     pdf = pdf.sort_values(["key", "kind", "i", "j"], ignore_index=True)
@@ -293,6 +313,7 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     where = pdf[["key", "kind", "i", "j"]].to_numpy()
     cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
     band = pdf["band"].to_numpy()
+    rows, bands = banding(percent)
     sets, joined = _Sets(pdf["set"]), _Joined()
     found: list[tuple[int, int]] = []
     lefts, rights, waiting = [], [], 0
@@ -301,11 +322,11 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         apart = comp[l] != comp[r]
         l, r = l[apart], r[apart]  # noqa: E741
         n, m = sets.sizes[l], sets.sizes[r]
-        near = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+        near = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
         l, r = l[near], r[near]  # noqa: E741
-        alive = survives(sig, l, r)
+        alive = survives(sig, l, r, percent)
         l, r = l[alive], r[alive]  # noqa: E741
-        agree = (sig[l] == sig[r]).reshape(-1, BANDS, ROWS).all(axis=2)
+        agree = (sig[l] == sig[r])[:, : rows * bands].reshape(-1, bands, rows).all(axis=2)
         first = agree.any(axis=1) & (agree.argmax(axis=1) == band[l])  # each pair is told by its first common band
         l, r = l[first], r[first]  # noqa: E741
         order = np.argsort(l, kind="stable")
@@ -313,7 +334,7 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         before = len(found)
         for own in np.split(np.arange(len(l)), np.flatnonzero(l[1:] != l[:-1]) + 1) if len(l) else ():
             row, others = l[own[0]], r[own]
-            for x in others[sets.linked(row, others)]:
+            for x in others[sets.linked(row, others, percent)]:
                 if joined.unite(int(comp[row]), int(comp[x])):
                     found.append((min(node[row], node[x]), max(node[row], node[x])))
         if len(found) > before:
@@ -361,7 +382,7 @@ def spanning_buckets(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled.join(per, "key").withColumn("core", F.col("comp") == F.col("_core")).drop("_core")
 
 
-def rest_links(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
+def rest_links(spanning: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links across components of the spanning buckets, enough of them to join what is linked. Members are dealt into
     blocks of about BLOCK; blocks of the largest component meet blocks of the other members, and these meet each other.
     A call has the signatures and sets of its rows at hand, so pairs that are no links never become rows.
@@ -381,13 +402,13 @@ def rest_links(spanning: DataFrame, sigs: DataFrame) -> DataFrame:
     total = load.agg(F.sum("times").alias("rows"), F.sum(F.col("times") * F.col("bytes")).alias("bytes")).first()
     slots = max(1, -(-(total["rows"] or 0) // SLOT), -(-(total["bytes"] or 0) // SLOT_BYTES))
     slot = F.pmod(F.xxhash64("key", "kind", "i", "j"), F.lit(slots)).alias("slot")
-    return dealt.groupBy(slot).applyInPandas(_blocks, "a long, b long").distinct()
+    return dealt.groupBy(slot).applyInPandas(lambda pdf: _blocks(pdf, percent), "a long, b long").distinct()
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: the id, n_shingles, component_id, kept (and _th, a hash of the text)."""
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: the id, n_shingles, component_id, kept (and _th, a hash of the text). Sets of which percent is shared are linked."""
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    table = stored(signed(rows), "signatures")
+    table = stored(signed(rows, percent), "signatures")
     sets = table.where("n > 0 and _id is not null")
     classes = sets.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_th")).alias("first"))
     members = stored(sets.select("_id", "_th", "k1", "k2").join(classes, ["k1", "k2"]).select("_id", "_th", F.col("first._id").alias("node"), F.col("first._th").alias("node_th")).distinct(), "members")
@@ -416,19 +437,19 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for known in tried:
             ordered = ordered.join(known, ["a", "b"], "left_anti")
         tried.append(stored(ordered, "pairs"))
-        return stored(verified(tried[-1], texts), name)
+        return stored(verified(tried[-1], texts, percent), name)
 
     for r in range(HUBS):
         pairs = buckets.join(hubs.select("key", F.col(f"hub{r}").alias("hub")), "key").where("node <> hub").select("node", "hub").distinct()
         here = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
         apart = pairs.join(comps, "node").join(here, F.col("hub") == F.col("_n")).where("comp <> _c").select("node", "hub")
         both = apart.join(sig_of.select("node", "sig"), "node").join(sig_of.select(F.col("node").alias("hub"), F.col("sig").alias("sig2")), "hub")
-        alive = both.where(_survive("sig", "sig2")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        alive = both.where(_survive(percent)("sig", "sig2")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         comps = joined_up(comps, new_links(alive, "hub-links"))
     spanning = stored(spanning_buckets(buckets, comps), "spanning")
     wanted = texts.join(spanning.select("node").distinct(), "node", "left_semi").select("node", _packed("text").alias("set"))
     with_sets = stored(sig_of.select("node", "sig").join(wanted, "node"), "spanning-sets")
-    comps = joined_up(comps, stored(rest_links(spanning, with_sets), "rest-links"))
+    comps = joined_up(comps, stored(rest_links(spanning, with_sets, percent), "rest-links"))
 
     # rows of one doc_id are one document: its classes belong together
     own = members.join(comps, "node", "left").select("_id", F.coalesce("comp", "node").alias("comp"))

@@ -49,7 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.cluster(read(spark, sf_dir, "documents")).drop("_th")
+    return near_dup.cluster(read(spark, sf_dir, "documents"), percent=85).drop("_th")
 
 
 QUERIES = {

@@ -6,6 +6,8 @@ import corpus_pipeline as p
 from test_contracts import AZ, SMALL, TOKEN, WORD, brute_components
 from pyspark.sql import functions as F
 
+from sievework.llm import near_dup
+
 
 def rows(df):
     return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
@@ -53,3 +55,21 @@ def test_run_survives_odd_rows(spark, docs, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
     assert p.run(spark, str(empty)).count() == 0
+
+
+def test_near_duplicate_stage_links_from_80_percent(spark):
+    base = [f"w{i}" for i in range(204)]  # 200 shingles; words apart by 5 or more take 5 shingles each
+    edited = {1: (), 2: (20, 60, 100, 140), 3: (20, 60, 100, 140, 180)}
+    texts = {d: " ".join(f"x{d}" if i in at else w for i, w in enumerate(base)) for d, at in edited.items()}
+    texts |= {d + 10: " ".join(f"{d}{w}" for w in base) for d in range(3)}
+    sets = {d: near_dup.shingles(t) for d, t in texts.items()}
+    similar = {d: len(set(sets[1]) & set(sets[d])) / len(set(sets[1]) | set(sets[d])) for d in (2, 3)}
+    assert 0.80 <= similar[2] < 0.85 and similar[3] < 0.80
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {d for d, _ in rows(p.drop_near_duplicates(spark, docs, SMALL))} == {1, 3, 10, 11, 12}
+    assert near_dup.cluster(docs, percent=85).where("not kept").count() == 0
+
+
+def test_bands_and_pruning_follow_the_threshold():
+    assert near_dup.banding(85) == (6, 30) and near_dup.banding(80) == (5, 36)
+    assert all(low[1] < high[1] for low, high in zip(near_dup.fewest_matches(0.8), near_dup.fewest_matches(0.85), strict=True))
