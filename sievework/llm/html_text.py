@@ -4,7 +4,9 @@ Every block element's subtree is hashed (tags and text, without attributes). Spa
 host each hash stands; subtrees that recur on many pages of the host are deleted, together with what markup itself
 declares to be no article: menus, headers, footers, asides, forms, adverts, notices, comments, scripts. Where a page
 marks its article, only the article counts, and a subtree of running text in it (paragraphs, headings, lists)
-is not deleted for recurring, as copies of an article are no template.
+is not deleted for recurring, as copies of an article are no template. Nor are containers with running text, if what
+recurs of it is more than a small part of the article (ARTICLE_SHARE) or, where no article is marked, at least half of
+the page's text (PAGE_SHARE): then the page is a copy, and only recurring containers without running text are deleted.
 
 Edge cases: null html is an empty page with empty text; a null or odd url is a host of its own kind (''); unclosed and
 stray tags end with their parents; the hash counts each page of a host once, repeated rows count as pages; a page cut
@@ -27,6 +29,10 @@ from sievework.llm.common import row_key, stored
 
 #: A subtree recurs if it stands on so many pages of the host, and on such a share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.05
+#: Recurring running text is the page's own from such a share of the article's text, or of a page's without article.
+ARTICLE_SHARE, PAGE_SHARE = 0.2, 0.5
+#: Words of a block that make it running text whatever its element.
+LONG_BLOCK = 20
 
 #: Elements by what they do to text.
 BLOCKS = set(
@@ -37,6 +43,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 RAW = set("script style title textarea noscript template iframe svg math object canvas audio video noembed noframes xmp".split())
 CHROME = set("nav footer aside form button select dialog menu search datalist".split())
 PROSE = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr figure figcaption caption".split())
+RUNNING = set("p blockquote pre".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Words in class and id of elements that hold no article text.
@@ -56,11 +63,12 @@ _LETTERS = re.compile(r"[a-z]+")
 class _Open:
     """An open element."""
 
-    __slots__ = ("chrome", "content", "digest", "name", "seen", "start")
+    __slots__ = ("chrome", "content", "digest", "name", "running", "seen", "start")
 
     def __init__(self, name: str, chrome: bool, content: bool, start: int):
         self.name, self.chrome, self.content, self.start = name, chrome, content, start
         self.digest, self.seen = hashlib.blake2b(name.encode(), digest_size=8), False
+        self.running = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -81,12 +89,24 @@ def declared_chrome(name: str, attributes: dict[str, str], in_content: bool) ->
     return bool(names & CHROME_NAMES) or (bool(names & {"header", "topbar"}) and not in_content)
 
 
+def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str, bool]], marked: bool) -> set[int]:
+    """The blocks to delete; found has the recurring subtrees: first block, end, name, whether they hold running text."""
+    found = [(a, b, name, running or any(len(x.split()) >= LONG_BLOCK for x, _ in blocks[a:b])) for a, b, name, running in found]
+    sizes = [len(x) if inside or not marked else 0 for x, inside in blocks]
+    held = {i for a, b, _, running in found if running for i in range(a, b)}
+    share = ARTICLE_SHARE if marked else PAGE_SHARE
+    if held and sum(sizes[i] for i in held) >= share * sum(sizes):
+        found = [x for x in found if not x[3] and x[2] not in PROSE]
+    return {i for a, b, _, _ in found for i in range(a, b)}
+
+
 def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], set[int]]:
     """The blocks of the main text, and the hashes of the subtrees that may be deleted for recurring."""
     stack: list[_Open] = []
     blocks: list[tuple[str, bool]] = []  # with whether the article holds it
     buffer: list[str] = []
     hashes: set[int] = set()
+    found: list[tuple[int, int, str, bool]] = []
     marked = False
 
     def flush() -> None:
@@ -99,14 +119,16 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
     def close() -> None:
         top = stack.pop()
         digest = top.digest.digest()
+        top.running |= top.seen and top.name in RUNNING and not top.chrome
         if stack:
             stack[-1].digest.update(digest)
             stack[-1].seen |= top.seen
+            stack[-1].running |= top.running
         if top.seen and top.name in BLOCKS and top.name not in ("html", "body") and not (top.content and top.name in PROSE):
             key = int.from_bytes(digest, "big", signed=True)
             hashes.add(key)
             if key in drop:
-                del blocks[top.start :]
+                found.append((top.start, len(blocks), top.name, top.running))
 
     def text(chunk: str) -> None:
         if chunk:
@@ -189,7 +211,8 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
     flush()
     while stack:
         close()
-    return [b for b, inside in blocks if inside or not marked], hashes
+    gone = _recurring(found, blocks, marked) if found else ()
+    return [b for i, (b, inside) in enumerate(blocks) if (inside or not marked) and i not in gone], hashes
 
 
 def host_of(url: str) -> object:

@@ -85,6 +85,24 @@ def test_main_text(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+def test_main_text_keeps_copied_articles(spark):
+    """Articles copied on a host stay whole in containers, as bare text and without markup; what recurs beside them goes."""
+    words = " ".join(f"word{i}" for i in range(30))
+    paragraphs = f"<h1>Head</h1><p>One {words}</p><p>Two</p><ul><li>a<li>b</ul>"
+    other = "<div><span>Read our other stories</span></div>"
+    bodies = {
+        1: (f'<article><div class="entry">{paragraphs}</div>{other}</article>', f"Head\n\nOne {words}\n\nTwo\n\na\n\nb"),
+        2: (f"{paragraphs.replace('word', 'plain')}{other}", f"Head\n\nOne {words}\n\nTwo\n\na\n\nb".replace("word", "plain")),
+        3: (f"{other}<div><section>{paragraphs.replace('word', 'held')}</section></div>", f"Head\n\nOne {words}\n\nTwo\n\na\n\nb".replace("word", "held")),
+        4: (f"<article><div>Bare {words}</div></article>", f"Bare {words}"),
+    }
+    data = [(100 * k + i, "http://c.example/", f"<body>{body}</body>") for k, (body, _) in bodies.items() for i in range(12)]
+    data += [(900 + i, "http://c.example/", f"<body><article><p>own {i} {words}</p><div><p>Follow us today</p></div></article></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    want = {100 * k + i: text for k, (_, text) in bodies.items() for i in range(12)} | {900 + i: f"own {i} {words}" for i in range(12)}
+    assert got == want
+
+
 def test_main_text_of_the_pages(spark):
     """The article of each page, cut out by its tags."""
     import html
