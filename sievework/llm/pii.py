@@ -37,7 +37,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9+/_-]{8,200}",
+    "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9+/_-]{8,}+",
 }
 #: Where a text has none of these characters, the kind need not be looked for.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}

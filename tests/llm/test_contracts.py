@@ -152,6 +152,12 @@ def test_pii(docs, texts, empty_docs):
     assert not pii.find(empty_docs).count()
 
 
+def test_secrets_of_any_length_are_whole(spark):
+    texts = ["see token = " + "aB3+" * n + " end" for n in (2, 50, 51, 5000)]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", pii.located(F.col("text"), "secret").alias("m")).collect()
+    assert {r["text"]: [(x["start"], x["value"]) for x in r["m"]] for r in found} == {t: [(4, t[4:-4])] for t in texts}
+
+
 def test_media(docs, texts, empty_docs):
     want = Counter()
     for d, t in texts:
