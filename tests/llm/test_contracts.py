@@ -302,7 +302,7 @@ def test_runs_levels_and_anti_join(spark):
     assert [tuple(r) for r in runs.frequent(5).collect()] == [(1, 1, 5, 4)]
 
 
-def brute_components(texts):
+def brute_components(texts, percent=85):
     def shingles(t):
         w = TOKEN.findall(t.translate(AZ))
         return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -321,7 +321,7 @@ def brute_components(texts):
     for i, a in enumerate(keys):
         for b in keys[:i]:
             x, y = sets[a], sets[b]
-            if a[0] == b[0] or (min(len(x), len(y)) * 100 >= 85 * max(len(x), len(y)) and 100 * len(x & y) >= 85 * len(x | y)):
+            if a[0] == b[0] or (min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y)):
                 parent[find(a)] = find(b)
     least = {}
     for k in keys:

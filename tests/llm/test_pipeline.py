@@ -24,7 +24,7 @@ def test_stages(spark):
     assert lines.columns == list(p.COLUMNS) and lines.count() == docs.count() and lines.where(F.length("text") != F.col("n_chars")).count() == 0
 
     near = p.drop_near_duplicates(spark, lines, SMALL).cache()
-    want = sorted(k[0] for k, n in brute_components(rows(lines)).items() if k[3] for _ in range(n))
+    want = sorted(k[0] for k, n in brute_components(rows(lines), percent=80).items() if k[3] for _ in range(n))
     assert sorted(d for d, _ in rows(near)) == want
 
     bench = [WORD.findall((r["text"] or "").translate(AZ)) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
