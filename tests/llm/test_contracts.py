@@ -274,32 +274,58 @@ def test_mix(docs, texts, empty_docs):
     assert order == sorted(order)
 
 
-def test_line_dedup(docs, texts, empty_docs):
+def brute_lines(texts):
+    """Lines count once for each doc_id; rows without an id are one document, before all others."""
     key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(AZ)
-    held, last = Counter(), {}
     low = lambda d: -1 if d is None else d
+    held = defaultdict(set)
     for d, t in texts:
         for k in {key(x) for x in t.split("\n")}:
-            held[k] += 1
-            last[k] = max(low(d), last.get(k, -1))
+            held[k].add(low(d))
     want = Counter()
     for d, t in texts:
-        keep = [x for x in t.split("\n") if len(key(x)) < 40 or held[key(x)] < 5 or last[key(x)] == low(d)]
+        keep = [x for x in t.split("\n") if len(key(x)) < 40 or len(held[key(x)]) < 5 or max(held[key(x)]) == low(d)]
         want[d, len(t.split("\n")), len(t.split("\n")) - len(keep), sha("\n".join(keep))] += 1
+    return want
+
+
+def test_line_dedup(docs, texts, empty_docs, monkeypatch):
     got = line_dedup.drop_repeated_lines(docs).withColumn("sha", F.sha2("_kept", 256))
-    assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == want
+    assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == brute_lines(texts)
     assert got.where("_n_dropped > 0").count() > 0 and "host" in got.columns
     assert not line_dedup.drop_repeated_lines(empty_docs).count()
+    monkeypatch.setattr(line_dedup, "MOST_LINES", 0)  # beyond the bound of the broadcast: hot and cold lines
+    monkeypatch.setattr(line_dedup, "HOT_PARTS", 50)
+    got = line_dedup.drop_repeated_lines(docs).withColumn("sha", F.sha2("_kept", 256))
+    assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == brute_lines(texts)
+
+
+def test_line_dedup_counts_documents_not_rows(spark):
+    line = "a line of more than forty characters that several rows hold"
+    data = [(1, f"{line}\nrow {i}") for i in range(4)] + [(2, line), *[(None, f"{line} too\n{i}") for i in range(6)], *[(i, f"{line} too") for i in (5, 6, 7, 8)]]
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(data, "doc_id long, text string")).withColumn("sha", F.sha2("_kept", 256))
+    assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == brute_lines(data)
 
 
 def test_runs_levels_and_anti_join(spark):
     runs = line_dedup.Runs(spark, fan_in=2)
     frame = lambda xs: spark.createDataFrame(xs, "h1 long, h2 long, doc long")
     for i in range(5):
-        runs.add(frame([(1, 1, i), (2, i, i)]))
+        runs.add(frame([(1, 1, i), (2, i, i), (3, i % 2, i), (3, i % 2, i)]))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {tuple(r) for r in runs.fresh(frame([(1, 1, 9), (7, 7, 9)])).collect()} == {(7, 7, 9)}
     assert [tuple(r) for r in runs.frequent(5).collect()] == [(1, 1, 5, 4)]
+    assert sorted(tuple(r) for r in runs.frequent(2).collect()) == [(1, 1, 5, 4), (3, 0, 3, 4), (3, 1, 2, 3)]
+    opened = [(r["h1"], r["h2"]) for run in runs.tables() for r in run.where("not again").collect()]
+    assert len(opened) == len(set(opened)) == 8  # the anti-join: every line is opened once over all runs
+
+
+def test_merges_of_runs_need_no_shuffle(spark, capsys):
+    runs = line_dedup.Runs(spark, fan_in=9)
+    for i in range(3):
+        runs.add(spark.createDataFrame([(1, 1, i), (2, i, i)], "h1 long, h2 long, doc long"))
+    runs.frequent(2).explain()
+    assert "hashpartitioning" not in capsys.readouterr().out
 
 
 def brute_components(texts, percent=85):
