@@ -6,31 +6,29 @@ from sievework.llm import licenses
 
 ORACLES: dict[str, str] = {}
 
+# all words of three copies, sorted globally by finish time and cut at the budget
 ORACLES["op8_source_mix"] = r"""
 with d as (
   select doc_id, source, coalesce(length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x20\x09-\x0D]+', 'a', 'g'), '[\x20\x09-\x0D]+', '', 'g')), 0)::bigint as size,
          md5(concat_ws('|', 'mix', doc_id::varchar)) as k
   from documents),
-d2 as (select *, ('0x' || substr(k, 1, 6))::int % 1024 as r from d),
 per as (select source, sum(size)::bigint as source_size from d group by source),
-ranked as (select *, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from per),
+ranked as (select *, row_number() over (order by source nulls last) as rank, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight from per),
 leveled as (select *, source_size * 3 as cap, source_size * 3 / weight as full_at from ranked),
 filled as (
   select *, (sum(source_size) over () - coalesce(sum(cap) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0))
           / (sum(weight) over () - coalesce(sum(weight) over (order by full_at, source nulls last rows between unbounded preceding and 1 preceding), 0)) as share,
          row_number() over (order by full_at, source nulls last) as nth
   from leveled),
-cut as (select *, arg_min(share, nth) filter (where full_at > share) over () as level from filled),
-target as (select source, source_size, coalesce(case when full_at <= level then cap else weight * level end, cap)::double as target from cut),
+level as (select *, arg_min(share, nth) filter (where full_at > share) over () as level from filled),
+target as (select source, source_size, rank, coalesce(case when full_at <= level then cap else weight * level end, cap)::double as target from level),
 q as (
-  select d2.*, t.source_size, t.target,
-         sum(size) over (partition by d2.source order by r, k, doc_id, size rows unbounded preceding)::bigint as upto
-  from d2 join target t on d2.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target + 0.5)::bigint - (upto - size)))
-        + greatest(0, least(size, floor(target + 0.5)::bigint - (source_size + upto - size)))
-        + greatest(0, least(size, floor(target + 0.5)::bigint - (2 * source_size + upto - size))))::bigint as taken
-from q
+  select row_number() over () as rid, d.*, t.source_size, t.target, t.rank, (sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) - size)::bigint as begin
+  from d join target t on d.source is not distinct from t.source),
+word as (select rid, rank, (begin + copy * source_size + place)::double / target as finish from (select *, unnest(range(3)) as copy from q), unnest(range(1, size + 1)) u(place)),
+served as (select rid from word order by finish, rank limit (select sum(size)::bigint from d)),
+n as (select rid, count(*) as taken from served group by rid)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint as taken from q left join n on q.rid = n.rid
 """
 
 ORACLES["op9_line_dedup"] = r"""

@@ -270,8 +270,38 @@ def test_mix(docs, texts, empty_docs):
     assert all(abs(taken[s] - target[s]) <= 1 for s in order)
     assert sorted(map(str, got)) == sorted(map(str, mixing.taken_by_document(docs.repartition(5)).collect()))
     assert not mixing.taken_by_document(empty_docs).count()
-    order = [r["finish"] for r in mixing.mixed(mixing.fair_queue(docs)).collect()]
-    assert order == sorted(order)
+    queued = mixing.queues(docs)
+    mix = mixing.mixed(queued, mixing.cut(queued)).collect()
+    assert [r["finish"] for r in mix] == sorted(r["finish"] for r in mix)
+    assert sum(r["words"] for r in mix) == sum(r["taken"] for r in got) == budget
+
+
+def test_mix_is_the_head_of_the_global_order(spark, monkeypatch):
+    """Words of all copies sorted by finish time and source, cut at the budget; ranges are split down to single words."""
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    monkeypatch.setattr(mixing, "LAST_WORDS", 1)
+    data = [(i, "w " * (i * 7 % 23), ["a", "b", "c", None][i % 4]) for i in range(60)] + [(900 + i, "", "empty") for i in range(3)]
+    queued = mixing.queues(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    rows_ = queued.collect()
+    words = [((c * r["source_size"] + r["begin"] + k) / r["target"], r["rank"], r["doc_id"]) for r in rows_ for c in range(3) for k in range(1, r["size"] + 1)]
+    words.sort()
+    budget = sum(r["size"] for r in rows_)
+    want = Counter(d for _, _, d in words[:budget])
+    at = mixing.cut(queued)
+    assert tuple(at) == words[budget - 1][:2]
+    taken = sum((mixing.taken_of_copy(F.lit(c), at) for c in range(3)), F.lit(0))
+    assert {r["doc_id"]: r["t"] for r in queued.select("doc_id", taken.alias("t")).collect()} == {r["doc_id"]: want[r["doc_id"]] for r in rows_}
+    # the order decides: with other finish times other words are taken
+    moved = queued.withColumn("target", F.when(F.col("source") == "a", F.col("target") * 2).otherwise(F.col("target") / 2))
+    assert mixing.cut(moved) != at
+
+
+def test_mix_of_nothing_and_of_many_sources(spark):
+    none = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert rows(mixing.taken_by_document(none), "doc_id", "size", "source_size", "target", "taken") == Counter([(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)])
+    many = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i:03}") for i in range(150)], "doc_id long, text string, source string")
+    got = mixing.taken_by_document(many).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 1 for r in got) and sum(r["taken"] for r in got) == sum(r["size"] for r in got)
 
 
 def brute_lines(texts):
