@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import licenses
+from sievework.llm import decontam, licenses
 
 ORACLES: dict[str, str] = {}
 
@@ -93,10 +93,21 @@ d as (select doc_id, {words_sql('text')} as w from documents),
 g as (select doc_id, pos, n, w[pos:pos + n - 1] as phrase from (select doc_id, w, unnest(range(1, len(w) + 1)) as pos from d), lens where pos + n - 1 <= len(w)),
 h as (select g.doc_id, g.pos, g.n, win.item from g join win on g.phrase = win.phrase),
 c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(pos, pos + n)) as place from h) group by doc_id),
+p as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) as pos from d),
+ph as (select distinct phrase from win),
+tc as (select term, count(*) as n from p group by term),
+rk as (select phrase, len(phrase) as m, term, place, row_number() over (partition by phrase order by n, term, place) as rank
+       from (select phrase, unnest(phrase) as term, generate_subscripts(phrase, 1) - 1 as place from ph) join tc using (term)),
+st as (select p.doc_id, rk.phrase, rk.m, p.pos - rk.place as start from p join rk on p.term = rk.term and rk.rank = 1 where p.pos - rk.place >= 1),
+nr as (select st.doc_id, st.phrase, st.start from st join rk on st.phrase = rk.phrase and rk.rank > 1
+       join p on p.doc_id = st.doc_id and p.term = rk.term and abs(p.pos - st.start - rk.place) <= {decontam.SLOP}
+       group by st.doc_id, st.phrase, st.m, st.start having count(distinct rk.rank) = st.m - 1),
+ex as (select distinct g.doc_id, g.phrase from g join ph on g.phrase = ph.phrase),
+near as (select doc_id, count(distinct phrase) as n_near from nr anti join ex on nr.doc_id = ex.doc_id and nr.phrase = ex.phrase group by doc_id),
 t as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near
+from d left join near on d.doc_id = near.doc_id left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
 """
 
 ORACLES["op10_near_duplicates"] = rf"""

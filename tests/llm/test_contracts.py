@@ -231,16 +231,30 @@ def test_decontamination(spark, docs, texts, empty_docs):
     assert decontam.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "alpha beta gamma"), (2, "x alpha extra beta gamma"), (3, "alpha one two three four five six beta gamma"), (4, "gamma")], "_id long, _text string")
-    keyed = df.withColumn("_th", F.xxhash64("_text"))
+def test_phrases_and_proximity_come_from_positions(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "solo")], "item_id long, text string")
+    texts_ = ["alpha beta gamma", "x alpha extra beta gamma", "alpha one two three four five six beta gamma", "gamma", "Solo alpha alpha beta beta gamma"]
+    docs = spark.createDataFrame(list(enumerate(texts_, 1)), "doc_id long, text string")
     wins = decontam.windows(bench)
-    vocabulary = wins.select(F.explode("phrase").alias("term")).distinct()
-    picks = decontam.anchors(wins, decontam.term_counts(keyed, vocabulary))
-    index, _ = decontam.postings(keyed, picks)
-    assert {r["_id"] for r in decontam.proximity_matches(index, picks, 1).collect()} >= {1, 2}
-    assert {r["_id"] for r in decontam.phrase_matches(index, picks, wins).collect()} == {1}
+    index, counted = decontam.build_index(docs, wins.select(F.explode("phrase").alias("term")).distinct())
+    ranks = decontam.ranked_terms(wins, index)
+    names = {r["_row"]: r["_id"] for r in counted.collect()}
+    found = lambda ix: Counter((names[r["_row"]], r["len"], r["exact"]) for r in decontam.matches(ix, ranks).collect())
+    want = {(1, 3, True), (2, 3, False), (5, 1, True), (5, 3, False)}
+    assert set(found(index)) == want
+    row = {v: k for k, v in names.items()}[1]
+    for term in ("alpha", "beta", "gamma"):  # without one posting there is no match
+        assert set(found(index.where(f"not (_row = {row} and term = '{term}')"))) == want - {(1, 3, True)}
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["n_near"]) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {1: (3, 1, 0), 2: (0, 0, 1), 3: (0, 0, 0), 4: (0, 0, 0), 5: (1, 1, 1)}
+
+
+def test_decontamination_beyond_the_bounds_of_broadcasts(spark, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{SMALL}/{name}.parquet") for name in ("documents", "benchmark"))
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+    want = rows(decontam.contamination(docs, bench), *cols)
+    monkeypatch.setattr(decontam, "MOST_TERMS", 0)
+    assert rows(decontam.contamination(docs, bench), *cols) == want and any(k[5] for k in want)
 
 
 def test_mix(docs, texts, empty_docs):
