@@ -220,6 +220,17 @@ def toggle(a: Column, x: Column) -> Column:
     return F.when(F.array_contains(a, x), F.array_remove(a, x)).otherwise(F.array_append(a, x))
 
 
+def answer_text(options: Column) -> Column:
+    """The correct options as text: A. one · C. three."""
+    right = F.filter(options, lambda o: o["is_correct"])
+    return F.array_join(F.transform(right, lambda o: F.concat(o["label"], F.lit(". "), o["text"])), " · ")
+
+
+def mark_option(options: Column, label: Column, checked: Column, mode: Column) -> Column:
+    """Options after one of them is marked or unmarked; in single selection the others are unmarked."""
+    return F.transform(options, lambda o: o.withField("is_correct", F.when(o["label"] == label, checked).otherwise(o["is_correct"] & (mode != "single"))))
+
+
 def clamp_size(wanted: Column, available: Column) -> Column:
     """A wanted number within 1 and what is available; 1 for what is no number."""
     return F.greatest(F.lit(1), F.least(F.coalesce(wanted.try_cast("int"), F.lit(1)), F.greatest(F.lit(1), available)))

@@ -2,36 +2,53 @@
 
 Near pairs come from a prefix-filtered join: tokens are ordered by how rare they are, and two sets can only be
 similar enough if they share one of their first few tokens. Verification is exact, so nothing is lost.
+
+Rows of equal text are one class, named by 128 bits of its hash; classes are compared, so that groups of copies stay linear.
+Only hashes of tokens travel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
+from sievework.operators.skew import lookup_join
+from sievework.session import stored
 
 #: Similarity from which prompts count as near-duplicates, in percent.
 NEAR = 82
-
-
-def tokenized(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, folded, toks (distinct)."""
-    return df.select(F.col(id_col).alias("id"), text.fold(F.col(text_col)).alias("folded")).withColumn(
-        "toks", F.array_distinct(F.filter(F.split("folded", "[^a-z0-9]+"), lambda t: F.length(t) >= text.MIN_TOKEN))
+CLASS = ["k1", "k2"]
+
+
+def tokenized(df: DataFrame, id_col: str, text_col: str, *within: str) -> DataFrame:
+    """id, k1, k2 (key of the folded text; null where that is empty), toks (hashes of the distinct tokens), and the columns
+    within which rows are compared. Folding is the costly part: store the result where it is used several times."""
+    folded = df.select(F.col(id_col).alias("id"), *within, text.fold(F.col(text_col)).alias("_f"))
+    words = F.filter(F.split("_f", "[^a-z0-9]+"), lambda t: F.length(t) >= text.MIN_TOKEN)
+    full = F.col("_f") != ""
+    return folded.select(
+        "id",
+        *within,
+        F.when(full, F.xxhash64("_f")).alias("k1"),
+        F.when(full, F.xxhash64(F.lit("text"), "_f")).alias("k2"),
+        F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))).alias("toks"),
     )
 
 
-def exact_pairs(df: DataFrame) -> DataFrame:
-    """a, b (a < b) of equal, non-empty folded text. For large groups use exact_groups, which stays linear."""
-    other = df.select(F.col("id").alias("b"), F.col("folded"))
-    return df.where("folded <> ''").select(F.col("id").alias("a"), "folded").join(other, "folded").where("a < b").select("a", "b")
+def classes(sets: DataFrame, *within: str) -> DataFrame:
+    """One row for each class of equal text (in each part of within): the key, rep (its least id), n, toks."""
+    return sets.where("k1 is not null").groupBy(*within, *CLASS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("toks", "id").alias("toks"))
 
 
 def exact_groups(df: DataFrame) -> DataFrame:
     """id, first_id, group_size for each row of equal, non-empty folded text."""
-    groups = df.where("folded <> ''").groupBy("folded").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
-    return df.join(groups, "folded").select("id", "first_id", "group_size")
+    rows = df.where("k1 is not null").select("id", *CLASS)
+    groups = stored(rows.groupBy(*CLASS).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "text-classes")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    return lookup_join(rows, groups, CLASS, "group_size", total).select("id", "first_id", "group_size")
 
 
 def _least_overlap(n: Column, t: int) -> Column:
@@ -39,13 +56,6 @@ def _least_overlap(n: Column, t: int) -> Column:
     return F.floor((n * t + 99) / 100).cast("int")
 
 
-def prefixes(sets: DataFrame, ranks: DataFrame, t: int = NEAR) -> DataFrame:
-    """id, n, token of the tokens that index a set: its rarest n - least overlap + 1."""
-    flat = sets.where(F.size("toks") > 0).select("id", F.size("toks").alias("n"), F.explode("toks").alias("token")).join(ranks, "token")
-    order = Window.partitionBy("id").orderBy("df", "token")
-    return flat.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), t) + 1).select("id", "n", "token")
-
-
 def token_ranks(*sets: DataFrame) -> DataFrame:
     """token, df over all given sets."""
     both = sets[0].select("toks")
@@ -54,7 +64,17 @@ def token_ranks(*sets: DataFrame) -> DataFrame:
     return both.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
+def prefixes(sets: DataFrame, ranks: DataFrame, id_col: str, within: Sequence[str] = (), t: int = NEAR) -> DataFrame:
+    """id, n, token of the tokens that index a set: its rarest n - least overlap + 1. ranks: token, df, stored."""
+    flat = sets.where(F.size("toks") > 0).select(F.col(id_col).alias("id"), *within, F.size("toks").alias("n"), F.explode("toks").alias("token"))
+    total, size = ranks.agg(F.sum("df"), F.count(F.lit(1))).first()
+    ranked = lookup_join(flat, ranks, ["token"], "df", total or 0, size)
+    order = Window.partitionBy("id").orderBy("df", "token")
+    return ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), t) + 1).select("id", *within, "n", "token")
+
+
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: int) -> DataFrame:
+    """pairs (a, b) with similarity; left and right: id, toks."""
     a = left.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
     b = right.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
     scored = pairs.join(a, "a").join(b, "b").withColumn("similarity", text.jaccard(F.col("ta"), F.col("tb")))
@@ -65,51 +85,91 @@ def _close_sizes(t: int) -> Column:
     return F.least("n", "m") * 100 >= F.greatest("n", "m") * t
 
 
+def _near_reps(reps: DataFrame, within: Sequence[str], t: int) -> DataFrame:
+    """a, b (a < b), similarity of the stored classes (rep, toks) that are similar enough."""
+    index = stored(prefixes(reps, stored(token_ranks(reps), "token-ranks"), "rep", within, t), "prefixes")
+    other = index.select(F.col("id").alias("b"), F.col("n").alias("m"), *within, "token")
+    pairs = index.withColumnRenamed("id", "a").join(other, [*within, "token"]).where(F.col("a") < F.col("b")).where(_close_sizes(t)).select("a", "b").distinct()
+    named = reps.select(F.col("rep").alias("id"), "toks")
+    return stored(_verified(pairs, named, named, t), "near-classes")
+
+
 def near_pairs(sets: DataFrame, t: int = NEAR) -> DataFrame:
-    """a, b (a < b), similarity of all pairs of one set of rows that are similar enough."""
-    index = prefixes(sets, token_ranks(sets), t)
-    other = index.select(F.col("id").alias("b"), F.col("n").alias("m"), "token")
-    pairs = index.withColumnRenamed("id", "a").join(other, "token").where(F.col("a") < F.col("b")).where(_close_sizes(t)).select("a", "b").distinct()
-    return _verified(pairs, sets, sets, t)
+    """a, b (a < b), similarity of all pairs of one set of rows that are similar enough. Classes are compared; pairs of rows
+    are made from them last, since they are the result."""
+    sets = stored(sets, "token-sets")
+    near = _near_reps(stored(classes(sets).where(F.size("toks") > 0), "text-classes"), (), t)
+    member = sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()).select("id", *CLASS)
+    of = member.join(classes(sets).select(*CLASS, "rep", "n"), CLASS).select("id", "rep", "n")
+    same = of.where("n > 1").select(F.col("id").alias("a"), "rep").join(of.where("n > 1").select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    left = near.withColumnsRenamed({"a": "ra", "b": "rb"}).join(of.select(F.col("id").alias("x"), F.col("rep").alias("ra")), "ra").join(of.select(F.col("id").alias("y"), F.col("rep").alias("rb")), "rb")
+    return same.unionByName(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"))
 
 
 def near_matches(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
-    """a (of sets), b (of bank), similarity."""
-    ranks = token_ranks(sets, bank)
-    mine = prefixes(sets, ranks, t).withColumnRenamed("id", "a")
-    theirs = prefixes(bank, ranks, t).select(F.col("id").alias("b"), F.col("n").alias("m"), "token")
+    """a (of sets), b (of bank), similarity; both stored."""
+    ranks = stored(token_ranks(sets, bank), "token-ranks")
+    mine = prefixes(sets, ranks, "id", (), t).withColumnRenamed("id", "a")
+    theirs = prefixes(bank, ranks, "id", (), t).select(F.col("id").alias("b"), F.col("n").alias("m"), "token")
     pairs = mine.join(theirs, "token").where(_close_sizes(t)).select("a", "b").distinct()
     return _verified(pairs, sets, bank, t)
 
 
-def first_match(sets: DataFrame, t: int = NEAR) -> DataFrame:
-    """id, match_id, kind, similarity: the first other row in id order that is equal or near; the earliest wins, not the
-    best. Of equal rows only the first two can be a first match, so groups of copies stay linear."""
-    groups = sets.where("folded <> ''").groupBy("folded").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n"))
-    rest = sets.join(groups, "folded").where("id <> one").groupBy("folded").agg(F.min("id").alias("two"))
-    exact = sets.join(groups.where("n > 1"), "folded").join(rest, "folded").select("id", F.when(F.col("id") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("match_id"), F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
-    firsts = sets.join(groups.select("folded", F.col("one")), "folded").where("id = one").select("id", "toks")
-    near = near_pairs(firsts, t)
-    both = near.select(F.col("a").alias("g"), F.col("b").alias("match_id"), "similarity").union(near.select(F.col("b"), F.col("a"), "similarity"))
-    of = sets.join(groups.select("folded", F.col("one").alias("g")), "folded").select("id", "g")
-    apart = of.join(both, "g").select("id", "match_id", F.lit("near").alias("kind"), "similarity")
-    return exact.unionByName(apart).groupBy("id").agg(F.min(F.struct("match_id", "kind", "similarity")).alias("m")).select("id", "m.*")
+def _first_two(rows: DataFrame, key: Sequence[str], *more: str) -> DataFrame:
+    """For each key the row of the least id, and that of the least id with another skip: an array e of one or two."""
+    order = Window.partitionBy(*key).orderBy("e")
+    apart = rows.groupBy(*key, "_skip").agg(F.min(F.struct("id", "_skip", *more)).alias("e"))
+    return apart.withColumn("_nth", F.row_number().over(order)).where("_nth <= 2").groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+
+
+def first_match(sets: DataFrame, t: int = NEAR, within: Sequence[str] = (), skip: str | None = None) -> DataFrame:
+    """id, match_id, kind, similarity: the first other row in id order (of the same part of within) that is equal or near;
+    the earliest wins, not the best. Rows with the same value in the column `skip` are not compared.
+
+    A row's first match is the first row of its class or of those near, or the first with another skip: two rows a class
+    are kept, so groups of copies stay linear."""
+    key = [*within, *CLASS]
+    sets = stored(sets.where("k1 is not null").withColumn("_skip", F.col(skip or "id")).select("id", *key, "_skip", "toks"), "token-sets")
+    reps = stored(classes(sets, *within), "text-classes")
+    leads = stored(_first_two(sets, key).withColumnRenamed("e", "equal").join(reps.select(*key, "rep", "n"), key), "first-rows")
+    near = _near_reps(reps.where(F.size("toks") > 0), within, t)
+    both = near.union(near.select("b", "a", "similarity"))
+    around = both.join(leads.select(F.col("rep").alias("b"), F.inline("equal")), "b").select(F.col("a").alias("rep"), "id", "_skip", "similarity")
+    known = leads.join(_first_two(around, ["rep"], "similarity").withColumnRenamed("e", "near"), "rep", "left").drop("rep")
+    known = stored(known.where((F.size("equal") > 1) | F.col("near").isNotNull()), "class-matches")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    rows = lookup_join(sets.select("id", *key, F.col("_skip").alias("_mine")), known, key, "n", total)
+    apart = lambda x: x["_skip"] != F.col("_mine")
+    equal = F.transform(F.filter("equal", apart), lambda x: F.struct(x["id"].alias("match_id"), F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity")))
+    close = F.transform(F.filter("near", apart), lambda x: F.struct(x["id"].alias("match_id"), F.lit("near").alias("kind"), x["similarity"].alias("similarity")))
+    return rows.withColumn("m", F.array_min(F.concat(equal, F.coalesce(close, F.slice(equal, 1, 0))))).where("m is not null").select("id", "m.*")
 
 
 def best_match(sets: DataFrame, t: int = NEAR) -> DataFrame:
     """As first_match, but the most similar row, the earlier of ties."""
-    near = near_pairs(sets, t)
-    both = near.union(near.select("b", "a", "similarity"))
-    return both.groupBy("a").agg(F.max(F.struct("similarity", (-F.col("b")).alias("o"))).alias("m")).select(F.col("a").alias("id"), (-F.col("m.o")).alias("match_id"), F.col("m.similarity").alias("similarity"))
+    sets = stored(sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()).withColumn("_skip", F.col("id")), "token-sets")
+    reps = stored(classes(sets), "text-classes")
+    near = _near_reps(reps, (), t)
+    best = near.union(near.select("b", "a", "similarity")).groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b").alias("id"))).alias("near")).select(F.col("a").alias("rep"), "near")
+    known = _first_two(sets, CLASS).withColumnRenamed("e", "equal").join(reps.select(*CLASS, "rep", "n"), CLASS).join(best, "rep", "left")
+    known = stored(known.where((F.size("equal") > 1) | F.col("near").isNotNull()).drop("rep"), "class-matches")
+    rows = lookup_join(sets.select("id", *CLASS), known, CLASS, "n", reps.agg(F.sum("n")).first()[0] or 0)
+    copies = F.transform(F.filter("equal", lambda x: x["id"] != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("s"), x["id"].alias("id")))
+    m = F.least(F.array_min(copies), F.col("near"))
+    return rows.withColumn("m", m).select("id", F.col("m.id").alias("match_id"), (-F.col("m.s")).alias("similarity"))
 
 
 def bank_match(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
-    """id, match_id, kind, similarity: any equal row of the bank, else the first near one."""
-    b = bank.where("folded <> ''").groupBy("folded").agg(F.min("id").alias("match_id"))
-    exact = sets.join(b, "folded").select("id", "match_id", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
-    near = near_matches(sets.where("folded <> ''"), bank, t).groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.col("b").alias("match_id"), "similarity")).alias("m"))
-    late = near.join(exact, "id", "left_anti").select("id", "m.match_id", F.lit("near").alias("kind"), "m.similarity")
-    return exact.unionByName(late)
+    """id, match_id, kind, similarity: any equal row of the bank, else the first near one. Classes are matched on both sides."""
+    sets = stored(sets.where("k1 is not null").select("id", *CLASS, "toks"), "token-sets")
+    mine = stored(classes(sets), "text-classes")
+    known = stored(classes(bank).select(*CLASS, F.col("rep").alias("id"), "toks"), "bank-classes")
+    exact = mine.join(known.select(*CLASS, F.col("id").alias("match_id")), CLASS).select("rep", "match_id", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
+    near = near_matches(mine.select(F.col("rep").alias("id"), "toks"), known, t).groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("match_id"), "similarity")).alias("m"))
+    late = near.join(exact, "rep", "left_anti").select("rep", "m.match_id", F.lit("near").alias("kind"), "m.similarity")
+    found = stored(exact.unionByName(late).join(mine.select(*CLASS, "rep", "n"), "rep").drop("rep"), "bank-matches")
+    total = mine.agg(F.sum("n")).first()[0] or 0
+    return lookup_join(sets.select("id", *CLASS), found, CLASS, "n", total).select("id", "match_id", "kind", "similarity")
 
 
 def not_in_bank(candidates: DataFrame, bank: DataFrame, text_col: str, bank_col: str) -> DataFrame:

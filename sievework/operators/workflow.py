@@ -32,7 +32,7 @@ def checked(questions: DataFrame) -> DataFrame:
 
 def events(questions: DataFrame, now: Column) -> DataFrame:
     """An event for each written question."""
-    ms = F.unix_millis(now).cast("string")
+    ms = F.unix_millis(now.cast("timestamp")).cast("string")
     return questions.select(
         F.concat_ws("-", F.lit("event"), "id", "action", ms).alias("id"), "edition_id", F.col("id").alias("question_id"), F.col("updated_by").alias("actor_email"), "action", F.lit(None).cast("string").alias("notes"), now.alias("created_at")
     )

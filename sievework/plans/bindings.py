@@ -171,7 +171,7 @@ select id, match_id, kind, round(similarity, 9) as similarity from best where nt
 def bank_match(spark, sf):
     items = similarity.tokenized(t(spark, sf, "benchmark"), "item_id", "text")
     bank = similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text")
-    return similarity.bank_match(items, bank.where("folded <> ''")).withColumn("similarity", F.round("similarity", 9))
+    return similarity.bank_match(items, bank).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"select item_id from benchmark b where not exists (select 1 from documents d where lower({collapse_sql('d.text')}) = lower({collapse_sql('b.text')}))")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import text
-from sievework.operators import rules, similarity
+from sievework.operators import catalog, rules, similarity
+from sievework.session import stored
 
 TEXTS = ("prompt", "selectionMode", "instruction", "publicExplanation", "sourceReference", "groundingExcerpt", "reviewNotes")
 NAMES = {
@@ -54,17 +55,9 @@ def with_matches(items: DataFrame, bank: DataFrame) -> DataFrame:
     """items with batch_kind (first match among the other items of the batch) and bank_kind (exact before near).
 
     The first match goes by order; items of equal external id are not compared."""
-    keyed = items.withColumn("id", F.struct("batch_key", "ord"))
-    sets = similarity.tokenized(keyed, "id", "prompt").where("folded <> ''")
-    ids = keyed.select("id", "external_id")
-    near = similarity.near_pairs(sets.where(F.size("toks") > 0))
-    exact = similarity.exact_pairs(sets)
-    pairs = near.select("a", "b", F.lit("near").alias("k")).unionByName(exact.select("a", "b", F.lit("exact").alias("k")))
-    pairs = pairs.where(F.col("a.batch_key") == F.col("b.batch_key"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "k"))
-    named = both.join(ids.select(F.col("id").alias("a"), F.col("external_id").alias("xa")), "a").join(ids.select(F.col("id").alias("b"), F.col("external_id").alias("xb")), "b").where("xa <> xb")
-    # an exact pair is also near, if it has tokens: of the pair's kinds the least, exact, counts
-    first = named.groupBy("a").agg(F.min(F.struct(F.col("b.ord").alias("o"), "k")).alias("m")).select(F.col("a").alias("id"), F.col("m.k").alias("batch_kind"))
+    keyed = stored(items.withColumn("id", F.struct("batch_key", "ord")), "review-items")
+    sets = stored(similarity.tokenized(keyed, "id", "prompt", "batch_key", "external_id"), "review-tokens")
+    first = similarity.first_match(sets, within=["batch_key"], skip="external_id").select("id", F.col("kind").alias("batch_kind"))
     banked = similarity.bank_match(sets, similarity.tokenized(bank, "bank_id", "prompt")).select("id", F.col("kind").alias("bank_kind"))
     return keyed.join(first, "id", "left").join(banked, "id", "left").drop("id")
 
@@ -80,21 +73,35 @@ def reviewed(batches: DataFrame, bank: DataFrame, windows: DataFrame | None = No
     ).drop("issues")
 
 
+def to_questions(items: DataFrame, edition: str, source_document: str, author: str, imported_at: Column) -> DataFrame:
+    """Accepted items as published questions of the bank."""
+    qid = F.concat(F.lit("import-"), F.col("external_id"))
+    page = F.when(text.finite(F.col("page_start")), F.col("page_start")).otherwise(F.lit(1.0))
+    note = F.concat(F.lit("Imported from a reviewed batch ("), F.col("external_id"), F.lit(")."))
+    correct = F.transform("correct", lambda x: x.cast("int"))
+    return items.where("status = 'accepted'").select(
+        qid.alias("id"), F.lit(edition).alias("edition_id"), "chapter_id", catalog.week_of_chapter(F.col("chapter_id")).alias("week"), "prompt", "selection_mode", "instruction", F.lit(source_document).alias("source_document_id"),
+        page.alias("source_page"), F.coalesce(F.nullif("source_reference", F.lit("")), F.concat(F.lit("Pág. "), page.cast("long").cast("string"))).alias("source_reference"), F.col("public_explanation").alias("explanation"), "public_explanation",
+        F.lit("published").alias("status"), F.lit(True).alias("is_official_exam_eligible"), F.lit(False).alias("double_weight"), F.concat_ws(" ", F.nullif("review_notes", F.lit("")), note).alias("review_notes"),
+        F.lit(author).alias("created_by"), F.lit(author).alias("updated_by"), imported_at.alias("reviewed_at"), imported_at.alias("published_at"), catalog.built_options(qid, F.col("options"), correct).alias("options"),
+    )
+
+
 def batch_issues(batches: DataFrame, edition: str, source_document: str) -> DataFrame:
     """Issues of the batches themselves, a row an issue."""
     named = batches.select(
-        F.xxhash64("batchId", "chapterId", "sourceDocumentId").alias("batch_key"), F.trim("batchId").alias("batch_id"), F.trim("editionId").alias("edition_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.trim("sourceDocumentId").alias("source_document_id"), "questions"
+        F.xxhash64("batchId", "chapterId", "sourceDocumentId").alias("batch_key"), F.col("batchId").alias("batch_id"), F.trim("editionId").alias("edition_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.trim("sourceDocumentId").alias("source_document_id"), "questions"
     )
-    return rules.exploded(rules.evaluate(named, rules.batch_rules(edition, source_document)), "batch_key")
+    return rules.exploded(rules.evaluate(named, rules.batch_rules(edition, source_document)), "batch_key", "batch_id")
 
 
 def summary(items: DataFrame, of_batches: DataFrame) -> DataFrame:
     """Per batch: questions, accepted, rejected, warnings, errors (of batch and items)."""
-    own = of_batches.groupBy("batch_key").agg(F.count(F.lit(1)).alias("_own"))
-    per = items.groupBy("batch_key").agg(
+    own = of_batches.groupBy("batch_key", F.coalesce("batch_id", F.lit("")).alias("batch_id")).agg(F.count(F.lit(1)).alias("_own"))
+    per = items.groupBy("batch_key", F.coalesce("batch_id", F.lit("")).alias("batch_id")).agg(
         F.count(F.lit(1)).alias("questions"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.count_if(F.col("status") == "rejected").alias("rejected"), F.sum(F.size("warnings")).alias("warnings"), F.sum(F.size("errors")).alias("errors")
     )
-    both = per.join(own, "batch_key", "full_outer").fillna(0)
+    both = per.join(own, ["batch_key", "batch_id"], "full_outer").fillna(0)
     return both.withColumn("errors", F.col("errors") + F.col("_own")).drop("_own")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import text
 from sievework.operators import catalog, coverage, quiz, rules, similarity
+from sievework.session import stored
 
 #: Lead-ins that a rewrite drops, and the confidence of each kind of suggestion.
 LEAD_INS = ["seg[uú]n el manual,", "en el enfoque de sistema seguro,"]
@@ -70,24 +71,31 @@ def rewrites(questions: DataFrame, actor: str, now: Column) -> DataFrame:
     return _suggestions(changed, "rewrite", F.concat(F.lit("rewrite:"), F.col("id")), actor, now, **own)
 
 
+def _position(df: DataFrame) -> Column:
+    """The place of a row in its catalog; null where the table has none."""
+    return (F.col("position") if "position" in df.columns else F.lit(None)).cast("long").alias("position")
+
+
 def entities(questions: DataFrame, suggestions: DataFrame | None = None) -> DataFrame:
-    """Reviewable entities: questions, then suggestions with options, mode and instruction; ord is the peer order."""
-    q = questions.select(F.lit("question").alias("entity_type"), "id", "prompt", "instruction", "selection_mode", "source_reference", "status", F.transform("options", lambda o: F.struct(o["text"].alias("text"), o["is_correct"].alias("is_correct"))).alias("options"))
+    """Reviewable entities: questions, then suggestions with options, mode and instruction; `position` is the catalog order."""
+    q = questions.select(F.lit("question").alias("entity_type"), "id", _position(questions), "prompt", "instruction", "selection_mode", "source_reference", "status", F.transform("options", lambda o: F.struct(o["text"].alias("text"), o["is_correct"].alias("is_correct"))).alias("options"))
     if suggestions is None:
         return q
     ok = suggestions.where((F.col("suggestion_type") != "coverage_gap") & (F.size("suggested_options") > 0) & F.col("selection_mode").isNotNull() & (F.coalesce("instruction", F.lit("")) != ""))
     answers = F.col("suggested_correct_answers")
-    s = ok.select(F.lit("suggestion").alias("entity_type"), "id", "prompt", "instruction", "selection_mode", "source_reference", F.lit(None).cast("string").alias("status"), F.transform("suggested_options", lambda o, i: F.struct(o.alias("text"), F.array_contains(answers, i).alias("is_correct"))).alias("options"))
+    s = ok.select(F.lit("suggestion").alias("entity_type"), "id", _position(ok), "prompt", "instruction", "selection_mode", "source_reference", F.lit(None).cast("string").alias("status"), F.transform("suggested_options", lambda o, i: F.struct(o.alias("text"), F.array_contains(answers, i).alias("is_correct"))).alias("options"))
     return q.unionByName(s)
 
 
 def diagnosed(ents: DataFrame, with_source: bool = True) -> DataFrame:
-    """A row a diagnostic: entity, ord, category (code), severity, title (message), id. First matches go by entity order:
-    questions before suggestions, then id."""
-    keyed = ents.withColumn("_key", F.struct("entity_type", "id"))
-    sets = similarity.tokenized(keyed, "_key", "prompt").where("folded <> ''")
-    match = similarity.first_match(sets).select(F.col("id").alias("_key"), F.col("kind").alias("match_kind"))
-    checked = rules.evaluate(keyed.join(match, "_key", "left").drop("_key"), rules.diagnostic_rules(with_source))
+    """A row a diagnostic: entity, ord, category (code), severity, title (message), id. First matches go by peer order:
+    questions before suggestions, then catalog order, then id. A peer of the same id is skipped, whatever its type."""
+    keyed = stored(ents.withColumn("_key", F.struct("entity_type", "position", "id")), "entities")
+    sets = similarity.tokenized(keyed.withColumnRenamed("id", "_own"), "_key", "prompt", "_own")
+    match = similarity.first_match(sets, skip="_own").select(F.col("id").alias("_key"), F.col("kind").alias("match_kind"))
+    matched = match.select(F.col("_key.entity_type").alias("_type"), F.col("_key.id").alias("_mid"), "match_kind")
+    joined = keyed.join(matched, (F.col("entity_type") == F.col("_type")) & (F.col("id") == F.col("_mid")), "left")
+    checked = rules.evaluate(joined.drop("_key", "_type", "_mid"), rules.diagnostic_rules(with_source))
     flat = rules.exploded(checked, "entity_type", "id", "source_reference")
     return flat.withColumn("diagnostic_id", rules.diagnostic_id(F.col("entity_type"), F.col("id"), F.col("code"), F.col("message"))).drop("source_reference")
 
@@ -132,11 +140,12 @@ def drafts(suggestions: DataFrame, actor: str) -> DataFrame:
         & (F.coalesce("instruction", F.lit("")) != "") & (F.size("suggested_options") >= 2) & (F.size("suggested_correct_answers") > 0)
     )
     qid = F.coalesce("target_question_id", text.slug(F.concat(F.lit("ai-"), F.col("id"))))
-    return suggestions.where(ok).select(
-        qid.alias("id"), "edition_id", "chapter_id", F.lit(1).alias("week"), "prompt", "selection_mode", "instruction", "source_document_id", F.lit(1).alias("source_page"), "source_reference",
+    # a column of its own: inside the options' function, the name id would mean the new id
+    return suggestions.where(ok).withColumn("_qid", qid).select(
+        F.col("_qid").alias("id"), "edition_id", "chapter_id", F.lit(1).alias("week"), "prompt", "selection_mode", "instruction", "source_document_id", F.lit(1).alias("source_page"), "source_reference",
         F.col("public_explanation").alias("explanation"), "public_explanation", F.lit("draft").alias("status"), F.lit(False).alias("is_official_exam_eligible"), F.lit(False).alias("double_weight"), "review_notes",
         F.lit(actor).alias("created_by"), F.lit(actor).alias("updated_by"), F.lit(None).cast("timestamp").alias("reviewed_at"), F.lit(None).cast("timestamp").alias("published_at"),
-        catalog.built_options(qid, F.col("suggested_options"), F.col("suggested_correct_answers")).alias("options"),
+        catalog.built_options(F.col("_qid"), F.col("suggested_options"), F.col("suggested_correct_answers")).alias("options"),
     )
 
 
@@ -176,6 +185,12 @@ def pilot_items(chunks: DataFrame, questions: DataFrame, kind: str, n: int) -> t
     return chunks.where("candidate is not null").orderBy("id").limit(new), questions.where("status <> 'archived'").orderBy("id").limit(old)
 
 
+def workspace(suggestions: DataFrame, runs: DataFrame, chunks: DataFrame, edition: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suggestions (last updated first), runs (newest first) and prepared chunks of an edition."""
+    mine = F.col("edition_id") == edition
+    return suggestions.where(mine).orderBy(F.col("updated_at").desc_nulls_first()), runs.where(mine).orderBy(F.col("created_at").desc_nulls_first()), chunks.where(mine)
+
+
 def seeded_chunks(questions: DataFrame) -> DataFrame:
     """First, middle and last page of each chapter's reviewed questions, as chunks."""
     picked = quiz.first_middle_last(questions, "chapter_id", "source_page", "id")

@@ -1,10 +1,12 @@
-"""Session settings used by the tests, the bench and local work."""
+"""Session settings used by the tests, the bench and local work, and tables between stages."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | None = None, app: str = "sievework") -> SparkSession:
@@ -21,3 +23,27 @@ def local_session(cores: int | None = None, app: str = "sievework") -> SparkSess
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder path under spark.checkpoint.dir. Where that is unset, a local session (one machine, as in tests) gets a
+    folder of its own, and a cluster an error: its executors share no local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own.get(context.applicationId) or tempfile.mkdtemp(prefix="sievework-")
+        _own[context.applicationId] = base
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: later stages start from files that all executors see."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
