@@ -1,16 +1,30 @@
 """Main text of web pages, with site templates removed.
 
 Every block element's subtree is hashed (tags and text, without attributes). Spark counts on how many pages of its
-host each hash stands; subtrees that recur on many pages of the host are deleted, together with what markup itself
-declares to be no article: menus, headers, footers, asides, forms, adverts, notices, comments, scripts. Where a page
-marks its article, only the article counts, and a subtree of running text in it (paragraphs, headings, lists)
-is not deleted for recurring, as copies of an article are no template. Nor are containers with running text, if what
-recurs of it is more than a small part of the article (ARTICLE_SHARE) or, where no article is marked, at least half of
-the page's text (PAGE_SHARE): then the page is a copy, and only recurring containers without running text are deleted.
+host each hash stands, and subtrees that recur on many pages of the host are deleted: menus, notices, adverts and
+footers go by recurring, whatever they are called. What recurs follows the number of pages: at least MIN_PAGES, half of
+the host's pages up to FULL_PAGES, and MIN_SHARE of them; so hosts of fewer than MIN_PAGES pages have no templates.
+
+Besides, what HTML itself declares to be no article goes (nav, footer, aside, forms, dialogs, hidden elements, roles,
+scripts), and elements whose class names say so: by any word of the class or id of a container outside an article, and
+inside a marked article by whole class names of adverts, comments and the like only. Ids and classes of headings and
+paragraphs decide nothing. Where a page marks its article, only the article counts. Forms that hold more than half of
+the text of a page without a marked article are the page itself, and stay.
+
+Copies of articles are no template: in a marked article, running text (paragraphs, headings, lists) is not deleted for
+recurring, nor are containers with running text, if what recurs of it is more than a small part of the article
+(ARTICLE_SHARE) or, where no article is marked, at least half of the page's text (PAGE_SHARE): then the page is a copy,
+and only recurring containers without running text are deleted.
+
+Scale: the templates of a host are as many as its pages have in common, not as its pages; up to MOST_TEMPLATES of all hosts
+they are broadcast, and no html is shuffled. Beyond, pages meet their own templates by a shuffle; those that stand on
+more than 1 / HOT_PARTS of all subtrees, fewer than HOT_PARTS, are broadcast, so that a template of a large host is
+no hot key.
 
 Edge cases: null html is an empty page with empty text; a null or odd url is a host of its own kind (''); unclosed and
 stray tags end with their parents; the hash counts each page of a host once, repeated rows count as pages; a page cut
-off in the middle gives the text it has; an empty table gives no rows.
+off in the middle gives the text it has; null and repeated ids are kept; an empty table gives no rows; further columns
+are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import row_key, stored
+from sievework.llm.common import row_key, sized, stored
 
-#: A subtree recurs if it stands on so many pages of the host, and on such a share of them.
-MIN_PAGES, MIN_SHARE = 10, 0.05
+#: A subtree recurs if it stands on so many pages of the host (at least, and half of them up to), and on such a share.
+MIN_PAGES, FULL_PAGES, MIN_SHARE = 3, 10, 0.05
+#: Templates up to which all are broadcast (16 bytes and the host's name each), and the bound on hot ones beyond.
+MOST_TEMPLATES, HOT_PARTS = 200_000, 2_000
 #: Recurring running text is the page's own from such a share of the article's text, or of a page's without article.
 ARTICLE_SHARE, PAGE_SHARE = 0.2, 0.5
 #: Words of a block that make it running text whatever its element.
@@ -40,33 +56,52 @@ BLOCKS = set(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul head".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math object canvas audio video noembed noframes xmp".split())
-CHROME = set("nav footer aside form button select dialog menu search datalist".split())
+RAW = set("script style title textarea template iframe svg noembed noframes".split())
+CHROME = set("nav footer aside button select dialog menu search datalist".split())
 PROSE = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table tbody thead tfoot tr figure figcaption caption".split())
 RUNNING = set("p blockquote pre".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words in class and id of elements that hold no article text.
+#: Words in class and id of containers, outside articles, that hold no article text.
 CHROME_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup "
     "modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond reply replies share sharing social "
-    "related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar masthead skip".split()
+    "related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar masthead skip header topbar".split()
 )
-
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+>|[^>]*(?:>|\Z))", re.S
+#: Whole names in class (and in the id of a container) that also hold inside an article.
+INSIDE_NAMES = set(
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-wrapper ad-banner sponsored promo banner cookie-notice cookie-banner "
+    "cookie-consent sidebar side-bar comments comment-list comments-area comment-section reader-comments disqus_thread respond reply replies share sharing share-buttons "
+    "social social-share related related-posts related-articles recommended newsletter newsletter-signup subscribe signup breadcrumb breadcrumbs pagination widget".split()
 )
+CONTAINERS = BLOCKS - set("p h1 h2 h3 h4 h5 h6 html body article main".split()) | {"span", "ins"}
+
+_OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _LETTERS = re.compile(r"[a-z]+")
 
 
+def tag_end(page: str, at: int) -> int:
+    """The place after the > that ends the tag whose name ends at a place. Quoted values may hold any > and any length;
+    a value whose quote never ends is taken as if it had none."""
+    i = at
+    while stop := _STOP.search(page, i):
+        if not stop[1]:
+            return stop.end()
+        i = page.find(stop[1], stop.end()) + 1
+        if not i:
+            break
+    return (page.find(">", at) + 1) or len(page)
+
+
 class _Open:
     """An open element."""
 
-    __slots__ = ("chrome", "content", "digest", "name", "running", "seen", "start")
+    __slots__ = ("chrome", "content", "digest", "form", "name", "running", "seen", "start")
 
-    def __init__(self, name: str, chrome: bool, content: bool, start: int):
-        self.name, self.chrome, self.content, self.start = name, chrome, content, start
+    def __init__(self, name: str, chrome: bool, content: bool, form: bool, start: int):
+        self.name, self.chrome, self.content, self.form, self.start = name, chrome, content, form, start
         self.digest, self.seen = hashlib.blake2b(name.encode(), digest_size=8), False
         self.running = False
 
@@ -77,7 +112,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 def declared_chrome(name: str, attributes: dict[str, str], in_content: bool) -> bool:
     """Whether markup says that an element holds no article text."""
-    if name in CHROME or (name == "header" and not in_content):
+    if name in CHROME or (name in ("header", "noscript") and not in_content):
         return True
     if not attributes or name in ("html", "body"):
         return False
@@ -85,14 +120,16 @@ def declared_chrome(name: str, attributes: dict[str, str], in_content: bool) ->
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
-    names = set(_LETTERS.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    return bool(names & CHROME_NAMES) or (bool(names & {"header", "topbar"}) and not in_content)
+    if name not in CONTAINERS:
+        return False
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    return bool(set(names.split()) & INSIDE_NAMES if in_content else set(_LETTERS.findall(names)) & CHROME_NAMES)
 
 
-def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str, bool]], marked: bool) -> set[int]:
+def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str, bool, bool]], marked: bool) -> set[int]:
     """The blocks to delete; found has the recurring subtrees: first block, end, name, whether they hold running text."""
-    found = [(a, b, name, running or any(len(x.split()) >= LONG_BLOCK for x, _ in blocks[a:b])) for a, b, name, running in found]
-    sizes = [len(x) if inside or not marked else 0 for x, inside in blocks]
+    found = [(a, b, name, running or any(len(x.split()) >= LONG_BLOCK for x, _, _ in blocks[a:b])) for a, b, name, running in found]
+    sizes = [len(x) if inside or not marked else 0 for x, inside, _ in blocks]
     held = {i for a, b, _, running in found if running for i in range(a, b)}
     share = ARTICLE_SHARE if marked else PAGE_SHARE
     if held and sum(sizes[i] for i in held) >= share * sum(sizes):
@@ -100,10 +137,17 @@ def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str,
     return {i for a, b, _, _ in found for i in range(a, b)}
 
 
+def _forms(blocks: list[tuple[str, bool, bool]], marked: bool) -> set[int]:
+    """The blocks of forms, unless they are the page: more than half of the text where no article is marked."""
+    forms = {i for i, (_, _, form) in enumerate(blocks) if form}
+    page_wide = not marked and 2 * sum(len(blocks[i][0]) for i in forms) > sum(len(x) for x, _, _ in blocks)
+    return set() if page_wide else forms
+
+
 def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], set[int]]:
     """The blocks of the main text, and the hashes of the subtrees that may be deleted for recurring."""
     stack: list[_Open] = []
-    blocks: list[tuple[str, bool]] = []  # with whether the article holds it
+    blocks: list[tuple[str, bool, bool]] = []  # with whether the article holds it, and whether a form does
     buffer: list[str] = []
     hashes: set[int] = set()
     found: list[tuple[int, int, str, bool]] = []
@@ -114,7 +158,7 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, bool(stack) and stack[-1].content))
+                blocks.append((text, bool(stack) and stack[-1].content, bool(stack) and stack[-1].form))
 
     def close() -> None:
         top = stack.pop()
@@ -158,15 +202,18 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
 
     at, end = 0, len(page)
     while at < end:
-        tag = _TAG.search(page, at)
+        tag = _OPENING.search(page, at)
         if tag is None:
             text(page[at:])
             break
         text(page[at : tag.start()])
-        at = tag.end()
         name = tag[2]
         if not name:
+            mark = "-->" if tag[0] == "<!--" else ">"
+            at = page.find(mark, tag.start() + 2)
+            at = end if at < 0 else at + len(mark)
             continue
+        at = tag_end(page, tag.end())
         name = name.lower()
         if tag[1]:
             stop = set() if name in BLOCKS and name != "p" else BLOCKS - {name}
@@ -185,11 +232,11 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
                 flush()
             continue
         if name in RAW:
-            if not tag[0].endswith("/>"):
+            if page[at - 2] != "/":
                 stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
-        attributes = _attributes(tag[3][:-1])
+        attributes = _attributes(page[tag.end() : at].removesuffix(">"))
         root = name in ("article", "main") or attributes.get("role") == "main" or attributes.get("itemprop") == "articleBody"
         if name in BLOCKS:
             if name not in ("html", "head", "body") and opened({"p"}, {"table", "button"}):
@@ -204,15 +251,16 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
         if root and not chrome and stack and stack[-1].chrome and not in_content:
             while stack and stack[-1].name not in ("html", "body"):  # an element left open before the article
                 close()
+        form = name == "form" or (bool(stack) and stack[-1].form and not root)
         inherited = bool(stack) and stack[-1].chrome
         content = in_content or (root and not chrome and not inherited)
         marked |= content
-        stack.append(_Open(name, chrome or inherited, content, len(blocks)))
+        stack.append(_Open(name, chrome or inherited, content, form, len(blocks)))
     flush()
     while stack:
         close()
-    gone = _recurring(found, blocks, marked) if found else ()
-    return [b for i, (b, inside) in enumerate(blocks) if (inside or not marked) and i not in gone], hashes
+    gone = _forms(blocks, marked) | (_recurring(found, blocks, marked) if found else set())
+    return [b for i, (b, inside, _) in enumerate(blocks) if (inside or not marked) and i not in gone], hashes
 
 
 def host_of(url: str) -> object:
@@ -230,25 +278,35 @@ def main_text(pages: pd.Series, drops: pd.Series) -> pd.Series:
 
 
 def recurring(hashed: DataFrame) -> DataFrame:
-    """host, hash of the subtrees that recur; hashed has a row a page: host, hashes."""
+    """host, hash, n (pages) of the subtrees that recur; hashed has a row a page: host, hashes."""
     pages = hashed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = hashed.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_PAGES)
-    return counts.join(pages, "host").where(F.col("n") >= MIN_SHARE * F.col("pages")).select("host", "hash")
+    enough = (F.col("n") >= F.least(F.lit(FULL_PAGES), F.col("pages") / 2)) & (F.col("n") >= MIN_SHARE * F.col("pages"))
+    return counts.join(sized(pages, MOST_TEMPLATES), "host").where(enough).select("host", "hash", "n")
+
+
+def with_drops(rows: DataFrame, hashed: DataFrame, sites: DataFrame) -> DataFrame:
+    """rows with drops: the recurring hashes of the host, or of the page where hosts have too many to broadcast them."""
+    if sites.count() <= MOST_TEMPLATES:
+        of_host = sites.groupBy("host").agg(F.collect_set("hash").alias("drops"))
+        return rows.join(F.broadcast(of_host), "host", "left")
+    flat = hashed.select("_id", "_th", "host", F.explode("hashes").alias("hash"))
+    hot = F.broadcast(sites.where(F.col("n") * HOT_PARTS > flat.count()).select("host", "hash"))
+    met = flat.join(hot, ["host", "hash"]).unionByName(flat.join(hot, ["host", "hash"], "left_anti").join(sites.join(hot, ["host", "hash"], "left_anti").select("host", "hash"), ["host", "hash"]))
+    drops = met.groupBy("_id", "_th", "host").agg(F.collect_set("hash").alias("drops"))
+    drops = stored(drops.withColumnsRenamed({"_id": "_i", "_th": "_t", "host": "_h"}), "drops")
+    here = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")) & (F.col("host") == F.col("_h"))
+    return rows.join(drops, here, "left")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The id, the url and the main text of each row."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", templates: bool = True) -> DataFrame:
+    """The id, the url and the main text of each row; without `templates`, recurring subtrees stay."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
     rows = row_key(rows, "_id", "_html").withColumn("host", host_of("_url"))
-    hashed = stored(rows.select("_id", "_th", "host", subtree_hashes("_html").alias("hashes")), "subtrees")
-    sites = stored(recurring(hashed), "templates")
-    drops = (
-        hashed.select("_id", "_th", "host", F.explode("hashes").alias("hash"))
-        .join(sites, ["host", "hash"])
-        .groupBy("_id", "_th", "host")
-        .agg(F.collect_set("hash").alias("drops"))
-    )
-    drops = stored(drops.withColumnsRenamed({"_id": "_i", "_th": "_t", "host": "_h"}), "drops")
-    here = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")) & (F.col("host") == F.col("_h"))
-    done = rows.join(drops, here, "left").select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), main_text("_html", "drops").alias("text"))
+    if templates:
+        hashed = stored(rows.select("_id", "_th", "host", subtree_hashes("_html").alias("hashes")), "subtrees")
+        rows = with_drops(rows, hashed, stored(recurring(hashed), "templates"))
+    else:
+        rows = rows.withColumn("drops", F.lit(None).cast("array<long>"))
+    done = rows.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), main_text("_html", "drops").alias("text"))
     return done.withColumn("n_chars", F.length("text").cast("long"))
