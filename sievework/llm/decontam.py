@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id",
 
 def ranked_terms(wins: DataFrame, index: DataFrame) -> DataFrame:
     """wid, len, rank (0: rarest in the corpus), term, place of the windows that can occur at all."""
-    counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = sized(stored(index.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts"), MOST_TERMS)
     flat = wins.select("wid", "phrase").distinct().select("wid", F.size("phrase").alias("len"), F.posexplode("phrase").alias("place", "term"))
     known = flat.join(counts, "term").groupBy("wid", "len").agg(F.array_sort(F.collect_list(F.struct("n", "term", "place"))).alias("by_n"))
     return known.where(F.size("by_n") == F.col("len")).select("wid", "len", F.posexplode("by_n").alias("rank", "a")).select("wid", "len", "rank", "a.term", "a.place")
