@@ -2,39 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.session import shared_dir, stored  # noqa: F401  (the operators' way to both)
+
 #: A word of the licence and benchmark operators, in text whose A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word of the size, shingle and line operators: no ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path under spark.checkpoint.dir; where that is unset (tests), under a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="sievework-")
-        _own[app] = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later stages start from files that all executors see."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def sized(df: DataFrame, most: int) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

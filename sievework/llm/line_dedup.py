@@ -11,8 +11,8 @@ adds the increments to these entries and leaves all other lines, by far the most
 documents drops the frequent lines, except in the last document that holds them.
 
 Skew: a line of a third of all documents is one row a task after the map side count. Its holders are found through a
-broadcast of the frequent lines, if these are few; else only of those that stand in more than 1 / HOT_PARTS of all
-(line, document) pairs, of which there are fewer than HOT_PARTS, and all other lines are joined by a shuffle.
+broadcast of the frequent lines, if these are few; else only of those that stand in a large share of all (line, document)
+pairs, of which there are few by the share, and all other lines are joined by a shuffle (see `lookup_join`).
 
 Edge cases: a null or empty text is one empty line; a line counts once for each doc_id that holds it, however many rows
 have that id; all rows without an id count as one document, which is before any other (a line held by it alone keeps
@@ -28,11 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import ascii_lower, shared_dir, stored, whole
+from sievework.operators.skew import lookup_join
 
 MIN_CHARS, MIN_DOCS = 40, 5
 BATCHES, FAN_IN = 3, 2
-#: Frequent lines up to which all of them are broadcast (32 bytes each), and the bound on hot lines beyond.
-MOST_LINES, HOT_PARTS = 200_000, 5_000
 BLANKS = " \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
 
@@ -119,16 +118,6 @@ def merged(runs: list[DataFrame]) -> DataFrame:
     return _union(runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("again").alias("again"))
 
 
-def held_frequent(flat: DataFrame, frequent: DataFrame, pairs: int, n_lines: int) -> DataFrame:
-    """The rows of flat (_id, _th, h1, h2) whose line is frequent, with last_doc. See Skew above."""
-    if n_lines <= MOST_LINES:
-        return flat.join(F.broadcast(frequent), KEY)
-    is_hot = F.col("n_docs") * HOT_PARTS > pairs
-    hot = F.broadcast(frequent.where(is_hot))
-    cold = flat.join(hot.select(*KEY), KEY, "left_anti").join(frequent.where(~is_hot), KEY)
-    return flat.join(hot, KEY).unionByName(cold)
-
-
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """docs with _kept (the text without the dropped lines), _n_lines and _n_dropped added."""
     spark = docs.sparkSession
@@ -147,7 +136,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = stored(runs.frequent(), "frequent-lines")
     pairs = held.agg(F.sum(F.size("_lines"))).first()[0] or 0
     drops = (
-        held_frequent(flat, frequent, pairs, frequent.count())
+        lookup_join(flat, frequent, KEY, "n_docs", pairs)
         .where(~F.col("_id").eqNullSafe(F.col("last_doc")))
         .groupBy("_id", "_th")
         .agg(F.collect_set(F.struct(*KEY)).alias("_drop"))

@@ -15,8 +15,8 @@ follow it. A pair at the threshold t shares no band with chance (1 - t^rows)^ban
 at 85 %, 36 of 5 at 80 %.
 
 Edge cases: texts without words have an empty set, a component of their own, and are linked with nothing; texts of
-fewer than 5 words are one shingle; rows of one doc_id are one document (if their texts differ, they fall into one
-component); rows without a doc_id take no part, have a null component and are kept; an empty table gives no rows.
+fewer than 5 words are one shingle; rows of one doc_id are one document (if their texts differ, each text is compared,
+and all that they are linked with falls into one component); rows without a doc_id take no part, have a null component and are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.common import ascii_lower, row_key, stored, whole
+from sievework.operators.skew import lookup_join
 
 SHINGLE = 5
 #: Links need 100 * intersection >= percent * union; this is the percent where a caller names none.
@@ -222,20 +223,24 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(left, "a").join(right, "b").where(_linked(percent)("ta", "tb")).select("a", "b")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, comp of all nodes of the links (a, b): the least node that each can reach. Least labels spread over
-    links and are followed to their own labels; each round is written to the shared folder, until nothing changes."""
+def components(links: DataFrame) -> DataFrame:
+    """node, comp of all nodes of the links (a, b): the least node that each can reach.
+
+    Each round a node takes the least label of its neighbours, the node that its old label names takes it as well, and
+    labels are followed one step; so chains shrink by a factor a round, not by a link. Rounds go on, each written to the
+    shared folder, until nothing changes."""
     both = stored(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        spread = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "c").alias("new"), F.col("comp").alias("old"))
+        seen = labels.join(near, labels["node"] == near["a"]).select("node", F.col("comp").alias("old"), F.least("comp", "c").alias("c"))
+        hooks = seen.where("c < old").select(F.col("old").alias("node"), F.lit(None).cast("long").alias("old"), "c")
+        hooked = seen.unionByName(hooks).groupBy("node").agg(F.max("old").alias("old"), F.min("c").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("comp").alias("far"))
-        moved = stored(spread.join(jump, "new").select("node", F.least("new", "far").alias("comp"), "old"), "labels")
+        moved = stored(hooked.join(jump, "new").select("node", F.least("new", "far").alias("comp"), "old"), "labels")
         labels = moved.select("node", "comp")
         if not moved.where("comp <> old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def joined_up(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -405,17 +410,42 @@ def rest_links(spanning: DataFrame, sigs: DataFrame, percent: int = PERCENT) ->
     return dealt.groupBy(slot).applyInPandas(lambda pdf: _blocks(pdf, percent), "a long, b long").distinct()
 
 
+def class_members(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets: (node, _id, _th of the first member) and members (_id, _th, node).
+
+    A class is named by its least doc_id. A doc_id that is the least of several classes names one of them; the others
+    are named by a hash, until the rows of that doc_id join them. The class of a row is looked up by the set's key; classes
+    of many copies are split off, so that they meet in no task."""
+    first = stored(sets.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_th")).alias("first"), F.count(F.lit(1)).alias("m")), "set-classes")
+    leads = first.groupBy("first._id").agg(F.min("first._th").alias("_lead"))
+    named = first.select("k1", "k2", "m", "first.*").join(leads, "_id")
+    node = F.when(F.col("_th") == F.col("_lead"), F.col("_id")).otherwise(F.xxhash64(F.lit("class"), "_id", "_th"))
+    classes = stored(named.select("k1", "k2", "m", "_id", "_th", node.alias("node")), "classes")
+    total = classes.agg(F.sum("m")).first()[0] or 0
+    members = lookup_join(sets.select("_id", "_th", "k1", "k2"), classes.select("k1", "k2", "m", "node"), ["k1", "k2"], "m", total)
+    return classes.select("node", "_id", "_th"), stored(members.select("_id", "_th", "node").distinct(), "members")
+
+
+def several_ids(own: DataFrame) -> DataFrame:
+    """_id, least (component) of the ids that stand in more than one component; own: _id, comp."""
+    return own.groupBy("_id").agg(F.min("comp").alias("least"), F.max("comp").alias("_most")).where("least <> _most").select("_id", "least")
+
+
+def named_by_ids(comps: DataFrame, classes: DataFrame) -> DataFrame:
+    """comps (node, comp) with each component named by the least doc_id of its classes, where a hash had named it."""
+    ids = comps.join(classes, "node").groupBy("comp").agg(F.min("_id").alias("least")).where("comp <> least")
+    return stored(comps.join(ids, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp")), "components")
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row of docs: the id, n_shingles, component_id, kept (and _th, a hash of the text). Sets of which percent is shared are linked."""
     rows = row_key(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     table = stored(signed(rows, percent), "signatures")
     sets = table.where("n > 0 and _id is not null")
-    classes = sets.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_th")).alias("first"))
-    members = stored(sets.select("_id", "_th", "k1", "k2").join(classes, ["k1", "k2"]).select("_id", "_th", F.col("first._id").alias("node"), F.col("first._th").alias("node_th")).distinct(), "members")
-    heads = members.where("_id = node and _th = node_th").select(F.col("node").alias("_n"), F.col("_th").alias("_t"))
+    classes, members = class_members(sets)
+    heads = classes.select(F.col("_id").alias("_n"), F.col("_th").alias("_t"), "node")
     of_head = (F.col("_id") == F.col("_n")) & (F.col("_th") == F.col("_t"))
-    # a doc_id that leads several classes has several signatures; each stands in the buckets under that id
-    sigs = stored(table.join(heads, of_head, "left_semi").dropDuplicates(["_id", "_th"]).select(F.col("_id").alias("node"), "_th", "n", "sig", "keys"), "class-signatures")
+    sigs = stored(table.where("n > 0").join(heads, of_head).dropDuplicates(["node"]).select("node", "n", "sig", "keys"), "class-signatures")
 
     flat = sigs.select("node", "n", F.posexplode("keys").alias("band", "key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
@@ -424,9 +454,8 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     buckets = stored(buckets, "buckets")
     hubs = buckets.groupBy("key").agg(*hubs)
     grouped = stored(buckets.select("node").distinct(), "grouped")
-    sig_of = stored(sigs.join(grouped, "node", "left_semi").groupBy("node").agg(F.min_by("sig", "_th").alias("sig"), F.min("_th").alias("_t")), "grouped-signatures")
-    picked = sig_of.select(F.col("node").alias("_n"), "_t")
-    texts = stored(rows.join(picked, of_head, "left_semi").dropDuplicates(["_id"]).select(F.col("_id").alias("node"), ascii_lower(whole(F.col("_text"))).alias("text")), "texts")
+    sig_of = stored(sigs.join(grouped, "node", "left_semi").select("node", "sig"), "grouped-signatures")
+    texts = stored(rows.join(heads.join(grouped, "node", "left_semi"), of_head).dropDuplicates(["node"]).select("node", ascii_lower(whole(F.col("_text"))).alias("text")), "texts")
 
     comps = stored(grouped.withColumn("comp", F.col("node")), "components")
     tried: list[DataFrame] = []
@@ -455,8 +484,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     own = members.join(comps, "node", "left").select("_id", F.coalesce("comp", "node").alias("comp"))
     several = stored(own.groupBy("_id").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("a", "b").distinct(), "several")
     if several.limit(1).count():
-        ends = several.select(F.col("a").alias("node")).union(several.select("b")).union(members.select("node")).distinct()
-        comps = joined_up(ends.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), several)
+        between = own.join(several_ids(own), "_id").select(F.col("comp").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        ends = several.select(F.col("a").alias("node")).union(several.select("b")).union(classes.select("node")).distinct()
+        comps = joined_up(ends.join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), stored(between, "same-id"))
+        comps = named_by_ids(comps, classes)
 
     named = members.join(comps, "node", "left").select(F.col("_id").alias("_n"), F.col("_th").alias("_t"), F.coalesce("comp", "node").alias("component_id"))
     out = table.select("_id", "_th", "n").join(named, of_head, "left").withColumn("component_id", F.coalesce("component_id", "_id"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.llm import decontam, html_text, licenses, line_dedup, matroska, mixing, near_dup, pii, quality, warc
+from sievework.operators import skew
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -338,8 +339,8 @@ def test_line_dedup(docs, texts, empty_docs, monkeypatch):
     assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == brute_lines(texts)
     assert got.where("_n_dropped > 0").count() > 0 and "host" in got.columns
     assert not line_dedup.drop_repeated_lines(empty_docs).count()
-    monkeypatch.setattr(line_dedup, "MOST_LINES", 0)  # beyond the bound of the broadcast: hot and cold lines
-    monkeypatch.setattr(line_dedup, "HOT_PARTS", 50)
+    monkeypatch.setattr(skew, "MOST_ROWS", 0)  # beyond the bound of the broadcast: hot and cold lines
+    monkeypatch.setattr(skew, "HOT_PARTS", 50)
     got = line_dedup.drop_repeated_lines(docs).withColumn("sha", F.sha2("_kept", 256))
     assert rows(got, "doc_id", "_n_lines", "_n_dropped", "sha") == brute_lines(texts)
 
@@ -431,6 +432,24 @@ def test_near_duplicates_in_large_groups(spark):
     assert rows(near_dup.cluster(df), "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts)
 
 
+def test_texts_of_one_id_are_all_compared(spark):
+    """Doc 5 leads two classes; what is near either of its texts joins it. A chain of ids with several texts joins as well."""
+    a, b, c = ([f"{x}{i}" for i in range(120)] for x in "abc")
+    near = lambda w: " ".join([*w[:60], "other", *w[61:]])
+    texts = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (11, " ".join(c)), (12, near(c)), (12, near(b)), (20, " ".join(a[:60])), (3, "one two")]
+    got = near_dup.cluster(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(texts)
+    assert {r["component_id"] for r in got.collect()} == {3, 5, 20}
+
+
+def test_components_of_long_chains(spark):
+    """A chain in an unlucky order, which a link a round would need hundreds of rounds for, and some small components."""
+    order = sorted(range(400), key=lambda i: (i * 7919) % 401)
+    links = [*zip(order, order[1:]), (1000, 1001), (1002, 1001), (2000, 2001)]
+    got = {r["node"]: r["comp"] for r in near_dup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(400), 0) | dict.fromkeys((1000, 1001, 1002), 1000) | dict.fromkeys((2000, 2001), 2000)
+
+
 def test_blocks_join_all_that_is_linked_across_components(spark, monkeypatch):
     import numpy as np
 
