@@ -31,7 +31,7 @@ from sievework.llm.common import TOKEN, stored, whole
 
 MAX_REPEATS = 3
 #: Documents of a range of shuffle keys, about, and the most ranges.
-RANGE_ROWS, MOST_RANGES = 100_000, 1 << 20
+RANGE_ROWS, MOST_RANGES = 1_000, 1 << 20
 #: Ranges of virtual time, and words that are sorted as rows in the end.
 RANGES, LAST_WORDS = 1024, 100_000
 
