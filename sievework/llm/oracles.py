@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from sievework.llm import decontam, licenses
 
 ORACLES: dict[str, str] = {}
@@ -62,7 +64,8 @@ from p left join f on p.html = f.html
 
 def _template_rows() -> str:
     rows = [(label, text, "true") for text, label in licenses.BASE.items()] + [(label, text, "false") for label, text in licenses.NOTICES]
-    return ", ".join(f"({i}, '{label}', '{text}', {base})" for i, (label, text, base) in enumerate(rows))
+    bare = [(label, " ".join(re.findall("[a-z0-9]+", text.lower())), base) for label, text, base in rows]
+    return ", ".join(f"({i}, '{label}', '{text}', {base})" for i, (label, text, base) in enumerate(bare))
 
 
 ORACLES["op2_license_scan"] = f"""
@@ -71,13 +74,17 @@ g as (select tid, label, base, k, len(w) - k + 1 as n_grams, s as tpos, array_to
 d as (select doc_id, {words_sql('text')} as w from documents),
 r as (select doc_id, pos, array_to_string(w[pos + 1:pos + k], ' ') as gram, k from (select doc_id, w, unnest(range(len(w))) as pos from d), (values (2), (3)) ks(k)),
 v as (select doc_id, tid, label, base, n_grams, pos - tpos as diagonal, tpos from r join g on r.gram = g.gram and r.k = g.k group by all),
-by_d as (select doc_id, tid, label, base, n_grams, diagonal, count(*) as hits from v group by all),
-exact as (select doc_id, label, true as base, diagonal as first, 1.0::double as coverage from by_d where base and hits = n_grams),
-o as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= {licenses.NEIGHBOUR} then 0 else 1 end as opens from by_d where not base),
-s as (select *, sum(opens) over (partition by doc_id, tid order by diagonal rows unbounded preceding) as span from o),
-loose as (select s.doc_id, s.label, false as base, min(s.diagonal) as first, count(distinct v.tpos)::double / any_value(s.n_grams) as coverage
-          from s join v on s.doc_id = v.doc_id and s.tid = v.tid and s.diagonal = v.diagonal group by s.doc_id, s.tid, s.label, s.span),
-a as (select * from exact union all select * from loose where coverage >= {licenses.COVERAGE}),
+exact as (select doc_id, label, true as base, diagonal as first, 1.0::double as coverage from v where base group by doc_id, tid, label, n_grams, diagonal having count(distinct tpos) = n_grams),
+o as (select *, tpos + diagonal as pos, case when diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal, tpos) <= {licenses.NEIGHBOUR} then 0 else 1 end as opens from v where not base),
+s as (select *, sum(opens) over (partition by doc_id, tid order by diagonal, tpos rows unbounded preceding) as span from o),
+s2 as (select *, floor((diagonal - min(diagonal) over (partition by doc_id, tid, span)) / n_grams) as part from s),
+u as (select doc_id, tid, label, n_grams, span, part, tpos, min(pos) as pos from s2 group by all),
+u2 as (select *, case when pos <= lag(pos) over (partition by doc_id, tid, span, part order by tpos) then 0 else 1 end as ordered from u),
+m as (select doc_id, tid, label, n_grams, min(pos) as first, max(pos) as last, sum(ordered)::double / n_grams as coverage from u2 group by doc_id, tid, label, n_grams, span, part having sum(ordered)::double / n_grams >= {licenses.COVERAGE}),
+i as (select *, case when first <= max(last + 2) over (partition by doc_id order by first, last, tid rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from m),
+i2 as (select *, sum(opens) over (partition by doc_id order by first, last, tid rows unbounded preceding) as island from i),
+loose as (select doc_id, label, false as base, first, coverage from (select *, row_number() over (partition by doc_id, island order by coverage desc, n_grams desc, label, first) as nth from i2) where nth = 1),
+a as (select * from exact union all select * from loose),
 p as (select doc_id, count(*) filter (where base) as n_base, min(first) filter (where base) as f, max(first) filter (where base) as l,
       string_agg(distinct label, ',' order by label) filter (where base) as bl, string_agg(distinct label, ',' order by label) as al, max(coverage) as score from a group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, f::bigint as first_word, l::bigint as last_word,

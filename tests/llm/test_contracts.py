@@ -74,6 +74,22 @@ def test_license_spans_survive_edits(spark):
     assert got == {1: "mit", 2: ""}
 
 
+def test_licenses_compete_and_stand_in_order(spark):
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    shuffled = " ".join(" ".join(mit.split()[i : i + 4]) for i in (16, 12, 8, 4, 0))
+    texts = {
+        1: "This work is licensed under the GNU General Public License version 3. More text follows here.",
+        2: "This work is licensed under the GNU General Public License version 2.",
+        3: "x " * 30 + mit + " y" * 50 + " licensed under the Apache License, Version 2.0 z",
+        4: shuffled,
+        5: "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        6: " ".join(f"{w} q q q" for w in mit.split()),
+        7: f"{mit} " * 40,
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "gpl,gpl-3.0", 2: "gpl,gpl-2.0", 3: "apache-2.0,mit", 4: "", 5: "gpl,gpl-3.0", 6: "", 7: "mit"}
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a>Home</a></ul></nav>
     <div class="cookie-notice">We use cookies<article><h1>Head &amp; line</h1><p>One <b>bold</b>&nbsp;word<br>next<p>Two &copy; 3 &lt; 4
