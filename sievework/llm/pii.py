@@ -1,11 +1,12 @@
 """Personal data by weak supervision.
 
-Candidate spans come from patterns. Four labelers vote on each: its form (the strict rule of its kind), a
-gazetteer (mail domains, reserved networks, card issuers, calling codes, words for secrets), the words before it,
-and its borders. Votes are 1, 0 or -1 for none. Expectation-maximisation over the counts of vote patterns estimates
+Candidate spans come from patterns: the four base kinds, and secrets, keys, bank accounts (IBAN), social security numbers,
+street addresses and names of persons. Four labelers vote on each: its form (the strict rule of its kind, with
+checksums), a gazetteer (mail domains, reserved networks, card issuers, calling codes, countries, street words, given
+names, words for secrets), the words before it, and its borders. Votes are 1, 0 or -1 for none. Expectation-maximisation over the counts of vote patterns estimates
 how reliable each labeler is and how likely each pattern marks personal data; a logistic span classifier is
 trained on these soft labels with features of votes, kind and length. A candidate is a span if its rule is a base
-rule that holds, or if the classifier gives it THRESHOLD.
+rule that holds, or if the classifier gives it THRESHOLD and it doesn't fail a rule that is a proof.
 
 All of it runs on DataFrame functions: texts are scanned once, candidates are stored, and the models are fitted to
 grouped pattern counts, whose number is bounded by the labelers and kinds, not by the corpus.
@@ -17,6 +18,7 @@ rows and untrained models; positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import stored, whole
 
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone", "secret", "key", "iban", "ssn", "address", "name")
 BASE_KINDS = KINDS[:4]
+#: Kinds whose rule is a proof (a checksum, a range): what fails it only teaches the models.
+PROVEN = [KINDS.index(k) for k in ("ip", "card", "phone", "iban", "ssn")]
 THRESHOLD = 0.5
 CONTEXT = 40
 EM_ROUNDS, FIT_ROUNDS = 50, 300
@@ -39,40 +43,69 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?i)(?<![a-z0-9_])(?:password|passwd|secret|token|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[a-z0-9+/_-]{8,}+",
 }
-#: Where a text has none of these characters, the kind need not be looked for.
-NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+PATTERNS |= {
+    "key": r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}+|xox[abp]-[A-Za-z0-9-]{20,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "address": r"(?<![0-9A-Za-z])(?:[0-9]{1,5} (?:\p{Lu}[\p{L}']{1,20} ){1,3}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)|\p{Lu}\p{Ll}{2,20}(?:stra(?:\u00dfe|sse)|weg|gasse|platz) [0-9]{1,4}|(?:Calle|Avenida|Plaza) (?:de |del |la )*\p{Lu}\p{L}{2,20},? [0-9]{1,4}|[0-9]{1,4},? (?:rue|avenue|boulevard) (?:de |du |des |la )*\p{Lu}\p{L}{2,20})(?![\p{L}\p{N}])",
+    "name": r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Se\u00f1or|Se\u00f1ora|Monsieur|Madame|[Mm]y name is|[Ii]ch hei\u00dfe|[Mm]e llamo|[Jj]e m'appelle)\.? (?:\p{Lu}[\p{Ll}'-]{1,20})(?: \p{Lu}[\p{Ll}'-]{1,20}){0,2}(?![\p{L}])",
+}
+#: Where a text has none of these, the kind need not be looked for.
+NEEDS = {"email": ["@"], "ip": ["."], "phone": ["+"], "ssn": ["-"], "key": ["AKIA", "gh", "sk-", "xox", "eyJ", "-----BEGIN"]}
 
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 #: What the gazetteer and context labelers know.
-MAIL_ENDINGS = ["com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu"]
+MAIL_ENDINGS = ["com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "eu", "it", "nl", "ch", "at", "pl", "se", "us", "ca", "au", "jp", "br", "mx"]
 CARD_ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
 RESERVED_NETS = r"^(?:0|127|224|239|255)\."
 CALLING_CODES = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+IBAN_COUNTRIES = "AD AE AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IS IT LI LT LU LV MC MT NL NO PL PT RO SE SI SK TR".split()
+GIVEN_NAMES = (
+    "Anna Anne Maria Marie Elena Sofia Laura Julia Sarah Emma Lena Lisa Eva Clara Sophie Camille Carmen Ana Lucia Isabel Mary Linda Susan Karen Nancy Emily Grace Alice Helen Ruth "
+    "John James Robert Michael David William Thomas Daniel Peter Paul Mark George Hans Karl Klaus Stefan Martin Lukas Felix Jan Pierre Jean Louis Jacques Antoine Luc Jose Juan Carlos Luis Pedro Miguel Pablo Diego Javier Antonio"
+).split()
 HINTS = {
     "email": "mail|contact|write|kontakt|correo|courriel",
     "ip": "address|server|host|login|adresse",
     "card": "card|visa|master|amex|payment|karte|tarjeta|carte",
     "phone": "phone|call|tel|mobile|fax|ruf",
     "secret": "login|user|config|env|auth",
+    "key": "key|token|secret|aws|github|bearer|auth",
+    "iban": "iban|account|konto|cuenta|compte|bank",
+    "ssn": "ssn|social security|soc\\.? sec",
+    "address": "address|live|lives|street|adresse|wohn|direcci|domicil|office",
+    "name": "name|by|from|dear|signed|von|de|par",
 }
 AGAINST = "version|isbn|issn|figure|section|example:|order no"
 
 
 def located(text: Column, kind: str) -> Column:
-    """array<struct<start, value>> of the leftmost, non-overlapping matches: pieces between matches give the places."""
+    """array<struct<start, value>> of the leftmost, non-overlapping matches: pieces between matches give the places.
+
+    Places are running totals. They are taken in blocks of about the square root of the number of matches, so that a
+    text of n matches costs n * sqrt(n) steps at most, although arrays are copied to grow."""
     pattern = F.lit(PATTERNS[kind])
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"))
     none = F.expr("cast(array() as array<struct<start:int,value:string>>)")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    size = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / size).cast("int")), lambda b: F.slice(pairs, b * size + 1, size))
+
+    def after(at: Column, x: Column) -> Column:
+        return at + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["p"])
-        grown = F.when(x["m"].isNull(), s["out"]).otherwise(F.array_append(s["out"], F.struct(start.alias("start"), x["m"].alias("value"))))
-        return F.struct((start + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), grown.alias("out"))
+        match = F.struct((s["at"] + F.length(x["p"])).alias("start"), x["m"].alias("value"))
+        return F.struct(after(s["at"], x).alias("at"), F.when(x["m"].isNull(), s["out"]).otherwise(F.array_append(s["out"], match)).alias("out"))
+
+    def block(s: Column, b: Column) -> Column:
+        inside = F.aggregate(b, F.struct(s["at"].alias("at"), none.alias("out")), step)
+        return F.struct(inside["at"].alias("at"), F.array_append(s["out"], inside["out"]).alias("out"))
 
-    found = F.aggregate(pairs, zero, step, lambda s: s["out"])
-    return F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(none) if kind in NEEDS else found
+    empty = F.expr("cast(array() as array<array<struct<start:int,value:string>>>)")
+    found = F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), block, lambda s: s["out"]))
+    wanted = functools.reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in NEEDS[kind]]) if kind in NEEDS else F.lit(True)
+    return F.when(wanted & text.rlike(PATTERNS[kind].replace(r"\G|", "")), found).otherwise(none)
 
 
 def luhn(digits: Column) -> Column:
@@ -87,6 +120,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(places, part), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def mod97(iban: Column) -> Column:
+    """The remainder that checks an account number: country and check digits last, letters as 10 to 35."""
+    bare = F.regexp_replace(iban, " ", "")
+    turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))
+
+    def step(rest: Column, i: Column) -> Column:
+        code = F.ascii(F.substr(turned, i, F.lit(1)))
+        return F.when(code < 65, (rest * 10 + code - 48) % 97).otherwise((rest * 100 + code - 55) % 97)
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step)
+
+
 def strict(kind: str, value: Column) -> Column:
     """The rule of the kind."""
     digits = F.regexp_replace(value, "[^0-9]", "")
@@ -98,6 +143,10 @@ def strict(kind: str, value: Column) -> Column:
         return F.length(digits).between(9, 15)
     if kind == "secret":
         return value.rlike("[0-9]") & value.rlike("(?i)[a-z0-9+/_-]{12,}$")
+    if kind == "iban":
+        return F.length(F.regexp_replace(value, " ", "")).between(15, 34) & (mod97(value) == 1)
+    if kind == "ssn":
+        return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
@@ -110,6 +159,14 @@ def gazetteer(kind: str, value: Column) -> Column:
         return F.when(value.rlike(CARD_ISSUERS), 1).otherwise(0)
     if kind == "phone":
         return F.when(value.rlike(CALLING_CODES), 1).otherwise(0)
+    if kind == "iban":
+        return F.when(F.substring(value, 1, 2).isin(IBAN_COUNTRIES), 1).otherwise(0)
+    if kind == "ssn":
+        return F.when(value.isin("123-45-6789", "078-05-1120"), 0).otherwise(-1)
+    if kind == "name":
+        return F.when(value.rlike(rf"(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)})(?![\p{{L}}])"), 1).otherwise(-1)
+    if kind in ("key", "address"):
+        return F.lit(1)
     return F.when(F.lower(value).rlike("^(?:password|passwd|token|secret)"), 1).otherwise(-1)
 
 
@@ -231,7 +288,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     seen = patterns(found)
     weights = fit(seen, expectation_maximisation(seen))
     base = F.filter("_found", lambda c: c["base"])
-    spans = F.filter("_found", lambda c: c["base"] | (classified(c, weights) >= THRESHOLD))
+    spans = F.filter("_found", lambda c: c["base"] | ((~c["kind"].isin(PROVEN) | (c["v0"] == 1)) & (classified(c, weights) >= THRESHOLD)))
     counts = [F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE_KINDS)]
     return found.select(
         id_col,
