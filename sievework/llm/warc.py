@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.common import shared_dir, stored
+from sievework.operators.skew import lookup_join
 
 MIN_DEDUP = 100
 #: Records are gathered into a frame up to so many bytes, frames into a bundle up to so many.
@@ -41,9 +42,14 @@ INDEX = "record_id string, page_id long, bundle string, frame long, frame_start
 PAYLOADS = "page_id long, record_id string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def record_id(page_id: int | None, digest: str, kind: str) -> str:
+    """Ids follow from page and payload, so that a repeated task writes the same, and revisits can name their response."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{kind}')}>"
+
+
 def record(page_id: int | None, url: str | None, kind: str, digest: str, size: int, refers_to: int | None, payload: bytes) -> tuple[str, bytes]:
-    """A record's id and bytes. Ids follow from page and payload, so that a repeated task writes the same."""
-    rid = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}:{kind}')}>"
+    """A record's id and bytes."""
+    rid = record_id(page_id, digest, kind)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = http + (payload if kind == "response" else b"")
     head = [
@@ -57,7 +63,8 @@ def record(page_id: int | None, url: str | None, kind: str, digest: str, size: i
         f"X-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}"]
+        named = record_id(refers_to, digest, "response")
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named}", f"X-Refers-To-Page: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -128,14 +135,17 @@ def seek_table(source) -> list[tuple[int, int, int]]:
 
 
 def decided(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, payload, size, digest, kind, refers_to. Only (id, digest) take part in the look for equal payloads."""
+    """page_id, url, payload, size, digest, kind, refers_to. Only (id, digest) take part in the look for equal payloads; html is
+    moved by it only where repeated payloads are too many to be broadcast, and then no hot one is."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     first = rows.where(F.col("size") >= MIN_DEDUP).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    first = stored(first.select("digest", "first"), "repeated-payloads")
+    first = stored(first, "repeated-payloads")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "digest", "left").select(
+    # repeated payloads are few or hot: they are broadcast, so that no html moves to look for them
+    known = lookup_join(rows, first, ["digest"], "n", first.agg(F.sum("n")).first()[0] or 0, how="left")
+    return known.select(
         "page_id", "url", "payload", "size", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to")
     )
 

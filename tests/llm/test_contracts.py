@@ -25,7 +25,7 @@ def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, monkeypatch):
     base = spark.read.parquet(f"{SMALL}/pages.parquet")
     big = "<html>" + "équal " * 40 + "</html>"
     extra = spark.createDataFrame([(9001, "http://a/", None), (9002, None, "short"), (9003, "http://b/", "short"), (9005, "http://b/", big), (9004, "http://c/ d", big), (9006, "http://c/", big), (9004, "http://c/ d", big), (None, "u", big), (None, None, "only null ids hold this page " * 9)], base.schema)
@@ -38,6 +38,8 @@ def test_warc_round_trip(spark):
     want = Counter((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if first.get(b, p) != p else "response", first[b] if first.get(b, p) != p else None) for p, b in data)
     got = warc.round_trip(pages)
     assert rows(got, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+    monkeypatch.setattr(skew, "MOST_ROWS", 0)  # more repeated payloads than are broadcast
+    assert rows(warc.round_trip(pages), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
     assert not warc.round_trip(pages.limit(0)).count()
 
 
@@ -52,6 +54,22 @@ def test_warc_reads_single_records_from_small_frames(spark, monkeypatch, tmp_pat
     assert index.select("frame").distinct().count() > 1
 
 
+def test_a_revisit_names_the_record_of_its_response():
+    rid, _ = warc.record(3, "u", "response", "ab" * 32, 200, None, b"x" * 200)
+    _, raw = warc.record(9, "u", "revisit", "ab" * 32, 200, 3, b"x" * 200)
+    fields, payload = warc.parse(raw)
+    assert fields["WARC-Refers-To"] == rid and payload == b""
+
+
+def test_a_page_longer_than_a_frame(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FRAME_BYTES", 1000)
+    html = "".join(chr(97 + i * i % 26) for i in range(5000))
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "small"), (3, "u", html)], "page_id long, url string, html string")
+    index = warc.write(warc.decided(pages.coalesce(1)), warc.shared_dir(spark, "long"))
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_back(index, with_payload=True).collect()}
+    assert got == {1: html, 2: "small", 3: ""} and index.where("length > 5000").count() == 1
+
+
 def test_license_scan(docs, texts, empty_docs):
     phrases = {tuple(k.split()): v for k, v in licenses.BASE.items()}
     want = Counter()
