@@ -22,8 +22,11 @@ def stratified(df: DataFrame, stratum: str, key: str, seed: str, quotas: dict) -
     """The quota of each stratum by shuffled order, with position 1..n in a reshuffle of all. Ranks are cut to the quota
     before the one sort over the (quota-sized) sample."""
     order = Window.partitionBy(stratum).orderBy(seeded_order(seed, key), key)
-    quota = F.create_map(*[x for s, n in quotas.items() for x in (F.lit(s), F.lit(n))])[F.col(stratum)]
-    picked = df.where(F.col(stratum).isin(list(quotas))).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= quota).drop("_rank")
+    picked = None
+    for value, quota in quotas.items():
+        # a literal bound on the rank lets each task keep no more than the quota before anything is moved
+        mine = df.where(F.col(stratum) == F.lit(value)).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= quota).drop("_rank")
+        picked = mine if picked is None else picked.unionByName(mine)
     return picked.withColumn("position", F.row_number().over(Window.orderBy(seeded_order(f"{seed}/again", key), key)))
 
 

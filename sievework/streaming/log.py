@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def read_log(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
@@ -35,20 +33,11 @@ STATUS = {"save_draft": "draft", "mark_reviewed": "reviewed", "publish": "publis
 
 
 def current_status(events: DataFrame, key: str = "question_id", ts: str = "created_at", action: str = "action") -> DataFrame:
-    """Status of each question after its events so far; state is one row a question. Late events don't undo later ones."""
-
-    def step(ident: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, at, n = state.get if state.exists else ("draft", pd.Timestamp(0), 0)
-        for pdf in parts:
-            n += len(pdf)
-            at = pd.Timestamp(at)
-            for when, what in pdf.sort_values([ts, action])[[ts, action]].itertuples(index=False):
-                if when >= at:
-                    status, at = STATUS.get(what, status), pd.Timestamp(when)
-        state.update((status, pd.Timestamp(at).to_pydatetime(), n))
-        yield pd.DataFrame({key: [ident[0]], "status": [status], "events": [n]})
-
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} string, status string, events long", "status string, at timestamp, n long", "update", GroupStateTimeout.NoTimeout)
+    """Status of each question after its events so far: that of its last event that sets one. State is one row a question,
+    late events don't undo later ones, and it runs on batches alike."""
+    sets = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])[F.col(action)]
+    last = F.max_by(sets, F.when(sets.isNotNull(), F.struct(ts, action)))
+    return events.groupBy(key).agg(F.coalesce(last, F.lit("draft")).alias("status"), F.count(F.lit(1)).alias("events"))
 
 
 def append_to(df: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:

@@ -29,6 +29,7 @@ def test_counts_and_status(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     status = run(log.current_status(stream), "status", "update", tmp_path)
     last = {r["question_id"]: (r["status"], r["events"]) for r in status.orderBy("events").collect()}
+    assert {tuple(r) for r in log.current_status(batch).collect()} == {(q, *x) for q, x in last.items()}
     assert last == {"q0": ("archived", 3), "q1": ("archived", 2), "q2": ("published", 2)}
 
 
