@@ -78,6 +78,28 @@ def overlay(base: DataFrame, over: DataFrame, key: str, fields: bool = False) ->
     return both.select(*[(F.col(key) if c == key else pick(c)).alias(c) for c in base.columns])
 
 
+def with_window(rows: DataFrame, windows: DataFrame, key: str, *values: str, annex_from: int | None = None) -> DataFrame:
+    """rows with the window (window_start, window_end) of their key, and what it says of the values: configured, mismatch (the
+    first value lies before it or the last one after it) and annex (one of them is annex_from or more). windows: a small
+    table with the key."""
+    joined = rows.join(F.broadcast(windows), key, "left")
+    known = F.col("window_start").isNotNull()
+    first, last = F.col(values[0]).cast("double"), F.col(values[-1]).cast("double")
+    outside = (text.finite(first) & (first < F.col("window_start"))) | (text.finite(last) & (last > F.col("window_end")))
+    late = F.lit(False) if annex_from is None else (text.finite(first) & (first >= annex_from)) | (text.finite(last) & (last >= annex_from))
+    return joined.withColumns({"configured": known, "mismatch": F.coalesce(known & outside, F.lit(False)), "annex": F.coalesce(known & late, F.lit(False))})
+
+
+def first_live(questions: DataFrame, order: Sequence[Column], n: int = 3) -> DataFrame:
+    """The first questions in catalog order that are not archived."""
+    return questions.where(F.col("status") != "archived").orderBy(*order).limit(n)
+
+
+def ordered_questions(questions: DataFrame) -> DataFrame:
+    """Questions in the order of their publication, those unpublished last, then by id."""
+    return questions.orderBy(F.col("published_at").asc_nulls_last(), "id")
+
+
 def active_edition(editions: DataFrame) -> DataFrame:
     """The first active edition, else the one last in effect."""
     return editions.orderBy(F.desc("is_active"), F.col("effective_from").desc_nulls_last(), "id").limit(1)

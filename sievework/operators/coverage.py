@@ -66,3 +66,9 @@ def pilot_summary(records: DataFrame) -> DataFrame:
     return records.agg(
         F.count(F.lit(1)).alias("attempted"), *counts(passed=passed, failed=~passed, new_questions=F.col("suggestion_type") == "new_question", rewrites=F.col("suggestion_type") == "rewrite")
     )
+
+
+def split_by(records: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """Records for which the condition holds, and all others."""
+    holds = F.coalesce(condition, F.lit(False))
+    return records.where(holds), records.where(~holds)

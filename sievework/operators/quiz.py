@@ -75,6 +75,24 @@ def with_outcomes(questions: DataFrame, outcomes: DataFrame) -> DataFrame:
     return questions.join(last, questions["id"] == last["question_id"], "left").drop("question_id")
 
 
+def outcome_filter(questions: DataFrame, outcomes: DataFrame, which: str = "all") -> DataFrame:
+    """Answered questions with their last outcome: all, correct or incorrect ones. Unanswered ones never count."""
+    answered = with_outcomes(questions, outcomes).where(F.col("is_correct").isNotNull())
+    return answered if which == "all" else answered.where(F.col("is_correct") == (which == "correct"))
+
+
+def default_size(questions: DataFrame, seed_size: int, most: int = 10) -> DataFrame:
+    """published, default_size: the usual size of a practice, at most what is published (or the seed's size where nothing is)."""
+    counted = questions.agg(F.count_if(F.col("status") == "published").alias("published"))
+    return counted.withColumn("default_size", F.least(F.lit(most).cast("long"), F.when(F.col("published") > 0, F.col("published")).otherwise(F.lit(seed_size))))
+
+
+def available(questions: DataFrame, chapters: list[str]) -> DataFrame:
+    """How many published questions the chosen chapters have (all chapters, if none is chosen)."""
+    mine = F.col("chapter_id").isin(chapters) if chapters else F.lit(True)
+    return questions.agg(F.count_if((F.col("status") == "published") & mine).alias("available"))
+
+
 def running(rows: DataFrame, key: str, order: list[str], value: str, out: str = "running") -> DataFrame:
     """Running sum in each key. The window holds one attempt, which is short."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

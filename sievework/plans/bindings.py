@@ -283,10 +283,9 @@ def status_summary(spark, sf):
 select p_partkey, w.brand_end is not null as configured, coalesce(p_size < lo or p_size > hi, false) as mismatch, coalesce(w.brand_end is not null and p_size >= 45, false) as annex
 from part left join w on right(p_brand, 1) = w.brand_end""")
 def range_scope(spark, sf):
-    windows = spark.createDataFrame([("1", 1, 20), ("2", 10, 30), ("3", 5, 45)], "brand_end string, lo int, hi int")
-    joined = t(spark, sf, "part").join(F.broadcast(windows), F.right("p_brand", F.lit(1)) == F.col("brand_end"), "left")
-    known = F.col("brand_end").isNotNull()
-    return joined.select("p_partkey", known.alias("configured"), F.coalesce((F.col("p_size") < F.col("lo")) | (F.col("p_size") > F.col("hi")), F.lit(False)).alias("mismatch"), F.coalesce(known & (F.col("p_size") >= 45), F.lit(False)).alias("annex"))
+    windows = spark.createDataFrame([("1", 1, 20), ("2", 10, 30), ("3", 5, 45)], "brand_end string, window_start int, window_end int")
+    parts = t(spark, sf, "part").withColumn("brand_end", F.right("p_brand", F.lit(1)))
+    return catalog.with_window(parts, windows, "brand_end", "p_size", annex_from=45).select("p_partkey", "configured", "mismatch", "annex")
 
 
 @query("select c_custkey, c_name from customer where c_mktsegment = 'BUILDING' and (contains(lower(c_name), '1') or contains(lower(c_mktsegment), '1'))")
@@ -454,7 +453,8 @@ def option_builder(spark, sf):
 
 @query("select o_orderkey, o_orderdate from orders where o_orderpriority = '1-URGENT' order by o_totalprice desc, o_orderkey limit 3")
 def first_three(spark, sf):
-    return t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select("o_orderkey", "o_orderdate")
+    orders = t(spark, sf, "orders").withColumn("status", F.when(F.col("o_orderpriority") == "1-URGENT", "published").otherwise("archived"))
+    return catalog.first_live(orders, [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "o_orderdate")
 
 
 @query("""with c as (select 'not null: o_custkey' as "constraint", (count(*) filter (where o_custkey is null)) as n from orders

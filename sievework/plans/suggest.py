@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
-from sievework.operators import catalog, coverage, quiz, rules, similarity
+from sievework.operators import catalog, coverage, quiz, rules, similarity, workflow
 from sievework.session import stored
 
 #: Lead-ins that a rewrite drops, and the confidence of each kind of suggestion.
@@ -149,6 +149,29 @@ def drafts(suggestions: DataFrame, actor: str) -> DataFrame:
     )
 
 
+def created_draft(suggestions: DataFrame, ident: str, actor: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A suggestion becomes a draft: the written question, its event, and the suggestions with that one applied. Nothing is
+    written, and nothing applied, where it can't become one."""
+    draft = drafts(suggestions.where(F.col("id") == ident), actor)
+    moved = workflow.transitioned(draft, F.lit("save_draft"), F.lit(actor), now)
+    checked = workflow.checked(moved)
+    written = checked.where(F.size("issues") == 0).drop("issues")
+    done = written.select(F.col("id").alias("_question"))
+    joined = suggestions.join(F.broadcast(done), F.col("id") == ident, "left")
+    mine = F.col("_question").isNotNull()
+    applied = joined.withColumns({"status": F.when(mine, "applied").otherwise(F.col("status")), "applied_question_id": F.when(mine, F.col("_question")).otherwise(F.col("applied_question_id")), "updated_at": F.when(mine, now).otherwise(F.col("updated_at"))})
+    return written, workflow.events(written, now), applied.drop("_question")
+
+
+def clean_chunks(chunks: DataFrame, texts: list[str], options: str = "options") -> DataFrame:
+    """Prepared chunks with repaired, collapsed texts and options; options without text go."""
+    cleaned = chunks.withColumns({c: text.collapse(text.repair(F.col(c))) for c in texts})
+    at = cleaned.withColumn("_row", F.monotonically_increasing_id())
+    flat = at.select("_row", F.posexplode(options).alias("_at", "_o")).withColumn("_o", text.collapse(text.repair(F.col("_o")))).where("_o <> ''")
+    per = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_o"))), lambda x: x["_o"]).alias("_new"))
+    return at.join(per, "_row", "left").withColumn(options, F.coalesce("_new", F.expr("cast(array() as array<string>)"))).drop("_row", "_new")
+
+
 def verified(suggestions: DataFrame, questions: DataFrame) -> DataFrame:
     """suggestions with their verifier issues (own checks, then diagnostics against the questions) and status."""
     own = rules.evaluate(suggestions, rules.verifier_rules(), "_own")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.session import stored
+
 BATCH_SCHEMA = (
     "batchId string, editionId string, chapterId string, sourceDocumentId string, sourceDocumentTitle string, generatedAt string, "
     "generator struct<provider:string,model:string>, questions array<struct<externalId:string,prompt:string,selectionMode:string,instruction:string,"
@@ -70,7 +72,8 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, defaults: DataFrame) -> DataFrame:
     """A JSON snapshot with defaults for absent fields; defaults alone where it is missing or corrupt."""
     try:
-        df = spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).json(path).cache()
+        # stored, as Spark can't ask raw JSON for its corrupt records alone
+        df = stored(spark.read.schema(T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).json(path), "snapshot")
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return defaults
