@@ -57,16 +57,24 @@ class Runs:
         self.spark, self.fan_in = spark, fan_in
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
+        self.names: list[str] = []
 
     def _write(self, entries: DataFrame, level: int) -> None:
         name = f"run_{uuid.uuid4().hex}"
         # hash buckets of as many parts as a shuffle has: neither joins nor merges of runs move them again
         out = entries.select(*KEY, "n_docs", "last_doc", "again").write.format("parquet").option("compression", "zstd")
         out.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", shared_dir(self.spark, f"run-{level}")).saveAsTable(name)
+        self.names.append(name)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(self.spark.table(name))
 
+    def forget(self) -> None:
+        """Takes the runs' names out of the session's catalog; their files stay in the shared folder."""
+        for name in self.names:
+            self.spark.sql(f"drop table if exists {name}")
+        self.names = []
+
     def tables(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
@@ -134,6 +142,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for k in range(batches):  # all rows of an id are in one batch
         runs.add(flat.where(F.pmod(F.xxhash64("_id"), F.lit(batches)) == k).select(*KEY, F.col("_id").alias("doc")))
     frequent = stored(runs.frequent(), "frequent-lines")
+    runs.forget()
     pairs = held.agg(F.sum(F.size("_lines"))).first()[0] or 0
     drops = (
         lookup_join(flat, frequent, KEY, "n_docs", pairs)
