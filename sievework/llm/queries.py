@@ -1,11 +1,12 @@
-"""The ten operators as queries over whole tables, and the SQL that must give the same rows."""
+"""The operators as queries over whole tables, and the SQL that must give the same rows."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontam, html_text, licenses, line_dedup, matroska, mixing, near_dup, pii, quality, warc
+from sievework.llm import conversations, decontam, html_text, importance, licenses, line_dedup, matroska, mixing, near_dup, pii, quality, token_counts, warc
 from sievework.llm.common import read
 from sievework.llm.oracles import ORACLES  # noqa: F401
 
@@ -52,6 +53,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(read(spark, sf_dir, "documents"), percent=85).drop("_th")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,5 +78,8 @@ QUERIES = {
         op8_source_mix,
         op9_line_dedup,
         op10_near_duplicates,
+        op11_conversation_repair,
+        op12_importance_sample,
+        op13_token_counts,
     )
 }
