@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -53,24 +54,25 @@ def described(path: str) -> tuple[str, list[str]]:
 
 @functools.cache
 def classes() -> tuple[str, str]:
-    """Ranges of the code points that the library has as letters and as digits, for character classes."""
+    """Ranges of the code points that the library has as letters and as digits, for character classes. Those that the oldest
+    Unicode at hand had assigned are left out: the JVM has them as well."""
     from tokenizers import pre_tokenizers
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    # between two letters (or digits), a code point of the same class makes one pre-token of three
-    found = []
-    for mark in "a1":
-        text = "".join(f"{mark}{chr(c)}{mark}!" for c in points)
-        joined = {a // 4 for _, (a, b) in cut(text) if b - a == 3 and a % 4 == 0}
-        runs: list[list[int]] = []
-        for c in (points[i] for i in sorted(joined)):
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        found.append("".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs))
-    return found[0], found[1]
+    runs: dict[str, list[list[int]]] = {"a": [], "1": []}
+    for begin in range(0, 0x110000, 4096):
+        points = [c for c in range(begin, begin + 4096) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+        # between two letters (or digits), a code point of the same class makes one pre-token of three
+        for mark, mine in runs.items():
+            for _, (at, end) in cut("".join(f"{mark}{chr(c)}{mark}!" for c in points)):
+                if end - at == 3 and at % 4 == 0:
+                    c = points[at // 4]
+                    if mine and mine[-1][1] == c - 1:
+                        mine[-1][1] = c
+                    else:
+                        mine.append([c, c])
+    letters, digits = ("".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in x) for x in runs.values())
+    return letters, digits
 
 
 def pattern() -> str:
