@@ -59,20 +59,31 @@ def classes() -> tuple[str, str]:
     from tokenizers import pre_tokenizers
 
     cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    runs: dict[str, list[list[int]]] = {"a": [], "1": []}
-    for begin in range(0, 0x110000, 4096):
-        points = [c for c in range(begin, begin + 4096) if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
-        # between two letters (or digits), a code point of the same class makes one pre-token of three
-        for mark, mine in runs.items():
-            for _, (at, end) in cut("".join(f"{mark}{chr(c)}{mark}!" for c in points)):
-                if end - at == 3 and at % 4 == 0:
-                    c = points[at // 4]
-                    if mine and mine[-1][1] == c - 1:
-                        mine[-1][1] = c
-                    else:
-                        mine.append([c, c])
-    letters, digits = ("".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in x) for x in runs.values())
-    return letters, digits
+    found: dict[str, list[int]] = {"a": [], "1": []}
+    blocks = [range(i, i + 4096) for i in range(0x110000 - 4096, -1, -4096)]
+    while blocks:
+        block = blocks.pop()
+        points = [c for c in block if unicodedata.ucd_3_2_0.category(chr(c)) == "Cn"]
+        if len(cut("!" + "".join(map(chr, points)) + "!")) == 1:
+            continue  # all of them are marks
+        if len(block) > 32:
+            blocks += [block[len(block) // 2 :], block[: len(block) // 2]]
+            continue
+        for mark, mine in found.items():
+            # between two letters (or digits), a code point of the same class makes one pre-token of three
+            mine += [points[at // 4] for _, (at, end) in cut("".join(f"{mark}{chr(c)}{mark}!" for c in points)) if end - at == 3 and at % 4 == 0]
+    return _ranges(found["a"]), _ranges(found["1"])
+
+
+def _ranges(points: list[int]) -> str:
+    """Rising code points as ranges of a character class."""
+    runs: list[list[int]] = []
+    for c in points:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
 
 
 def pattern() -> str:
