@@ -1,7 +1,8 @@
 """Exact set-similarity joins and first matches.
 
 Near pairs come from a prefix-filtered join: tokens are ordered by how rare they are, and two sets can only be
-similar enough if they share one of their first few tokens. Verification is exact, so nothing is lost.
+similar enough if they share one of their first few tokens. The sets that share one are compared inside tasks, in blocks of
+bounded size; verification is exact, so nothing is lost.
 
 Rows of equal text are one class, named by 128 bits of its hash; classes are compared, so that groups of copies stay linear.
 Only hashes of tokens travel.
@@ -9,7 +10,7 @@ Only hashes of tokens travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from sievework.session import stored
 #: Similarity from which prompts count as near-duplicates, in percent.
 NEAR = 82
 CLASS = ["k1", "k2"]
+#: Sets of one list, and tokens of them together, that make a block.
+BLOCK_ROWS, BLOCK_TOKENS = 128, 1 << 16
 
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, *within: str) -> DataFrame:
@@ -44,8 +47,9 @@ def classes(sets: DataFrame, *within: str) -> DataFrame:
 
 
 def exact_groups(df: DataFrame) -> DataFrame:
-    """id, first_id, group_size for each row of equal, non-empty folded text."""
-    rows = df.where("k1 is not null").select("id", *CLASS)
+    """id, first_id, group_size for each row of equal, non-empty folded text. Texts are equal by 128 bits of their hash: of n
+    texts, two different ones meet with a chance of about n * n / 2^129."""
+    rows = stored(df.where("k1 is not null").select("id", *CLASS), "text-keys")
     groups = stored(rows.groupBy(*CLASS).agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("group_size")), "text-classes")
     total = groups.agg(F.sum("group_size")).first()[0] or 0
     return lookup_join(rows, groups, CLASS, "group_size", total).select("id", "first_id", "group_size")
@@ -64,55 +68,110 @@ def token_ranks(*sets: DataFrame) -> DataFrame:
     return both.select(F.explode("toks").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def prefixes(sets: DataFrame, ranks: DataFrame, id_col: str, within: Sequence[str] = (), t: int = NEAR) -> DataFrame:
-    """id, n, token of the tokens that index a set: its rarest n - least overlap + 1. ranks: token, df, stored."""
-    flat = sets.where(F.size("toks") > 0).select(F.col(id_col).alias("id"), *within, F.size("toks").alias("n"), F.explode("toks").alias("token"))
+def ordered(sets: DataFrame, ranks: DataFrame, id_col: str = "id", within: Sequence[str] = ()) -> DataFrame:
+    """id, n, o (the tokens, the rarest first) of the sets that have any; ranks: token, df, stored."""
+    flat = sets.where(F.size("toks") > 0).select(F.col(id_col).alias("id"), *within, F.explode("toks").alias("token"))
     total, size = ranks.agg(F.sum("df"), F.count(F.lit(1))).first()
     ranked = lookup_join(flat, ranks, ["token"], "df", total or 0, size)
-    order = Window.partitionBy("id").orderBy("df", "token")
-    return ranked.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - _least_overlap(F.col("n"), t) + 1).select("id", *within, "n", "token")
+    by_rank = ranked.groupBy("id", *within).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    return by_rank.select("id", *within, F.size("r").alias("n"), F.transform("r", lambda x: x["token"]).alias("o"))
 
 
-def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, t: int) -> DataFrame:
-    """pairs (a, b) with similarity; left and right: id, toks."""
-    a = left.select(F.col("id").alias("a"), F.col("toks").alias("ta"))
-    b = right.select(F.col("id").alias("b"), F.col("toks").alias("tb"))
-    scored = pairs.join(a, "a").join(b, "b").withColumn("similarity", text.jaccard(F.col("ta"), F.col("tb")))
-    return scored.where(F.col("similarity") >= t / 100).select("a", "b", "similarity")
+def lists(sets: DataFrame, within: Sequence[str], t: int) -> DataFrame:
+    """The prefix index of ordered sets: id, n, token, at (its place in the set, from 1) of the tokens that index a set, its
+    rarest n - least overlap + 1."""
+    prefix = F.slice("o", 1, F.col("n") - _least_overlap(F.col("n"), t) + 1)
+    return sets.select("id", *within, "n", F.posexplode(prefix).alias("_p", "token")).select("id", *within, "n", "token", (F.col("_p") + 1).alias("at"))
+
+
+def _blocks(rows: str, tokens: str) -> Column:
+    """Into how many blocks the sets of a list are split, by their number and by the tokens that they hold together."""
+    return F.least(F.col(rows), F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(tokens) / BLOCK_TOKENS))).cast("int")
+
+
+def _records(sets: DataFrame, index: DataFrame, met: DataFrame, key: Sequence[str], blocks: Sequence[str]) -> DataFrame:
+    """A row for each set and each of its index tokens in met (the lists with something to compare): the key, the blocks, mine
+    (the set's block, of blocks[0]), and the set. Only narrow rows look for their list; then sets are moved once for each."""
+    total, size = met.agg(F.sum("rows"), F.count(F.lit(1))).first()
+    narrow = lookup_join(index.drop("n"), met.select(*key, "rows", *blocks), list(key), "rows", total or 0, size)
+    mine = narrow.groupBy("id").agg(F.collect_list(F.struct(*key, "at", *blocks)).alias("l"))
+    flat = sets.select("id", "n", "o").join(mine, "id").select("id", "n", "o", F.inline("l"))
+    return flat.withColumn("mine", F.pmod(F.xxhash64("id"), F.col(blocks[0])).cast("int"))
+
+
+def _compared(left: Column, right: Column, t: int, apart: Callable[[Column, Column], Column]) -> Column:
+    """The pairs of two arrays of records of one list (id, n, at, mine, o) that are apart, and may be similar enough by their
+    sizes and by what stands after the list's token, which must be the first that they share: so a pair is found once, though
+    it meets in several lists. a, b, n, m, common."""
 
+    def may(x: Column, y: Column) -> Column:
+        sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * t
+        need = F.floor((t * (x["n"] + y["n"]) + 99 + t) / (100 + t))
+        rest = 1 + F.least(x["n"] - x["at"], y["n"] - y["at"]) >= need
+        first = ~F.arrays_overlap(F.slice(x["o"], 1, x["at"] - 1), F.slice(y["o"], 1, y["at"] - 1))
+        return apart(x, y) & sizes & rest & first
 
-def _close_sizes(t: int) -> Column:
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * t
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n"), y["n"].alias("m"), F.size(F.array_intersect(x["o"], y["o"])).alias("common"))
+
+    return F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: may(x, y)), lambda y: pair(x, y))))
+
+
+def _similar(pairs: DataFrame, t: int) -> DataFrame:
+    scored = pairs.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    return scored.where(F.col("similarity") >= t / 100).select("a", "b", "similarity")
 
 
 def _near_reps(reps: DataFrame, within: Sequence[str], t: int) -> DataFrame:
-    """a, b (a < b), similarity of the stored classes (rep, toks) that are similar enough."""
-    index = stored(prefixes(reps, stored(token_ranks(reps), "token-ranks"), "rep", within, t), "prefixes")
-    other = index.select(F.col("id").alias("b"), F.col("n").alias("m"), *within, "token")
-    pairs = index.withColumnRenamed("id", "a").join(other, [*within, "token"]).where(F.col("a") < F.col("b")).where(_close_sizes(t)).select("a", "b").distinct()
-    named = reps.select(F.col("rep").alias("id"), "toks")
-    return stored(_verified(pairs, named, named, t), "near-classes")
-
-
-def near_pairs(sets: DataFrame, t: int = NEAR) -> DataFrame:
-    """a, b (a < b), similarity of all pairs of one set of rows that are similar enough. Classes are compared; pairs of rows
-    are made from them last, since they are the result."""
-    sets = stored(sets, "token-sets")
-    near = _near_reps(stored(classes(sets).where(F.size("toks") > 0), "text-classes"), (), t)
-    member = sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()).select("id", *CLASS)
-    of = member.join(classes(sets).select(*CLASS, "rep", "n"), CLASS).select("id", "rep", "n")
-    same = of.where("n > 1").select(F.col("id").alias("a"), "rep").join(of.where("n > 1").select(F.col("id").alias("b"), "rep"), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    left = near.withColumnsRenamed({"a": "ra", "b": "rb"}).join(of.select(F.col("id").alias("x"), F.col("rep").alias("ra")), "ra").join(of.select(F.col("id").alias("y"), F.col("rep").alias("rb")), "rb")
-    return same.unionByName(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity"))
+    """a, b (a < b), similarity of the stored classes (rep, toks) that are similar enough; stored.
+
+    The sets of a token's list are compared inside tasks, and only pairs that are similar become rows. A long list is split
+    into blocks by a hash of the id; each pair of blocks is a task's work, so no list is the work of one task."""
+    sets = stored(ordered(reps, stored(token_ranks(reps), "token-ranks"), "rep", within), "ordered-sets")
+    index, key = lists(sets, within, t), [*within, "token"]
+    met = index.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).where("rows > 1").withColumn("k", _blocks("rows", "tokens"))
+    records = _records(sets, index, stored(met, "lists"), key, ["k"])
+    spread = records.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    both = spread.groupBy(*key, F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2")).agg(F.collect_list(F.struct("id", "n", "at", "mine", "o")).alias("e"))
+    apart = lambda x, y: (x["id"] < y["id"]) & ((F.col("b1") == F.col("b2")) | (x["mine"] != y["mine"]))
+    found = both.where(F.size("e") > 1).select(F.inline(_compared(F.col("e"), F.col("e"), t, apart)))
+    return stored(_similar(found, t), "near-classes")
+
+
+def near_links(sets: DataFrame, t: int = NEAR) -> DataFrame:
+    """a, b (a < b), similarity: the pairs of classes of equal text that are similar enough, each named by its least id."""
+    return _near_reps(stored(classes(sets).where(F.size("toks") > 0), "text-classes"), (), t)
+
+
+def near_members(sets: DataFrame, t: int = NEAR) -> DataFrame:
+    """id, class_id, n_copies, n_near: of each row with tokens its class of equal text, the other rows of that class, and the
+    rows of classes near it. With near_links this says all that pairs of rows would, without making them."""
+    sets = stored(sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()), "token-sets")
+    reps = stored(classes(sets), "text-classes")
+    near = _near_reps(reps, (), t)
+    sizes = reps.select(F.col("rep").alias("b"), F.col("n").alias("m"))
+    counts = near.select("a", "b").union(near.select("b", "a")).join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("n_near"))
+    known = stored(reps.select(*CLASS, "rep", "n").join(counts, "rep", "left"), "class-sizes")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    rows = lookup_join(sets.select("id", *CLASS), known, CLASS, "n", total)
+    return rows.select("id", F.col("rep").alias("class_id"), (F.col("n") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def near_matches(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
-    """a (of sets), b (of bank), similarity; both stored."""
+    """a (of sets), b (of bank), similarity; both stored. As within one set, but each block of one side meets each of the other."""
     ranks = stored(token_ranks(sets, bank), "token-ranks")
-    mine = prefixes(sets, ranks, "id", (), t).withColumnRenamed("id", "a")
-    theirs = prefixes(bank, ranks, "id", (), t).select(F.col("id").alias("b"), F.col("n").alias("m"), "token")
-    pairs = mine.join(theirs, "token").where(_close_sizes(t)).select("a", "b").distinct()
-    return _verified(pairs, sets, bank, t)
+    sides = [stored(ordered(x, ranks), "ordered-sets") for x in (sets, bank)]
+    indexes = [lists(x, (), t) for x in sides]
+    sums = [x.groupBy("token").agg(F.count(F.lit(1)).alias(f"r{i}"), F.sum("n").alias(f"t{i}")) for i, x in enumerate(indexes)]
+    met = sums[0].join(sums[1], "token").select("token", (F.col("r0") + F.col("r1")).alias("rows"), _blocks("r0", "t0").alias("k0"), _blocks("r1", "t1").alias("k1"))
+    met = stored(met, "lists")
+    entry = F.struct("id", "n", "at", "mine", "o")
+    left = _records(sides[0], indexes[0], met, ["token"], ["k0", "k1"]).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("k1") - 1)))
+    right = _records(sides[1], indexes[1], met, ["token"], ["k1", "k0"]).withColumn("b0", F.explode(F.sequence(F.lit(0), F.col("k0") - 1)))
+    x = left.select("token", F.col("mine").alias("b0"), "b1", entry.alias("x"))
+    y = right.select("token", "b0", F.col("mine").alias("b1"), entry.alias("y"))
+    both = x.unionByName(y, allowMissingColumns=True).groupBy("token", "b0", "b1").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
+    return _similar(both.select(F.inline(_compared(F.col("x"), F.col("y"), t, lambda x, y: F.lit(True)))), t)
 
 
 def _first_two(rows: DataFrame, key: Sequence[str], *more: str) -> DataFrame:
@@ -173,6 +232,10 @@ def bank_match(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
 
 
 def not_in_bank(candidates: DataFrame, bank: DataFrame, text_col: str, bank_col: str) -> DataFrame:
-    """The candidates whose fingerprint the bank lacks."""
-    known = bank.select(text.fingerprint(F.col(bank_col)).alias("_f")).distinct()
-    return candidates.withColumn("_f", text.fingerprint(F.col(text_col))).join(known, "_f", "left_anti").drop("_f")
+    """The candidates whose fingerprint the bank lacks. Fingerprints are compared by two 64-bit hashes, which is all that moves
+    of the bank; equality as in exact_groups."""
+    hashed = lambda c: [F.xxhash64(c).alias("_f1"), F.xxhash64(F.lit("text"), c).alias("_f2")]
+    known = bank.select(text.fingerprint(F.col(bank_col)).alias("_f")).where("_f is not null").select(*hashed(F.col("_f"))).distinct()
+    mine = candidates.withColumn("_f", text.fingerprint(F.col(text_col)))
+    keyed = mine.select("*", *[F.when(F.col("_f").isNotNull(), c) .alias(n) for c, n in zip(hashed(F.col("_f")), ("_f1", "_f2"), strict=True)]).drop("_f")
+    return keyed.join(known, ["_f1", "_f2"], "left_anti").drop("_f1", "_f2")

@@ -136,10 +136,21 @@ def exact_dups(spark, sf):
     return similarity.exact_groups(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
 
 
-@query(f"{PAIRS} select a, b, round(similarity, 9) as similarity from near")
+@query(f"""{PAIRS}, cls as (select id, folded, min(id) over (partition by folded) as class_id, count(*) over (partition by folded) - 1 as n_copies from tok where folded <> '' and len(toks) > 0),
+both as (select a as id, b as other from near union all select b, a from near),
+n as (select x.id, count(*) as n_near from both join cls x on both.id = x.id join cls y on both.other = y.id where x.class_id <> y.class_id group by x.id)
+select cls.id, class_id, n_copies::bigint as n_copies, coalesce(n_near, 0)::bigint as n_near from cls left join n on cls.id = n.id""")
 def near_dups(spark, sf):
-    pairs = similarity.near_pairs(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
-    return pairs.withColumn("similarity", F.round("similarity", 9))
+    """Each document's class of equal text, and how many documents are equal or near."""
+    return similarity.near_members(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+
+
+@query(f"""{PAIRS}, cls as (select id, min(id) over (partition by folded) as class_id from tok where folded <> '')
+select a, b, round(similarity, 9) as similarity from near join cls x on a = x.id join cls y on b = y.id where a = x.class_id and b = y.class_id""")
+def near_links(spark, sf):
+    """The near pairs of classes of equal text."""
+    links = similarity.near_links(similarity.tokenized(t(spark, sf, "documents"), "doc_id", "text"))
+    return links.withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""{PAIRS}, matches as (
