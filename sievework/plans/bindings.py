@@ -137,8 +137,8 @@ def exact_dups(spark, sf):
 
 
 @query(f"""{PAIRS}, cls as (select id, folded, min(id) over (partition by folded) as class_id, count(*) over (partition by folded) - 1 as n_copies from tok where folded <> '' and len(toks) > 0),
-both as (select a as id, b as other from near union all select b, a from near),
-n as (select x.id, count(*) as n_near from both join cls x on both.id = x.id join cls y on both.other = y.id where x.class_id <> y.class_id group by x.id)
+sides as (select a as id, b as other from near union all select b, a from near),
+n as (select x.id, count(*) as n_near from sides join cls x on sides.id = x.id join cls y on sides.other = y.id where x.class_id <> y.class_id group by x.id)
 select cls.id, class_id, n_copies::bigint as n_copies, coalesce(n_near, 0)::bigint as n_near from cls left join n on cls.id = n.id""")
 def near_dups(spark, sf):
     """Each document's class of equal text, and how many documents are equal or near."""
