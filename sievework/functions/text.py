@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space as scripts for browsers know it: ASCII blanks, the Unicode space separators, line and paragraph separators, the byte order mark.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
@@ -69,52 +66,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-#: Lead characters of UTF-8 read as Latin-1, and the replacement character.
-MARKER = "[ÂÃâ\ufffd]"
+#: What UTF-8 read as Latin-1 (or its Windows cousin) shows, and the replacement character.
+MARKER = "Ã[^\n\r\u2028\u2029]|Â[^\n\r\u2028\u2029]|â€|ï¿½"
+LOST = "\ufffd"
 
 
 def marker_count(c: Column) -> Column:
-    """Characters that hint at wrongly decoded text."""
+    """Sequences that hint at wrongly decoded text."""
     return F.regexp_count(c, F.lit(MARKER)).cast("long")
 
 
-def _marks(text: str, lossy_weight: int) -> int:
-    return len(re.findall("[ÂÃâ]", text)) + lossy_weight * text.count("\ufffd")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def repaired(text: str | None, lossy_weight: int = 2, rounds: int = 2) -> str | None:
-    """text decoded once more, while that lowers the number of markers."""
-    if text is None:
-        return None
-    for _ in range(rounds):
-        before = _marks(text, lossy_weight)
-        if not before:
-            break
-        again = bytes(ord(x) & 0xFF for x in text).decode("utf-8", "replace")
-        if _marks(again, lossy_weight) >= before:
-            break
-        text = again
-    return text
+def decoded_again(c: Column) -> Column:
+    """The low bytes of c's UTF-16 units (of each character's first) read as UTF-8; what is no UTF-8 is replaced, and a byte
+    order mark in front goes."""
+    low = F.transform(F.split(c, ""), lambda x: F.substring(F.hex(F.encode(x, "UTF-16BE")), 3, 2))
+    raw = F.when(c.rlike(r"[^\x00-\xFF]"), F.unhex(F.array_join(low, ""))).otherwise(F.encode(c, "ISO-8859-1"))
+    return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "^\ufeff", "")
 
 
-@F.pandas_udf(T.StringType())
-def _repair(c: pd.Series) -> pd.Series:
-    return c.map(repaired)
-
+def repair(c: Column, lenient: bool = False) -> Column:
+    """Text decoded once more, at most twice, while that lowers its score: its markers, and two for each lost character.
+    lenient, as for imports: losses don't count against a repair. Texts without markers stay as they are."""
 
-@F.pandas_udf(T.StringType())
-def _repair_lenient(c: pd.Series) -> pd.Series:
-    return c.map(lambda x: repaired(x, lossy_weight=0))
+    def score(x: Column) -> Column:
+        marks = F.regexp_count(x, F.lit(MARKER))
+        return marks if lenient else marks + 2 * F.regexp_count(x, F.lit(LOST))
 
+    def once(x: Column) -> Column:
+        return _let(decoded_again(x), lambda again: F.when(score(again) < score(x), again).otherwise(x))
 
-def repair(c: Column, lenient: bool = False) -> Column:
-    """Repairs wrongly decoded text; only texts with a marker leave the JVM. lenient: losses don't count against a repair."""
-    return F.when(c.rlike(MARKER), (_repair_lenient if lenient else _repair)(c)).otherwise(c)
+    return F.when(c.rlike(MARKER), _let(once(c), once)).otherwise(c)
 
 
-def logged_change(field: str, before: Column, after: Column) -> Column:
+def logged_change(field: str, before: Column, after: Column, action: str | None = None) -> Column:
     """A record of a change, null where nothing changed."""
-    return F.when(~before.eqNullSafe(after), F.struct(F.lit(field).alias("field"), before.alias("before"), after.alias("after")))
+    named = [] if action is None else [F.lit(action).alias("action")]
+    return F.when(~before.eqNullSafe(after), F.struct(F.lit(field).alias("field"), *named, before.alias("before"), after.alias("after")))
 
 
 def chapter_id(c: Column) -> Column:

@@ -103,22 +103,40 @@ def bulk_seed(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-_LISTS = "old as (select s_suppkey as k, s_suppkey as place, 'old' as v from supplier), new as (select c_custkey as k, 'new' as v from customer where c_custkey % 7 = 0)"
+#: A list with places, and rows that arrive in an order of their own, some keys twice.
+_ARRIVE = "select c_custkey % 500 as k, concat('new-', c_custkey) as v, (c_custkey * 7919) % 100003 as hour, c_custkey as nr from customer where c_custkey % 7 = 0"
+_LISTS = f"""old as (select s_suppkey as k, s_suppkey + 10 as place, 'old' as v from supplier), came as (select *, row_number() over (order by hour, nr) as n from ({_ARRIVE})),
+arrived as (select k, min(n) as first_n, max(n) as last_n, arg_max(v, n) as v from came group by k), fresh as (select arrived.*, row_number() over (order by first_n) as nth from arrived where k not in (select k from old))"""
+_KNOWN = "select old.k, place, coalesce(arrived.v, old.v) as v from old left join arrived on old.k = arrived.k"
 
 
-@query(f"with {_LISTS}, low as (select min(place) - 1 as first from old) select coalesce(new.k, old.k) as k, coalesce(old.place, first) as place, coalesce(new.v, old.v) as v from old full outer join new on old.k = new.k, low")
+def _lists(spark, sf):
+    old = t(spark, sf, "supplier").selectExpr("s_suppkey as k", "s_suppkey + 10 as place", "'old' as v")
+    new = t(spark, sf, "customer").where("c_custkey % 7 = 0").selectExpr("c_custkey % 500 as k", "concat('new-', c_custkey) as v", "(c_custkey * 7919) % 100003 as hour", "c_custkey as nr")
+    return old, new.withColumn("place", F.lit(None).cast("bigint")), [F.col("hour"), F.col("nr")]
+
+
+@query(f"with {_LISTS} {_KNOWN} union all select k, (select min(place) from old) - nth, v from fresh")
 def prepended_upsert(spark, sf):
-    """Known keys keep their place, new ones come first."""
-    old = t(spark, sf, "supplier").selectExpr("s_suppkey as k", "s_suppkey as place", "'old' as v")
-    new = t(spark, sf, "customer").where("c_custkey % 7 = 0").selectExpr("c_custkey as k", "cast(null as bigint) as place", "'new' as v")
-    return tables.prepend(old, new, "k", "place")
+    """Known keys keep their place, new ones come first, each before those that came earlier."""
+    old, new, by = _lists(spark, sf)
+    return tables.prepend(old, new, "k", "place", by)
 
 
-@query(f"with {_LISTS}, rest as (select * from old where k not in (select k from new)), low as (select coalesce(min(place), 0) - 1 as first from rest) select * from rest union all select k, first, v from new, low")
+@query(f"with {_LISTS}, rest as (select * from old where k not in (select k from arrived)), edge as (select coalesce(min(place), 0) as low from rest) select * from rest union all select k, low - row_number() over (order by last_n), v from arrived, edge")
 def newest_first_upsert(spark, sf):
-    old = t(spark, sf, "supplier").selectExpr("s_suppkey as k", "s_suppkey as place", "'old' as v")
-    new = t(spark, sf, "customer").where("c_custkey % 7 = 0").selectExpr("c_custkey as k", "cast(null as bigint) as place", "'new' as v")
-    return tables.newest_first(old, new, "k", "place")
+    old, new, by = _lists(spark, sf)
+    return tables.newest_first(old, new, "k", "place", by)
+
+
+@query(f"""with {_LISTS}, e as (select 'question' as part, * from ({_KNOWN} union all select k, (select max(place) from old) + nth, v from fresh) q),
+rest as (select * from old where k not in (select k from arrived)), edge as (select coalesce(min(place), 0) as low from rest)
+select * from e union all select 'event', * from rest union all select 'event', k, low - row_number() over (order by last_n), v from arrived, edge""")
+def saved_questions(spark, sf):
+    """Questions are replaced in place or appended, events come first."""
+    old, new, by = _lists(spark, sf)
+    questions, events = tables.saved_questions(old, old, new, new, by, "k")
+    return questions.select(F.lit("question").alias("part"), "k", "place", "v").unionByName(events.select(F.lit("event").alias("part"), "k", "place", "v"))
 
 
 @query("select c_custkey, 'e1' as edition_id, coalesce(case when c_acctbal > 0 then c_mktsegment end, 'none') as segment from customer")

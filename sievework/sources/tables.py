@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.operators.order import numbered
 from sievework.session import stored
 
 BATCH_SCHEMA = (
@@ -65,8 +66,8 @@ def schema_version(spark: SparkSession, root: str) -> str:
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Import batches, a row a JSON document; numbers stay text, as they are checked later."""
-    return spark.read.schema(BATCH_SCHEMA).option("multiLine", True).json(path)
+    """Import batches, a row a JSON document, with their file; numbers stay text, as they are checked later."""
+    return spark.read.schema(BATCH_SCHEMA).option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, defaults: DataFrame) -> DataFrame:
@@ -130,19 +131,50 @@ def upsert_keeping(old: DataFrame, new: DataFrame, keys: Sequence[str], keep: Se
     return upsert(old, fresh, keys)
 
 
-def prepend(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """An ordered upsert: known keys keep their place, new ones come first."""
+def _arrivals(new: DataFrame, key: str, by: Sequence[Column]) -> DataFrame:
+    """A row a key of new, the one that arrived last, with _first and _last: when the key arrived first and last."""
+    came = numbered(new, by, "_came")
+    values = F.max_by(F.struct(*[c for c in new.columns if c != key]), "_came").alias("_v")
+    return came.groupBy(key).agg(F.min("_came").alias("_first"), F.max("_came").alias("_last"), values).select(key, "_first", "_last", "_v.*")
+
+
+def _placed(old: DataFrame, arrived: DataFrame, key: str, order: str, when: str, end: bool) -> DataFrame:
+    """arrived with places that follow on from old's: before the lowest (the last arrival first), or after the highest."""
+    edge = old.agg(F.max(order) if end else F.min(order)).first()[0]  # one number
+    out = numbered(arrived, [F.col(when)], "_n").drop("_first", "_last", order)
+    place = F.lit(0 if edge is None else edge) + (F.col("_n") if end else -F.col("_n"))
+    return out.withColumn(order, place.cast(old.schema[order].dataType)).drop("_n").select(*old.columns)
+
+
+def _upserted(old: DataFrame, new: DataFrame, key: str, order: str, by: Sequence[Column], end: bool) -> DataFrame:
+    arrived = stored(_arrivals(new, key, by), "arrivals")
     at = old.select(key, F.col(order).alias("_at"))
-    lowest = old.agg(F.coalesce(F.min(order), F.lit(0)).alias("_low"))
-    placed = new.drop(order).join(at, key, "left").join(F.broadcast(lowest), how="cross").withColumn(order, F.coalesce(F.col("_at"), F.col("_low") - 1)).drop("_at", "_low")
-    return upsert(old, placed.select(*old.columns), [key])
+    known = arrived.drop(order, "_first", "_last").join(at, key).withColumnRenamed("_at", order).select(*old.columns)
+    fresh = _placed(old, arrived.join(at.select(key), key, "left_anti"), key, order, "_first", end)
+    return old.join(arrived.select(key), key, "left_anti").unionByName(known).unionByName(fresh)
+
+
+def prepend(old: DataFrame, new: DataFrame, key: str, order: str, by: Sequence[Column]) -> DataFrame:
+    """Upserts of new, one after another in the order `by`: a known key keeps its place and takes the last value, an unknown
+    one comes before all others. Places are consecutive downwards from the lowest of old."""
+    return _upserted(old, new, key, order, by, end=False)
+
+
+def append(old: DataFrame, new: DataFrame, key: str, order: str, by: Sequence[Column]) -> DataFrame:
+    """As prepend, but unknown keys come last."""
+    return _upserted(old, new, key, order, by, end=True)
+
+
+def newest_first(old: DataFrame, new: DataFrame, key: str, order: str, by: Sequence[Column]) -> DataFrame:
+    """Rows of new come first, one after another in the order `by`, and rows of the same key before go."""
+    arrived = stored(_arrivals(new, key, by), "arrivals")
+    rest = old.join(arrived.select(key), key, "left_anti")
+    return rest.unionByName(_placed(rest, arrived, key, order, "_last", end=False))
 
 
-def newest_first(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of the same key go, the new ones come first."""
-    rest = old.join(new.select(key), key, "left_anti")
-    lowest = rest.agg(F.coalesce(F.min(order), F.lit(0)).alias("_low"))
-    return rest.unionByName(new.drop(order).join(F.broadcast(lowest), how="cross").withColumn(order, F.col("_low") - 1).select(*old.columns))
+def saved_questions(questions: DataFrame, events: DataFrame, written: DataFrame, happened: DataFrame, by: Sequence[Column], key: str = "id", order: str = "place") -> tuple[DataFrame, DataFrame]:
+    """Questions and events after some are saved: questions are replaced in place or appended, events come first, newest first."""
+    return append(questions, written, key, order, by), newest_first(events, happened, key, order, by)
 
 
 def replace_children(children: DataFrame, new: DataFrame, parent: str, parents: DataFrame | None = None) -> DataFrame:

@@ -105,8 +105,14 @@ def test_writes(spark, tmp_path):
     new = spark.createDataFrame([(2, "B", 0), (3, "C", 0)], "id int, v string, at int")
     rows = lambda df: {tuple(r) for r in df.collect()}
     assert rows(tables.upsert(old, new, ["id"])) == {(1, "a", 10), (2, "B", 0), (3, "C", 0)}
-    assert rows(tables.prepend(old, new, "id", "at")) == {(1, "a", 10), (2, "B", 11), (3, "C", 9)}
-    assert rows(tables.newest_first(old, new.where("id = 2"), "id", "at")) == {(1, "a", 10), (2, "B", 9)}
+    by = [F.col("at"), F.col("v")]
+    assert rows(tables.prepend(old, new, "id", "at", by)) == {(1, "a", 10), (2, "B", 11), (3, "C", 9)}
+    assert rows(tables.newest_first(old, new.where("id = 2"), "id", "at", by)) == {(1, "a", 10), (2, "B", 9)}
+    several = spark.createDataFrame([(7, "x", 1), (2, "y", 2), (8, "z", 3), (7, "w", 4), (2, "q", 5)], old.schema)
+    assert rows(tables.prepend(old, several, "id", "at", by)) == {(8, "z", 8), (7, "w", 9), (1, "a", 10), (2, "q", 11)}
+    assert rows(tables.append(old, several, "id", "at", by)) == {(1, "a", 10), (2, "q", 11), (7, "w", 12), (8, "z", 13)}
+    assert rows(tables.newest_first(old, several, "id", "at", by)) == {(2, "q", 7), (7, "w", 8), (8, "z", 9), (1, "a", 10)}
+    assert rows(tables.prepend(old.limit(0), several, "id", "at", by)) == {(7, "w", -1), (2, "q", -2), (8, "z", -3)}
     assert rows(tables.update_where(old, F.col("id") == 1, v=F.lit("z"))) == {(1, "z", 10), (2, "b", 11)}
     assert rows(tables.delete_where(old, F.col("id") == 1)) == {(2, "b", 11)}
     assert tables.seeded(old, new) is old and tables.seeded(old.limit(0), new) is new

@@ -1,5 +1,7 @@
 """Text functions on hand-made edge cases."""
 
+import random
+import re
 import unicodedata
 
 import pytest
@@ -44,9 +46,30 @@ def test_jaccard_at_the_threshold(spark):
     assert [r[0] for r in df.select(text.jaccard(F.col("a"), F.col("b"))).collect()] == [0.82, 0.0, 0.0]
 
 
-def test_repair(spark):
-    assert one(spark, text.repair, "SegÃºn", "Según", "SegÃºn el niÃ±o", None) == ["Según", "Según", "Según el niño", None]
-    assert text.repaired("â€œx") == text.repaired("â€œx", rounds=1)
+MARKS = re.compile("Ã[^\n\r\u2028\u2029]|Â[^\n\r\u2028\u2029]|â€|ï¿½")
+
+
+def plain_repair(x, lenient):
+    """The repair in plain Python."""
+    score = lambda s: len(MARKS.findall(s)) + (0 if lenient else 2 * s.count("\ufffd"))
+    if not MARKS.search(x):
+        return x
+    for _ in range(2):
+        again = bytes(c.encode("utf-16-be")[1] for c in x).decode("utf-8", "replace").removeprefix("\ufeff")
+        if score(again) >= score(x):
+            break
+        x = again
+    return x
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+def test_repair(spark, lenient):
+    rnd = random.Random(1)
+    cases = ["SegÃºn", "Según", "SegÃºn el niÃ±o", "Ã©tÃ© – pâte", "château", "Ãrea", "Â¿QuÃ©?", "dice â€œholaâ€\x9d", "Ã\x83Âº doble", "Ã", "Ã\n", "ï»¿Ã©", "\U0001f600 Ã©", "", "Â Â", "ï¿½x"]
+    cases += ["".join(rnd.choice("aÃÂâ€©ºï¿½\x80\x93\xbb\ufffd\u20ac z\xe2\xc3\xf0\x9f\u2013\U0001f600") for _ in range(rnd.randint(1, 14))) for _ in range(400)]
+    got = one(spark, lambda c: text.repair(c, lenient), *cases, None)
+    assert got == [*(plain_repair(x, lenient) for x in cases), None]
+    assert one(spark, lambda c: text.repair(c, lenient), "Ã©tÃ© – pâte", "château") == ["été \x13 p\ufffdte" if lenient else "Ã©tÃ© – pâte", "château"]
 
 
 @pytest.mark.parametrize(("given_", "want"), [("7", "chapter-7"), (" 12 ", "chapter-12"), (" x ", "x"), (None, "")])
