@@ -13,6 +13,7 @@ from sievework.functions import text
 from sievework.operators import catalog, coverage, rules, similarity, workflow
 from sievework.plans import review, suggest
 from sievework.plans.bindings import collapse_sql, fold_sql, query, t, tokens_sql
+from sievework.session import shared_dir, stored
 
 EDITION, MANUAL, ACTOR = "e1", "manual", "editor"
 NOW = "timestamp '2030-01-01 00:00:00'"
@@ -49,8 +50,9 @@ EXPLANATION = "case when k % 79 = 0 then '' when k % 19 = 0 then concat('Se debe
 BATCH = {
     "batch_id": "case when batch % 9 = 0 then '' else concat('b-', batch) end",
     "edition": "case when batch % 7 = 3 then 'old' else 'e1' end",
-    "chapter": "case when batch % 13 = 4 then '' else concat('', 1 + batch % 10) end",
-    "document": "case when batch % 9 = 0 then concat('m-', batch) when batch % 11 = 3 then 'other' else 'manual' end",
+    # batches without an id are all of one chapter and document, so that nothing but their file tells them apart
+    "chapter": "case when batch % 9 = 0 then '5' when batch % 13 = 4 then '' else concat('', 1 + batch % 10) end",
+    "document": "case when batch % 9 = 0 then 'manual' when batch % 11 = 3 then 'other' else 'manual' end",
     "broken": "batch % 17 = 16",
 }
 
@@ -82,7 +84,7 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
     per = per.selectExpr("batch", "qs", *[f"{e} as {n}" for n, e in BATCH.items()])
     return per.select(
         F.col("batch_id").alias("batchId"), F.col("edition").alias("editionId"), F.col("chapter").alias("chapterId"), F.col("document").alias("sourceDocumentId"),
-        F.when(~F.col("broken"), F.transform("qs", lambda x: x["q"])).alias("questions"),
+        F.when(~F.col("broken"), F.transform("qs", lambda x: x["q"])).alias("questions"), F.format_string("imports/%05d.json", "batch").alias("source_file"),
     )
 
 
@@ -160,8 +162,10 @@ def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
     return review.reviewed(batches(spark, sf), bank(spark, sf))
 
 
-def _own(spark: SparkSession, sf: str) -> DataFrame:
-    return review.batch_issues(batches(spark, sf), EDITION, MANUAL)
+def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Keyed batches, their reviewed items (stored), and their own issues."""
+    given = review.keyed(batches(spark, sf))
+    return given, stored(review.reviewed(given, bank(spark, sf)), "reviewed"), review.batch_issues(given, EDITION, MANUAL)
 
 
 @query(f"{REVIEW} select batch_id, ord, external_id, chapter_id, status, errors, warnings from s")
@@ -172,7 +176,7 @@ def import_review(spark, sf):
 
 @query(f"{REVIEW} select batch_id, ord, code from own")
 def batch_issues(spark, sf):
-    return _own(spark, sf).select("batch_id", "ord", "code")
+    return review.batch_issues(batches(spark, sf), EDITION, MANUAL).select("batch_id", "ord", "code")
 
 
 @query(f"""{REVIEW}, per as (select batch, batch_id, count(*) as questions, count(*) filter (where status = 'accepted') as accepted, count(*) filter (where status = 'rejected') as rejected, sum(n_warnings) as warnings, sum(n_errors) as errors from s group by all),
@@ -180,14 +184,71 @@ o as (select batch, batch_id, count(*) as n from own group by all)
 select coalesce(per.batch_id, o.batch_id) as batch_id, coalesce(questions, 0)::bigint as questions, coalesce(accepted, 0)::bigint as accepted, coalesce(rejected, 0)::bigint as rejected, coalesce(warnings, 0)::bigint as warnings, (coalesce(errors, 0) + coalesce(n, 0))::bigint as errors
 from per full outer join o on per.batch = o.batch""")
 def import_summary(spark, sf):
-    return review.summary(_reviewed(spark, sf), _own(spark, sf)).drop("batch_key")
+    return review.summary(*_both(spark, sf)[1:]).drop("batch_key")
 
 
 @query(f"""{REVIEW} select cast(null as varchar) as question_id, -1 as item, ord, code from own
 union all select external_id, ord, (i - 1)::int, e from (select external_id, ord, unnest(string_split(errors, ',')) as e, generate_subscripts(string_split(errors, ','), 1) as i from s where status = 'rejected')""")
 def import_errors(spark, sf):
     """Errors of the batches, then of the rejected items."""
-    return review.all_errors(_reviewed(spark, sf), _own(spark, sf)).select("question_id", "item", "ord", "code")
+    return review.all_errors(*_both(spark, sf)[1:]).select("question_id", "item", "ord", "code")
+
+
+#: The reports in SQL, but for the messages of issues, which are ours: lines with their place.
+_LINES = f"""{REVIEW}, chg as (
+  select batch, ord, external_id, field, i, action from (
+    select b.batch, b.ord, n.external_id, field, i, raw from b join n using (k), lateral (values (0, 'prompt', b.prompt), (1, 'selectionMode', b.mode), (2, 'instruction', b.instruction), (3, 'publicExplanation', b.explanation), (4, 'sourceReference', b.reference), (5, 'groundingExcerpt', b.grounding)) v(i, field, raw)
+    union all select b.batch, b.ord, n.external_id, 'options', 100 + i, raw from b join n using (k), lateral (select unnest(string_split(b.opts, '|')) as raw, generate_subscripts(string_split(b.opts, '|'), 1) as i) o) x,
+    lateral (select 'whitespace_normalized' as action) y where {collapse_sql('raw')} <> raw),
+head as (select batch, any_value({BATCH['batch_id']}) as batch_id, any_value({BATCH['chapter']}) as chapter, any_value({BATCH['document']}) as document, any_value({BATCH['broken']}) as broken, count(*) as n_all from raw group by batch),
+c as (
+  select head.*, printf('imports/%05d.json', head.batch) as source_file, case when broken then 0 else n_all end as questions, coalesce(accepted, 0) as accepted, coalesce(rejected, 0) as rejected, coalesce(warnings, 0) as warnings, coalesce(errors, 0) + coalesce(o.n, 0) as errors,
+         coalesce(g.n, 0) + case when regexp_matches(chapter, '^[0-9]+$') then 1 else 0 end as changes
+  from head left join (select batch, count(*) filter (where status = 'accepted') as accepted, count(*) filter (where status = 'rejected') as rejected, sum(n_warnings) as warnings, sum(n_errors) as errors from s group by batch) per using (batch)
+  left join (select batch, count(*) as n from own group by batch) o using (batch) left join (select batch, count(*) as n from chg group by batch) g using (batch)),
+lines as (
+  select batch, part, p as place, sub, line from c, lateral (values
+    (0, 0, 0, concat('# Import Review: ', case when batch_id = '' then source_file else batch_id end)), (0, 1, 0, ''), (0, 2, 0, '## Batch overview'), (0, 3, 0, concat('- Source file: `', source_file, '`')), (0, 4, 0, '- Reviewed at: `2030-01-01`'),
+    (0, 5, 0, concat('- Chapter: `', case when regexp_matches(chapter, '^[0-9]+$') then concat('chapter-', chapter) else chapter end, '`')), (0, 6, 0, concat('- Source document: `', document, '`')), (0, 7, 0, concat('- Total questions: ', questions)),
+    (0, 8, 0, concat('- Accepted: ', accepted)), (0, 9, 0, concat('- Rejected: ', rejected)), (0, 10, 0, concat('- Warnings: ', warnings)), (0, 11, 0, concat('- Errors: ', errors)), (0, 12, 0, ''), (0, 13, 0, '## Accepted items'), (0, 14, 0, case when accepted = 0 then '- None' end),
+    (2, 0, 0, ''), (2, 1, 0, '## Rejected items'), (2, 2, 0, case when rejected = 0 then '- None' end), (4, 0, 0, ''), (4, 1, 0, '## Normalization warnings'), (4, 2, 0, case when changes = 0 then '- None' end), (5, -1, 0, case when regexp_matches(chapter, '^[0-9]+$') then '- `batch` chapterId: chapter_id_normalized' end),
+    (6, 0, 0, ''), (6, 1, 0, '## Next operator action'), (6, 2, 0, case when rejected > 0 then '{review.NEXT_STEPS[0]}' end), (6, 3, 0, case when rejected > 0 then '{review.NEXT_STEPS[1]}' end), (6, 4, 0, case when rejected = 0 then '{review.ALL_PASSED}' end)) v(part, p, sub, line) where line is not null
+  union all select batch, case when status = 'accepted' then 1 else 3 end, ord, 0, concat('- `', external_id, '`', case when status = 'accepted' and n_warnings > 0 then concat(' (', n_warnings, ' warnings)') else '' end) from s
+  union all select batch, 3, ord, i, concat('  - ', e) from (select batch, ord, unnest(string_split(errors, ',')) as e, generate_subscripts(string_split(errors, ','), 1) as i from s where status = 'rejected')
+  union all select batch, 5, ord, i, concat('- `', external_id, '` ', field, ': ', action) from chg)
+"""
+
+
+def _without_messages(line: str) -> Column:
+    return F.regexp_replace(line, "^(  - [a-z_]+): .*$", "$1")
+
+
+@query(f"{_LINES} select printf('imports/%05d.json', batch) as source_file, row_number() over (partition by batch order by part, place, sub) as position, line from lines")
+def import_report(spark, sf):
+    """The reports of all batches, line by line in order; the issues' messages are cut off."""
+    lines = review.report(*_both(spark, sf), "2030-01-01")
+    return lines.select("source_file", "position", _without_messages("line").alias("line"))
+
+
+@query(f"""{_LINES} select 'accepted' as kind, printf('imports/%05d.json', batch) as source_file, external_id as value, count(*)::bigint as n from s where status = 'accepted' group by all
+union all select 'rejected', printf('imports/%05d.json', batch), concat(external_id, ' ', errors), count(*)::bigint from s where status = 'rejected' group by all
+union all select 'log', printf('imports/%05d.json', batch), concat(questions, ' ', accepted, ' ', rejected, ' ', errors), 1 from c
+union all select 'summary', printf('imports/%05d.json', batch), line, count(*)::bigint from lines group by all""")
+def import_artifacts(spark, sf):
+    """The four artifacts of each batch, written twice with a failure in between, and read back."""
+    given, items, own = _both(spark, sf)
+    folder = shared_dir(spark, "import-reviews")
+    run = review.write_artifacts(given, items, own, folder, "2029-12-31")
+    # a run that stopped before its commit: its files are there, and count for nothing
+    items.where("status = 'accepted'").limit(5).withColumn("source_file", F.lit("imports/00001.json")).select("source_file", "external_id").write.partitionBy("source_file").json(f"{folder}/accepted-candidates/run={run}x")
+    review.write_artifacts(given, items, own, folder, "2030-01-01")
+    read = lambda kind, schema: review.read_artifacts(spark, folder, kind, schema)
+    issues = "array<struct<code:string>>"
+    accepted = read("accepted-candidates", "external_id string").select(F.lit("accepted").alias("kind"), "source_file", F.col("external_id").alias("value"))
+    rejected = read("rejected-candidates", f"external_id string, errors {issues}").select(F.lit("rejected").alias("kind"), "source_file", F.concat_ws(" ", "external_id", codes("errors")).alias("value"))
+    log = read("review-log", "question_count long, accepted long, rejected long, errors long").select(F.lit("log").alias("kind"), "source_file", F.concat_ws(" ", "question_count", F.coalesce("accepted", F.lit(0)), F.coalesce("rejected", F.lit(0)), F.coalesce("errors", F.lit(0))).alias("value"))
+    summary = read("review-summary", "value string").select(F.lit("summary").alias("kind"), "source_file", _without_messages("value").alias("value"))
+    return accepted.unionByName(rejected).unionByName(log).unionByName(summary).groupBy("kind", "source_file", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- questions, suggestions, diagnostics ---

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text
 from sievework.operators import catalog, rules, similarity
+from sievework.operators.order import numbered_within
 from sievework.session import stored
 
 TEXTS = ("prompt", "selectionMode", "instruction", "publicExplanation", "sourceReference", "groundingExcerpt", "reviewNotes")
@@ -16,38 +19,62 @@ NAMES = {
 }
 
 
+CHANGES = "array<struct<target:string,field:string,action:string,before:string,after:string>>"
+
+
 def clean(c: Column) -> Column:
-    return text.collapse(text.repair(F.coalesce(c, F.lit(""))))
+    return text.collapse(text.repair(F.coalesce(c, F.lit("")), lenient=True))
+
+
+def changes(target: Column, field: str, raw: Column) -> Column:
+    """The records of what cleaning changes in a text: a repair, and white space."""
+    raw = F.coalesce(raw, F.lit(""))
+    fixed = text.repair(raw, lenient=True)
+    logged = [("mojibake_recovered", raw, fixed), ("whitespace_normalized", fixed, text.collapse(fixed))]
+    return F.array_compact(F.array(*[F.when(before != after, F.struct(target.alias("target"), F.lit(field).alias("field"), F.lit(action).alias("action"), before.alias("before"), after.alias("after"))) for action, before, after in logged]))
+
+
+def keyed(batches: DataFrame) -> DataFrame:
+    """batches, stored, with batch_key, a number for each document, and source_file. Two documents are two batches, whatever
+    they hold; call it once, and use its result for items, batch issues and reports. Keyed batches are returned as they are."""
+    if "batch_key" in batches.columns:
+        return batches
+    numbered = stored(batches.withColumn("batch_key", F.monotonically_increasing_id()), "batches")
+    return numbered if "source_file" in batches.columns else numbered.withColumn("source_file", F.concat(F.lit("batch-"), F.col("batch_key").cast("string")))
+
+
+def batch_heads(batches: DataFrame) -> DataFrame:
+    """A row a keyed batch: batch_key, source_file, clean ids, and the changes made to them."""
+    ids = {"batchId": "batch_id", "editionId": "edition_id", "sourceDocumentId": "source_document_id"}
+    raw = F.coalesce("chapterId", F.lit(""))
+    chapter = text.chapter_id(F.col("chapterId"))
+    of_chapter = F.when((chapter != raw) & (raw != ""), F.struct(F.lit("batch").alias("target"), F.lit("chapterId").alias("field"), F.lit("chapter_id_normalized").alias("action"), raw.alias("before"), chapter.alias("after")))
+    made = F.concat(F.array_compact(F.array(of_chapter)), *[changes(F.lit("batch"), c, F.col(c)) for c in ids])
+    return keyed(batches).select("batch_key", "source_file", *[clean(F.col(c)).alias(n) for c, n in ids.items()], chapter.alias("chapter_id"), made.cast(CHANGES).alias("changes"), "questions")
 
 
 def normalized(batches: DataFrame) -> DataFrame:
     """A row a question: batch_key, ord, external_id, chapter_id, clean texts, options, numbers, and the changes made."""
-    flat = batches.withColumn("batch_key", F.xxhash64("batchId", "chapterId", "sourceDocumentId")).select(
-        "batch_key", F.col("batchId").alias("batch_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.posexplode("questions").alias("ord", "q")
-    )
-    # options and tags are cleaned as rows, so that the one Python function sees plain columns
-    opts = flat.select("batch_key", "ord", F.posexplode("q.options").alias("at", "o")).withColumn("t", clean(F.col("o.text")))
-    options = opts.groupBy("batch_key", "ord").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda x: x["t"]).alias("options"),
-        F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("o.text", F.lit("")).alias("raw"), "t"))), lambda x: text.logged_change("options", x["raw"], x["t"]))).alias("_option_changes"),
-    )
+    flat = keyed(batches).select("batch_key", clean(F.col("batchId")).alias("batch_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.posexplode("questions").alias("ord", "q"))
     external = F.coalesce(F.nullif(F.trim("q.externalId"), F.lit("")), F.concat(F.lit("question-"), (F.col("ord") + 1).cast("string")))
-    rows = flat.withColumns({f"_raw_{c}": F.coalesce(F.col(f"q.{c}"), F.lit("")) for c in TEXTS}).withColumns({f"_new_{c}": clean(F.col(f"q.{c}")) for c in TEXTS})
-    changes = F.array_compact(F.array(*[text.logged_change(c, F.col(f"_raw_{c}"), F.col(f"_new_{c}")) for c in TEXTS]))
-    none = F.expr("cast(array() as array<struct<field:string,before:string,after:string>>)")
-    return rows.join(options, ["batch_key", "ord"], "left").select(
+    none = F.expr("cast(array() as array<string>)")
+    options = F.transform(F.coalesce("q.options", F.expr("cast(array() as array<struct<text:string>>)")), lambda o: F.coalesce(o["text"], F.lit("")))
+    rows = flat.withColumns({"external_id": external, "_options": options})
+    of_fields = [changes(F.col("external_id"), c, F.col(f"q.{c}")) for c in TEXTS]
+    of_options = F.flatten(F.transform("_options", lambda o: changes(F.col("external_id"), "options", o)))
+    return rows.select(
         "batch_key",
         "batch_id",
         "ord",
-        external.alias("external_id"),
+        "external_id",
         "chapter_id",
-        *[F.col(f"_new_{c}").alias(NAMES[c]) for c in TEXTS],
-        F.coalesce("options", F.expr("cast(array() as array<string>)")).alias("options"),
-        F.transform(F.coalesce("q.correctOptionIndexes", F.expr("cast(array() as array<string>)")), text.number).alias("correct"),
+        *[clean(F.col(f"q.{c}")).alias(NAMES[c]) for c in TEXTS],
+        F.transform("_options", clean).alias("options"),
+        F.transform(F.coalesce("q.correctOptionIndexes", none), text.number).alias("correct"),
         text.number(F.col("q.sourcePageStart")).alias("page_start"),
         text.number(F.col("q.sourcePageEnd")).alias("page_end"),
-        F.filter(F.transform(F.coalesce("q.tags", F.expr("cast(array() as array<string>)")), lambda t: text.collapse(t)), lambda t: t != "").alias("tags"),
-        F.concat(changes, F.coalesce("_option_changes", none)).alias("changes"),
+        F.filter(F.transform(F.coalesce("q.tags", none), lambda t: text.collapse(t)), lambda t: t != "").alias("tags"),
+        F.concat(*of_fields, of_options).cast(CHANGES).alias("changes"),
     )
 
 
@@ -89,10 +116,7 @@ def to_questions(items: DataFrame, edition: str, source_document: str, author: s
 
 def batch_issues(batches: DataFrame, edition: str, source_document: str) -> DataFrame:
     """Issues of the batches themselves, a row an issue."""
-    named = batches.select(
-        F.xxhash64("batchId", "chapterId", "sourceDocumentId").alias("batch_key"), F.col("batchId").alias("batch_id"), F.trim("editionId").alias("edition_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.trim("sourceDocumentId").alias("source_document_id"), "questions"
-    )
-    return rules.exploded(rules.evaluate(named, rules.batch_rules(edition, source_document)), "batch_key", "batch_id")
+    return rules.exploded(rules.evaluate(batch_heads(batches), rules.batch_rules(edition, source_document)), "batch_key", "batch_id")
 
 
 def summary(items: DataFrame, of_batches: DataFrame) -> DataFrame:
@@ -112,34 +136,89 @@ def all_errors(items: DataFrame, of_batches: DataFrame) -> DataFrame:
     return top.unionByName(rest).orderBy("batch_key", "item", "ord")
 
 
-def write_artifacts(items: DataFrame, of_batches: DataFrame, folder: str, reviewed_at: str) -> None:
-    """Log, accepted, rejected as JSON, and a report in Markdown. The report is made from rows of a batch's size."""
-    items = items.persist()
-    try:
-        items.write.json(f"{folder}/review-log")
-        items.where("status = 'accepted'").drop("errors", "warnings", "status").write.json(f"{folder}/accepted-candidates")
-        items.where("status = 'rejected'").write.json(f"{folder}/rejected-candidates")
-        lines = report(items, of_batches, reviewed_at)
-        lines.orderBy("part", "ord", "sub").select("line").coalesce(1).write.text(f"{folder}/review-summary")
-    finally:
-        items.unpersist()
-
-
-def report(items: DataFrame, of_batches: DataFrame, reviewed_at: str) -> DataFrame:
-    """The report's lines: part, ord, sub, line."""
-    spark = items.sparkSession
-    facts = summary(items, of_batches).select(
-        F.lit(0).alias("part"),
-        F.posexplode(F.array(F.lit("# Import review"), F.lit(f"- Reviewed at: {reviewed_at}"), *[F.concat(F.lit(f"- {c.capitalize()}: "), F.col(c).cast("string")) for c in ("questions", "accepted", "rejected", "warnings", "errors")])).alias("ord", "line"),
-    ).select("part", F.col("ord").cast("long"), F.lit(-1).alias("sub"), "line")
-
-    def listed(part: int, title: str, status: str) -> DataFrame:
-        mine = items.where(F.col("status") == status)
-        head = spark.range(1).select(F.lit(part).alias("part"), F.lit(-1).cast("long").alias("ord"), F.lit(-1).alias("sub"), F.lit(f"## {title}").alias("line"))
-        note = F.when(F.size("warnings") > 0, F.concat(F.lit(" ("), F.size("warnings").cast("string"), F.lit(" warnings)"))).otherwise("")
-        names = mine.select(F.lit(part).alias("part"), F.col("ord").cast("long"), F.lit(-1).alias("sub"), F.concat(F.lit("- "), F.col("external_id"), note).alias("line"))
-        why = mine.select(F.lit(part).alias("part"), F.col("ord").cast("long"), F.posexplode("errors").alias("sub", "e")).select("part", "ord", "sub", F.concat(F.lit("  - "), F.col("e.code"), F.lit(": "), F.col("e.message")).alias("line"))
-        return head.unionByName(names).unionByName(why)
-
-    changed = items.select(F.lit(3).alias("part"), F.col("ord").cast("long"), "external_id", F.posexplode("changes").alias("sub", "c")).select("part", "ord", "sub", F.concat(F.lit("- "), F.col("external_id"), F.lit(" "), F.col("c.field"), F.lit(": normalized")).alias("line"))
-    return facts.unionByName(listed(1, "Accepted items", "accepted")).unionByName(listed(2, "Rejected items", "rejected")).unionByName(changed)
+def report(batches: DataFrame, items: DataFrame, of_batches: DataFrame, reviewed_at: str) -> DataFrame:
+    """The reports of keyed batches: batch_key, source_file, position (from 1 within the report), line.
+
+    Lines are made where their facts are, and numbered over ranges of (batch, place), so neither a batch of any size nor all
+    reports pass one task."""
+    heads = batch_heads(batches).withColumn("batch_id", F.coalesce(F.nullif("batch_id", F.lit("")), "source_file"))
+    heads = heads.withColumn("n_questions", F.greatest(F.lit(0), F.coalesce(F.size("questions"), F.lit(0)))).drop("questions")
+    counts = summary(items, of_batches).drop("batch_id", "questions")
+    changed = items.groupBy("batch_key").agg(F.sum(F.size("changes")).alias("_changes"))
+    facts = heads.join(counts, "batch_key", "left").join(changed, "batch_key", "left").fillna(0)
+    quoted = lambda c: F.concat(F.lit("`"), F.coalesce(F.col(c), F.lit("")), F.lit("`"))
+    say = lambda label, c: F.concat(F.lit(f"- {label}: "), c.cast("string"))
+    if_none = lambda n: F.when(n == 0, F.lit("- None"))
+    all_changes = F.col("_changes") + F.size("changes")
+    parts = [
+        [F.concat(F.lit("# Import Review: "), F.col("batch_id")), F.lit(""), F.lit("## Batch overview"), say("Source file", quoted("source_file")), F.lit(f"- Reviewed at: `{reviewed_at}`"), say("Chapter", quoted("chapter_id")), say("Source document", quoted("source_document_id")),
+         say("Total questions", F.col("n_questions")), *[say(c.capitalize(), F.col(c)) for c in ("accepted", "rejected", "warnings", "errors")], F.lit(""), F.lit("## Accepted items"), if_none(F.col("accepted"))],
+        [],
+        [F.lit(""), F.lit("## Rejected items"), if_none(F.col("rejected"))],
+        [],
+        [F.lit(""), F.lit("## Normalization warnings"), if_none(all_changes)],
+        [],
+        [F.lit(""), F.lit("## Next operator action"), *[F.when(F.col("rejected") > 0, F.lit(x)) for x in NEXT_STEPS], F.when(F.col("rejected") == 0, F.lit(ALL_PASSED))],
+    ]
+    place = lambda part, at, sub, line: F.struct(F.lit(part).alias("part"), F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), sub.cast("int").alias("sub") if isinstance(sub, Column) else F.lit(sub).alias("sub"), line.alias("line"))
+    fixed = F.array(*[place(i, j, 0, line) for i, lines in enumerate(parts) for j, line in enumerate(lines)])
+    out = facts.select("batch_key", F.inline(F.filter(fixed, lambda x: x["line"].isNotNull())))
+    note = F.when(F.size("warnings") > 0, F.concat(F.lit(" ("), F.size("warnings").cast("string"), F.lit(" warnings)"))).otherwise("")
+    named = F.concat(F.lit("- `"), F.col("external_id"), F.lit("`"))
+    why = F.transform("errors", lambda e, i: place(3, F.col("ord"), i + 1, F.concat(F.lit("  - "), e["code"], F.lit(": "), e["message"])))
+    of_item = F.when(F.col("status") == "accepted", F.array(place(1, F.col("ord"), 0, F.concat(named, note)))).otherwise(F.concat(F.array(place(3, F.col("ord"), 0, named)), why))
+    listed = lambda at: F.transform("changes", lambda c, i: place(5, at, i, F.concat(F.lit("- `"), c["target"], F.lit("` "), c["field"], F.lit(": "), c["action"])))
+    out = out.unionByName(items.select("batch_key", F.inline(F.concat(of_item, listed(F.col("ord")))))).unionByName(heads.select("batch_key", F.inline(listed(-1))))
+    lines = numbered_within(stored(out, "report-lines"), ["batch_key"], [F.col("part"), F.col("at"), F.col("sub")], "position")
+    return lines.join(heads.select("batch_key", "source_file"), "batch_key").select("batch_key", "source_file", "position", "line")
+
+
+NEXT_STEPS = (
+    "- Use `accepted-candidates.json` as the only eligible staging set for later merge work.",
+    "- Review `rejected-candidates.json` and split or discard out-of-scope items before resubmission.",
+)
+ALL_PASSED = "- All items passed review. Continue with the later merge workflow from `accepted-candidates.json`."
+
+ARTIFACTS = ("review-log", "accepted-candidates", "rejected-candidates", "review-summary")
+
+
+def write_artifacts(batches: DataFrame, items: DataFrame, of_batches: DataFrame, folder: str, reviewed_at: str) -> str:
+    """Four artifacts of each keyed batch below folder: log, accepted and rejected items as JSON, and the report as text, each
+    in a folder of this run, with a folder a source file. Returns the run's name.
+
+    A run counts for a batch once its commit is written, after all artifacts: `commits` has a row a run and source file.
+    What a run left that failed is never read, and of several runs over the same file the last committed one holds."""
+    run = uuid.uuid4().hex
+    items = stored(items, "reviewed-items")
+    heads = batch_heads(batches)
+    named = items.join(heads.select("batch_key", "source_file"), "batch_key")
+    counts = summary(items, of_batches).drop("batch_id")
+    own = of_batches.groupBy("batch_key").agg(F.array_sort(F.collect_list(F.struct("ord", "code", "message"))).alias("batch_errors"))
+    log = heads.withColumn("question_count", F.greatest(F.lit(0), F.coalesce(F.size("questions"), F.lit(0)))).drop("questions").join(counts.drop("questions"), "batch_key", "left").join(own, "batch_key", "left").withColumn("reviewed_at", F.lit(reviewed_at))
+    own_columns = [c for c in items.columns if c not in ("status", "errors", "warnings", "changes", "batch_kind", "bank_kind", "window_start", "window_end")]
+    by_file = lambda df, kind: df.write.partitionBy("source_file").json(f"{folder}/{kind}/run={run}")
+    by_file(log.repartition("source_file"), "review-log")
+    ordered = [F.col("source_file"), F.col("ord")]
+    accepted = named.where("status = 'accepted'").select("source_file", *own_columns)
+    rejected = named.where("status = 'rejected'").select("source_file", *own_columns, "errors", "warnings")
+    for kind, df in (("accepted-candidates", accepted), ("rejected-candidates", rejected)):
+        by_file(df.repartitionByRange(*ordered).sortWithinPartitions(*ordered), kind)
+    lines = report(batches, items, of_batches, reviewed_at)
+    in_order = [F.col("source_file"), F.col("position")]
+    # files of a folder are numbered as their ranges are, so their lines in the order of names are the report
+    lines.repartitionByRange(*in_order).sortWithinPartitions(*in_order).select("source_file", "line").write.partitionBy("source_file").text(f"{folder}/review-summary/run={run}")
+    heads.select("source_file", F.lit(run).alias("run"), F.lit(reviewed_at).alias("reviewed_at"), F.current_timestamp().alias("committed_at")).write.mode("append").parquet(f"{folder}/commits")
+    return run
+
+
+def committed(spark: SparkSession, folder: str) -> DataFrame:
+    """source_file, run: the run that holds for each file."""
+    done = spark.read.parquet(f"{folder}/commits")
+    return done.groupBy("source_file").agg(F.max_by("run", F.struct("committed_at", "run")).alias("run"))
+
+
+def read_artifacts(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
+    """The committed rows of one kind of artifact, with source_file and run."""
+    reader = spark.read.schema(f"{schema}, run string, source_file string")
+    df = reader.text(f"{folder}/{kind}") if kind == "review-summary" else reader.json(f"{folder}/{kind}")
+    return df.join(committed(spark, folder), ["source_file", "run"], "left_semi")

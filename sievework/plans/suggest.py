@@ -165,11 +165,9 @@ def created_draft(suggestions: DataFrame, ident: str, actor: str, now: Column) -
 
 def clean_chunks(chunks: DataFrame, texts: list[str], options: str = "options") -> DataFrame:
     """Prepared chunks with repaired, collapsed texts and options; options without text go."""
-    cleaned = chunks.withColumns({c: text.collapse(text.repair(F.col(c))) for c in texts})
-    at = cleaned.withColumn("_row", F.monotonically_increasing_id())
-    flat = at.select("_row", F.posexplode(options).alias("_at", "_o")).withColumn("_o", text.collapse(text.repair(F.col("_o")))).where("_o <> ''")
-    per = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_o"))), lambda x: x["_o"]).alias("_new"))
-    return at.join(per, "_row", "left").withColumn(options, F.coalesce("_new", F.expr("cast(array() as array<string>)"))).drop("_row", "_new")
+    cleaned = lambda c: text.collapse(text.repair(c))
+    kept = F.filter(F.transform(F.coalesce(options, F.expr("cast(array() as array<string>)")), cleaned), lambda o: o != "")
+    return chunks.withColumns({c: cleaned(F.col(c)) for c in texts}).withColumn(options, kept)
 
 
 def verified(suggestions: DataFrame, questions: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ def make(tmp_path, spark):
 
 def test_review(spark, tmp_path):
     batches, bank = make(tmp_path, spark)
+    batches = review.keyed(batches)
     items = review.reviewed(batches, bank).cache()
     got = {r["external_id"]: (r["status"], [e["code"] for e in r["errors"]]) for r in items.collect()}
     assert got == {
@@ -48,7 +49,7 @@ def test_review(spark, tmp_path):
         "5-q033": ("rejected", ["chapter_scope_mismatch", "annex_scope_mismatch"]),
     }
     first = items.where("external_id = '4-q001'").first()
-    assert first["prompt"] == "Que hace usted ante Señal alguna?" and [c["field"] for c in first["changes"]] == ["prompt"] and first["tags"] == ["luz"]
+    assert first["prompt"] == "Que hace usted ante Señal alguna?" and [(c["field"], c["action"]) for c in first["changes"]] == [("prompt", "mojibake_recovered"), ("prompt", "whitespace_normalized")] and first["tags"] == ["luz"]
 
     of_batches = review.batch_issues(batches, "edition-2026", "manual")
     assert [r["code"] for r in of_batches.collect()] == ["invalid_source_document_id"]
@@ -57,11 +58,35 @@ def test_review(spark, tmp_path):
     listed = [(r["question_id"], r["code"]) for r in review.all_errors(items, of_batches).collect()]
     assert listed.index((None, "invalid_source_document_id")) < listed.index(("5-q033", "chapter_scope_mismatch")) < listed.index(("5-q033", "annex_scope_mismatch"))
 
-    out = tmp_path / "out"
-    review.write_artifacts(items, of_batches, str(out), "2026-01-01")
-    assert spark.read.json(f"{out}/accepted-candidates").count() == 2 and spark.read.json(f"{out}/rejected-candidates").count() == 5
-    lines = [r["value"] for r in spark.read.text(f"{out}/review-summary").collect()]
-    assert "## Rejected items" in lines and "- 4-q047" in lines and "- 4-q001 prompt: normalized" in lines
+    out = str(tmp_path / "out")
+    review.write_artifacts(batches, items, of_batches, out, "2026-01-01")
+    review.write_artifacts(batches, items, of_batches, out, "2026-01-02")  # a rerun
+    assert spark.read.parquet(f"{out}/commits").count() == 4
+    read = lambda kind, schema: review.read_artifacts(spark, out, kind, schema)
+    assert read("accepted-candidates", "external_id string").count() == 2 and read("rejected-candidates", "external_id string").count() == 5
+    assert {r["reviewed_at"] for r in read("review-log", "reviewed_at string").collect()} == {"2026-01-02"}
+    assert read("review-summary", "value string").where("value like '# Import Review%'").count() == 2
+    lines = review.report(batches, items, of_batches, "2026-01-01").orderBy("source_file", "position").collect()
+    of = [[r["line"] for r in lines if r["source_file"].endswith(f)] for f in ("a.json", "b.json")]
+    assert [r["position"] for r in lines] == [i for x in of for i in range(1, len(x) + 1)]
+    assert of[1][:1] + of[1][7:] == [
+        "# Import Review: batch-b", "- Total questions: 1", "- Accepted: 0", "- Rejected: 1", "- Warnings: 0", "- Errors: 3", "", "## Accepted items", "- None", "", "## Rejected items", "- `5-q033`",
+        *(x for x in of[1] if x.startswith("  - ")), "", "## Normalization warnings", "- None", "", "## Next operator action", *review.NEXT_STEPS,
+    ]
+    assert "- `4-q001` prompt: mojibake_recovered" in of[0] and "- `batch` chapterId: chapter_id_normalized" in of[0]
+    items.unpersist()
+
+
+def test_batches_that_only_their_files_tell_apart(spark, tmp_path):
+    """Two documents without an id, of one chapter and source document, are two batches."""
+    for name in "ab":
+        batch = {"batchId": "", "editionId": "edition-2026", "chapterId": "4", "sourceDocumentId": "manual", "questions": [question(f"q{i}", f"Pregunta número {name} {i} " + " ".join(f"{name}{i}palabra{j}" for j in range(6)), 40) for i in range(40)]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(batch))
+    batches = review.keyed(tables.read_batches(spark, str(tmp_path / "*.json")))
+    items = review.reviewed(batches, spark.createDataFrame([(1, "x")], "bank_id int, prompt string")).cache()
+    assert items.count() == 80 and items.where("size(options) <> 4").count() == 0
+    of_batches = review.batch_issues(batches, "edition-2026", "manual")
+    assert [(r["questions"], r["errors"]) for r in review.summary(items, of_batches).collect()] == [(40, 1), (40, 1)]
     items.unpersist()
 
 
