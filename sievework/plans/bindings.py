@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
-from sievework.operators import catalog, coverage, quiz, rules, similarity, workflow
+from sievework.operators import catalog, coverage, quiz, reducer, rules, similarity, workflow
+from sievework.session import shared_dir
 from sievework.sources import tables
+from sievework.streaming import quiz as stream_quiz
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -356,6 +358,56 @@ def running_score(spark, sf):
     return quiz.running(points, "user_id", ["event_id"], "points").select("event_id", "user_id", "running")
 
 
+#: A quiz of twelve questions, and actions: most events toggle an option, some confirm, some go on.
+_QUIZ = "select p_partkey - 1 as pos, concat('q-', p_partkey) as question_id, case when p_partkey % 3 = 0 then 'multiple' else 'single' end as selection_mode, case when p_partkey % 3 = 0 then 'a,c' else substr('abcd', cast(1 + p_size % 4 as int), 1) end as answers, p_partkey % 5 = 0 as double_weight from part where p_partkey between 1 and 12"
+_ACTIONS = "select user_id as attempt_id, event_id as seq, case when event_id % 7 < 4 then 'toggle' when event_id % 7 < 6 then 'confirm' else 'next' end as action, substr('abcd', cast(1 + (event_id * 31) % 4 as int), 1) as option_id from events"
+_OUTCOMES = f"""
+with quiz as ({_QUIZ}), act as ({_ACTIONS}), placed as (select *, count(*) filter (where action = 'next') over (partition by attempt_id order by seq rows unbounded preceding) as pos from act),
+mine as (select p.*, question_id, selection_mode, answers, double_weight from placed p join quiz using (pos) where action <> 'next'),
+taps as (select c.attempt_id, c.seq, c.pos, x.option_id, count(*) as taps, max(x.seq) as last_tap from mine c join mine x on c.attempt_id = x.attempt_id and c.pos = x.pos and x.seq < c.seq and x.action = 'toggle' where c.action = 'confirm' group by all),
+ranked as (select taps.*, row_number() over (partition by attempt_id, seq order by last_tap desc) as recent from taps),
+selected as (select r.attempt_id, r.seq, any_value(r.pos) as pos, string_agg(r.option_id, ',' order by r.option_id) as selected from ranked r join quiz using (pos) where case when selection_mode = 'single' then recent = 1 else taps % 2 = 1 end group by r.attempt_id, r.seq),
+counted as (select *, row_number() over (partition by attempt_id, pos order by seq) as nth from selected),
+marked as (select attempt_id, seq, pos, question_id, selected, selected = answers as is_correct, case when double_weight then 2 else 1 end as points_available from counted join quiz using (pos) where nth = 1),
+earned as (select *, case when is_correct then points_available else 0 end as points_earned from marked)
+select attempt_id, seq, pos, question_id, selected, is_correct, points_available, points_earned, sum(points_earned) over (partition by attempt_id order by seq rows unbounded preceding)::bigint as score from earned
+"""
+
+
+def _quiz(spark, sf):
+    return t(spark, sf, "part").where("p_partkey between 1 and 12").selectExpr(
+        "p_partkey - 1 as at", "concat('q-', p_partkey) as question_id", "case when p_partkey % 3 = 0 then 'multiple' else 'single' end as selection_mode",
+        "case when p_partkey % 3 = 0 then array('a', 'c') else array(substr('abcd', cast(1 + p_size % 4 as int), 1)) end as correct", "p_partkey % 5 = 0 as double_weight",
+    )
+
+
+def _actions(events):
+    return events.selectExpr("user_id as attempt_id", "event_id as seq", "case when event_id % 7 < 4 then 'toggle' when event_id % 7 < 6 then 'confirm' else 'next' end as action", "substr('abcd', cast(1 + (event_id * 31) % 4 as int), 1) as option_id")
+
+
+def _flat_outcomes(df):
+    return df.withColumnRenamed("at", "pos").withColumn("selected", F.array_join("selected", ","))
+
+
+@query(_OUTCOMES)
+def quiz_reducer(spark, sf):
+    """The outcomes of all attempts, from the ordered log of their actions."""
+    return _flat_outcomes(reducer.outcomes(_actions(t(spark, sf, "events")), _quiz(spark, sf), is_exam=True))
+
+
+@query(_OUTCOMES)
+def quiz_reducer_stream(spark, sf):
+    """The same from a stream that is stopped half-way and goes on from its checkpoint."""
+    events, log = t(spark, sf, "events"), shared_dir(spark, "actions")
+    half = events.agg((F.max("event_id") / 2).alias("h")).first()["h"] or 0
+    out, checkpoint = f"{log}/outcomes", f"{log}/checkpoint"
+    for part in (events.where(F.col("event_id") <= half), events.where(F.col("event_id") > half)):
+        part.write.mode("append").parquet(f"{log}/events")
+        actions = _actions(spark.readStream.schema(events.schema).parquet(f"{log}/events"))
+        stream_quiz.run_to(stream_quiz.outcomes(actions, _quiz(spark, sf), is_exam=True), out, checkpoint).awaitTermination()
+    return _flat_outcomes(spark.read.parquet(out))
+
+
 @query("""with e as (select user_id, count(*)::bigint as total, (count(*) filter (where value > 50))::bigint as correct from events group by user_id)
 select user_id as attempt_id, total, correct, total - correct as incorrect, correct as points, floor(correct / total * 100 + 0.5)::bigint as pct, correct >= 33 as passed from e""")
 def attempt_scores(spark, sf):
