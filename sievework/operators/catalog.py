@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text
+from sievework.operators import intervals
+from sievework.operators.order import numbered
+from sievework.operators.skew import checked
 from sievework.sources import tables
 
 
@@ -80,9 +83,8 @@ def overlay(base: DataFrame, over: DataFrame, key: str, fields: bool = False) ->
 
 def with_window(rows: DataFrame, windows: DataFrame, key: str, *values: str, annex_from: int | None = None) -> DataFrame:
     """rows with the window (window_start, window_end) of their key, and what it says of the values: configured, mismatch (the
-    first value lies before it or the last one after it) and annex (one of them is annex_from or more). windows: a small
-    table with the key."""
-    joined = rows.join(F.broadcast(windows), key, "left")
+    first value lies before it or the last one after it) and annex (one of them is annex_from or more). windows: one a key."""
+    joined = rows.join(checked(windows), key, "left")
     known = F.col("window_start").isNotNull()
     first, last = F.col(values[0]).cast("double"), F.col(values[-1]).cast("double")
     outside = (text.finite(first) & (first < F.col("window_start"))) | (text.finite(last) & (last > F.col("window_end")))
@@ -90,6 +92,15 @@ def with_window(rows: DataFrame, windows: DataFrame, key: str, *values: str, ann
     return joined.withColumns({"configured": known, "mismatch": F.coalesce(known & outside, F.lit(False)), "annex": F.coalesce(known & late, F.lit(False))})
 
 
+def with_windows(rows: DataFrame, windows: DataFrame, row_id: str, key: str, first: str, last: str | None = None) -> DataFrame:
+    """rows with what many, overlapping windows a key say: configured (the key has any), n_windows (how many hold the row from
+    first to last) and first_window (the least window_id of these)."""
+    met = intervals.within(rows.select(row_id, key, *dict.fromkeys([first, last or first])), windows, [key], first, last)
+    counts = met.groupBy(row_id).agg(F.count(F.lit(1)).alias("n_windows"), F.min("window_id").alias("first_window"))
+    known = checked(windows.select(key).distinct().withColumn("configured", F.lit(True)))
+    return rows.join(counts, row_id, "left").join(known, key, "left").withColumns({"n_windows": F.coalesce("n_windows", F.lit(0)), "configured": F.coalesce("configured", F.lit(False))})
+
+
 def first_live(questions: DataFrame, order: Sequence[Column], n: int = 3) -> DataFrame:
     """The first questions in catalog order that are not archived."""
     return questions.where(F.col("status") != "archived").orderBy(*order).limit(n)
@@ -100,6 +111,11 @@ def ordered_questions(questions: DataFrame) -> DataFrame:
     return questions.orderBy(F.col("published_at").asc_nulls_last(), "id")
 
 
+def catalog_places(questions: DataFrame, column: str = "place") -> DataFrame:
+    """Questions with their place (from 1) in the order of publication, unpublished ones last, then by id."""
+    return numbered(questions, [F.col("published_at").asc_nulls_last(), F.col("id")], column)
+
+
 def active_edition(editions: DataFrame) -> DataFrame:
     """The first active edition, else the one last in effect."""
     return editions.orderBy(F.desc("is_active"), F.col("effective_from").desc_nulls_last(), "id").limit(1)
@@ -126,21 +142,42 @@ def scoped(catalog: Catalog, edition: str) -> Catalog:
     return replace(catalog, chapters=mine(catalog.chapters), questions=mine(catalog.questions), events=mine(catalog.events), rules=catalog.rules.withColumn("edition_id", F.lit(edition)))
 
 
-def read_catalog(spark: SparkSession, root: str, seed: Catalog, strict: bool = False) -> tuple[Catalog, str]:
-    """A catalog of files and the version it was read in. Only missing tables make it fall back (to legacy files, then to
-    the seed); with strict they are an error."""
+#: Columns that questions of version v1 have and older ones lack.
+ADDED = {"edition_id": "string", "public_explanation": "string"}
+FILES = {"editions": "editions", "chapters": "chapters", "sources": "source_documents", "events": "editorial_events", "rules": "exam_rule_sets"}
+
+
+def read_layers(spark: SparkSession, layers: dict[str, str], seed: Catalog) -> tuple[Catalog, dict[str, str]]:
+    """A catalog from several folders, in the order they are given (version v1, legacy, a local cache), and the layer that each
+    table came from. Each table is read from the first folder that has it, whole (questions with their options and media),
+    and gets the columns that its layer lacks (by the seed's, as nulls); tables that no folder has are the seed's. Only a missing table makes the next
+    layer count: what can't be read otherwise is an error."""
+    read = lambda layer, name, lacking: tables.migrated(tables.read_table(spark, layers[layer], name), {c: F.lit(None).cast(kind) for c, kind in lacking.items()}, {})
+    first = lambda *names: next((x for x, root in layers.items() if all(tables.has_table(spark, root, n) for n in names)), "seed")
+    came = {field: first(name) for field, name in FILES.items()} | {"questions": first("questions", "question_options", "question_media")}
+    found = {field: read(layer, FILES[field], dict(getattr(seed, field).dtypes)) for field, layer in came.items() if layer != "seed" and field != "questions"}
+    if came["questions"] != "seed":
+        found["questions"] = questions_of(*[read(came["questions"], n, ADDED if n == "questions" else {}) for n in ("questions", "question_options", "question_media")])
+    return replace(seed, **found), came
+
+
+def read_catalog(spark: SparkSession, root: str, seed: Catalog, strict: bool = False, cache: str | None = None) -> tuple[Catalog, str]:
+    """A catalog of files and the version it was read in. Only missing tables make it fall back (to legacy files, then to the
+    local cache, then to the seed); with strict they are an error. A half-migrated folder, which has some tables of v1 only,
+    is read as v1 where it can be, and its other tables come from the layers below."""
     version = tables.schema_version(spark, root)
-    if version == "v1":
-        t = lambda n: tables.read_table(spark, root, n)
-        found = Catalog(t("editions"), t("chapters"), t("source_documents"), questions_of(t("questions"), t("question_options"), t("question_media")), t("editorial_events"), t("exam_rule_sets"))
-        return with_floor(found, seed), version
-    if strict:
+    if strict and version != "v1":
         raise ValueError(f"{root} holds no catalog of version v1")
-    if version == "legacy":
-        t = lambda n: tables.read_table(spark, root, n)
-        rows = tables.migrated(t("questions"), {"edition_id": F.lit(None).cast("string"), "public_explanation": F.lit(None).cast("string")}, {})
-        return replace(seed, questions=questions_of(rows, t("question_options"), t("question_media"))), version
-    return seed, version
+    if version == "seed":
+        if cache is None or not any(tables.has_table(spark, cache, n) for n in (*FILES.values(), "questions")):
+            return seed, version
+        return read_layers(spark, {"cache": cache}, seed)[0], "cache"
+    if strict:
+        missing = [n for n in (*FILES.values(), "questions", "question_options", "question_media") if not tables.has_table(spark, root, n)]
+        if missing:
+            raise ValueError(f"{root} lacks {missing}")
+    found, _ = read_layers(spark, {version: root} | ({"cache": cache} if cache else {}), seed)
+    return (with_floor(found, seed) if version == "v1" else found), version
 
 
 def visible(df: DataFrame, is_admin: bool, status: str = "status") -> DataFrame:

@@ -22,3 +22,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, tot
     hot = F.broadcast(lookup.where(is_hot))
     cold = rows.join(hot.select(*keys), keys, "left_anti").join(lookup.where(~is_hot), keys, how)
     return rows.join(hot, keys).unionByName(cold)
+
+
+def checked(lookup: DataFrame) -> DataFrame:
+    """The lookup with a broadcast hint if it has at most MOST_ROWS rows, else as it is, for a shuffled join."""
+    return F.broadcast(lookup) if lookup.limit(MOST_ROWS + 1).count() <= MOST_ROWS else lookup

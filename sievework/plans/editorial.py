@@ -6,7 +6,7 @@ and the SQL read. They are made so that every rule finds something somewhere.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import text
@@ -603,17 +603,15 @@ def answer_texts(spark, sf):
     return q.select("id", text.answer_text(F.col("options")).alias("answer"), F.size(F.filter(text.mark_option(F.col("options"), F.lit("A"), F.lit(True), F.col("selection_mode")), lambda o: o["is_correct"])).cast("long").alias("n_after"))
 
 
-@query(f"""{BANK_AND_SUGGESTIONS} select 'suggestion' as part, id, row_number() over (order by position desc, id)::int as nth from s
-union all select 'run', concat('run-', s_suppkey), row_number() over (order by s_acctbal desc, s_suppkey)::int from supplier union all select 'chunk', id, null from (select {listed(CHUNK)} from supplier) where edition = 'e1'""")
+@query(f"""{BANK_AND_SUGGESTIONS} select 'suggestion' as part, id, row_number() over (order by position desc, id) as nth from s
+union all select 'run', concat('run-', s_suppkey), row_number() over (order by s_acctbal desc, concat('run-', s_suppkey)) from supplier union all select 'chunk', id, null from (select {listed(CHUNK)} from supplier) where edition = 'e1'""")
 def workspace(spark, sf):
-    """What an editor's workspace shows: suggestions and runs, newest first, and the edition's chunks. Places are given by
-    rank only to hold the order against SQL."""
+    """What an editor's workspace shows: suggestions and runs, newest first, with their places, and the edition's chunks."""
     made = suggestions(spark, sf).withColumn("updated_at", F.col("position"))
-    runs = t(spark, sf, "supplier").selectExpr("concat('run-', s_suppkey) as id", "'e1' as edition_id", "s_acctbal as created_at", "s_suppkey as nr")
+    runs = t(spark, sf, "supplier").selectExpr("concat('run-', s_suppkey) as id", "'e1' as edition_id", "s_acctbal as created_at")
     s, r, c = suggest.workspace(made, runs, chunks(spark, sf), EDITION)
-    nth = lambda *by: F.row_number().over(Window.orderBy(*by)).alias("nth")
-    out = s.select(F.lit("suggestion").alias("part"), "id", nth(F.desc("updated_at"), "id")).unionByName(r.select(F.lit("run").alias("part"), "id", nth(F.desc("created_at"), "nr")))
-    return out.unionByName(c.select(F.lit("chunk").alias("part"), "id", F.lit(None).cast("int").alias("nth")))
+    out = s.select(F.lit("suggestion").alias("part"), "id", F.col("place").alias("nth")).unionByName(r.select(F.lit("run").alias("part"), "id", F.col("place").alias("nth")))
+    return out.unionByName(c.select(F.lit("chunk").alias("part"), "id", F.lit(None).cast("long").alias("nth")))
 
 
 @query(f"""with {RAW}, i as (select k as id, {fold_sql('prompt')} as folded, list_distinct({tokens_sql('prompt')}) as toks from raw), b as (select bank_id, {fold_sql('prompt')} as folded, list_distinct({tokens_sql('prompt')}) as toks from ({BANK})),

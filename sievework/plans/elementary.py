@@ -9,7 +9,7 @@ from sievework.functions import text
 from sievework.operators import catalog, coverage, quiz, workflow
 from sievework.plans import suggest
 from sievework.plans.bindings import collapse_sql, query, t
-from sievework.plans.editorial import ACTOR, BANK_AND_SUGGESTIONS, DRAFT_OK, EDITION, questions, suggestions
+from sievework.plans.editorial import ACTOR, BANK_AND_SUGGESTIONS, CHUNK, DRAFT_OK, EDITION, chunks, questions, suggestions
 from sievework.session import shared_dir
 from sievework.sources import tables
 
@@ -37,8 +37,10 @@ def single_row(spark, sf):
 @query("select true as has_nation, false as has_editions, 'seed' as version, exists (select 1 from orders where o_totalprice > 100000) as any_large, exists (select 1 from orders where o_totalprice < 0) as any_negative")
 def existence_probes(spark, sf):
     orders = t(spark, sf, "orders")
-    found = [tables.has_table(spark, sf, "nation"), tables.has_table(spark, sf, "editions"), tables.schema_version(spark, sf), tables.exists(orders.where("o_totalprice > 100000")), tables.exists(orders.where("o_totalprice < 0"))]
-    return spark.createDataFrame([tuple(found)], "has_nation boolean, has_editions boolean, version string, any_large boolean, any_negative boolean")
+    probe = lambda condition, name: orders.where(condition).limit(1).agg((F.count(F.lit(1)) > 0).alias(name))
+    has = {f"has_{n}": F.lit(tables.has_table(spark, sf, n)) for n in ("nation", "editions")}
+    both = probe("o_totalprice > 100000", "any_large").join(F.broadcast(probe("o_totalprice < 0", "any_negative")), how="cross")  # a row each
+    return both.withColumns(has | {"version": F.lit(tables.schema_version(spark, sf))}).select("has_nation", "has_editions", "version", "any_large", "any_negative")
 
 
 @query(" union all ".join(f"select '{n}' as name, count(*)::bigint as n from {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")))
@@ -205,10 +207,15 @@ def practice_sizes(spark, sf):
     return quiz.default_size(q, 48).join(F.broadcast(quiz.available(q, ["chapter-1", "chapter-5"])), how="cross")
 
 
-@query("select kind, n, case kind when 'new' then n when 'rewrite' then 0 else greatest(1, (n + 1) // 2) end::bigint as new, case kind when 'new' then 0 when 'rewrite' then n else greatest(0, n - greatest(1, (n + 1) // 2)) end::bigint as rewrites from (values ('new'), ('rewrite'), ('mixed')) k(kind), range(1, 8) r(n)")
+@query(f"""with have as (select (select count(*) from supplier where {CHUNK['prompt']} is not null) as chunks, (select count(*) from part where p_partkey % 4 <> 3) as questions)
+select kind, n, least(chunks, case kind when 'new' then n when 'rewrite' then 0 else greatest(1, (n + 1) // 2) end)::bigint as new, least(questions, case kind when 'new' then 0 when 'rewrite' then n else greatest(0, n - greatest(1, (n + 1) // 2)) end)::bigint as rewrites
+from (values ('new'), ('rewrite'), ('mixed')) k(kind), range(1, 8) r(n), have""")
 def pilot_budgets(spark, sf):
+    """How many chunks and questions runs of several kinds and sizes take of those that there are."""
     rows = [(kind, n, *quiz.pilot_budget(kind, n)) for kind in ("new", "rewrite", "mixed") for n in range(1, 8)]
-    return spark.createDataFrame(rows, "kind string, n long, new long, rewrites long")
+    budgets = spark.createDataFrame(rows, "kind string, n long, new long, rewrites long")
+    have = chunks(spark, sf).agg(F.count_if(F.col("candidate").isNotNull()).alias("_c")).join(F.broadcast(questions(spark, sf).agg(F.count_if(F.col("status") != "archived").alias("_q"))), how="cross")  # a row each
+    return budgets.join(F.broadcast(have), how="cross").select("kind", "n", F.least("_c", "new").alias("new"), F.least("_q", "rewrites").alias("rewrites"))
 
 
 @query("select o_orderkey from orders where o_totalprice > 190000 order by case when o_custkey % 3 = 0 then o_orderdate end nulls last, concat('', o_orderkey) limit 20")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import text
 from sievework.operators import catalog, rules, similarity
 from sievework.operators.order import numbered_within
+from sievework.operators.skew import checked
 from sievework.session import stored
 
 TEXTS = ("prompt", "selectionMode", "instruction", "publicExplanation", "sourceReference", "groundingExcerpt", "reviewNotes")
@@ -93,7 +94,7 @@ def reviewed(batches: DataFrame, bank: DataFrame, windows: DataFrame | None = No
     """All items with errors, warnings and status. bank: bank_id, prompt (repaired). windows: chapter_id, window_start, window_end."""
     if windows is None:
         windows = batches.sparkSession.createDataFrame(rules.SCOPE_WINDOWS, "chapter_id string, window_start int, window_end int")
-    items = with_matches(normalized(batches), bank).join(F.broadcast(windows), "chapter_id", "left")
+    items = with_matches(normalized(batches), bank).join(checked(windows), "chapter_id", "left")
     checked = rules.evaluate(items, rules.import_rules())
     return checked.withColumns({"errors": F.filter("issues", lambda i: i["severity"] == rules.ERROR), "warnings": F.filter("issues", lambda i: i["severity"] == rules.WARNING)}).withColumn(
         "status", F.when(F.size("errors") > 0, "rejected").otherwise("accepted")

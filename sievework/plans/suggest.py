@@ -3,11 +3,14 @@ and records of a pilot whose raw model outputs are a column."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
 from sievework.operators import catalog, coverage, quiz, rules, similarity, workflow
+from sievework.operators.order import numbered
 from sievework.session import stored
 
 #: Lead-ins that a rewrite drops, and the confidence of each kind of suggestion.
@@ -207,15 +210,16 @@ def pilot_items(chunks: DataFrame, questions: DataFrame, kind: str, n: int) -> t
 
 
 def workspace(suggestions: DataFrame, runs: DataFrame, chunks: DataFrame, edition: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Suggestions (last updated first), runs (newest first) and prepared chunks of an edition."""
+    """Suggestions (last updated first) and runs (newest first), each with its place from 1, and prepared chunks, of an edition."""
     mine = F.col("edition_id") == edition
-    return suggestions.where(mine).orderBy(F.col("updated_at").desc_nulls_first()), runs.where(mine).orderBy(F.col("created_at").desc_nulls_first()), chunks.where(mine)
+    newest = lambda df, c: numbered(df.where(mine), [F.col(c).desc_nulls_first(), F.col("id")], "place")
+    return newest(suggestions, "updated_at"), newest(runs, "created_at"), chunks.where(mine)
 
 
-def seeded_chunks(questions: DataFrame) -> DataFrame:
-    """First, middle and last page of each chapter's reviewed questions, as chunks."""
+def seeded_chunks(questions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """First, middle and last page of each chapter's reviewed questions, as chunks, with some of the question's columns."""
     picked = quiz.first_middle_last(questions, "chapter_id", "source_page", "id")
     numbered = picked.withColumn("at", F.row_number().over(Window.partitionBy("chapter_id").orderBy("source_page")))
-    return numbered.join(questions.select("id", "edition_id", "source_document_id", "source_reference", "tags"), "id").select(
-        F.concat_ws("-", F.lit("chunk"), "chapter_id", "at").alias("id"), "edition_id", "chapter_id", "source_document_id", "source_page", text.topic_key(F.col("tags")).alias("topic_key"), text.topic_title(F.col("tags")).alias("topic_title"), F.col("source_reference").alias("reference_label")
+    return numbered.join(questions.select("id", "edition_id", "source_document_id", "source_reference", "tags", *keep), "id").select(
+        F.concat_ws("-", F.lit("chunk"), "chapter_id", "at").alias("id"), "edition_id", "chapter_id", "source_document_id", "source_page", text.topic_key(F.col("tags")).alias("topic_key"), text.topic_title(F.col("tags")).alias("topic_title"), F.col("source_reference").alias("reference_label"), *keep
     )

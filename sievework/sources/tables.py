@@ -87,10 +87,39 @@ def read_snapshot(spark: SparkSession, path: str, schema: T.StructType, defaults
     return joined.select(*[F.coalesce(F.col(c), F.col(f"_default_{c}")).alias(c) for c in schema.names])
 
 
+def salvaged(records: DataFrame, key: str, value: str, schema: str, defaults: dict[str, Column]) -> DataFrame:
+    """A row a record of a key-value store: the key, the fields of schema from the record's JSON object, and status. A field that
+    is missing, null or of another type takes its default (null without one), and the others keep what they have. status: ok;
+    defaulted (some field took its default); corrupt (no JSON object: all defaults, the text stays in `raw`)."""
+    fields = T.StructType.fromDDL(schema)
+    parsed = records.select(key, F.col(value).alias("raw"), F.try_parse_json(value).alias("_v"))
+    object_ = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.lit(False))
+    read = {f.name: F.try_variant_get("_v", f"$.{f.name}", f.dataType.simpleString()) for f in fields}
+    typed = parsed.select(key, "raw", object_.alias("_ok"), *[F.when(object_, c).alias(n) for n, c in read.items()])
+    missing = F.lit(False)
+    for f in fields:
+        missing = missing | F.col(f.name).isNull()
+    status = F.when(~F.col("_ok"), "corrupt").when(missing, "defaulted").otherwise("ok")
+    filled = typed.withColumn("status", status).withColumn("raw", F.when(~F.col("_ok"), F.col("raw")))
+    return filled.select(key, *[F.coalesce(f.name, defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields], "status", "raw")
+
+
+def write_indexed(df: DataFrame, root: str, name: str, keys: Sequence[str], lookups: Sequence[str] = (), rows_a_group: int = 100_000) -> str:
+    """A snapshot in the order of its keys, so that the ranges kept for row groups let scans by key skip most of them, and with
+    Bloom filters for look-ups by other columns."""
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    order = [F.col(c).asc_nulls_first() for c in keys]
+    writer = df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("parquet.block.row.count.limit", rows_a_group)
+    for c in lookups:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+    return path
+
+
 def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """path, value of all files below a folder, a row a file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    reader = spark.read.option("recursiveFileLookup", True)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def extract_prompts(texts: DataFrame, col: str = "value") -> DataFrame:

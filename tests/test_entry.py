@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from sievework.plans import bindings, editorial, elementary  # noqa: F401
+from sievework.plans import bindings, editorial, elementary, layers  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 
