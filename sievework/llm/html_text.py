@@ -6,10 +6,11 @@ footers go by recurring, whatever they are called. What recurs follows the numbe
 the host's pages up to FULL_PAGES, and MIN_SHARE of them; so hosts of fewer than MIN_PAGES pages have no templates.
 
 Besides, what HTML itself declares to be no article goes (nav, footer, aside, forms, dialogs, hidden elements, roles,
-scripts), and elements whose class names say so: by any word of the class or id of a container outside an article, and
-inside a marked article by whole class names of adverts, comments and the like only. Ids and classes of headings and
-paragraphs decide nothing. Where a page marks its article, only the article counts. Forms that hold more than half of
-the text of a page without a marked article are the page itself, and stay.
+scripts), and elements whose class names say so: by whole names of the class or id of a container, outside an article those
+of menus, adverts, comments and the like, inside a marked article fewer. Ids and classes of headings and paragraphs decide
+nothing. Where a page marks its article, only the article counts; an article inside an element that is none of the page's
+article (a comment, a teaser in a sidebar, an entry of a menu) is none either, unless that element was left open. Forms and
+named containers that hold more than half of the text of a page without a marked article are the page itself, and stay.
 
 Copies of articles are no template: in a marked article, running text (paragraphs, headings, lists) is not deleted for
 recurring, nor are containers with running text, if what recurs of it is more than a small part of the article
@@ -32,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,18 +64,18 @@ PROSE = set("article main p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd t
 RUNNING = set("p blockquote pre".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "thead": {"thead", "tbody"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Words in class and id of containers, outside articles, that hold no article text.
-CHROME_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup "
-    "modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond reply replies share sharing social "
-    "related recommended newsletter subscribe subscription signup login search widget pagination pager toolbar masthead skip header topbar".split()
-)
-#: Whole names in class (and in the id of a container) that also hold inside an article.
+#: Whole names in class and id of containers that hold no article text, inside articles as outside.
 INSIDE_NAMES = set(
     "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-wrapper ad-banner sponsored promo banner cookie-notice cookie-banner "
-    "cookie-consent sidebar side-bar comments comment-list comments-area comment-section reader-comments disqus_thread respond reply replies share sharing share-buttons "
+    "cookie-consent sidebar side-bar comment comments comment-list commentlist comment-body comments-area comment-section user-comment user-comments reader-comments disqus_thread respond reply replies share sharing share-buttons "
     "social social-share related related-posts related-articles recommended newsletter newsletter-signup subscribe signup breadcrumb breadcrumbs pagination widget".split()
 )
+#: Further such names outside articles.
+CHROME_NAMES = INSIDE_NAMES | set(
+    "adsense sponsor promotion cookie cookies consent gdpr notice notices alert popup modal overlay menu main-menu nav navbar navigation main-nav main-navigation site-nav site-navigation nav-menu topnav "
+    "footer site-footer page-footer footer-widgets disqus subscription login search search-form searchform search-box widgets widget-area pager toolbar masthead skip skip-link header site-header topbar top-bar "
+    "sidebar-left sidebar-right left-sidebar right-sidebar cookie-bar".split()
+)
 CONTAINERS = BLOCKS - set("p h1 h2 h3 h4 h5 h6 html body article main".split()) | {"span", "ins"}
 
 _OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -98,10 +100,10 @@ def tag_end(page: str, at: int) -> int:
 class _Open:
     """An open element."""
 
-    __slots__ = ("chrome", "content", "digest", "form", "name", "running", "seen", "start")
+    __slots__ = ("begin", "chrome", "content", "digest", "form", "name", "named", "running", "seen", "start")
 
-    def __init__(self, name: str, chrome: bool, content: bool, form: bool, start: int):
-        self.name, self.chrome, self.content, self.form, self.start = name, chrome, content, form, start
+    def __init__(self, name: str, chrome: bool, named: bool, content: bool, form: bool, start: int, begin: int):
+        self.name, self.chrome, self.named, self.content, self.form, self.start, self.begin = name, chrome, named, content, form, start, begin
         self.digest, self.seen = hashlib.blake2b(name.encode(), digest_size=8), False
         self.running = False
 
@@ -111,25 +113,47 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def declared_chrome(name: str, attributes: dict[str, str], in_content: bool) -> bool:
-    """Whether markup says that an element holds no article text."""
+    """Whether HTML itself says that an element holds no article text."""
     if name in CHROME or (name in ("header", "noscript") and not in_content):
         return True
     if not attributes or name in ("html", "body"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES:
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if name not in CONTAINERS:
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def named_chrome(name: str, attributes: dict[str, str], in_content: bool) -> bool:
+    """Whether the names that its author gave a container say so."""
+    if not attributes or name not in CONTAINERS:
         return False
-    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
-    return bool(set(names.split()) & INSIDE_NAMES if in_content else set(_LETTERS.findall(names)) & CHROME_NAMES)
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    return not (INSIDE_NAMES if in_content else CHROME_NAMES).isdisjoint(names)
 
 
-def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str, bool, bool]], marked: bool) -> set[int]:
+class _Ends:
+    """Where the elements of a page end; each name is looked up once a page, whatever the number of its elements."""
+
+    def __init__(self, page: str):
+        self.page, self.of = page, {}
+
+    def closed(self, name: str, begin: int) -> bool:
+        """Whether the element that begins at a place has an end tag of its own."""
+        if name not in self.of:
+            ends, open_ = set(), []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", self.page, re.I):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    ends.add(open_.pop())
+            self.of[name] = ends
+        return begin in self.of[name]
+
+
+def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str, bool, bool, bool]], marked: bool) -> set[int]:
     """The blocks to delete; found has the recurring subtrees: first block, end, name, whether they hold running text."""
-    found = [(a, b, name, running or any(len(x.split()) >= LONG_BLOCK for x, _, _ in blocks[a:b])) for a, b, name, running in found]
-    sizes = [len(x) if inside or not marked else 0 for x, inside, _ in blocks]
+    found = [(a, b, name, running or any(len(x[0].split()) >= LONG_BLOCK for x in blocks[a:b])) for a, b, name, running in found]
+    sizes = [len(x) if (inside or not marked) and not named else 0 for x, inside, _, named in blocks]
     held = {i for a, b, _, running in found if running for i in range(a, b)}
     share = ARTICLE_SHARE if marked else PAGE_SHARE
     if held and sum(sizes[i] for i in held) >= share * sum(sizes):
@@ -137,17 +161,22 @@ def _recurring(found: list[tuple[int, int, str, bool]], blocks: list[tuple[str,
     return {i for a, b, _, _ in found for i in range(a, b)}
 
 
-def _forms(blocks: list[tuple[str, bool, bool]], marked: bool) -> set[int]:
-    """The blocks of forms, unless they are the page: more than half of the text where no article is marked."""
-    forms = {i for i, (_, _, form) in enumerate(blocks) if form}
-    page_wide = not marked and 2 * sum(len(blocks[i][0]) for i in forms) > sum(len(x) for x, _, _ in blocks)
-    return set() if page_wide else forms
+def _set_aside(blocks: list[tuple[str, bool, bool, bool]], marked: bool) -> set[int]:
+    """The blocks of forms and of named containers, unless either are the page: more than half of the text where no article
+    is marked."""
+    gone, everything = set(), sum(len(x[0]) for x in blocks)
+    for field in (2, 3):
+        mine = {i for i, x in enumerate(blocks) if x[field]}
+        if marked or 2 * sum(len(blocks[i][0]) for i in mine) <= everything:
+            gone |= mine
+    return gone
 
 
 def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list[str], set[int]]:
     """The blocks of the main text, and the hashes of the subtrees that may be deleted for recurring."""
     stack: list[_Open] = []
-    blocks: list[tuple[str, bool, bool]] = []  # with whether the article holds it, and whether a form does
+    blocks: list[tuple[str, bool, bool, bool]] = []  # with whether the article holds it, a form does, a named container does
+    ends, counts = _Ends(page), Counter()
     buffer: list[str] = []
     hashes: set[int] = set()
     found: list[tuple[int, int, str, bool]] = []
@@ -158,12 +187,13 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                blocks.append((text, bool(stack) and stack[-1].content, bool(stack) and stack[-1].form))
+                blocks.append((text, bool(stack) and stack[-1].content, bool(stack) and stack[-1].form, bool(stack) and stack[-1].named))
 
     def close() -> None:
         top = stack.pop()
+        counts[top.name] -= 1
         digest = top.digest.digest()
-        top.running |= top.seen and top.name in RUNNING and not top.chrome
+        top.running |= top.seen and top.name in RUNNING and not top.chrome and not top.named
         if stack:
             stack[-1].digest.update(digest)
             stack[-1].seen |= top.seen
@@ -185,6 +215,8 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
                 buffer.append(chunk)
 
     def opened(names: set[str], stop: set[str]) -> bool:
+        if not any(counts[n] for n in names):
+            return False
         for x in reversed(stack):
             if x.name in names:
                 return True
@@ -247,20 +279,25 @@ def walk(page: str, drop: frozenset[int] | set[int] = frozenset()) -> tuple[list
         elif name in ("td", "th"):
             text(" ")
         in_content = bool(stack) and stack[-1].content
-        chrome = declared_chrome(name, attributes, in_content or root)
-        if root and not chrome and stack and stack[-1].chrome and not in_content:
-            while stack and stack[-1].name not in ("html", "body"):  # an element left open before the article
-                close()
+        chrome, named = declared_chrome(name, attributes, in_content or root), named_chrome(name, attributes, in_content)
+        if root and not chrome and not in_content:
+            # an element left open before the article ends there; an article inside any other is not the page's
+            at_open = next((i for i, x in enumerate(stack) if (x.chrome or x.named) and not ends.closed(x.name, x.begin)), None)
+            if at_open is not None:
+                while len(stack) > at_open:
+                    close()
         form = name == "form" or (bool(stack) and stack[-1].form and not root)
         inherited = bool(stack) and stack[-1].chrome
-        content = in_content or (root and not chrome and not inherited)
+        named |= bool(stack) and stack[-1].named
+        content = in_content or (root and not chrome and not named and not inherited)
         marked |= content
-        stack.append(_Open(name, chrome or inherited, content, form, len(blocks)))
+        counts[name] += 1
+        stack.append(_Open(name, chrome or inherited, named, content, form, len(blocks), tag.start()))
     flush()
     while stack:
         close()
-    gone = _forms(blocks, marked) | (_recurring(found, blocks, marked) if found else set())
-    return [b for i, (b, inside, _) in enumerate(blocks) if (inside or not marked) and i not in gone], hashes
+    gone = _set_aside(blocks, marked) | (_recurring(found, blocks, marked) if found else set())
+    return [x[0] for i, x in enumerate(blocks) if (x[1] or not marked) and i not in gone], hashes
 
 
 def host_of(url: str) -> object:

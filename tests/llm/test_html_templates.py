@@ -81,3 +81,38 @@ def test_odd_rows(spark):
     deep = ("word " * 60_000).strip() + "\n\ndeep"
     assert got == Counter({(1, "", 0): 2, (None, "x", 1): 1, (2, deep, len(deep)): 1})
     assert not h.extract(df.limit(0)).count()
+
+
+MAIN = "<article><h1>T</h1><p>The real text of the page.</p></article>"
+
+
+def test_articles_inside_what_is_none_are_none():
+    for chrome in (
+        '<div id="comments"><li class="comment"><article class="comment-body">a reader</article></li></div>',
+        '<aside class="related"><article class="teaser">teaser</article></aside>',
+        '<section class="comments"><article>a reader</article></section>',
+        "<nav><article>menu</article></nav>",
+    ):
+        assert blocks(MAIN + chrome) == blocks(chrome + MAIN) == ["T", "The real text of the page."]
+    assert blocks('<nav><a>menu<div><article><p>after a menu left open</p></article><nav>x</nav>') == ["after a menu left open"]
+    assert blocks('<article><p>a</p><div class="user-comment">c</div></article>') == ["a"]
+
+
+def test_only_whole_names_decide_and_not_over_most_of_a_page():
+    assert blocks('<div id="search-algorithms"><p>Text of algorithms.</p></div>') == ["Text of algorithms."]
+    assert blocks('<div class="notice-of-appeal"><p>Appeal.</p></div>') == ["Appeal."]
+    assert blocks('<div class="page-header"><h1>Title</h1></div><p>Body</p>') == ["Title", "Body"]
+    assert blocks('<div class="notice"><p>The whole page is one notice.</p></div><p>x</p>') == ["The whole page is one notice.", "x"]
+    assert blocks('<div class="notice"><p>Short.</p></div><p>The page itself is longer.</p>') == ["The page itself is longer."]
+
+
+def test_deep_pages_cost_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        h.walk("<div>" * n + "x")
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
