@@ -76,7 +76,7 @@ def marker_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(MARKER)).cast("long")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, which is computed once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -98,9 +98,9 @@ def repair(c: Column, lenient: bool = False) -> Column:
         return marks if lenient else marks + 2 * F.regexp_count(x, F.lit(LOST))
 
     def once(x: Column) -> Column:
-        return _let(decoded_again(x), lambda again: F.when(score(again) < score(x), again).otherwise(x))
+        return let(decoded_again(x), lambda again: F.when(score(again) < score(x), again).otherwise(x))
 
-    return F.when(c.rlike(MARKER), _let(once(c), once)).otherwise(c)
+    return F.when(c.rlike(MARKER), let(c, lambda x: let(once(x), once))).otherwise(c)
 
 
 def logged_change(field: str, before: Column, after: Column, action: str | None = None) -> Column:
@@ -124,10 +124,8 @@ def rewrite(c: Column, lead_ins: list[str]) -> Column:
     out = c
     for lead in lead_ins:
         out = F.regexp_replace(out, f"(?i)^{lead}{SPACE}*", "")
-    out = collapse(out)
-    first = F.substring(out, 1, 1)
-    out = F.when(first == "¿", out).otherwise(F.concat(F.upper(first), F.substr(out, F.lit(2))))
-    return F.when(out != c, out)
+    capitalised = let(collapse(out), lambda x: F.when(F.startswith(x, F.lit("¿")), x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
+    return let(capitalised, lambda x: F.when(x != c, x))
 
 
 def title_from_slug(c: Column) -> Column:

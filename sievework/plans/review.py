@@ -23,16 +23,18 @@ NAMES = {
 CHANGES = "array<struct<target:string,field:string,action:string,before:string,after:string>>"
 
 
-def clean(c: Column) -> Column:
-    return text.collapse(text.repair(F.coalesce(c, F.lit("")), lenient=True))
+def cleaned(target: Column, field: str, raw: Column) -> Column:
+    """A text cleaned: struct of the text and the records of what changed, a repair and white space. Each step is computed once."""
 
+    # names are given as values, since a lambda's variable loses its alias
+    named = lambda **fields: F.named_struct(*[x for n, c in fields.items() for x in (F.lit(n), c)])
 
-def changes(target: Column, field: str, raw: Column) -> Column:
-    """The records of what cleaning changes in a text: a repair, and white space."""
-    raw = F.coalesce(raw, F.lit(""))
-    fixed = text.repair(raw, lenient=True)
-    logged = [("mojibake_recovered", raw, fixed), ("whitespace_normalized", fixed, text.collapse(fixed))]
-    return F.array_compact(F.array(*[F.when(before != after, F.struct(target.alias("target"), F.lit(field).alias("field"), F.lit(action).alias("action"), before.alias("before"), after.alias("after"))) for action, before, after in logged]))
+    def records(r: Column, fixed: Column, done: Column) -> Column:
+        steps = [("mojibake_recovered", r, fixed), ("whitespace_normalized", fixed, done)]
+        return F.array_compact(F.array(*[F.when(before != after, named(target=target, field=F.lit(field), action=F.lit(action), before=before, after=after)) for action, before, after in steps]))
+
+    whole = lambda r, fixed: text.let(text.collapse(fixed), lambda done: named(text=done, changes=records(r, fixed, done)))
+    return text.let(F.coalesce(raw, F.lit("")), lambda r: text.let(text.repair(r, lenient=True), lambda fixed: whole(r, fixed)))
 
 
 def keyed(batches: DataFrame) -> DataFrame:
@@ -50,32 +52,32 @@ def batch_heads(batches: DataFrame) -> DataFrame:
     raw = F.coalesce("chapterId", F.lit(""))
     chapter = text.chapter_id(F.col("chapterId"))
     of_chapter = F.when((chapter != raw) & (raw != ""), F.struct(F.lit("batch").alias("target"), F.lit("chapterId").alias("field"), F.lit("chapter_id_normalized").alias("action"), raw.alias("before"), chapter.alias("after")))
-    made = F.concat(F.array_compact(F.array(of_chapter)), *[changes(F.lit("batch"), c, F.col(c)) for c in ids])
-    return keyed(batches).select("batch_key", "source_file", *[clean(F.col(c)).alias(n) for c, n in ids.items()], chapter.alias("chapter_id"), made.cast(CHANGES).alias("changes"), "questions")
+    done = keyed(batches).withColumns({n: cleaned(F.lit("batch"), c, F.col(c)) for c, n in ids.items()})
+    made = F.concat(F.array_compact(F.array(of_chapter)), *[F.col(f"{n}.changes") for n in ids.values()])
+    return done.select("batch_key", "source_file", *[F.col(f"{n}.text").alias(n) for n in ids.values()], chapter.alias("chapter_id"), made.cast(CHANGES).alias("changes"), "questions")
 
 
 def normalized(batches: DataFrame) -> DataFrame:
     """A row a question: batch_key, ord, external_id, chapter_id, clean texts, options, numbers, and the changes made."""
-    flat = keyed(batches).select("batch_key", clean(F.col("batchId")).alias("batch_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.posexplode("questions").alias("ord", "q"))
+    flat = keyed(batches).select("batch_key", cleaned(F.lit("batch"), "batchId", F.col("batchId"))["text"].alias("batch_id"), text.chapter_id(F.col("chapterId")).alias("chapter_id"), F.posexplode("questions").alias("ord", "q"))
     external = F.coalesce(F.nullif(F.trim("q.externalId"), F.lit("")), F.concat(F.lit("question-"), (F.col("ord") + 1).cast("string")))
     none = F.expr("cast(array() as array<string>)")
     options = F.transform(F.coalesce("q.options", F.expr("cast(array() as array<struct<text:string>>)")), lambda o: F.coalesce(o["text"], F.lit("")))
-    rows = flat.withColumns({"external_id": external, "_options": options})
-    of_fields = [changes(F.col("external_id"), c, F.col(f"q.{c}")) for c in TEXTS]
-    of_options = F.flatten(F.transform("_options", lambda o: changes(F.col("external_id"), "options", o)))
+    named = flat.withColumn("external_id", external)
+    rows = named.withColumns({f"_{c}": cleaned(F.col("external_id"), c, F.col(f"q.{c}")) for c in TEXTS} | {"_options": F.transform(options, lambda o: cleaned(F.col("external_id"), "options", o))})
     return rows.select(
         "batch_key",
         "batch_id",
         "ord",
         "external_id",
         "chapter_id",
-        *[clean(F.col(f"q.{c}")).alias(NAMES[c]) for c in TEXTS],
-        F.transform("_options", clean).alias("options"),
+        *[F.col(f"_{c}.text").alias(NAMES[c]) for c in TEXTS],
+        F.col("_options.text").alias("options"),
         F.transform(F.coalesce("q.correctOptionIndexes", none), text.number).alias("correct"),
         text.number(F.col("q.sourcePageStart")).alias("page_start"),
         text.number(F.col("q.sourcePageEnd")).alias("page_end"),
         F.filter(F.transform(F.coalesce("q.tags", none), lambda t: text.collapse(t)), lambda t: t != "").alias("tags"),
-        F.concat(*of_fields, of_options).cast(CHANGES).alias("changes"),
+        F.concat(*[F.col(f"_{c}.changes") for c in TEXTS], F.flatten("_options.changes")).cast(CHANGES).alias("changes"),
     )
 
 
@@ -95,8 +97,8 @@ def reviewed(batches: DataFrame, bank: DataFrame, windows: DataFrame | None = No
     if windows is None:
         windows = batches.sparkSession.createDataFrame(rules.SCOPE_WINDOWS, "chapter_id string, window_start int, window_end int")
     items = with_matches(normalized(batches), bank).join(checked(windows), "chapter_id", "left")
-    checked = rules.evaluate(items, rules.import_rules())
-    return checked.withColumns({"errors": F.filter("issues", lambda i: i["severity"] == rules.ERROR), "warnings": F.filter("issues", lambda i: i["severity"] == rules.WARNING)}).withColumn(
+    found = rules.evaluate(items, rules.import_rules())
+    return found.withColumns({"errors": F.filter("issues", lambda i: i["severity"] == rules.ERROR), "warnings": F.filter("issues", lambda i: i["severity"] == rules.WARNING)}).withColumn(
         "status", F.when(F.size("errors") > 0, "rejected").otherwise("accepted")
     ).drop("issues")
 
