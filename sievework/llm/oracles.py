@@ -128,3 +128,69 @@ reach(doc_id, comp) as (select doc_id, doc_id from n union select edges.y, reach
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.comp, d.doc_id) as component_id, d.doc_id = coalesce(r.comp, d.doc_id) as kept
 from d left join n on n.doc_id = d.doc_id left join (select doc_id, min(comp) as comp from reach group by doc_id) r on r.doc_id = d.doc_id
 """
+
+#: CRC32 (reflected, polynomial EDB88320) in SQL: its table, and the expression over a text and that table.
+CRC_TABLE = """crc_step(i, k, v) as (select i::bigint, 0, i::bigint from range(256) r(i) union all select i, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from crc_step where k < 8),
+crc_table as (select list(v order by i) as crc_tab from crc_step where k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    one = f"hex(encode({text}))"
+    each = f"list_transform(range(1, length({one}) // 2 + 1), lambda i: ('0x' || substr({one}, (2 * i - 1)::bigint, 2))::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {each}), lambda a, b: xor(a // 256, crc_tab[(xor(a, b) % 256 + 1)::bigint])), 4294967295)"
+
+
+ORACLES["op12_importance_sample"] = f"""
+with recursive {CRC_TABLE},
+d as (select row_number() over () as rid, doc_id, {words_sql('text')} as w from documents),
+f as (select rid, unnest(w) as word from d), bf as (select unnest({words_sql('text')}) as word from benchmark),
+v as (select distinct word from (select word from f union all select word from bf) x),
+b as (select word, {crc_sql('word')} % 10000 as bucket from v, crc_table),
+s as (select bucket, count(*) as n from f join b using (word) group by bucket), t as (select bucket, count(*) as n from bf join b using (word) group by bucket),
+g as (select r.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint as gain
+      from range(10000) r(bucket) left join s on s.bucket = r.bucket left join t on t.bucket = r.bucket),
+wt as (select rid, sum(gain)::bigint as weight from f join b using (word) join g using (bucket) group by rid),
+sc as (select d.rid, doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+       coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+       from d left join wt on d.rid = wt.rid),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last) as nth, count(*) over () as n from sc where n_features >= 20)
+select doc_id, n_features, weight, score, case when nth <= n * 10 // 100 then nth end::bigint as rank from sc left join r on sc.rid = r.rid
+"""
+
+_BARE = "rtrim({}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _add(best: str, letter: str, cost: str) -> str:
+    return f"printf('%08d', left({best}, 8)::int + {cost}) || substr({best}, 9) || '{letter}'"
+
+
+# the cheapest edits so far by what was output last (z: nothing, s, u, a), as a padded cost and the audit, so that texts compare
+# as costs and then audits do
+ORACLES["op11_conversation_repair"] = f"""
+with recursive {CRC_TABLE},
+r as (select row_number() over () as rid, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations, crc_table),
+dmg as (select rid, copy, conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text
+        from r, range(2) c(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, rid, copy) as pos, row_number() over (partition by conv_id, role, text order by turn nulls first, rid, copy) as seen, {_BARE.format('text')} as bare from dmg),
+x as (select conv_id, pos, turn, role, text, left(role, 1) as ini, bare = '' as blank, bare <> '' and seen > 1 as dup, bare <> '' and seen = 1 and right(bare, 1) not in ('.', '!', '?') as cut, lag(left(role, 1)) over (partition by conv_id order by pos) as before from o),
+facts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where blank) as blank, count(*) filter (where dup) as duplicate, count(*) filter (where cut) as truncated,
+          count(*) filter (where before is not null and before || ini not in ('su', 'ua', 'au')) as illegal, max(pos) as n from x group by conv_id),
+walk as (
+  select distinct conv_id, 0::bigint as pos, '00000000' as z, null::varchar as s, null::varchar as u, null::varchar as a from x
+  union all
+  select conv_id, pos, {_add('z', 'D', '2')}, least({_add('s', 'D', '2')}, case when ok and ini = 's' then {_add('z', 'K', 'extra')} end),
+         least({_add('u', 'D', '2')}, case when ok and ini = 'u' then {_add('least(z, s, a)', 'K', 'extra')} end, case when ok then {_add('least(z, s, a)', 'R', '(extra + 1)')} end),
+         least({_add('a', 'D', '2')}, case when ok and ini = 'a' then {_add('u', 'K', 'extra')} end, case when ok then {_add('u', 'R', '(extra + 1)')} end)
+  from (select conv_id, pos, ok, ini, extra, z, s, u, least(a, {_add('u', 'I', '5')}) as a
+        from (select w.conv_id, x.pos, not x.blank and not x.dup as ok, x.ini, case when x.cut then 5 else 0 end as extra, z, s, a, least(u, {_add('least(z, s, a)', 'I', '5')}) as u
+              from walk w join x on x.conv_id is not distinct from w.conv_id and x.pos = w.pos + 1) e) e2),
+best as (select w.conv_id, least(z, a, {_add('u', 'I', '5')}, {_add("printf('%08d', left(s, 8)::int + 5) || substr(s, 9) || 'I'", 'I', '5')}) as b from walk w join facts f on w.conv_id is not distinct from f.conv_id and w.pos = f.n),
+l as (select conv_id, substr(b, 9) as audit, unnest(range(1, length(b) - 7)) as j from best),
+e as (select conv_id, audit[j] as letter, j, length(replace(left(audit, j), 'I', '')) as at_row, length(replace(left(audit, j), 'D', '')) as k from l),
+kept as (select e.conv_id, letter, k, x.role, x.text, first_value(letter = 'K' and x.ini = 's') over (partition by e.conv_id order by k) as has_s from e left join x on x.conv_id is not distinct from e.conv_id and x.pos = e.at_row and letter <> 'I' where letter <> 'D'),
+said as (select conv_id, string_agg(case when letter = 'K' then role when (k - case when has_s then 1 else 0 end) % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end, chr(10) order by k) as t from kept group by conv_id),
+every as (select distinct conv_id from conversations)
+select every.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+       coalesce(left(b, 8)::bigint, 0)::bigint as cost, coalesce(substr(b, 9), '') as audit, sha256(coalesce(t, '')) as repaired_sha256
+from every left join facts on facts.conv_id is not distinct from every.conv_id left join best on best.conv_id is not distinct from every.conv_id left join said on said.conv_id is not distinct from every.conv_id
+"""
