@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Edge cases, in all stages: a null text counts as an empty one; null ids and sources stay; an empty table goes through as an
+empty table; further columns, whatever their names, are dropped. Repeated rows: the quality stage keeps or rejects them alike
+(equal texts get equal scores, and a score equal to the threshold is kept); the line stage counts a line once a doc_id and
+keeps it in the largest one; the near-duplicate stage keeps the least doc_id of a group, and all rows that are equal in id
+and text; the decontamination stage treats them alike; the mix takes each row by itself, ties in the order of ids. A text that
+loses all its lines stays as an empty text.
 """
 
 from __future__ import annotations
