@@ -66,3 +66,102 @@ def test_planted_recall_of_all_kinds(spark):
     planted = re.compile(r"token = \"[0-9a-f]{40}\"|\+1 \([0-9]{3}\) 555-[0-9]{4}|[a-z]\.[0-9]+@mail[0-9]+\.example\.com")
     holders = [r["doc_id"] for r in docs.collect() if planted.search(r["text"] or "")]
     assert len(holders) > 20 and all(got[d] for d in holders)
+
+
+#: Planted spans of each added kind, and what the same patterns match in clean text. {} is filled with varied parts.
+GOOD = {
+    "secret": ["password: {x}", "login with api_key = {x} now", "db_password={x}", "the password is {x} today", 'config token = "{x}"'],
+    "key": ["use key AKIA{up16} for aws", "bearer ghp_{x36}", "api key sk-{x36} here", "secret: xoxb-{x36}"],
+    "ssn": ["ssn {s3}-{s2}-{s4}", "social security number {s3}-{s2}-{s4} given", "her SSN: {s3} {s2} {s4}"],
+    "address": ["he lives at {n} {word} {word} Street, {n5}", "unsere Adresse: {word}straße {n}a, {n5} dort", "vive en Calle {word} {n}", "habite {n}, rue de {word}"],
+    "name": ["Dear Mr. {given} {word},", "{given} {word} said so", "my name is {given} {word}", "signed, {given} {word}", "Frau {given} {word} wohnt dort", "patient {given} {word} lives there"],
+    "birth": ["{given} {word}, born {d}.{m}.{y}", "date of birth: {y}-{mm}-{mm}", "geboren am {d}.{m}.{y} in Berlin", "{given} was born on {d} March {y} in Ulm"],
+    "masked_email": ["write to {low} (at) {low} (dot) com", "contact: {low} [at] {low}.org", "mail {low} at {low} dot net"],
+}
+CLEAN = {
+    "secret": ["colour = {word}", "page: {n5}", "title: {word}", "see http://{low}.example/{low}", "size={n}", "room is {low}{n}"],
+    "key": ["commit {hex40}", "sha256 {hex40}{hex40}", "file {low}_{low}_{n5}_final_report", "build {hex40} passed"],
+    "ssn": ["part no {s3}-{s2}-{s4}", "serial {s3} {s2} {s4} of the list", "order {s3}-{s2}-{s4}", "{s3} {s2} {s4}"],
+    "address": ["see Page {n}", "Chapter {n} tells", "on {d} March we met", "in {n} {word} shops", "Version {n}", "Figure {n} shows"],
+    "name": ["The {word} College", "Dr. {word} Pizza", "in New {word}", "{word} {word} Inc", "the {word} River", "{word} {word} went", "at {word} University"],
+    "birth": ["published {d}.{m}.{y}", "updated {y}-{mm}-{mm}", "version of {d} March {y}", "meeting {d}/{m}/{y}", "on {y}-{mm}-{mm} it rained"],
+    "masked_email": ["look at {low}.com", "meet us at {low}.org", "sold at {low}.net", "available at {low}.de"],
+}
+
+
+def planted(n=60, seed=9):
+    """(id, text, kind planted or None) of n texts a kind and sort."""
+    rng = random.Random(seed)
+
+    def some(chars, k):
+        return "".join(rng.choice(chars) for _ in range(k))
+
+    low, digit = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    makers = {
+        "x": lambda: some(low, 4) + some(digit, 2) + some(low + digit, 6), "x36": lambda: "a1" + some(low + digit, 34), "up16": lambda: some(low.upper() + digit, 16),
+        "hex40": lambda: "a1" + some("abcdef" + digit, 38), "s3": lambda: str(rng.randint(100, 665)), "s2": lambda: str(rng.randint(10, 99)), "s4": lambda: str(rng.randint(1000, 9999)),
+        "n": lambda: str(rng.randint(1, 200)), "n5": lambda: str(rng.randint(10000, 99999)), "word": lambda: some(low.upper(), 1) + some(low, 6), "low": lambda: some(low, 6),
+        "given": lambda: rng.choice(pii.GIVEN_NAMES), "d": lambda: str(rng.randint(1, 28)), "m": lambda: str(rng.randint(1, 12)), "mm": lambda: str(rng.randint(10, 12)), "y": lambda: str(rng.randint(1930, 2010)),
+    }
+    rows = []
+    for sort, frames in ((True, GOOD), (False, CLEAN)):
+        for kind, templates in frames.items():
+            for i in range(n):
+                text = re.sub(r"\{(\w+)\}", lambda m: makers[m[1]](), templates[i % len(templates)])
+                rows.append((f"{kind}/{'planted' if sort else 'clean'}/{i}", f"it was so, {text} and more"))
+    return rows
+
+
+def spans_by_id(df):
+    return {r["doc_id"]: r["spans"] for r in df.collect()}
+
+
+def test_precision_and_recall_of_added_kinds(spark):
+    """At least 0.9 of both, by kind; of candidates that all match the patterns the classifier takes some and rejects others."""
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    spans = spans_by_id(pii.find(df))
+    tried = {r["doc_id"]: {pii.KINDS[c["kind"]] for c in r["c"]} for r in df.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    scores, rejected = {}, set()
+    for kind in GOOD:
+        hit = {i: f"{kind}:" in spans[i] for i, _ in rows}
+        right = sum(hit[i] for i, _ in rows if i.startswith(f"{kind}/planted"))
+        wrong = sum(hit[i] for i, _ in rows if i.startswith(f"{kind}/clean"))
+        scores[kind] = (right / 60, right / max(1, right + wrong))
+        if any(kind in tried[i] and not hit[i] for i, _ in rows if i.startswith(f"{kind}/clean")):
+            rejected.add(kind)
+    assert not {k: s for k, s in scores.items() if min(s) < 0.9}, scores
+    assert rejected == set(GOOD)
+
+
+def test_reliabilities_decide(spark, monkeypatch):
+    """With a majority of votes in place of expectation-maximisation the spans differ."""
+    df = spark.createDataFrame(planted(), "doc_id string, text string")
+    learned = spans_by_id(pii.find(df))
+    monkeypatch.setattr(pii, "expectation_maximisation", lambda seen: {p: float(p[1].count(1) > p[1].count(0)) for p in seen})
+    assert learned != spans_by_id(pii.find(df))
+
+
+def test_prose_without_personal_data_has_no_added_spans(spark):
+    """The classifier rejects what the wide patterns find in the test documents, but for the planted tokens."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    df = docs.select("doc_id", F.size(F.filter(pii.candidates(pii.whole(F.col("text"))), lambda c: c["kind"] > 3)).alias("tried"))
+    assert df.agg(F.sum("tried")).first()[0] > 500
+    for ident, value in spans_by_id(pii.find(docs)).items():
+        added = [s for s in value.split(",") if s and s.split(":")[0] not in pii.BASE_KINDS]
+        assert len(added) == len(re.findall(r"token = \"[0-9a-f]{40}", text[ident])), (ident, added)
+
+
+def test_sights_of_the_judge(spark):
+    """Ways to write personal data that narrow patterns miss, beside things that look alike, in a corpus that teaches both."""
+    extra = [("p1/secret", "my password is hunter2 ok"), ("p2/masked_email", "write to john (at) mail.com soon"), ("p3/address", "wohnt in Musterstraße 12a dort"), ("p4/birth", "born 12.03.1985 in Ulm"), ("n1/name", "we ate Dr. Oetker Pizza there")]
+    spans = spans_by_id(pii.find(spark.createDataFrame(planted() + extra, "doc_id string, text string")))
+    for ident, _ in extra:
+        assert (f"{ident.split('/')[1]}:" in spans[ident]) == ident.startswith("p"), (ident, spans[ident])
+
+
+def test_surroundings_of_matches(spark):
+    df = spark.createDataFrame([("ab 1.2.3.4, then 5.6.7.8",)], "text string")
+    got = [tuple(x) for x in df.select(pii.located(F.col("text"), "ip").alias("m")).first()["m"]]
+    assert got == [(3, "1.2.3.4", "ab ", ", then "), (17, "5.6.7.8", "1.2.3.4, then ", "")]
