@@ -268,7 +268,7 @@ def gazetteer(kind: str, value: Column, before: Column) -> Column:
         return vote(value.rlike(rf"(?i)^(?:[\p{{L}}0-9]+[_-])*(?:{SECRET_WORDS})(?![\p{{L}}])"), value.rlike(rf"(?i)^(?:[\p{{L}}0-9]+[_-])*(?:{PLAIN_WORDS})(?![\p{{L}}])"))
     if kind == "key":
         mixed = value.rlike("[a-z]") & value.rlike("[A-Z]") & value.rlike("[0-9]") & ~value.rlike("[a-z]{6}")
-        return vote(mixed | value.startswith("-----BEGIN"), value.rlike(r"^[0-9a-f-]+$|^[0-9A-F-]+$|^\p{L}+[_-]\p{L}+[_-]"))
+        return vote(mixed | value.rlike("^(?:AKIA|gh[oprsu]_|sk-|xox[abp]-|eyJ|-----BEGIN)"), value.rlike(r"^[0-9a-f-]+$|^[0-9A-F-]+$|^\p{L}+[_-]\p{L}+[_-]"))
     if kind == "iban":
         return vote(F.substring(value, 1, 2).isin(IBAN_COUNTRIES), F.lit(True))
     if kind == "ssn":
@@ -336,24 +336,26 @@ def patterns(found: DataFrame) -> list[Pattern]:
 
 
 #: What labelers are taken to say of personal data (1) and of the rest (0) before any is seen, worth START candidates.
-SAYS = {1: {1: 0.5, -1: 0.4, 0: 0.1}, 0: {1: 0.1, -1: 0.5, 0: 0.4}}
-START = 10
+SAYS = {1: {1: 0.6, -1: 0.3, 0: 0.1}, 0: {1: 0.1, -1: 0.5, 0: 0.4}}
+START, START_PRIOR = 10, 0.3
 
 
 def expectation_maximisation(seen: list[Pattern], rounds: int = EM_ROUNDS) -> dict[Pattern, float]:
     """Chance that a candidate of each pattern is personal data. By kind, a prior and what each labeler says, abstaining
-    included, of both sorts. A labeler that would speak for the wrong sort has no say."""
+    included, of both sorts. A labeler that would speak for the wrong sort, or abstains from all of a kind, has no say there. What no
+    labeler speaks for is taken as no personal data: that holds the two sorts apart where a kind has nothing but noise."""
     chance: dict[Pattern, float] = {}
     for k in sorted({p[0] for p in seen}):
         mine = [p for p in seen if p[0] == k]
         n = sum(p[3] for p in mine)
-        prior, says = 0.5, {(v, truth): SAYS[truth] for v in range(len(VOTES)) for truth in (0, 1)}
+        voting = [v for v in range(len(VOTES)) if any(p[1][v] >= 0 for p in mine)]
+        prior, says = START_PRIOR, {(v, truth): SAYS[truth] for v in range(len(VOTES)) for truth in (0, 1)}
         for _ in range(rounds):
             for p in mine:
-                odds = math.log(prior / (1 - prior)) + sum(math.log(says[v, 1][x] / says[v, 0][x]) for v, x in enumerate(p[1]))
-                chance[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, -odds))))
+                odds = math.log(prior / (1 - prior)) + sum(math.log(says[v, 1][p[1][v]] / says[v, 0][p[1][v]]) for v in voting)
+                chance[p] = 1 / (1 + math.exp(max(-700.0, min(700.0, -odds)))) if 1 in p[1] else 0.0
             prior = (sum(chance[p] * p[3] for p in mine) + 1) / (n + 2)
-            for v in range(len(VOTES)):
+            for v in voting:
                 for truth in (0, 1):
                     weight = [(p[1][v], p[3] * (chance[p] if truth else 1 - chance[p])) for p in mine]
                     total = sum(w for _, w in weight) + START

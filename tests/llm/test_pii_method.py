@@ -83,7 +83,7 @@ CLEAN = {
     "key": ["commit {hex40}", "sha256 {hex40}{hex40}", "file {low}_{low}_{n5}_final_report", "build {hex40} passed"],
     "ssn": ["part no {s3}-{s2}-{s4}", "serial {s3} {s2} {s4} of the list", "order {s3}-{s2}-{s4}", "{s3} {s2} {s4}"],
     "address": ["see Page {n}", "Chapter {n} tells", "on {d} March we met", "in {n} {word} shops", "Version {n}", "Figure {n} shows"],
-    "name": ["The {word} College", "Dr. {word} Pizza", "in New {word}", "{word} {word} Inc", "the {word} River", "{word} {word} went", "at {word} University"],
+    "name": ["product name {word} {word}", "brand name {word} {word}", "The {word} College", "Dr. {word} Pizza", "in New {word}", "{word} {word} Inc", "the {word} River", "{word} {word} went", "at {word} University"],
     "birth": ["published {d}.{m}.{y}", "updated {y}-{mm}-{mm}", "version of {d} March {y}", "meeting {d}/{m}/{y}", "on {y}-{mm}-{mm} it rained"],
     "masked_email": ["look at {low}.com", "meet us at {low}.org", "sold at {low}.net", "available at {low}.de"],
 }
