@@ -37,7 +37,7 @@ PAD = 64
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC = 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOC_TYPE, DOC_TYPE_VERSION = 0x4282, 0x4287
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, CLUSTER, BLOCK_GROUP}
@@ -173,8 +173,10 @@ Packet = tuple[int, int, bool, int, int, int]
 
 def packets(data: bytes, begin: int = 0, cluster: int = -1, head: int | None = None) -> list[Packet]:
     """(track, time in ms, key, start, length, cluster) of each whole frame. With `begin`, the place of a cluster, what comes
-    before is read for its head (up to the place `head`) only; `cluster` is the number of the cluster before."""
+    before is read for its head (up to the place `head`) only; `cluster` is the number of the cluster before. A frame of a
+    block group is key if the group, as far as the file goes, refers to no other block."""
     out: list[Packet] = []
+    first, refers = 0, False  # of the block group that is open: its first packet, and whether it refers to a block
     time, scale, entry, durations = 0, 1_000_000, {}, {}
     parts = [(0, len(data))] if not begin else [(0, head or begin), (begin, len(data))]
     for eid, at, stop in itertools.chain.from_iterable(elements(data, a, b) for a, b in parts):
@@ -182,6 +184,12 @@ def packets(data: bytes, begin: int = 0, cluster: int = -1, head: int | None = N
             continue
         if eid == CLUSTER:
             cluster, time = cluster + 1, 0
+            first, refers = len(out), False
+        elif eid == BLOCK_GROUP:
+            first, refers = len(out), False
+        elif eid == REFERENCE_BLOCK:
+            refers = True
+            out[first:] = [(track, ms, False, a, n, c) for track, ms, _, a, n, c in out[first:]]
         elif eid == TIMESTAMP:
             time = int.from_bytes(data[at:stop], "big")
         elif eid == TIMESTAMP_SCALE:
@@ -199,10 +207,12 @@ def packets(data: bytes, begin: int = 0, cluster: int = -1, head: int | None = N
                 ranges = frame_ranges(data, at + 3, stop, flags >> 1 & 3)
             except (IndexError, struct.error):
                 continue
+            if eid == SIMPLE_BLOCK:
+                first, refers = len(out) + len(ranges), False
             start, each = (time + offset) * scale, durations.get(track, 0)
             for i, (a, n) in enumerate(ranges):
                 if a + n <= len(data):
-                    out.append((track, (start + i * each) // 1_000_000, eid == BLOCK or flags >= 128, a, n, cluster))
+                    out.append((track, (start + i * each) // 1_000_000, not refers if eid == BLOCK else flags >= 128, a, n, cluster))
     return out
 
 

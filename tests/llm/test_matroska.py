@@ -72,3 +72,13 @@ def test_packet_table(spark):
         for track, time, _, a, n, cluster in m.packets(m.mux(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)))):
             want.append((d or 0, a, n, time, track, cluster))
     assert got == sorted(want)
+
+
+def test_key_frames_of_block_groups():
+    """A group that refers to another block holds no key frame, wherever in the group the reference stands."""
+    block = m.element(m.BLOCK, m.vint(1) + b"\x00\x00\x00" + b"data")
+    simple = m.element(m.SIMPLE_BLOCK, m.vint(1) + b"\x00\x00\x80" + b"data")
+    reference = m.element(m.REFERENCE_BLOCK, b"\x01")
+    groups = [m.element(m.BLOCK_GROUP, x) for x in (block, block + reference, reference + block, block)]
+    data = m.element(m.SEGMENT, m.element(m.CLUSTER, m.number(m.TIMESTAMP, 0) + simple + b"".join(groups) + simple))
+    assert [key for _, _, key, *_ in m.packets(data)] == [True, True, False, False, True, True]
