@@ -76,11 +76,12 @@ STREET_END = rf"(?:{'|'.join(STREET_ENDS)})"
 STREETS = (
     rf"[0-9]{{1,5}} (?:\p{{Lu}}[\p{{L}}']{{1,20}} ){{1,3}}{STREET_END}",
     r"\p{Lu}\p{Ll}{2,20}(?:stra(?:ße|sse)|weg|gasse|platz) [0-9]{1,4}[a-z]?",
-    r"(?:Calle|Avenida|Plaza) (?:de |del |la )*\p{Lu}\p{L}{2,20},? [0-9]{1,4}",
-    r"[0-9]{1,4},? (?:rue|avenue|boulevard) (?:de |du |des |la )*\p{Lu}\p{L}{2,20}",
+    r"(?:Calle|Avenida|Plaza) (?:de |del |la )*+\p{Lu}\p{L}{2,20},? [0-9]{1,4}",
+    r"[0-9]{1,4},? (?:rue|avenue|boulevard) (?:de |du |des |la )*+\p{Lu}\p{L}{2,20}",
 )
 
-#: The patterns, written without backtracking: a run is entered at its first character only. \G is where the last match ended.
+#: The patterns, written without backtracking: a run is entered at its first character only, and
+#: unbounded repeats of groups are possessive, as others need stack by their length. \G is where the last match ended.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -93,7 +94,7 @@ PATTERNS = {
     "address": rf"(?<![0-9\p{{L}}])(?:{'|'.join(STREETS)}|[0-9]{{1,5}}(?: \p{{Lu}}[\p{{L}}']{{1,20}}){{1,4}}|\p{{Lu}}\p{{L}}{{2,30}} [0-9]{{1,4}}[a-z]?(?!(?: \p{{Lu}}[\p{{L}}']{{1,20}}){{1,3}} {STREET_END}))(?![\p{{L}}\p{{N}}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? {CAPITAL}(?: {CAPITAL}){{0,2}}|(?<=(?:{INTRODUCTIONS}) ){CAPITAL}(?: {CAPITAL}){{0,2}}|{CAPITAL}(?: {CAPITAL}){{1,2}})(?![\p{{L}}])",
     "birth": rf"(?<![\p{{L}}0-9./-])(?:[0-9]{{1,2}}[./-][0-9]{{1,2}}[./-][0-9]{{4}}|[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{1,2}}\.? {MONTH} [0-9]{{4}}|{MONTH} [0-9]{{1,2}},? [0-9]{{4}})(?![0-9/-])",
-    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )[A-Za-z0-9-]{2,40}+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z][A-Za-z0-9-]{1,20}+)+",
+    "masked_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+(?: ?(?:\(at\)|\[at\]|\{at\}) ?| at )[A-Za-z0-9-]{2,40}+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?| dot )[A-Za-z][A-Za-z0-9-]{1,20}+)++",
 }
 #: Where a text has none of these, the kind need not be looked for.
 NEEDS = {"email": ["@"], "ip": ["."], "phone": ["+"], "secret": ["=", ":", " is ", " lautet ", " est ", " es "], "masked_email": [" at ", "(at)", "[at]", "{at}"]}

@@ -165,3 +165,14 @@ def test_surroundings_of_matches(spark):
     df = spark.createDataFrame([("ab 1.2.3.4, then 5.6.7.8",)], "text string")
     got = [tuple(x) for x in df.select(pii.located(F.col("text"), "ip").alias("m")).first()["m"]]
     assert got == [(3, "1.2.3.4", "ab ", ", then "), (17, "5.6.7.8", "1.2.3.4, then ", "")]
+
+
+def test_very_long_texts_need_no_stack(spark):
+    """Long repeats inside one match, and many matches of a text, are found whole."""
+    texts = {
+        "masked_email": ("aa at bb" + ".cc" * 100_000, 1), "email": ("a@b" + ".c" * 100_000, 1), "address": ("Calle " + "de " * 100_000 + "Mayor 3", 1),
+        "name": ("Anna Berg, " * 20_000, 20_000), "secret": ("a1=bcd12345 " * 20_000, 20_000), "birth": ("12.03.1985 " * 20_000, 20_000),
+    }
+    for kind, (text, n) in texts.items():
+        got = found(spark, [text], kind)[0]
+        assert len(got) == n and (n > 1 or got[0] == (0, text)), (kind, len(got))
