@@ -15,9 +15,10 @@ MARKS = r"[\u0300-\u036F]"
 MIN_TOKEN = 3
 
 
-def collapse(c: Column) -> Column:
-    """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+def collapse(c: Column, space: str = SPACE) -> Column:
+    """Runs of white space become one blank; no blanks, nor other space separators, at the ends."""
+    done = F.regexp_replace(c, f"{space}+", " ")
+    return F.trim(done) if space == SPACE else F.regexp_replace(done, r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 @functools.cache
@@ -119,12 +120,27 @@ def slug(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, "[^A-Za-z0-9-]", "-"))
 
 
-def rewrite(c: Column, lead_ins: list[str]) -> Column:
-    """Without known lead-ins, collapsed, capitalised unless it opens with an inverted mark; null where nothing changes."""
+@functools.cache
+def long_capitals() -> dict[str, str]:
+    """Characters whose capital form is several characters, with the one that stands for it (the title form where that is one
+    character; the sharp s has its own), or themselves."""
+    forms = {chr(x): chr(x).title() for x in range(0x80, 0x110000) if len(chr(x).upper()) > 1}
+    return {x: "\u1e9e" if x == "\u00df" else form if len(form) == 1 else x for x, form in forms.items()}
+
+
+def capital(c: Column) -> Column:
+    """The capital of one character, as one character."""
+    single = F.translate(c, "".join(long_capitals()), "".join(long_capitals().values()))
+    return F.when(F.length(F.upper(c)) > 1, single).otherwise(F.upper(c))
+
+
+def rewrite(c: Column, lead_ins: list[str], space: str = SPACE, upper: Callable[[Column], Column] = F.upper) -> Column:
+    """Without known lead-ins, collapsed, capitalised unless it opens with an inverted mark; null where nothing changes. space and
+    upper: what counts as white space, and how the first character is capitalised."""
     out = c
     for lead in lead_ins:
-        out = F.regexp_replace(out, f"(?i)^{lead}{SPACE}*", "")
-    capitalised = let(collapse(out), lambda x: F.when(F.startswith(x, F.lit("¿")), x).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
+        out = F.regexp_replace(out, f"(?i)^{lead}{space}*", "")
+    capitalised = let(collapse(out, space), lambda x: F.when(F.startswith(x, F.lit("¿")), x).otherwise(F.concat(upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))))
     return let(capitalised, lambda x: F.when(x != c, x))
 
 

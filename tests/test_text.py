@@ -104,3 +104,17 @@ def test_small_ones(spark):
     df = spark.createDataFrame([([1, 2], 2, "9", 4), ([1], 2, "x", 0), ([], 1, None, 3)], "a array<int>, x int, w string, n int")
     assert [tuple(r) for r in df.select(text.toggle(F.col("a"), F.col("x")), text.clamp_size(F.col("w"), F.col("n"))).collect()] == [([1], 4), ([1, 2], 1), ([1], 1)]
     assert [r[0] for r in df.select(text.percent(F.col("x"), F.col("n"))).collect()] == [50.0, 0.0, pytest.approx(100 / 3)]
+
+
+def test_rewritten_leads_agree_with_their_sql(spark, tmp_path):
+    """Capitals of one character, and white space as the SQL's patterns know it."""
+    import duckdb
+
+    from sievework.plans import bindings
+
+    texts = ["ßachzu  |", "In ß tek", "ŉ a", "ﬁn", "ᾳ x", "the\u00a0end", "the \u00a0 end\u2003x", "a \u2028", "b\u3000 ", "of\x0bx", "and\x0b  y", "the", "the ", "", None, "A b", "a\tb ", "¿the x", "of of  x", "ǆ"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = dict(con.execute(bindings.ORACLES["rewrite_leads"]).fetchall())
+    assert {r["doc_id"]: r["rewritten"] for r in bindings.rewrite_leads(spark, str(tmp_path)).collect()} == want
