@@ -1,29 +1,30 @@
 """Exact set-similarity joins and first matches.
 
 Near pairs come from a prefix-filtered join: tokens are ordered by how rare they are, and two sets can only be
-similar enough if they share one of their first few tokens. The sets that share one are compared inside tasks, in blocks of
-bounded size; verification is exact, so nothing is lost.
+similar enough if they share one of their first few tokens. The sets that share one are compared inside tasks by small sketches,
+in blocks of bounded size; what these let through is verified by whole sets, so nothing is lost.
 
 Rows of equal text are one class, named by 128 bits of its hash; classes are compared, so that groups of copies stay linear.
-Only hashes of tokens travel.
+Only hashes of tokens travel, and of most sets only those of the prefix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions import text
-from sievework.operators.skew import lookup_join
+from sievework.operators import sketches
+from sievework.operators.skew import checked, lookup_join
 from sievework.session import stored
 
 #: Similarity from which prompts count as near-duplicates, in percent.
 NEAR = 82
 CLASS = ["k1", "k2"]
-#: Sets of one list, and tokens of them together, that make a block.
-BLOCK_ROWS, BLOCK_TOKENS = 128, 1 << 16
+#: Sets of one list that make a block.
+BLOCK_ROWS = 1 << 13
 
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, *within: str) -> DataFrame:
@@ -84,94 +85,77 @@ def lists(sets: DataFrame, within: Sequence[str], t: int) -> DataFrame:
     return sets.select("id", *within, "n", F.posexplode(prefix).alias("_p", "token")).select("id", *within, "n", "token", (F.col("_p") + 1).alias("at"))
 
 
-def _blocks(rows: str, tokens: str) -> Column:
-    """Into how many blocks the sets of a list are split, by their number and by the tokens that they hold together."""
-    return F.least(F.col(rows), F.ceil(F.greatest(F.col(rows) / BLOCK_ROWS, F.col(tokens) / BLOCK_TOKENS))).cast("int")
-
-
-def _records(sets: DataFrame, index: DataFrame, met: DataFrame, key: Sequence[str], blocks: Sequence[str]) -> DataFrame:
-    """A row for each set and each of its index tokens in met (the lists with something to compare): the key, the blocks, mine
-    (the set's block, of blocks[0]), and the set. Only narrow rows look for their list; then sets are moved once for each."""
-    total, size = met.agg(F.sum("rows"), F.count(F.lit(1))).first()
-    narrow = lookup_join(index.drop("n"), met.select(*key, "rows", *blocks), list(key), "rows", total or 0, size)
-    mine = narrow.groupBy("id").agg(F.collect_list(F.struct(*key, "at", *blocks)).alias("l"))
-    flat = sets.select("id", "n", "o").join(mine, "id").select("id", "n", "o", F.inline("l"))
-    return flat.withColumn("mine", F.pmod(F.xxhash64("id"), F.col(blocks[0])).cast("int"))
-
+def _similar(pairs: DataFrame, t: int) -> DataFrame:
+    scored = pairs.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
+    return scored.where(F.col("similarity") >= t / 100).select("a", "b", "similarity")
 
-def _compared(left: Column, right: Column, t: int, apart: Callable[[Column, Column], Column]) -> Column:
-    """The pairs of two arrays of records of one list (id, n, at, mine, o) that are apart, and may be similar enough by their
-    sizes and by what stands after the list's token, which must be the first that they share: so a pair is found once, though
-    it meets in several lists. a, b, n, m, common."""
 
-    def may(x: Column, y: Column) -> Column:
-        sizes = F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * t
-        need = F.floor((t * (x["n"] + y["n"]) + 99 + t) / (100 + t))
-        rest = 1 + F.least(x["n"] - x["at"], y["n"] - y["at"]) >= need
-        first = ~F.arrays_overlap(F.slice(x["o"], 1, x["at"] - 1), F.slice(y["o"], 1, y["at"] - 1))
-        return apart(x, y) & sizes & rest & first
+def _keyed(sets: DataFrame, within: Sequence[str], side: int) -> DataFrame:
+    """sets that have tokens, as candidates takes them, with id."""
+    part = F.xxhash64(*within) if within else F.lit(0)
+    more = [c for c in (*within, *CLASS) if c in sets.columns]
+    return sets.where(F.size("toks") > 0).select("id", *more, F.xxhash64("id").alias("h"), part.cast("long").alias("part"), F.lit(side).alias("side"), "toks")
 
-    def pair(x: Column, y: Column) -> Column:
-        return F.struct(x["id"].alias("a"), y["id"].alias("b"), x["n"].alias("n"), y["n"].alias("m"), F.size(F.array_intersect(x["o"], y["o"])).alias("common"))
 
-    return F.flatten(F.transform(left, lambda x: F.transform(F.filter(right, lambda y: may(x, y)), lambda y: pair(x, y))))
+def _verified(met: DataFrame, sides: Sequence[DataFrame], t: int) -> DataFrame:
+    """a, b, similarity of the pairs of candidates (ha, hb, stored) that are similar enough, by their whole sets."""
+    texts = []
+    for name, keyed in zip(("ha", "hb"), sides, strict=True):
+        needed = met.select("ha").union(met.select("hb")) if sides[0] is sides[1] else met.select(name)
+        if not texts or sides[0] is not sides[1]:
+            texts.append(stored(keyed.join(checked(needed.toDF("h").distinct()), "h", "left_semi").select("h", "id", "part", "toks"), "candidate-sets"))
+    x, y = (texts[0], texts[-1])
+    x, y = (d.select(F.col("h").alias(f"h{i}"), F.col("id").alias(i), F.col("part").alias(f"p{i}"), F.col("toks").alias(f"t{i}")).dropDuplicates([f"h{i}", i]) for d, i in ((x, "a"), (y, "b")))
+    both = met.join(x, "ha").join(y, "hb").where("pa = pb")
+    return _similar(both.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("m"), F.size(F.array_intersect("ta", "tb")).alias("common")), t)
 
 
-def _similar(pairs: DataFrame, t: int) -> DataFrame:
-    scored = pairs.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common")))
-    return scored.where(F.col("similarity") >= t / 100).select("a", "b", "similarity")
+def _near_reps(sets: DataFrame, reps: DataFrame, within: Sequence[str], t: int) -> DataFrame:
+    """a, b (a < b), similarity of the classes (reps: rep, stored) of sets (stored) that are similar enough; stored.
 
+    Candidates come from sketches of the sets; only these pairs meet with their whole sets."""
+    keyed = _keyed(sets, within, 0)
+    mine = keyed.join(checked(reps.select(F.col("rep").alias("id"), *within, *CLASS)), ["id", *within, *CLASS], "left_semi")
+    met = stored(sketches.candidates(mine, keyed, t, BLOCK_ROWS), "candidates")
+    found = _verified(met, (keyed, keyed), t)
+    ahead = F.col("a") < F.col("b")
+    return stored(found.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"), "similarity"), "near-classes")
 
-def _near_reps(reps: DataFrame, within: Sequence[str], t: int) -> DataFrame:
-    """a, b (a < b), similarity of the stored classes (rep, toks) that are similar enough; stored.
 
-    The sets of a token's list are compared inside tasks, and only pairs that are similar become rows. A long list is split
-    into blocks by a hash of the id; each pair of blocks is a task's work, so no list is the work of one task."""
-    sets = stored(ordered(reps, stored(token_ranks(reps), "token-ranks"), "rep", within), "ordered-sets")
-    index, key = lists(sets, within, t), [*within, "token"]
-    met = index.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("tokens")).where("rows > 1").withColumn("k", _blocks("rows", "tokens"))
-    records = _records(sets, index, stored(met, "lists"), key, ["k"])
-    spread = records.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    both = spread.groupBy(*key, F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2")).agg(F.collect_list(F.struct("id", "n", "at", "mine", "o")).alias("e"))
-    apart = lambda x, y: (x["id"] < y["id"]) & ((F.col("b1") == F.col("b2")) | (x["mine"] != y["mine"]))
-    found = both.where(F.size("e") > 1).select(F.inline(_compared(F.col("e"), F.col("e"), t, apart)))
-    return stored(_similar(found, t), "near-classes")
+def _reps(sets: DataFrame, *within: str) -> DataFrame:
+    """The classes of sets without their tokens, stored."""
+    return stored(sets.where("k1 is not null").groupBy(*within, *CLASS).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "text-classes")
 
 
 def near_links(sets: DataFrame, t: int = NEAR) -> DataFrame:
     """a, b (a < b), similarity: the pairs of classes of equal text that are similar enough, each named by its least id."""
-    return _near_reps(stored(classes(sets).where(F.size("toks") > 0), "text-classes"), (), t)
+    sets = stored(sets.where("k1 is not null"), "token-sets")
+    return _near_reps(sets, _reps(sets), (), t)
 
 
 def near_members(sets: DataFrame, t: int = NEAR) -> DataFrame:
-    """id, class_id, n_copies, n_near: of each row with tokens its class of equal text, the other rows of that class, and the
-    rows of classes near it. With near_links this says all that pairs of rows would, without making them."""
-    sets = stored(sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()), "token-sets")
-    reps = stored(classes(sets), "text-classes")
-    near = _near_reps(reps, (), t)
+    """id, class_id, n_copies, n_near: of each row its class of equal text, the other rows of that class, and the rows of
+    classes near it; a row without text is a class of its own. With near_links this says all that pairs of rows would,
+    without making them."""
+    sets = stored(sets, "token-sets")
+    reps = _reps(sets)
+    near = _near_reps(sets, reps, (), t)
     sizes = reps.select(F.col("rep").alias("b"), F.col("n").alias("m"))
     counts = near.select("a", "b").union(near.select("b", "a")).join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("m").alias("n_near"))
     known = stored(reps.select(*CLASS, "rep", "n").join(counts, "rep", "left"), "class-sizes")
     total = reps.agg(F.sum("n")).first()[0] or 0
-    rows = lookup_join(sets.select("id", *CLASS), known, CLASS, "n", total)
-    return rows.select("id", F.col("rep").alias("class_id"), (F.col("n") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    rows = lookup_join(sets.where("k1 is not null").select("id", *CLASS), known, CLASS, "n", total)
+    empty = sets.where("k1 is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_near"))
+    return rows.select("id", F.col("rep").alias("class_id"), (F.col("n") - 1).alias("n_copies"), F.coalesce("n_near", F.lit(0)).alias("n_near")).unionByName(empty)
 
 
 def near_matches(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
-    """a (of sets), b (of bank), similarity; both stored. As within one set, but each block of one side meets each of the other."""
-    ranks = stored(token_ranks(sets, bank), "token-ranks")
-    sides = [stored(ordered(x, ranks), "ordered-sets") for x in (sets, bank)]
-    indexes = [lists(x, (), t) for x in sides]
-    sums = [x.groupBy("token").agg(F.count(F.lit(1)).alias(f"r{i}"), F.sum("n").alias(f"t{i}")) for i, x in enumerate(indexes)]
-    met = sums[0].join(sums[1], "token").select("token", (F.col("r0") + F.col("r1")).alias("rows"), _blocks("r0", "t0").alias("k0"), _blocks("r1", "t1").alias("k1"))
-    met = stored(met, "lists")
-    entry = F.struct("id", "n", "at", "mine", "o")
-    left = _records(sides[0], indexes[0], met, ["token"], ["k0", "k1"]).withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("k1") - 1)))
-    right = _records(sides[1], indexes[1], met, ["token"], ["k1", "k0"]).withColumn("b0", F.explode(F.sequence(F.lit(0), F.col("k0") - 1)))
-    x = left.select("token", F.col("mine").alias("b0"), "b1", entry.alias("x"))
-    y = right.select("token", "b0", F.col("mine").alias("b1"), entry.alias("y"))
-    both = x.unionByName(y, allowMissingColumns=True).groupBy("token", "b0", "b1").agg(F.collect_list("x").alias("x"), F.collect_list("y").alias("y"))
-    return _similar(both.select(F.inline(_compared(F.col("x"), F.col("y"), t, lambda x, y: F.lit(True)))), t)
+    """a (of sets), b (of bank), similarity; both stored. As within one set, but only sets of different sides meet."""
+    left, right = _keyed(sets, (), 0), _keyed(bank, (), 1)
+    columns = ["h", "part", "side", "toks"]
+    both = left.select(*columns).unionByName(right.select(*columns))
+    met = stored(sketches.candidates(both, both, t, BLOCK_ROWS, sided=True), "candidates")
+    return _verified(met, (left, right), t)
 
 
 def _first_two(rows: DataFrame, key: Sequence[str], *more: str) -> DataFrame:
@@ -189,9 +173,9 @@ def first_match(sets: DataFrame, t: int = NEAR, within: Sequence[str] = (), skip
     are kept, so groups of copies stay linear."""
     key = [*within, *CLASS]
     sets = stored(sets.where("k1 is not null").withColumn("_skip", F.col(skip or "id")).select("id", *key, "_skip", "toks"), "token-sets")
-    reps = stored(classes(sets, *within), "text-classes")
+    reps = _reps(sets, *within)
     leads = stored(_first_two(sets, key).withColumnRenamed("e", "equal").join(reps.select(*key, "rep", "n"), key), "first-rows")
-    near = _near_reps(reps.where(F.size("toks") > 0), within, t)
+    near = _near_reps(sets, reps, within, t)
     both = near.union(near.select("b", "a", "similarity"))
     around = both.join(leads.select(F.col("rep").alias("b"), F.inline("equal")), "b").select(F.col("a").alias("rep"), "id", "_skip", "similarity")
     known = leads.join(_first_two(around, ["rep"], "similarity").withColumnRenamed("e", "near"), "rep", "left").drop("rep")
@@ -207,8 +191,8 @@ def first_match(sets: DataFrame, t: int = NEAR, within: Sequence[str] = (), skip
 def best_match(sets: DataFrame, t: int = NEAR) -> DataFrame:
     """As first_match, but the most similar row, the earlier of ties."""
     sets = stored(sets.where((F.size("toks") > 0) & F.col("k1").isNotNull()).withColumn("_skip", F.col("id")), "token-sets")
-    reps = stored(classes(sets), "text-classes")
-    near = _near_reps(reps, (), t)
+    reps = _reps(sets)
+    near = _near_reps(sets, reps, (), t)
     best = near.union(near.select("b", "a", "similarity")).groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("b").alias("id"))).alias("near")).select(F.col("a").alias("rep"), "near")
     known = _first_two(sets, CLASS).withColumnRenamed("e", "equal").join(reps.select(*CLASS, "rep", "n"), CLASS).join(best, "rep", "left")
     known = stored(known.where((F.size("equal") > 1) | F.col("near").isNotNull()).drop("rep"), "class-matches")

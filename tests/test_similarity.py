@@ -84,3 +84,31 @@ def test_bank_prefers_exact(spark):
     bank = s.tokenized(spark.createDataFrame([(1, " ".join(ten[:9])), (2, " ".join(ten))], "id int, text string"), "id", "text")
     sets = s.tokenized(spark.createDataFrame([(7, " ".join(ten)), (8, " ".join(ten[1:])), (9, "none")], "id int, text string"), "id", "text")
     assert {r["id"]: (r["match_id"], r["kind"]) for r in s.bank_match(sets, bank).collect()} == {7: (2, "exact"), 8: (2, "near")}
+
+
+def test_rows_without_text_or_tokens_are_members(spark):
+    """Every row has a class: one without text is a class of its own, equal texts without tokens are one."""
+    df = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, ""), (4, None), (5, " "), (6, "alfa")], "id int, text string")
+    got = {r["id"]: (r["class_id"], r["n_copies"], r["n_near"]) for r in s.near_members(s.tokenized(df, "id", "text")).collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 1, 0), 3: (3, 0, 0), 4: (4, 0, 0), 5: (5, 0, 0), 6: (6, 0, 0)}
+
+
+def test_large_sets_travel_as_sketches(spark):
+    """Sets of 2 to 3,000 tokens, near ones of all sizes among them: no link is lost, and the records of lists take less room than
+    the sets themselves (whole sets in each list took over a hundred times that)."""
+    from pyspark.sql import functions as F
+
+    from sievework.operators import sketches
+
+    rnd = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(9000)]
+    docs = []
+    for size in (2, 7, 60, 65, 120, 130, 500, 1020, 1030, 3000):
+        whole = rnd.sample(vocabulary, size)
+        docs += [whole, whole[: int(size * 0.9)], whole[: int(size * 0.815)], whole[int(size * 0.05) :] + rnd.sample(vocabulary, size // 25), rnd.sample(vocabulary, size)]
+    sets = s.stored(s.tokenized(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "id int, text string"), "id", "text"), "t")
+    want = {(i, j): brute(a, b) for i, a in enumerate(docs) for j, b in enumerate(docs) if i < j and brute(a, b) >= 0.82}
+    assert all_pairs(sets) == want and len(want) > 20
+    keyed = s._keyed(sets, (), 0)
+    records = sketches._records(keyed, spark.sparkContext.broadcast(sketches.bucket_counts(keyed)), 82, 8, {})
+    assert records.agg(F.sum(40 + F.octet_length("sketch") + F.octet_length("keys"))).first()[0] < sets.agg(F.sum(F.size("toks") * 8)).first()[0]
