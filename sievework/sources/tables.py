@@ -122,6 +122,17 @@ def read_texts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     return (reader.option("pathGlobFilter", glob) if glob else reader).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def write_bundles(texts: DataFrame, folder: str, name: str, value: str) -> str:
+    """Texts with their names as records of some files, as many as the table has tasks; the folder."""
+    texts.select(F.col(name).alias("path"), F.col(value).alias("value")).write.option("compression", "zstd").parquet(folder)
+    return folder
+
+
+def read_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """path, value of all texts of a folder of bundles: what read_texts gives of files."""
+    return spark.read.schema("path string, value string").parquet(folder)
+
+
 def extract_prompts(texts: DataFrame, col: str = "value") -> DataFrame:
     """The single-quoted prompt values of source texts, escapes undone."""
     found = F.explode(F.regexp_extract_all(col, F.lit(r"prompt:\s*'((?:[^'\\]|\\.)*)'"), F.lit(1)))

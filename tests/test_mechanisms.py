@@ -54,6 +54,24 @@ def test_matches_across_borders_are_found_once(spark):
     assert got == {(i, n, m.start(), x.count("\n", 0, m.start()) + 1, m[0]) for i, x in texts if x for n, p in patterns.items() for m in re.finditer(p, x)}
 
 
+def test_matches_that_outlast_any_piece(spark):
+    """Runs that adjoin through a text, and matches of any length, are those of a scan of the whole text."""
+    long = "a" * 700 + "@" + "b" * 900
+    texts = [(1, "x\n" + "1" * 1001 + "\n2 2 2 2 " * 300), (2, "y " * 90 + long + "\n" + long), (3, "7" * 199 + " " * 40 + "7" * 300)]
+    patterns = {"address": r"[a-z0-9.]+@[a-z0-9.]+", "number": r"[0-9][0-9 ]{2,30}[0-9]"}
+    got = {(r["id"], r["pattern"], r["start"], r["line"], r["found"]) for r in scans.matches(spark.createDataFrame(texts, "id int, text string"), "id", "text", patterns, piece=200, overlap=120).collect()}
+    assert got == {(i, n, m.start(), x.count("\n", 0, m.start()) + 1, m[0]) for i, x in texts for n, p in patterns.items() for m in re.finditer(p, x)}
+
+
+def test_linted_files_are_bundled(spark, tmp_path):
+    """The number of files goes by tasks, not by texts."""
+    rows = spark.range(0, 3000, 1, 2).selectExpr("concat('f-', id, '.txt') as name", "concat('AB ', id, ' CD\\nEF') as text")
+    folder = tables.write_bundles(rows, str(tmp_path / "texts"), "name", "text")
+    assert len(list((tmp_path / "texts").glob("part-*"))) == 2
+    found = tables.encoding_lint(tables.read_bundles(spark, folder), {"capitals": "[A-Z]{2,}"}).agg({"n": "sum", "path": "count"}).first()
+    assert sorted(found) == [3000, 9000]
+
+
 def test_policies_deny_what_nothing_allows(spark):
     given = {"questions": spark.createDataFrame([(1, "published"), (2, "draft")], "id int, status string"), "secrets": spark.createDataFrame([(1,)], "id int"), "attempt_answers": spark.createDataFrame([(1,)], "id int")}
     allow = spark.createDataFrame([("Boss@x.org",)], "email string")
