@@ -95,8 +95,7 @@ def with_window(rows: DataFrame, windows: DataFrame, key: str, *values: str, ann
 def with_windows(rows: DataFrame, windows: DataFrame, row_id: str, key: str, first: str, last: str | None = None) -> DataFrame:
     """rows with what many, overlapping windows a key say: configured (the key has any), n_windows (how many hold the row from
     first to last) and first_window (the least window_id of these)."""
-    met = intervals.within(rows.select(row_id, key, *dict.fromkeys([first, last or first])), windows, [key], first, last)
-    counts = met.groupBy(row_id).agg(F.count(F.lit(1)).alias("n_windows"), F.min("window_id").alias("first_window"))
+    counts = intervals.holding(rows, windows, row_id, key, first, last)
     known = checked(windows.select(key).distinct().withColumn("configured", F.lit(True)))
     return rows.join(counts, row_id, "left").join(known, key, "left").withColumns({"n_windows": F.coalesce("n_windows", F.lit(0)), "configured": F.coalesce("configured", F.lit(False))})
 

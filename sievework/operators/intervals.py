@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.order import running_total
 from sievework.session import stored
 
 
@@ -37,3 +38,30 @@ def within(rows: DataFrame, windows: DataFrame, keys: Sequence[str], first: str,
     spread = spread.withColumn("_bin", _bin(number(first), F.col("_level")))
     met = spread.join(binned, [*keys, "_level", "_bin"])
     return met.where((number(first) >= number("window_start")) & (number(last or first) <= number("window_end"))).drop("_level", "_bin")
+
+
+def holding(rows: DataFrame, windows: DataFrame, row_id: str, key: str, first: str, last: str | None = None) -> DataFrame:
+    """row_id, n_windows, first_window: how many windows of a row's key hold it from first to last, and the least window_id of
+    these, for the rows that any holds. As within() followed by counting, without a row for each pair.
+
+    In the order of starts, the windows that start early enough for a row are the first c of its key. They are split into blocks
+    of powers of two, one for each bit of c; in a block, in falling order of ends, those that end late enough are the windows
+    before the row. So n rows and windows make n * log(n) rows, however many windows hold a row."""
+    number = lambda c: F.col(c).cast("double")
+    finite = lambda *cs: " and ".join(f"abs(cast({c} as double)) < double('infinity')" for c in cs)
+    good = windows.where(f"{finite('window_start', 'window_end')} and window_start <= window_end and {key} is not null")
+    mine = rows.where(f"{finite(first, last or first)} and {key} is not null")
+    starts = good.select(key, number("window_start").alias("_from"), number("window_end").alias("_to"), F.lit(1).cast("long").alias("_window"), "window_id")
+    points = mine.select(key, number(first).alias("_from"), number(last or first).alias("_to"), F.lit(0).cast("long").alias("_window"), row_id)
+    both = stored(starts.unionByName(points, allowMissingColumns=True), "windows-and-rows")
+    placed = stored(running_total(both, [key], [F.col("_from"), F.col("_window").desc()], "_window", "_place"), "windows-placed")
+    bits = max(1, int(placed.agg(F.max("_place")).first()[0] or 0).bit_length())
+    levels = F.sequence(F.lit(0), F.lit(bits - 1))
+    # the block of a window on each level, where that is the first of two; the blocks of a row by the bits of its number
+    count = F.col("_place")
+    of_window = F.filter(F.transform(levels, lambda j: F.struct(j.alias("_level"), F.call_function("shiftright", count - 1, j).alias("_block"))), lambda x: x["_block"] % 2 == 0)
+    of_row = F.filter(F.transform(levels, lambda j: F.struct(j.alias("_level"), (F.call_function("shiftright", count, j) - 1).alias("_block"))), lambda x: x["_block"] % 2 == 0)
+    spread = placed.select(key, "_to", "_window", "window_id", row_id, F.inline(F.when(F.col("_window") == 1, of_window).otherwise(of_row)))
+    so_far = Window.partitionBy(key, "_level", "_block").orderBy(F.col("_to").desc(), F.col("_window").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = spread.withColumns({"_n": F.sum("_window").over(so_far), "_first": F.min("window_id").over(so_far)}).where("_window = 0 and _n > 0")
+    return met.groupBy(row_id).agg(F.sum("_n").alias("n_windows"), F.min("_first").alias("first_window"))

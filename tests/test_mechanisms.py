@@ -46,6 +46,22 @@ def test_windows_that_overlap(spark):
     assert sorted((r["id"], r["w"]) for r in met.collect()) == want
 
 
+def test_windows_that_hold_a_range_are_counted_without_pairs(spark):
+    rnd = random.Random(7)
+    ends = [None, float("nan"), float("inf"), *map(float, range(-20, 20))]
+    rows = [(i, rnd.choice(["a", "b", None, "c"]), lo, None if lo is None else lo + rnd.choice([0, 1, 2.5])) for i in range(300) for lo in [rnd.choice(ends)]]
+    windows = [(w, rnd.choice(["a", "b", None]), lo, None if lo is None else lo + rnd.choice([-1, 0, 1, 3, 8, 30])) for w in range(150) for lo in [rnd.choice(ends)]]
+    given = spark.createDataFrame(rows, "id int, k string, lo double, hi double"), spark.createDataFrame(windows, "window_id int, k string, window_start double, window_end double")
+    got = {r["id"]: (r["n_windows"], r["first_window"]) for r in intervals.holding(*given, "id", "k", "lo", "hi").collect()}
+    finite = lambda x: x is not None and abs(x) < float("inf")
+    met = {i: [w for w, kw, a, b in windows if k == kw and k is not None and finite(lo) and finite(a) and a <= b and a <= lo and hi <= b] for i, k, lo, hi in rows}
+    assert got == {i: (len(ws), min(ws)) for i, ws in met.items() if ws}
+    # 400 windows hold each of 400 rows: 160,000 pairs
+    all_of = spark.range(400).selectExpr("id", "1 as k", "0.5 as lo"), spark.range(400).selectExpr("id as window_id", "1 as k", "-id as window_start", "id + 1 as window_end")
+    held = intervals.holding(*all_of, "id", "k", "lo")
+    assert {(r["n_windows"], r["first_window"]) for r in held.collect()} == {(400, 0)} and held.count() == 400
+
+
 def test_matches_across_borders_are_found_once(spark):
     rnd = random.Random(3)
     texts = [(i, "".join(rnd.choice("ab1 \n") for _ in range(rnd.randint(0, 300)))) for i in range(20)] + [(99, None), (98, "ab" * 40)]
