@@ -240,7 +240,7 @@ def import_artifacts(spark, sf):
     folder = shared_dir(spark, "import-reviews")
     run = review.write_artifacts(given, items, own, folder, "2029-12-31")
     # a run that stopped before its commit: its files are there, and count for nothing
-    items.where("status = 'accepted'").limit(5).withColumn("source_file", F.lit("imports/00001.json")).select("source_file", "external_id").write.partitionBy("source_file").json(f"{folder}/accepted-candidates/run={run}x")
+    items.where("status = 'accepted'").limit(5).withColumn("source_file", F.lit("imports/00001.json")).select("source_file", "external_id").write.json(f"{folder}/accepted-candidates/run={run}x")
     review.write_artifacts(given, items, own, folder, "2030-01-01")
     read = lambda kind, schema: review.read_artifacts(spark, folder, kind, schema)
     issues = "array<struct<code:string>>"

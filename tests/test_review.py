@@ -99,3 +99,17 @@ def test_lint_and_prompts(spark, tmp_path):
     found = tables.encoding_lint(texts, {"latin": "Ã.", "none": "ZZZ"}, allowed=["b.ts"]).collect()
     assert [(r["path"].rsplit("/", 1)[1], r["pattern"], r["n"]) for r in found] == [("a.ts", "latin", 1)]
     assert tables.encoding_lint(texts, {"latin": "Ã."}).agg(F.sum("n")).first()[0] == 2
+
+
+def test_artifacts_of_many_batches_are_few_files(spark, tmp_path):
+    """Files go by tasks: sixty batches made 240 folders before."""
+    for i in range(60):
+        batch = {"batchId": f"b{i}", "editionId": "edition-2026", "chapterId": "4", "sourceDocumentId": "manual", "questions": [question(f"q{i}", " ".join(f"palabra{i}x{j}" for j in range(6)), 40)]}
+        (tmp_path / f"{i:02d}.json").write_text(json.dumps(batch))
+    batches = review.keyed(tables.read_batches(spark, str(tmp_path / "*.json")))
+    items = review.reviewed(batches, spark.createDataFrame([(1, "x")], "bank_id int, prompt string"))
+    out = str(tmp_path / "out")
+    review.write_artifacts(batches, items, review.batch_issues(batches, "edition-2026", "manual"), out, "2026-01-01")
+    assert len(list((tmp_path / "out").rglob("part-*.json"))) < 60
+    lines = review.read_artifacts(spark, out, "review-summary", "position long, value string").collect()
+    assert {(r["source_file"].rsplit("/", 1)[1], r["value"]) for r in lines if r["position"] == 1} == {(f"{i:02d}.json", f"# Import Review: b{i}") for i in range(60)}
