@@ -16,8 +16,9 @@ MIN_TOKEN = 3
 
 
 def collapse(c: Column, space: str = SPACE) -> Column:
-    """Runs of white space become one blank; no blanks, nor other space separators, at the ends."""
-    done = F.regexp_replace(c, f"{space}+", " ")
+    """Runs of white space become one blank; no blanks, nor other space separators, at the ends. Most characters are printable
+    ASCII, which a look at one range tells from white space; the class itself has many ranges."""
+    done = F.regexp_replace(c, f"(?=[^!-~]){space}+", " ")
     return F.trim(done) if space == SPACE else F.regexp_replace(done, r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
@@ -48,12 +49,20 @@ def fold(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Alphanumeric pieces of the folded text with at least MIN_TOKEN characters, repeats kept."""
-    return F.filter(F.split(fold(c), "[^a-z0-9]+"), lambda t: F.length(t) >= MIN_TOKEN)
+    return folded_tokens(fold(c))
+
+
+def folded_tokens(folded: Column) -> Column:
+    return F.filter(F.split(folded, "[^a-z0-9]+"), lambda t: F.length(t) >= MIN_TOKEN)
 
 
 def fold_for_contains(c: Column) -> Column:
     """Folded, with only letters, digits and blanks left."""
-    return F.trim(F.regexp_replace(fold(c), "[^a-z0-9 ]", ""))
+    return bare(fold(c))
+
+
+def bare(folded: Column) -> Column:
+    return F.trim(F.regexp_replace(folded, "[^a-z0-9 ]", ""))
 
 
 def fingerprint(c: Column) -> Column:

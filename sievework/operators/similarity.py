@@ -29,17 +29,19 @@ BLOCK_ROWS = 1 << 13
 
 def tokenized(df: DataFrame, id_col: str, text_col: str, *within: str) -> DataFrame:
     """id, k1, k2 (key of the folded text; null where that is empty), toks (hashes of the distinct tokens), and the columns
-    within which rows are compared. Folding is the costly part: store the result where it is used several times."""
-    folded = df.select(F.col(id_col).alias("id"), *within, text.fold(F.col(text_col)).alias("_f"))
+    within which rows are compared. Folding is the costly part: store the result where it is used several times.
+
+    A filter on a computed column is moved below the projection that computes it, and both compute it then. It does not pass
+    the two generators of one row, so texts are folded once and tokens made once, whatever is asked of them later."""
+    folded = df.select(F.col(id_col).alias("id"), *within, F.explode(F.array(text.fold(F.col(text_col)))).alias("_f"))
     words = F.filter(F.split("_f", "[^a-z0-9]+"), lambda t: F.length(t) >= text.MIN_TOKEN)
     full = F.col("_f") != ""
-    return folded.select(
-        "id",
-        *within,
+    made = F.struct(
         F.when(full, F.xxhash64("_f")).alias("k1"),
         F.when(full, F.xxhash64(F.lit("text"), "_f")).alias("k2"),
         F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))).alias("toks"),
     )
+    return folded.select("id", *within, F.inline(F.array(made)))
 
 
 def classes(sets: DataFrame, *within: str) -> DataFrame:
@@ -203,10 +205,13 @@ def best_match(sets: DataFrame, t: int = NEAR) -> DataFrame:
 
 
 def bank_match(sets: DataFrame, bank: DataFrame, t: int = NEAR) -> DataFrame:
-    """id, match_id, kind, similarity: any equal row of the bank, else the first near one. Classes are matched on both sides."""
+    """id, match_id, kind, similarity: any equal row of the bank, else the first near one. Classes are matched on both sides; rows
+    of the bank with too few or too many tokens to be near any set go no further."""
     sets = stored(sets.where("k1 is not null").select("id", *CLASS, "toks"), "token-sets")
     mine = stored(classes(sets), "text-classes")
-    known = stored(classes(bank).select(*CLASS, F.col("rep").alias("id"), "toks"), "bank-classes")
+    low, high = mine.agg(F.min(F.size("toks")), F.max(F.size("toks"))).first()
+    sized = bank.where((F.size("toks") * 100 >= (low or 0) * t) & (F.size("toks") * t <= (high or 0) * 100))
+    known = stored(classes(sized).select(*CLASS, F.col("rep").alias("id"), "toks"), "bank-classes")
     exact = mine.join(known.select(*CLASS, F.col("id").alias("match_id")), CLASS).select("rep", "match_id", F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
     near = near_matches(mine.select(F.col("rep").alias("id"), "toks"), known, t).groupBy(F.col("a").alias("rep")).agg(F.min(F.struct(F.col("b").alias("match_id"), "similarity")).alias("m"))
     late = near.join(exact, "rep", "left_anti").select("rep", "m.match_id", F.lit("near").alias("kind"), "m.similarity")
