@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that make a task where much is made of each.
+ROWS_A_TASK = 10_000
+
+
+def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """df dealt out over tasks of about so many rows. A file of a million narrow rows is small, and so one task; what is made of its rows
+    would all be made there."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: later stages start from files that all executors see."""
     spark = df.sparkSession

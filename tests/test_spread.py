@@ -1,6 +1,7 @@
 """Work is dealt out by rows, and what is made of a row is made once."""
 
-from sievework.operators import similarity
+from sievework.operators import reducer, similarity
+from sievework.streaming import quiz as stream_quiz
 
 
 def optimized(df):
@@ -19,3 +20,18 @@ def test_bank_of_edge_sizes(spark):
     bank = spark.createDataFrame([(1, " ".join(words[:51])), (2, " ".join(words[:50])), (3, " ".join(words[:33])), (4, "A  B"), (5, None)], "id long, t string")
     got = similarity.bank_match(similarity.tokenized(items, "id", "t"), similarity.tokenized(bank, "id", "t"))
     assert {r["id"]: (r["match_id"], r["kind"], round(r["similarity"], 9)) for r in got.collect()} == {1: (2, "near", 0.82), 2: (4, "exact", 1.0)}
+
+
+def test_attempts_that_share_a_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_quiz, "BUCKETS", 2)
+    quiz = spark.createDataFrame([(0, "q0", "single", ["a"], True), (1, "q1", "multiple", ["a", "b"], False)], "at int, question_id string, selection_mode string, correct array<string>, double_weight boolean")
+    steps = ["toggle", "confirm", "next", "toggle", "toggle", "confirm", "confirm", "next", "toggle", "confirm"]
+    rows = [((1 << 60) + a if a else None, i, steps[(i + a) % 10], "ab"[(i * 7 + a) % 2]) for a in range(20) for i in range(30)]
+    log = spark.createDataFrame(rows, "attempt_id long, seq long, action string, option_id string")
+    for at, part in enumerate((log.where("seq < 11"), log.where("seq >= 9"))):
+        part.write.mode("append").parquet(f"{tmp_path}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{tmp_path}/log")
+        stream_quiz.run_to(stream_quiz.outcomes(stream, quiz, is_exam=True), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    want = reducer.outcomes(log, quiz, is_exam=True)
+    read = lambda df: sorted((str(x[0]), *x[1:]) for x in map(tuple, df.select(*reducer.OUTCOME).collect()))
+    assert read(spark.read.parquet(f"{tmp_path}/out")) == read(want)
