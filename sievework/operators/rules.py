@@ -41,18 +41,31 @@ class Rule:
         )
 
 
+class Rules(list):
+    """Rules with the columns that several of them read, in layers of which each may read the ones before. These are computed
+    once a row, not once a rule."""
+
+    def __init__(self, rules: list[Rule], *shared: dict[str, Column]):
+        super().__init__(rules)
+        self.shared = shared
+
+
 def issues(rules: list[Rule]) -> Column:
     return F.array_compact(F.array(*[r.issue() for r in rules])).cast(ISSUE)
 
 
 def evaluate(df: DataFrame, rules: list[Rule], out: str = "issues") -> DataFrame:
     """df with the array of issues of each row."""
-    return df.withColumn(out, issues(rules))
+    shared = getattr(rules, "shared", ())
+    for layer in shared:
+        df = df.withColumns(layer)
+    return df.withColumn(out, issues(rules)).drop(*[name for layer in shared for name in layer])
 
 
 def exploded(df: DataFrame, *keys: str, col: str = "issues") -> DataFrame:
-    """A row an issue: keys, ord (order of emission), code, severity, message, field."""
-    return df.select(*keys, F.posexplode(col).alias("ord", "i")).select(*keys, "ord", "i.*")
+    """A row an issue: keys, ord (order of emission), code, severity, message, field. The outer form and a filter after it: for
+    the inner one a filter on the array is put before all that makes it, which then is made twice."""
+    return df.select(*keys, F.posexplode_outer(col).alias("ord", "i")).where("ord is not null").select(*keys, "ord", "i.*")
 
 
 def of_severity(col: str, severity: str) -> Column:
@@ -72,10 +85,6 @@ def repeats(a: Column) -> Column:
     return F.size(a) != F.size(F.array_distinct(a))
 
 
-def _folded(texts: Column) -> Column:
-    return F.filter(F.transform(texts, text.fold), lambda x: x != "")
-
-
 def _outside(value: Column, low: Column, high: Column) -> Column:
     return text.finite(value) & ((value < low) | (value > high))
 
@@ -88,11 +97,12 @@ def import_rules() -> list[Rule]:
     pages = text.finite(start) & text.finite(end)
     configured = F.col("window_start").isNotNull()
     mode, correct = F.col("selection_mode"), F.col("correct")
-    instruction = text.fold(F.coalesce("instruction", F.lit("")))
     explained = text.fold_for_contains(F.coalesce("public_explanation", F.lit("")))
-    chosen = F.transform("options", lambda o, i: F.struct(text.fold_for_contains(o).alias("t"), F.array_contains(correct, i.cast("double")).alias("good")))
-    names = lambda good: F.exists(chosen, lambda o: (o["good"] == good) & F.contains(explained, o["t"]))
-    return [
+    chosen = lambda e: F.transform("_folded", lambda o, i: F.struct(F.contains(e, text.bare(o)).alias("named"), F.array_contains(correct, i.cast("double")).alias("good")))
+    shared = [{"_instruction": text.fold(F.coalesce("instruction", F.lit(""))), "_folded": F.transform("options", text.fold)}, {"_chosen": text.let(explained, chosen), "_filled": F.filter("_folded", lambda x: x != "")}]
+    instruction = F.col("_instruction")
+    names = lambda good: F.exists("_chosen", lambda o: (o["good"] == good) & o["named"])
+    rules = [
         Rule("missing_prompt", ERROR, blank("prompt"), "A prompt is required.", "prompt"),
         Rule("missing_instruction", ERROR, blank("instruction"), "An instruction is required.", "instruction"),
         Rule("invalid_selection_mode", ERROR, ~F.coalesce(mode.isin("single", "multiple"), F.lit(False)), "Selection is single or multiple.", "selectionMode"),
@@ -103,7 +113,7 @@ def import_rules() -> list[Rule]:
         Rule("missing_public_explanation", ERROR, blank("public_explanation"), "An explanation is required.", "publicExplanation"),
         Rule("invalid_options", ERROR, n < 2, "At least two options are required.", "options"),
         Rule("empty_option_text", ERROR, F.exists("options", lambda o: o == ""), "An option has no text.", "options"),
-        Rule("duplicate_option_text", ERROR, repeats(_folded(F.col("options"))), "Options repeat.", "options"),
+        Rule("duplicate_option_text", ERROR, repeats(F.col("_filled")), "Options repeat.", "options"),
         Rule("invalid_correct_option_index", ERROR, F.exists("correct", lambda x: ~text.whole_number(x) | (x < 0) | (x >= n)), "A correct index names no option.", "correctOptionIndexes"),
         Rule("duplicate_correct_option_index", ERROR, repeats(correct), "Correct indexes repeat.", "correctOptionIndexes"),
         Rule("invalid_single_answer_count", ERROR, (mode == "single") & (F.size(correct) != 1), "Single selection has one answer.", "correctOptionIndexes"),
@@ -126,6 +136,7 @@ def import_rules() -> list[Rule]:
         Rule("instruction_mismatch", WARNING, (mode == "multiple") & F.contains(instruction, F.lit("una respuesta")), "The instruction asks for one answer.", "instruction"),
         Rule("explanation_answer_conflict", ERROR, ~blank("public_explanation") & names(False) & ~names(True), "The explanation names a wrong option and no right one.", "publicExplanation"),
     ]
+    return Rules(rules, *shared)
 
 
 def batch_rules(edition: str, source_document: str) -> list[Rule]:
@@ -143,27 +154,33 @@ def diagnostic_rules(with_source: bool = True) -> list[Rule]:
     """Editorial diagnostics of a reviewable entity; the rule's code is the category. Columns: prompt, instruction,
     selection_mode, source_reference, status, options (array of struct text, is_correct), match_kind (or null)."""
     mode = F.col("selection_mode")
-    good = F.filter("options", lambda o: o["is_correct"])
-    bad = F.filter("options", lambda o: ~o["is_correct"])
-    n = F.size(good)
-    instruction = text.fold(F.coalesce("instruction", F.lit("")))
-    single = text.has_word(instruction, ["una", "un"])
-    multiple = text.has_word(instruction, ["dos", "tres"]) | F.contains(instruction, F.lit("respuestas")) | F.contains(instruction, F.lit("alternativas"))
-    short = lambda o: (F.size(text.tokens(o["text"])) <= 1) & (F.length(text.fold(o["text"])) < 8)
-    folded = lambda a: F.transform(a, lambda o: text.fold(o["text"]))
+    instruction = F.col("_instruction")
+    folded = F.transform("options", lambda o: F.struct(text.fold(o["text"]).alias("t"), o["is_correct"].alias("good")))
+    of = lambda wanted: F.transform(F.filter("_folded", wanted), lambda o: o["t"])
+    shared = [
+        {"_instruction": text.fold(F.coalesce("instruction", F.lit(""))), "_folded": folded},
+        {
+            "_single": text.has_word(instruction, ["una", "un"]),
+            "_multiple": text.has_word(instruction, ["dos", "tres"]) | F.contains(instruction, F.lit("respuestas")) | F.contains(instruction, F.lit("alternativas")),
+            "_good": of(lambda o: o["good"]), "_bad": of(lambda o: ~o["good"]), "_filled": of(lambda o: o["t"] != ""),
+        },
+    ]
+    n, single, multiple = F.size("_good"), F.col("_single"), F.col("_multiple")
+    short = lambda o: (F.length(o) < 8) & (F.size(text.folded_tokens(o)) <= 1)
     source = [Rule("source_reference", CRITICAL, (F.col("status") == "published") & (text.collapse(F.coalesce("source_reference", F.lit(""))) == ""), "Published without a source")]
-    return (source if with_source else []) + [
+    rules = (source if with_source else []) + [
         Rule("answer_format", CRITICAL, n == 0, "No correct option"),
         Rule("answer_format", CRITICAL, (mode == "single") & (n != 1), "Single selection without exactly one answer"),
         Rule("answer_format", CRITICAL, (mode == "multiple") & (n < 2), "Multiple selection with fewer than two answers"),
         Rule("instruction_mismatch", WARNING, (mode == "single") & multiple & ~single, "Instruction asks for several answers"),
         Rule("instruction_mismatch", WARNING, (mode == "multiple") & single & ~multiple, "Instruction asks for one answer"),
-        Rule("weak_distractor", CRITICAL, repeats(_folded(F.transform("options", lambda o: o["text"]))), "Repeated options"),
-        Rule("weak_distractor", WARNING, F.exists(bad, short), "Weak distractors"),
-        Rule("weak_distractor", CRITICAL, F.arrays_overlap(folded(bad), folded(good)), "Distractor equal to an answer"),
+        Rule("weak_distractor", CRITICAL, repeats(F.col("_filled")), "Repeated options"),
+        Rule("weak_distractor", WARNING, F.exists("_bad", short), "Weak distractors"),
+        Rule("weak_distractor", CRITICAL, F.arrays_overlap("_bad", "_good"), "Distractor equal to an answer"),
         Rule("duplicate_prompt", CRITICAL, F.col("match_kind") == "exact", "Duplicate prompt"),
         Rule("duplicate_prompt", WARNING, F.col("match_kind") == "near", "Very similar prompt"),
     ]
+    return Rules(rules, *shared)
 
 
 def diagnostic_id(entity_type: Column, entity_id: Column, category: Column, title: Column) -> Column:

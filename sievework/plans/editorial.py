@@ -13,7 +13,7 @@ from sievework.functions import text
 from sievework.operators import catalog, coverage, rules, similarity, workflow
 from sievework.plans import review, suggest
 from sievework.plans.bindings import collapse_sql, fold_sql, query, t, tokens_sql
-from sievework.session import shared_dir, stored
+from sievework.session import shared_dir, spread, stored
 
 EDITION, MANUAL, ACTOR = "e1", "manual", "editor"
 NOW = "timestamp '2030-01-01 00:00:00'"
@@ -69,7 +69,7 @@ BANK = f"select {K} as bank_id, {BANK_PROMPT} as prompt from part where {BANK_WH
 
 
 def raw_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = t(spark, sf, "part").selectExpr(*[f"{e} as {n}" for n, e in ITEM.items()], "p_size")
+    items = spread(t(spark, sf, "part").select(K, "p_size")).selectExpr(*[f"{e} as {n}" for n, e in ITEM.items()], "p_size")
     return items.selectExpr("*", f"{OPTS} as opts", f"{EXPLANATION} as explanation")
 
 
@@ -89,8 +89,8 @@ def batches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
-    part = t(spark, sf, "part")
-    return part.where(BANK_WHERE).selectExpr("p_partkey as bank_id", f"{BANK_PROMPT} as prompt")
+    part = spread(t(spark, sf, "part").where(BANK_WHERE).select(K))
+    return part.selectExpr(f"{K} as bank_id", f"{BANK_PROMPT} as prompt")
 
 
 def codes(issues: str | Column) -> Column:
@@ -286,7 +286,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
     """Suggestions, one from each customer."""
-    s = t(spark, sf, "customer").selectExpr(*[f"{e} as {n}" for n, e in SUGGESTED.items()])
+    s = spread(t(spark, sf, "customer").select(C)).selectExpr(*[f"{e} as {n}" for n, e in SUGGESTED.items()])
     return s.select(
         "c", "id", "position", F.col("kind").alias("suggestion_type"), "prompt", F.col("mode").alias("selection_mode"), "instruction", F.split("opts", "[|]").alias("suggested_options"),
         F.transform(F.split("answers", "[|]"), lambda a: a.cast("int")).alias("suggested_correct_answers"), F.col("grounding").alias("grounding_excerpt"), F.col("chapter").alias("chapter_id"), F.col("document").alias("source_document_id"),
@@ -457,7 +457,7 @@ REWRITTEN = collapse_sql(f"regexp_replace(regexp_replace(prompt, '^seg[uú]n el
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Prepared chunks, one from each supplier, most with a candidate."""
-    c = t(spark, sf, "supplier").selectExpr(*[f"{e} as {n}" for n, e in CHUNK.items()])
+    c = spread(t(spark, sf, "supplier").select(S)).selectExpr(*[f"{e} as {n}" for n, e in CHUNK.items()])
     candidate = F.struct(
         "prompt", F.lit("single").alias("selection_mode"), F.lit("Marque una").alias("instruction"), F.array(F.lit("si"), F.lit("no")).alias("options"), F.array(F.lit(0)).alias("correct"),
         F.lit("porque").alias("public_explanation"), F.lit("").alias("review_notes"),
@@ -539,7 +539,7 @@ p as (select v.*, concat_ws(',', nullif(own, ''), more) as codes, case when own
 
 
 def _pilot(spark: SparkSession, sf: str) -> DataFrame:
-    raw = t(spark, sf, "supplier").selectExpr(*[f"{e} as {n}" for n, e in PILOT.items()], "'e1' as edition_id", "'chapter-1' as chapter_id", "'manual' as source_document_id", "'ref' as source_reference", "'g' as grounding", "'r' as rationale", "cast(null as string) as target_question_id")
+    raw = spread(t(spark, sf, "supplier").select(S)).selectExpr(*[f"{e} as {n}" for n, e in PILOT.items()], "'e1' as edition_id", "'chapter-1' as chapter_id", "'manual' as source_document_id", "'ref' as source_reference", "'g' as grounding", "'r' as rationale", "cast(null as string) as target_question_id")
     return suggest.pilot_records(raw, questions(spark, sf), ACTOR, F.lit("2030-01-01 00:00:00").cast("timestamp"))
 
 

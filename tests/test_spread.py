@@ -1,6 +1,13 @@
 """Work is dealt out by rows, and what is made of a row is made once."""
 
-from sievework.operators import reducer, similarity
+import re
+
+from pyspark.sql import functions as F
+
+from sievework.functions import text
+from sievework.operators import reducer, rules, similarity
+from sievework.plans import editorial, review
+from sievework.session import spread
 from sievework.streaming import quiz as stream_quiz
 
 
@@ -8,12 +15,38 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_rows_are_dealt_out(spark):
+    dealt = spread(spark.range(25_000).coalesce(1))
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.distinct().count() == 25_000
+    assert spread(spark.range(0)).count() == 0
+    for made in (editorial.raw_items, editorial.bank, editorial.suggestions, editorial.chunks):
+        assert "Repartition" in optimized(made(spark, "/root/testdata/sf0.001"))
+
+
 def test_texts_are_folded_once(spark):
     df = spark.range(2).selectExpr("id", "cast(id as string) as t")
     kept = similarity.tokenized(df, "id", "t").where("k1 is not null")
     assert optimized(kept).count("translate(") == 1 and kept.count() == 2
 
 
+def test_issues_are_made_once(spark):
+    df = spark.createDataFrame([(1, "published", "", "Marque una", "single", "a", [("no", True), ("NO", False)], None)], "id int, status string, source_reference string, instruction string, selection_mode string, prompt string, options array<struct<text:string,is_correct:boolean>>, match_kind string")
+    flat = rules.exploded(rules.evaluate(df, rules.diagnostic_rules()), "id")
+    assert "Filter" not in optimized(flat).split("Generate", 1)[1]
+    assert [(r["ord"], r["code"]) for r in flat.orderBy("ord").collect()] == [(0, "source_reference"), (1, "weak_distractor"), (2, "weak_distractor"), (3, "weak_distractor")]
+    assert "_folded" not in rules.evaluate(df, rules.diagnostic_rules()).columns
+
+
+def test_white_space_of_all_kinds(spark):
+    spaces = [chr(x) for x in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    texts = [f"{a}x{a}{b}ñ{b} {a}y{b}" for a in spaces for b in spaces] + ["", " ", "a~!b", "\x85a\u200b b"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    for r in df.select("t", text.collapse(F.col("t")).alias("c"), review.cleaned(F.lit("q"), "prompt", F.col("t")).alias("w")).collect():
+        want = re.sub(f"[{''.join(spaces)}]+", " ", r["t"]).strip(" ")
+        assert r["c"] == r["w"]["text"] == want, ascii(r["t"])
+        assert [x["action"] for x in r["w"]["changes"]] == ["whitespace_normalized"] * (want != r["t"])
+
+
 def test_bank_of_edge_sizes(spark):
     words = [f"w{i:03d}" for i in range(60)]
     items = spark.createDataFrame([(1, " ".join(words[:41])), (2, "a b"), (3, None)], "id long, t string")
