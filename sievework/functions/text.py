@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 #: White space as scripts for browsers know it: ASCII blanks, the Unicode space separators, line and paragraph separators, the byte order mark.
 SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 MARKS = r"[\u0300-\u036F]"
+#: Letters and digits, one by one: a class of single characters is a look into a table, one of several ranges a chain of calls a character.
+LOWER = "abcdefghijklmnopqrstuvwxyz0123456789"
+ALNUM = LOWER + "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_TOKEN = 3
 
 
 def collapse(c: Column, space: str = SPACE) -> Column:
     """Runs of white space become one blank; no blanks, nor other space separators, at the ends. Most characters are printable
     ASCII, which a look at one range tells from white space; the class itself has many ranges."""
-    done = F.regexp_replace(c, f"(?=[^!-~]){space}+", " ")
+    done = F.regexp_replace(c, f"(?![!-~]){space}+", " ")
     return F.trim(done) if space == SPACE else F.regexp_replace(done, r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
@@ -53,7 +56,7 @@ def tokens(c: Column) -> Column:
 
 
 def folded_tokens(folded: Column) -> Column:
-    return F.filter(F.split(folded, "[^a-z0-9]+"), lambda t: F.length(t) >= MIN_TOKEN)
+    return F.regexp_extract_all(folded, F.lit(f"[{LOWER}]{{{MIN_TOKEN},}}"), F.lit(0))
 
 
 def fold_for_contains(c: Column) -> Column:
@@ -62,7 +65,7 @@ def fold_for_contains(c: Column) -> Column:
 
 
 def bare(folded: Column) -> Column:
-    return F.trim(F.regexp_replace(folded, "[^a-z0-9 ]", ""))
+    return F.trim(F.regexp_replace(folded, f"[^{LOWER} ]", ""))
 
 
 def fingerprint(c: Column) -> Column:
@@ -126,7 +129,7 @@ def chapter_id(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, "[^A-Za-z0-9-]", "-"))
+    return F.lower(F.regexp_replace(c, f"[^{ALNUM}-]", "-"))
 
 
 @functools.cache
@@ -208,7 +211,7 @@ def json_object(c: Column) -> Column:
 
 def has_word(c: Column, words: list[str]) -> Column:
     """Whether one of the words stands alone between ASCII word borders."""
-    return c.rlike(rf"(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+    return c.rlike(rf"(?<![{ALNUM}_])(?:{'|'.join(words)})(?![{ALNUM}_])")
 
 
 def first_underscore_to_space(c: Column) -> Column:

@@ -34,12 +34,11 @@ def tokenized(df: DataFrame, id_col: str, text_col: str, *within: str) -> DataFr
     A filter on a computed column is moved below the projection that computes it, and both compute it then. It does not pass
     the two generators of one row, so texts are folded once and tokens made once, whatever is asked of them later."""
     folded = df.select(F.col(id_col).alias("id"), *within, F.explode(F.array(text.fold(F.col(text_col)))).alias("_f"))
-    words = F.filter(F.split("_f", "[^a-z0-9]+"), lambda t: F.length(t) >= text.MIN_TOKEN)
     full = F.col("_f") != ""
     made = F.struct(
         F.when(full, F.xxhash64("_f")).alias("k1"),
         F.when(full, F.xxhash64(F.lit("text"), "_f")).alias("k2"),
-        F.array_distinct(F.transform(words, lambda t: F.xxhash64(t))).alias("toks"),
+        F.array_distinct(F.transform(text.folded_tokens(F.col("_f")), lambda t: F.xxhash64(t))).alias("toks"),
     )
     return folded.select("id", *within, F.inline(F.array(made)))
 

@@ -68,3 +68,16 @@ def test_attempts_that_share_a_key(spark, tmp_path, monkeypatch):
     want = reducer.outcomes(log, quiz, is_exam=True)
     read = lambda df: sorted((str(x[0]), *x[1:]) for x in map(tuple, df.select(*reducer.OUTCOME).collect()))
     assert read(spark.read.parquet(f"{tmp_path}/out")) == read(want)
+
+
+def test_classes_of_letters_are_tables(spark):
+    texts = ["", "ab", "abc", "ab abc0 a_b-xyz9ñ ab12", "A-Z ABC", "zz__zzz  000", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.select("t", text.folded_tokens(F.col("t")).alias("w"), text.bare(F.col("t")).alias("b"), text.slug(F.col("t")).alias("s"), text.has_word(F.col("t"), ["ab", "abc"]).alias("h"))
+    for r in got.collect():
+        t = r["t"]
+        assert r["w"] == (None if t is None else [x for x in re.split("[^a-z0-9]+", t) if len(x) >= 3])
+        assert r["b"] == (None if t is None else re.sub("[^a-z0-9 ]", "", t).strip(" "))
+        assert r["s"] == (None if t is None else re.sub("[^A-Za-z0-9-]", "-", t).lower())
+        assert r["h"] == (None if t is None else bool(re.search("(?<![A-Za-z0-9_])(?:ab|abc)(?![A-Za-z0-9_])", t)))
+    assert "a-z" not in optimized(got)
