@@ -68,7 +68,8 @@ def _of_question(q: DataFrame) -> dict[str, Column]:
 
 def rewrites(questions: DataFrame, actor: str, now: Column) -> DataFrame:
     """Questions whose prompt a rewrite changes."""
-    changed = questions.withColumn("_new", text.rewrite(F.col("prompt"), LEAD_INS)).where("_new is not null and _new <> ''")
+    # a generator of one row, as in tokenized: the filter does not pass it, and prompts are rewritten once
+    changed = questions.select("*", F.explode(F.array(text.rewrite(F.col("prompt"), LEAD_INS))).alias("_new")).where("_new is not null and _new <> ''")
     grounding = F.coalesce("public_explanation", "explanation", reference(changed))
     own = _of_question(changed) | {"prompt": F.col("_new"), "grounding_excerpt": grounding, "review_notes": F.lit("Shorter stem."), "rationale": F.lit("The prompt has a lead-in that adds nothing.")}
     return _suggestions(changed, "rewrite", F.concat(F.lit("rewrite:"), F.col("id")), actor, now, **own)
@@ -126,10 +127,11 @@ def gaps(chapters: DataFrame, questions: DataFrame, chunks: DataFrame, actor: st
 
 
 def generate(cat: catalog.Catalog, chunks: DataFrame, edition: str, actor: str, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(suggestions, the run's summary)."""
+    """(suggestions, the run's summary). The questions are stored: five steps read them."""
+    questions = stored(cat.questions, "questions")
     mine = chunks.where(F.col("edition_id") == edition)
-    diagnostics = diagnosed(entities(cat.questions))
-    parts = [new_questions(mine, cat.questions, actor, now), rewrites(cat.questions, actor, now), flags(cat.questions, diagnostics, actor, now), gaps(cat.chapters, cat.questions, chunks, actor, now)]
+    diagnostics = diagnosed(entities(questions))
+    parts = [new_questions(mine, questions, actor, now), rewrites(questions, actor, now), flags(questions, diagnostics, actor, now), gaps(cat.chapters, questions, chunks, actor, now)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

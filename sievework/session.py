@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | None = None, app: str = "sievework") -> SparkSession:
@@ -47,8 +48,9 @@ ROWS_A_TASK = 10_000
 
 def spread(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
     """df dealt out over tasks of about so many rows. A file of a million narrow rows is small, and so one task; what is made of its rows
-    would all be made there."""
-    return df.repartition(max(1, -(-df.count() // rows)))
+    would all be made there. A filter on what is made is put before the dealing out, but not before the generator of one row."""
+    dealt = df.repartition(max(1, -(-df.count() // rows)))
+    return dealt.select(F.inline(F.array(F.struct(*df.columns))))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

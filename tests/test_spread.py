@@ -1,13 +1,14 @@
 """Work is dealt out by rows, and what is made of a row is made once."""
 
+import hashlib
 import re
 
 from pyspark.sql import functions as F
 
 from sievework.functions import text
 from sievework.operators import reducer, rules, similarity
-from sievework.plans import editorial, review
-from sievework.session import spread
+from sievework.plans import editorial, review, suggest
+from sievework.session import spread, stored
 from sievework.streaming import quiz as stream_quiz
 
 
@@ -70,6 +71,25 @@ def test_attempts_that_share_a_key(spark, tmp_path, monkeypatch):
     assert read(spark.read.parquet(f"{tmp_path}/out")) == read(want)
 
 
+def test_filters_on_what_is_made_stay_behind_the_dealing_out(spark):
+    made = spread(spark.range(25_000).coalesce(1)).withColumn("made", F.md5(F.concat(F.lit("x"), "id")))
+    found = made.where("made > 'f'")
+    assert "Filter" not in optimized(found).split("Repartition", 1)[1]
+    assert found.count() == sum(hashlib.md5(f"x{i}".encode()).hexdigest() > "f" for i in range(25_000))
+
+
+def test_rewrites_are_made_once(spark):
+    bank = editorial.questions(spark, "/root/testdata/sf0.001")
+    assert optimized(suggest.rewrites(bank, "a", F.current_timestamp()).select("prompt")).count("en el enfoque") == 1
+
+
+def test_questions_and_suggestions_are_stored_for_the_steps_that_read_them(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(suggest, "stored", lambda df, name: names.append(name) or stored(df, name))
+    found, _ = editorial._generated(spark, "/root/testdata/sf0.001")
+    assert "questions" in names and "md5(" not in optimized(found.where("suggestion_type <> 'new_question'")).split("s_suppkey")[0]
+
+
 def test_classes_of_letters_are_tables(spark):
     texts = ["", "ab", "abc", "ab abc0 a_b-xyz9ñ ab12", "A-Z ABC", "zz__zzz  000", None]
     df = spark.createDataFrame([(x,) for x in texts], "t string")
