@@ -177,6 +177,7 @@ def clean_chunks(chunks: DataFrame, texts: list[str], options: str = "options")
 
 def verified(suggestions: DataFrame, questions: DataFrame) -> DataFrame:
     """suggestions with their verifier issues (own checks, then diagnostics against the questions) and status."""
+    suggestions = stored(suggestions, "suggestions")
     own = rules.evaluate(suggestions, rules.verifier_rules(), "_own")
     found = diagnosed(entities(questions, suggestions), with_source=False).where("entity_type = 'suggestion'")
     per = diagnostic_map(found).select(F.col("id").alias("_s"), F.transform("diagnostics", lambda d: F.struct(d["code"].alias("code"), d["severity"].alias("severity"), d["message"].alias("message"), F.lit(None).cast("string").alias("field"))).alias("_more"))

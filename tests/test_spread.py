@@ -88,6 +88,8 @@ def test_questions_and_suggestions_are_stored_for_the_steps_that_read_them(spark
     monkeypatch.setattr(suggest, "stored", lambda df, name: names.append(name) or stored(df, name))
     found, _ = editorial._generated(spark, "/root/testdata/sf0.001")
     assert "questions" in names and "md5(" not in optimized(found.where("suggestion_type <> 'new_question'")).split("s_suppkey")[0]
+    suggest.verified(editorial.suggestions(spark, "/root/testdata/sf0.001"), editorial.questions(spark, "/root/testdata/sf0.001"))
+    assert names.count("suggestions") == 1
 
 
 def test_classes_of_letters_are_tables(spark):
