@@ -161,15 +161,19 @@ def title_from_slug(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), " ")
 
 
+def topics(tags: Column) -> Column:
+    """The first two tags that are not blank. A function of two parameters, as collapse, would get the place as its second."""
+    clean = F.filter(F.transform(tags, lambda t: collapse(t)), lambda t: t != "")
+    return F.slice(clean, 1, 2)
+
+
 def topic_key(tags: Column) -> Column:
     """The first two tags that are not blank, joined."""
-    clean = F.filter(F.transform(tags, collapse), lambda t: t != "")
-    return F.array_join(F.slice(clean, 1, 2), "-")
+    return F.array_join(topics(tags), "-")
 
 
 def topic_title(tags: Column) -> Column:
-    clean = F.filter(F.transform(tags, collapse), lambda t: t != "")
-    return F.array_join(F.transform(F.slice(clean, 1, 2), title_from_slug), " y ")
+    return F.array_join(F.transform(topics(tags), title_from_slug), " y ")
 
 
 def none_if_blank(c: Column) -> Column:

@@ -22,6 +22,13 @@ def test_collapse_knows_all_white_space(spark):
     assert one(spark, text.collapse, " a  b﻿", "\r\n", "a\tb", None) == ["a b", "", "a b", None]
 
 
+def test_topics_are_the_first_two_tags_that_are_not_blank(spark):
+    tags = [["\u00a0vía  libre ", " ", "zona-30", "c"], ["\t", "punto-ciego"], ["", "\ufeff"], [], None]
+    df = spark.createDataFrame(list(enumerate(tags)), "i int, tags array<string>")
+    got = df.select("i", text.topic_key(F.col("tags")).alias("k"), text.topic_title(F.col("tags")).alias("t")).orderBy("i").collect()
+    assert [(r["k"], r["t"]) for r in got] == [("vía libre-zona-30", "Vía libre y Zona 30"), ("punto-ciego", "Punto Ciego"), ("", ""), ("", ""), (None, None)]
+
+
 def test_fold_composed_and_decomposed(spark):
     assert one(spark, text.fold, "  Ñandú  É", "Éx", "ÅNGSTRÖM", "ß") == ["nandu e", "ex", "angstrom", "ß"]
 
